@@ -9,18 +9,18 @@ WITH lines AS (
 ), solid AS (
   SELECT doc_id, line, trim(regexp_replace(parts[line], '\s+$', ''), ' ') AS body FROM lines
 ), ranked AS (
-  SELECT doc_id, line, body, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS at FROM solid WHERE body <> ''
+  SELECT doc_id, line, body, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos FROM solid WHERE body <> ''
 ), pairs AS (
-  SELECT a.doc_id, a.at, a.body AS one, b.body AS two FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND b.at = a.at + 1
+  SELECT a.doc_id, a.pos, a.body AS one, b.body AS two FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
 ), firsts AS (
-  SELECT *, row_number() OVER (PARTITION BY one, two ORDER BY doc_id, at) AS copy FROM pairs
+  SELECT *, row_number() OVER (PARTITION BY one, two ORDER BY doc_id, pos) AS copy FROM pairs
 ), gone AS (
-  SELECT doc_id, at FROM firsts WHERE copy > 1 UNION SELECT doc_id, at + 1 FROM firsts WHERE copy > 1
+  SELECT doc_id, pos FROM firsts WHERE copy > 1 UNION SELECT doc_id, pos + 1 FROM firsts WHERE copy > 1
 ), flagged AS (
-  SELECT s.doc_id, s.line, l.parts[s.line] AS raw, r.at IS NOT NULL AS counted, g.at IS NOT NULL AS removed
+  SELECT s.doc_id, s.line, l.parts[s.line] AS raw, r.pos IS NOT NULL AS counted, g.pos IS NOT NULL AS removed
   FROM solid s JOIN lines l ON l.doc_id = s.doc_id AND l.line = s.line
   LEFT JOIN ranked r ON r.doc_id = s.doc_id AND r.line = s.line
-  LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.at = r.at
+  LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.pos = r.pos
 ), done AS (
   SELECT doc_id, count(*) FILTER (counted) AS n_lines, count(*) FILTER (removed) AS n_removed,
          sha256(coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (NOT removed), '')) AS kept_sha256
@@ -31,7 +31,7 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 
 SUBSTRING_DEDUP = r"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
 ), windows AS (
   SELECT doc_id, unnest(generate_series(1, len(w) - 19)) AS start, w FROM words WHERE len(w) >= 20
 ), keyed AS (
@@ -39,23 +39,23 @@ WITH words AS (
 ), late AS (
   SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS copy FROM keyed) WHERE copy > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, start + k AS at FROM late, (SELECT unnest(generate_series(0, 19)) AS k)
+  SELECT DISTINCT doc_id, start + k AS pos FROM late, (SELECT unnest(generate_series(0, 19)) AS k)
 ), places AS (
-  SELECT doc_id, list(at) AS at FROM gone GROUP BY doc_id
+  SELECT doc_id, list(pos) AS pos FROM gone GROUP BY doc_id
 ), kept AS (
   SELECT p.doc_id, string_agg(w[i], ' ' ORDER BY i) AS text FROM (
     SELECT words.doc_id, w, unnest(generate_series(1, len(w))) AS i FROM words JOIN places USING (doc_id)) p
-  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.at = p.i) GROUP BY p.doc_id
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.pos = p.i) GROUP BY p.doc_id
 )
-SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places.at), 0) AS BIGINT) AS n_removed,
-       sha256(CASE WHEN places.at IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept.text, '') END) AS kept_sha256
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places.pos), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN places.pos IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept.text, '') END) AS kept_sha256
 FROM words LEFT JOIN places USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 COVER_TREE = r"""
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), u AS (
   SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE list_dot_product(e, e) > 0
 ), links AS (
