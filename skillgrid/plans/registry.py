@@ -1,15 +1,559 @@
-"""The registered queries and their SQL."""
+"""The registered queries, each beside the SQL it is held against."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as fn
+from ..functions.statistics import sum_names
+from ..operators import grid, incremental, ingest, pairing, panel, publish, query
+from ..sources import registry as dims
+from ..sources import scans, sinks
+from ..streaming import pairing as streaming
+from . import fixtures as fx
+from . import sql as S
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+STATISTICS = ["bias", "sacc", "nrmse", "nmad"]
+
+
+def register(name: str, oracle: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if oracle:
+            _SQL[name] = oracle
+        return f
+
+    return add
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.finalize(fx.accumulators(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# --- pairing and accumulators
+
+for _s in STATISTICS:
+    register(f"stat_{_s}", f"WITH {S.ACC} {S.finished('acc', 'model, month, lead, cell_id', (_s,))}")(lambda spark, d, s=_s: pairing.finalize(fx.accumulators(spark, d), names=[s]))
+
+
+@register("accumulators", f"WITH {S.ACC} SELECT * FROM acc")
+def accumulators(spark, d):
+    return fx.accumulators(spark, d)
+
+
+@register("forecast_scan", f"WITH {S.FC} SELECT model, init_date, lead, cell_id, m AS value, valid_date, CAST(lead * 24 AS INT) AS fhour, strftime(valid_date, '%Y%m%d') AS observation_day, strftime(init_date, '%Y%m%d') || '_12z' AS run_name FROM fc")
+def forecast_scan(spark, d):
+    out = fx.forecast(spark, d)
+    run = F.concat(F.date_format("init_date", "yyyyMMdd"), F.lit("_12z"))
+    hour = F.col("lead") * 24
+    return out.select("model", fn.init_date(run).alias("init_date"), fn.lead_of_hour(hour).alias("lead"), "cell_id", "value", "valid_date", hour.cast("int").alias("fhour"), scans.observation_day(F.col("valid_date")).alias("observation_day"), run.alias("run_name"))
+
+
+@register("observation_nodata", "SELECT CAST(l_shipdate AS DATE) AS valid_date, CAST(l_suppkey % 24 AS INT) AS cell_id, sum(CASE WHEN l_quantity <> 1 THEN CAST(l_quantity AS DOUBLE) END) AS value, count(CASE WHEN l_quantity <> 1 THEN 1 END) AS n FROM lineitem GROUP BY 1, 2")
+def observation_nodata(spark, d):
+    raw = fx.read(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("valid_date"), (F.col("l_suppkey") % 24).cast("int").alias("cell_id"), F.col("l_quantity").cast("double").alias("value"))
+    return scans.observed(raw, 1.0).groupBy("valid_date", "cell_id").agg(F.sum("value").alias("value"), F.count("value").alias("n"))
+
+
+for _p in ("monthly", "seasonal", "yearly"):
+    register(f"period_{_p}", f"WITH {S.PERIOD} {S.finished(f'(SELECT * FROM per WHERE period = {chr(39)}{_p}{chr(39)})', 'model, period, period_key, lead, cell_id')}")(lambda spark, d, p=_p: pairing.finalize(pairing.by_period(fx.accumulators(spark, d), (p,))))
+
+
+@register("period_all", f"WITH {S.PERIOD} SELECT * FROM per")
+def period_all(spark, d):
+    return pairing.by_period(fx.accumulators(spark, d))
+
+
+@register("lead_windows", f"WITH {S.WINDOW} {S.finished('bywin', 'model, period, period_key, lead_key, cell_id')}")
+def lead_windows(spark, d):
+    return pairing.finalize(pairing.by_window(pairing.by_period(fx.accumulators(spark, d)), dims.lead_windows(spark)))
+
+
+@register("stats_layers", f"WITH {S.STATS} SELECT * FROM stats")
+def stats_layers(spark, d):
+    return fx.stats(spark, d)
+
+
+@register("layer_keys", f"WITH {S.STATS} SELECT DISTINCT model, statistic, period, period_key, lead_key FROM stats")
+def layer_keys(spark, d):
+    return fx.stats(spark, d).select("model", "statistic", "period", "period_key", "lead_key").distinct()
+
+
+@register("rendered_anti_join", f"WITH {S.STATS} SELECT DISTINCT model, statistic, period, period_key, lead_key FROM stats WHERE NOT (period = 'yearly' AND NOT contains(lead_key, '_'))")
+def rendered_anti_join(spark, d):
+    keys = ["model", "statistic", "period", "period_key", "lead_key"]
+    layers = fx.stats(spark, d).select(*keys).distinct()
+    done = layers.where((F.col("period") == "yearly") & ~F.col("lead_key").contains("_"))
+    return layers.join(done, keys, "left_anti")
+
+
+@register("forecast_windows", f"WITH {S.FC}, w AS (SELECT fc.model, init_date, lead_key, cell_id, e - s + 1 AS wanted, lead, m FROM fc JOIN win ON fc.model = win.model AND lead BETWEEN s AND e) SELECT model, init_date, lead_key, cell_id, avg(m) AS value FROM w GROUP BY model, init_date, lead_key, cell_id")
+def forecast_windows(spark, d):
+    return pairing.window_means(fx.forecast(spark, d), dims.lead_windows(spark))
+
+
+BUCKETS = "b AS (SELECT CAST(o_orderdate AS DATE) AS init_date, CAST(l_suppkey % 24 AS INT) AS cell_id, CAST(l_linenumber AS INT) * 6 AS fhour, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"
+
+
+@register("daily_from_6h", f"WITH {BUCKETS}, days AS (SELECT init_date, cell_id, h AS day_hour, unnest([h - 18, h - 12, h - 6, h]) AS fhour FROM (SELECT DISTINCT init_date, cell_id FROM b), (VALUES (24), (42)) t(h)) SELECT days.init_date, days.cell_id, day_hour, CASE WHEN count(value) = 4 THEN sum(value) END AS value FROM days LEFT JOIN b ON b.init_date = days.init_date AND b.cell_id = days.cell_id AND b.fhour = days.fhour GROUP BY 1, 2, 3")
+def daily_from_6h(spark, d):
+    line, orders = fx.read(spark, d, "lineitem"), fx.read(spark, d, "orders")
+    b = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderdate").cast("date").alias("init_date"), (F.col("l_suppkey") % 24).cast("int").alias("cell_id"), (F.col("l_linenumber").cast("int") * 6).alias("fhour")).agg(F.sum("l_quantity").cast("double").alias("value"))
+    days = b.select("init_date", "cell_id").distinct().withColumn("day_hour", F.explode(F.array(F.lit(24), F.lit(42))))
+    wanted = days.withColumn("fhour", F.explode(fn.sub_hours(F.col("day_hour"))))
+    return pairing.daily_from_buckets(wanted.join(b, ["init_date", "cell_id", "fhour"], "left"), ["init_date", "cell_id", "day_hour"])
+
+
+# --- grid and regridding
+
+
+@register("cell_edges", f"WITH {S.OBS}, {S.AXES} SELECT cell_id, lat, lon, s AS lat_low, n AS lat_high, w AS lon_low, e AS lon_high, count(*) AS n_obs FROM obs JOIN cell USING (cell_id) GROUP BY ALL")
+def cell_edges(spark, d):
+    ax = fx.axes(spark).where("model = 'gfs'")
+    c, e = grid.cells(ax), grid.edges(ax)
+    side = lambda a, k: e.where(F.col("axis") == a).select(F.col("idx").alias(k), F.col("low").alias(f"{a}_low"), F.col("high").alias(f"{a}_high"))
+    cells = c.join(side("lat", "row"), "row").join(side("lon", "col"), "col").select("cell_id", "lat", "lon", "lat_low", "lat_high", "lon_low", "lon_high")
+    n = fx.observation(spark, d).groupBy("cell_id").agg(F.count("*").alias("n_obs"))
+    return n.join(F.broadcast(cells), "cell_id")  # the grid is a fixed dimension
+
+
+SOURCE = "src AS (SELECT CAST(l_shipdate AS DATE) AS valid_date, CAST(l_suppkey % 20 AS INT) AS src_row, CAST(l_partkey % 40 AS INT) AS src_col, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2, 3)"
+
+
+def _source(spark, d):
+    return fx.read(spark, d, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("valid_date"), (F.col("l_suppkey") % 20).cast("int").alias("src_row"), (F.col("l_partkey") % 40).cast("int").alias("src_col")).agg(F.sum("l_quantity").cast("double").alias("value"))
+
+
+@register("regrid_nearest", f"WITH {SOURCE}, {S.AXES} SELECT cell_id, valid_date, value FROM cell LEFT JOIN src ON src_row = CAST(floor((lat - 45.0e0) / -1.25e0) AS INT) AND src_col = CAST(floor((lon - -125.0e0) / 1.25e0) AS INT)")
+def regrid_nearest(spark, d):
+    cells = grid.cells(fx.axes(spark).where("model = 'gfs'"))
+    return grid.regrid(cells, _source(spark, d), (1.25, 0.0, -125.0, 0.0, -1.25, 45.0)).select("cell_id", "valid_date", "value")
+
+
+LCC = """lcc AS (SELECT cell_id, 6371200.0e0 * f / pow(tan(pi() / 4 + radians(lat) / 2), nn) AS rho, nn * radians(lon + 97.5e0) AS turn, 6371200.0e0 * f / pow(tan(pi() / 4 + radians(38.5e0) / 2), nn) AS rho0
+  FROM cell, (SELECT sin(radians(38.5e0)) AS nn, cos(radians(38.5e0)) * pow(tan(pi() / 4 + radians(38.5e0) / 2), sin(radians(38.5e0))) / sin(radians(38.5e0)) AS f)),
+place AS (SELECT cell_id, CAST(floor((rho0 - rho * cos(turn) + 1500000.0e0) / 100000.0e0) AS INT) AS r, CAST(floor((rho * sin(turn) + 2000000.0e0) / 100000.0e0) AS INT) AS c FROM lcc)"""
+
+
+@register("regrid_lcc", f"WITH {SOURCE}, {S.AXES}, {LCC} SELECT cell_id, r AS src_row, c AS src_col, valid_date, value FROM place LEFT JOIN src ON src_row = r AND src_col = c")
+def regrid_lcc(spark, d):
+    cells = grid.cells(fx.axes(spark).where("model = 'gfs'"))
+    x, y = grid.lambert(F.col("lat"), F.col("lon"), 38.5, -97.5, 38.5, 38.5)
+    return grid.regrid(cells, _source(spark, d), (100000.0, 0.0, -2000000.0, 0.0, 100000.0, -1500000.0), x, y).select("cell_id", "src_row", "src_col", "valid_date", "value")
+
+
+@register("lon_wrap_crop", """WITH a AS (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN 'east' ELSE 'wide' END AS model, CAST(s_suppkey * 7 % CASE WHEN s_suppkey % 2 = 0 THEN 180 ELSE 360 END AS DOUBLE) AS center FROM supplier),
+w AS (SELECT model, CASE WHEN max(center) OVER (PARTITION BY model) > 180 THEN center + 180 - 360 * floor((center + 180) / 360) - 180 ELSE center END AS center FROM a)
+SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY center) - 1 AS INT) AS idx, center, center BETWEEN -130 AND -60 AS in_crop FROM w""")
+def lon_wrap_crop(spark, d):
+    k = F.col("s_suppkey")
+    axis = fx.read(spark, d, "supplier").select(F.when(k % 2 == 0, "east").otherwise("wide").alias("model"), F.when(k % 2 == 0, k * 7 % 180).otherwise(k * 7 % 360).cast("double").alias("center")).distinct()
+    return grid.wrap_longitudes(axis).select("model", "idx", "center", F.col("center").between(-130, -60).alias("in_crop"))
+
+
+@register("grid_audit", "SELECT CASE WHEN l_returnflag = 'A' THEN 'gfs' ELSE 'nbm' END AS model, count(DISTINCT l_linestatus) AS n_grids, count(DISTINCT l_linestatus) = 1 AS consistent FROM lineitem GROUP BY 1")
+def grid_audit(spark, d):
+    rows = fx.read(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "A", "gfs").otherwise("nbm").alias("model"), F.col("l_linestatus").alias("transform"), F.lit("EPSG:4326").alias("crs"), F.lit(4).alias("n_lat"), F.lit(6).alias("n_lon"))
+    return grid.check_single_grid(rows)
+
+
+# --- regions
+
+for _name, _how in (("region_rectangle", "overlap"), ("region_polygon", "centers"), ("region_polygon_corners", "corners"), ("region_nearest", "nearest")):
+    register(_name, f"WITH {S.REGION} SELECT region_id, model, cell_id FROM rc WHERE how = '{_how}'")(
+        lambda spark, d, how=_how: fx.cells(spark, d).where(F.col("how") == how).select("region_id", "model", F.explode("cells").alias("cell_id"))
+    )
+
+
+@register("region_fallback", f"WITH {S.REGION} SELECT region_id, model, any_value(how) AS how, count(*) AS n_cells, min(cell_id) AS first_cell, max(cell_id) AS last_cell FROM rc GROUP BY region_id, model")
+def region_fallback(spark, d):
+    c = fx.cells(spark, d)
+    return c.select("region_id", "model", "how", F.size("cells").cast("long").alias("n_cells"), F.array_min("cells").alias("first_cell"), F.array_max("cells").alias("last_cell"))
+
+
+MEANS = f"{S.YEARLY}, means AS (SELECT region_id, model, statistic, period, period_key, lead_key, avg(value) AS value, count(value) AS n_cells FROM yearly JOIN rc USING (model, cell_id) GROUP BY ALL)"
+ALL = f"{MEANS}, asked AS (SELECT DISTINCT region_id, rc.model, statistic, lead FROM rc JOIN leads ON rc.model = leads.model, (VALUES ('bias'), ('sacc'), ('nrmse'), ('nmad')) t(statistic)), allleads AS (SELECT asked.region_id, asked.model, asked.statistic, asked.lead, value FROM asked LEFT JOIN means m ON m.region_id = asked.region_id AND m.model = asked.model AND m.statistic = asked.statistic AND m.lead_key = CAST(asked.lead AS VARCHAR))"
+
+
+def _yearly(spark, d, names=None):
+    return fx.stats(spark, d, ("yearly",), names)
+
+
+def _curves(spark, d):
+    return query.all_leads(_yearly(spark, d), fx.cells(spark, d), dims.model_dim(spark), STATISTICS)
+
+
+@register("region_mean", f"WITH {MEANS} SELECT region_id, model, statistic, lead_key, round(value, 6) AS value, n_cells FROM means WHERE contains(lead_key, '_')")
+def region_mean(spark, d):
+    windows = _yearly(spark, d).where(F.col("lead_key").contains("_"))
+    return query.region_means(windows, fx.cells(spark, d)).select("region_id", "model", "statistic", "lead_key", F.round("value", 6).alias("value"), "n_cells")
+
+
+@register("region_all_leads", f"WITH {ALL} SELECT region_id, model, statistic, lead, round(value, 6) AS value, value IS NULL AS no_data FROM allleads")
+def region_all_leads(spark, d):
+    return _curves(spark, d).withColumn("value", F.round("value", 6))
+
+
+LOSS = f"{S.YEARLY}, losses AS (SELECT region_id, model, statistic, lead_key, round(avg(CASE statistic WHEN 'bias' THEN abs(value) WHEN 'sacc' THEN -value ELSE value END), 6) AS loss FROM yearly JOIN rc USING (model, cell_id) WHERE NOT contains(lead_key, '_') GROUP BY ALL)"
+WINNERS = f"{LOSS}, winners AS (SELECT region_id, statistic, CAST(lead_key AS INT) AS lead, arg_min(model, (loss, model)) AS model, min(loss) AS loss, count(*) AS n_models FROM losses WHERE loss IS NOT NULL GROUP BY ALL)"
+
+
+def _winners(spark, d):
+    days = _yearly(spark, d).where(~F.col("lead_key").contains("_"))
+    return query.lead_winners(query.region_losses(days, fx.cells(spark, d)), places=6)
+
+
+@register("lead_winners", f"WITH {WINNERS} SELECT *, CASE statistic WHEN 'bias' THEN 'region_mean_abs_value_lower_better' WHEN 'sacc' THEN 'region_mean_value_higher_better' ELSE 'region_mean_value_lower_better' END AS metric FROM winners")
+def lead_winners(spark, d):
+    return _winners(spark, d)
+
+
+FORECASTS = f"{S.FC}, {S.LATEST}, {S.REGION}, fmeans AS (SELECT region_id, rc.model, lead, avg(m) AS value FROM rc JOIN latest ON rc.model = latest.model AND rc.cell_id = latest.cell_id GROUP BY ALL), forecasts AS (SELECT region_id, model, lead, round(value, 6) AS value, value IS NULL AS no_data FROM (SELECT DISTINCT region_id, model FROM rc) JOIN leads USING (model) LEFT JOIN fmeans USING (region_id, model, lead))"
+
+
+def _forecasts(spark, d):
+    return query.forecasts(pairing.latest_init(fx.forecast(spark, d)), fx.cells(spark, d), dims.model_dim(spark))
+
+
+@register("forecast_all_models", f"WITH {FORECASTS} SELECT * FROM forecasts")
+def forecast_all_models(spark, d):
+    return _forecasts(spark, d).withColumn("value", F.round("value", 6))
+
+
+def _requests(spark, d):
+    k = F.col("o_orderkey")
+    return fx.read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(
+        k.alias("request_id"), F.when(k % 3 == 0, " GFS ").when(k % 3 == 1, "nbm").alias("model"), F.when(k % 2 == 0, F.lit("3")).alias("lead"),
+        F.when(k % 2 == 1, F.lit(5)).alias("min_lead"), F.when(k % 2 == 1, F.when(k % 7 == 0, 4).otherwise(6)).alias("max_lead"), F.col("o_custkey").alias("region_id"),
+        F.when(k % 5 == 0, "monthly").when(k % 5 == 1, "seasonal").when(k % 5 == 2, "daily").otherwise("yearly").alias("period"), F.lit(None).cast("string").alias("month"), F.lit(None).cast("string").alias("season"), F.array(F.lit("bias")).alias("statistics"))
+
+
+REQUESTS = """req AS (SELECT o_orderkey AS request_id, CASE o_orderkey % 3 WHEN 1 THEN 'nbm' ELSE 'gfs' END AS model, o_custkey AS region_id, o_orderkey % 2 = 0 AS one, CASE o_orderkey % 5 WHEN 0 THEN 'monthly' WHEN 1 THEN 'seasonal' WHEN 2 THEN 'daily' ELSE 'yearly' END AS period,
+  CASE o_orderkey % 5 WHEN 0 THEN '04' WHEN 1 THEN 'mam' ELSE '' END AS period_key, CASE WHEN o_orderkey % 5 = 2 THEN 'unknown period' WHEN o_orderkey % 2 = 1 AND o_orderkey % 7 = 0 THEN 'range of leads ends before it begins' END AS error FROM orders WHERE o_orderpriority = '1-URGENT')"""
+
+
+@register("batch_requests", f"WITH {S.STATS}, {S.REGION}, {REQUESTS}, asked AS (SELECT *, unnest(CASE WHEN one THEN ['3'] ELSE ['5', '6'] END) AS lead_key FROM req WHERE error IS NULL), means AS (SELECT region_id, model, period, period_key, lead_key, round(avg(value), 6) AS value FROM stats JOIN rc USING (model, cell_id) WHERE statistic = 'bias' GROUP BY ALL) SELECT request_id, region_id, model, period, period_key, 'bias' AS statistic, lead_key, value, value IS NULL AS no_data FROM asked LEFT JOIN means USING (region_id, model, period, period_key, lead_key)")
+def batch_requests(spark, d):
+    stats = fx.stats(spark, d, names=["bias"])
+    answers, _ = query.run_requests(_requests(spark, d), stats, fx.cells(spark, d), ["gfs", "nbm"], STATISTICS, month=4)
+    return answers.withColumn("value", F.round("value", 6))
+
+
+@register("batch_rejects", f"WITH {REQUESTS} SELECT request_id, error FROM req WHERE error IS NOT NULL")
+def batch_rejects(spark, d):
+    return query.validated(_requests(spark, d), ["gfs", "nbm"], STATISTICS).where("error is not null").select("request_id", "error")
+
+
+LOG = """log AS (SELECT o_custkey AS user_id, o_orderkey % 5 AS shape_id, CASE o_orderkey % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'delete' ELSE 'update' END AS op, CASE WHEN o_orderkey % 3 <> 0 THEN 'shape ' || o_orderkey END AS name,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS region, CAST(o_orderdate AS TIMESTAMP) AS ts, o_orderkey AS seq FROM orders)"""
+
+
+def _shape_log(spark, d):
+    k = F.col("o_orderkey")
+    return fx.read(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), (k % 5).alias("shape_id"), F.when(k % 4 == 0, "create").when(k % 4 == 1, "delete").otherwise("update").alias("op"), F.when(k % 3 != 0, F.concat(F.lit("shape "), k.cast("string"))).alias("name"), F.when(k % 2 == 0, F.col("o_custkey")).alias("region"), F.col("o_orderdate").cast("timestamp").alias("ts"), k.alias("seq"))
+
+
+SNAPSHOT = f"""{LOG}, lives AS (SELECT *, sum(CASE WHEN op <> 'update' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, shape_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS life FROM log),
+filled AS (SELECT *, first(op) OVER w AS first_op, first(ts) OVER w AS created_at, last(name IGNORE NULLS) OVER w AS the_name, last(region IGNORE NULLS) OVER w AS the_region, row_number() OVER (PARTITION BY user_id, shape_id ORDER BY ts DESC, seq DESC) AS back FROM lives WHERE life > 0 WINDOW w AS (PARTITION BY user_id, shape_id, life ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+snap AS (SELECT user_id, shape_id, created_at, ts AS updated_at, the_name AS name, the_region AS region FROM filled WHERE back = 1 AND first_op = 'create')"""
+
+
+@register("saved_shapes_snapshot", f"WITH {SNAPSHOT} SELECT * FROM snap")
+def saved_shapes_snapshot(spark, d):
+    return incremental.shape_snapshot(_shape_log(spark, d))
+
+
+@register("saved_shapes_stats", f"WITH {SNAPSHOT}, {MEANS} SELECT user_id, shape_id, model, statistic, round(value, 6) AS value FROM snap JOIN means ON region = region_id WHERE lead_key = '3'")
+def saved_shapes_stats(spark, d):
+    shapes = incremental.shape_snapshot(_shape_log(spark, d)).where("region is not null").select("user_id", "shape_id", F.col("region").alias("region_id"))
+    means = query.region_means(_yearly(spark, d).where("lead_key = '3'"), fx.cells(spark, d))
+    return shapes.join(means, "region_id").select("user_id", "shape_id", "model", "statistic", F.round("value", 6).alias("value"))
+
+
+@register("region_geometry_key", "SELECT 'point:' || printf('%.5f', CAST(-124.0e0 + (c_custkey * 7) % 50 AS DOUBLE)) || ',' || printf('%.5f', CAST(22.0e0 + (c_custkey * 3) % 20 AS DOUBLE)) AS geo_key, count(*) AS n, min(c_custkey) AS region_id FROM customer WHERE c_custkey % 5 = 0 GROUP BY 1")
+def region_geometry_key(spark, d):
+    points = fx.regions(spark, d).where("type = 'point'")
+    return points.groupBy(fn.geometry_key(F.col("type"), F.flatten("coordinates")).alias("geo_key")).agg(F.count("*").alias("n"), F.min("region_id").alias("region_id"))
+
+
+@register("zip_lookup", """WITH z AS (SELECT DISTINCT substr(trim(CAST(10000 + s_suppkey AS VARCHAR)), 1, 5) AS zip, round(CAST(s_acctbal AS DOUBLE) / 100, 6) AS lat FROM supplier), z1 AS (SELECT zip, min(lat) AS lat FROM z GROUP BY 1)
+SELECT c_custkey, zip IS NOT NULL AS found, lat FROM customer LEFT JOIN z1 ON zip = substr(regexp_replace('US-' || CAST(10000 + c_custkey AS VARCHAR), '\\D', '', 'g'), 1, 5)""")
+def zip_lookup(spark, d):
+    k = (F.col("s_suppkey") + 10000).cast("string")
+    raw = fx.read(spark, d, "supplier").select(F.concat(F.lit(" "), k, F.lit(" ")).alias("zip"), *((F.col("s_acctbal").cast("double") / 100).alias(c) for c in ("lat", "lon", "min_lon", "min_lat", "max_lon", "max_lat")))
+    zips = scans.zip_directory(raw).groupBy("zip").agg(F.min("lat").alias("lat"))
+    asked = fx.read(spark, d, "customer").select("c_custkey", fn.normalize_zip(F.concat(F.lit("US-"), (F.col("c_custkey") + 10000).cast("string"))).alias("zip"))
+    return asked.join(zips, "zip", "left").select("c_custkey", F.col("lat").isNotNull().alias("found"), "lat")
+
+
+# --- publishing
+
+RANGES = "SELECT model, statistic, period, period_key, CASE WHEN statistic IN ('bias', 'sacc') THEN 'diverging_reversed' ELSE 'diverging' END AS colormap, quantile_cont(value, 0.02) AS p, quantile_cont(value, 0.98) AS q FROM stats GROUP BY ALL"
+FIT = "SELECT model, statistic, period, period_key, colormap, round(coalesce(p, -1.0e0), 6) AS low, round(CASE WHEN p IS NULL THEN 1.0e0 WHEN q <= p THEN p + 1 ELSE q END, 6) AS high FROM r"
+
+
+def _ranges(spark, d, mode, periods=("monthly", "seasonal", "yearly")):
+    layers = fx.stats(spark, d, periods)
+    return layers, publish.legend_ranges(layers, dims.statistic_dim(spark), mode)
+
+
+@register("legend_range_export", f"WITH {S.STATS}, r AS ({RANGES}) {FIT}")
+def legend_range_export(spark, d):
+    return _ranges(spark, d, "export")[1].withColumns({c: F.round(c, 6) for c in ("low", "high")})
+
+
+for _mode, _top in (("export", "greatest(q, 1.0e0)"), ("tile", "CASE WHEN q <= 0 THEN 1.0e0 ELSE q END")):
+    register(f"forecast_range_{_mode}", f"WITH {S.FC} SELECT model, statistic, colormap, low, round({_top}, 6) AS high FROM (SELECT model, 'forecast' AS statistic, 'sequential' AS colormap, 0.0e0 AS low, quantile_cont((m - 20) / 100, 0.98) AS q FROM fc GROUP BY 1)")(
+        lambda spark, d, mode=_mode: publish.legend_ranges(fx.forecast(spark, d).select("model", F.lit("forecast").alias("statistic"), ((F.col("value") - 20) / 100).alias("value")), dims.statistic_dim(spark), mode, ("model", "statistic")).withColumn("high", F.round("high", 6))
+    )
+
+
+@register("legend_range_tile", f"WITH {S.STATS}, r AS ({RANGES}) {FIT}")
+def legend_range_tile(spark, d):
+    return _ranges(spark, d, "tile")[1].withColumns({c: F.round(c, 6) for c in ("low", "high")})
+
+
+def _mix(low, high, t, k):
+    return f"CASE WHEN {t} <= 0.5 THEN {low[k]}.0e0 + ({fn.WHITE[k]} - {low[k]}) * ({t} / 0.5e0) ELSE {fn.WHITE[k]}.0e0 + ({high[k]} - {fn.WHITE[k]}) * (({t} - 0.5e0) / 0.5e0) END"
+
+
+def _colour_sql(name: str) -> str:
+    t = "t"
+    if name == "sequential":
+        rgb = [f"{fn.WHITE[k]}.0e0 + ({fn.PURPLE[k]} - {fn.WHITE[k]}) * t" for k in range(3)]
+        a = "CAST(trunc(least(t * 1020.0e0, 255.0e0)) AS INT)"
+    else:
+        low, high = (fn.BLUE, fn.RED) if name == "diverging" else (fn.RED, fn.BLUE)
+        rgb, a = [_mix(low, high, t, k) for k in range(3)], "255"
+    r, g, b = (f"CAST(trunc({x}) AS INT)" for x in rgb)
+    return f"WITH {S.FC} SELECT model, init_date, lead, cell_id, {r} AS r, {g} AS g, {b} AS b, {a} AS a FROM (SELECT *, least(greatest((m - 20.0e0) / 180.0e0, 0.0e0), 1.0e0) AS t FROM fc)"
+
+
+for _c in ("diverging", "diverging_reversed", "sequential"):
+    register(f"colormap_{_c}", _colour_sql(_c))(
+        lambda spark, d, c=_c: fx.forecast(spark, d).withColumn("c", fn.rgba(F.lit(c), fn.position(F.col("value"), F.lit(20.0), F.lit(200.0)))).select("model", "init_date", "lead", "cell_id", "c.r", "c.g", "c.b", "c.a")
+    )
+
+
+@register("land_mask", "SELECT CAST(l_suppkey % 24 AS INT) AS cell_id FROM lineitem WHERE l_quantity <> 1 GROUP BY 1")
+def land_mask(spark, d):
+    raw = fx.read(spark, d, "lineitem").select((F.col("l_suppkey") % 24).cast("int").alias("cell_id"), F.col("l_quantity").cast("double").alias("value"))
+    return publish.land_mask(scans.observed(raw, 1.0))
+
+
+IMAGE = (-124.0, 22.5, -76.0, 42.5, 24, 16)  # west, south, east, north, width, height
+
+
+def _image(spark):
+    px = grid.mercator_pixels(spark, *IMAGE)
+    index = grid.source_index(F.col("lon"), F.col("lat"), (8.0, 0.0, -124.0, 0.0, 5.0, 22.5))
+    inside = index["src_row"].between(0, 3) & index["src_col"].between(0, 5)
+    return px.where(inside).select("px", "py", (index["src_row"] * 6 + index["src_col"]).cast("int").alias("cell_id"))
+
+
+IMAGE_SQL = """image AS (SELECT CAST(id % 24 AS INT) AS px, CAST(id // 24 AS INT) AS py FROM (SELECT unnest(generate_series(0, 383)) AS id)),
+ends AS (SELECT 6378137.0e0 * ln(tan(pi() / 4 + radians(42.5e0) / 2)) AS top, 6378137.0e0 * ln(tan(pi() / 4 + radians(22.5e0) / 2)) AS bottom),
+geo AS (SELECT px, py, degrees(atan(sinh((top - (py + 0.5e0) * ((top - bottom) / 16)) / 6378137.0e0))) AS lat, -124.0e0 + (px + 0.5e0) * 2 AS lon FROM image, ends),
+pix AS (SELECT px, py, CAST(floor((lat - 22.5e0) / 5) * 6 + floor((lon + 124.0e0) / 8) AS INT) AS cell_id FROM geo)"""
+
+
+@register("mercator_pixels", f"WITH {S.FC}, {S.LATEST}, {IMAGE_SQL} SELECT model, lead, px, py, m AS value FROM latest JOIN pix USING (cell_id)")
+def mercator_pixels(spark, d):
+    latest = pairing.latest_init(fx.forecast(spark, d))
+    return latest.join(F.broadcast(_image(spark)), "cell_id").select("model", "lead", "px", "py", "value")  # the image has a fixed size
+
+
+@register("layer_tiles", f"WITH {S.STATS}, r AS ({RANGES}), {IMAGE_SQL}, fit AS (SELECT model, statistic, period, period_key, colormap, coalesce(p, -1.0e0) AS low, CASE WHEN p IS NULL THEN 1.0e0 WHEN q <= p THEN p + 1 ELSE q END AS high FROM r) SELECT statistic, model, lead_key, count(*) AS n_pixels, count(value) AS n_shown FROM stats JOIN fit USING (model, statistic, period, period_key) JOIN pix USING (cell_id) WHERE period = 'yearly' GROUP BY ALL")
+def layer_tiles(spark, d):
+    layers, ranges = _ranges(spark, d, "tile", ("yearly",))
+    shown = publish.coloured(layers, ranges, publish.land_mask(fx.observation(spark, d)))
+    tiles = shown.join(F.broadcast(_image(spark)), "cell_id")
+    return tiles.groupBy("statistic", "model", "lead_key").agg(F.count("*").alias("n_pixels"), F.count_if(F.col("a") > 0).alias("n_shown"))
+
+
+@register("lead_blend", f"WITH {S.FC}, {S.LATEST}, c AS (SELECT model, lead, cell_id, CAST(trunc(255.0e0 + (120 - 255) * t) AS INT) AS r, CAST(trunc(least(t * 1020.0e0, 255.0e0)) AS INT) AS a FROM (SELECT *, least(greatest((m - 20.0e0) / 180.0e0, 0.0e0), 1.0e0) AS t FROM latest)), b AS (SELECT model, cell_id, sum(r * a * w) AS ra, sum(a * w) AS a FROM (SELECT *, CASE lead WHEN 3 THEN 1 - 0.296875e0 WHEN 4 THEN 0.296875e0 END AS w FROM c) WHERE w IS NOT NULL GROUP BY 1, 2) SELECT model, cell_id, round(CASE WHEN a > 0 THEN ra / a ELSE 0.0e0 END, 6) AS r, round(a, 6) AS a FROM b")
+def lead_blend(spark, d):
+    latest = pairing.latest_init(fx.forecast(spark, d))
+    rows = latest.withColumn("c", fn.rgba(F.lit("sequential"), fn.position(F.col("value"), F.lit(20.0), F.lit(200.0)))).select("model", "lead", "cell_id", "c.r", "c.g", "c.b", "c.a")
+    return publish.blended(rows, F.lit(3.3), ["model", "cell_id"]).select("model", "cell_id", F.round("r", 6).alias("r"), F.round("a", 6).alias("a"))
+
+
+@register("layer_export", f"WITH {S.STATS} SELECT model, statistic, period, period_key, lead_key, count(*) AS n_cells, round(sum(CAST(CAST(value AS FLOAT) AS DOUBLE)), 3) AS total FROM stats GROUP BY ALL")
+def layer_export(spark, d):
+    out = sinks.layer_export(fx.stats(spark, d))
+    total = F.aggregate("layer_values", F.lit(None).cast("double"), lambda s, v: F.when(v.isNull(), s).otherwise(F.coalesce(s, F.lit(0.0)) + v.cast("double")))
+    return out.select("model", "statistic", "period", "period_key", "lead_key", F.size("layer_values").cast("long").alias("n_cells"), F.round(total, 3).alias("total"))
+
+
+PANEL = f"{ALL}, {LOSS.split(S.YEARLY + ', ')[1]}, {WINNERS.split(LOSS + ', ')[1]}, {S.LATEST}, {FORECASTS.split(S.REGION + ', ')[1]}"
+
+
+@register("panel_csv", f"""WITH {PANEL} SELECT a.region_id, a.model, a.lead, round(max(CASE WHEN a.statistic = 'bias' THEN a.value END), 6) AS bias, round(max(CASE WHEN a.statistic = 'sacc' THEN a.value END), 6) AS sacc, round(max(CASE WHEN a.statistic = 'nrmse' THEN a.value END), 6) AS nrmse, round(max(CASE WHEN a.statistic = 'nmad' THEN a.value END), 6) AS nmad,
+any_value(w.model) AS best_model, any_value(g.value) AS forecast_gfs, any_value(b.value) AS forecast_nbm FROM allleads a LEFT JOIN winners w ON w.region_id = a.region_id AND w.lead = a.lead AND w.statistic = 'nmad'
+LEFT JOIN forecasts g ON g.region_id = a.region_id AND g.lead = a.lead AND g.model = 'gfs' LEFT JOIN forecasts b ON b.region_id = a.region_id AND b.lead = a.lead AND b.model = 'nbm' GROUP BY a.region_id, a.model, a.lead""")
+def panel_csv(spark, d):
+    winners = _winners(spark, d).where("statistic = 'nmad'")
+    out = panel.panel(_curves(spark, d), STATISTICS, winners, _forecasts(spark, d), ("gfs", "nbm"))
+    return out.select("region_id", "model", "lead", *(F.round(c, 6).alias(c) for c in STATISTICS), "best_model", *(F.round(c, 6).alias(c) for c in ("forecast_gfs", "forecast_nbm")))
+
+
+@register("quality_tiers", f"WITH {S.STATS} SELECT statistic, CASE statistic WHEN 'sacc' THEN CASE WHEN value > 42 THEN 'good' WHEN value > 20 THEN 'ok' ELSE 'bad' END WHEN 'nmad' THEN CASE WHEN value < 100 THEN 'good' WHEN value < 125 THEN 'ok' ELSE 'bad' END WHEN 'nrmse' THEN CASE WHEN value < 350 THEN 'good' WHEN value < 510 THEN 'ok' ELSE 'bad' END ELSE CASE WHEN abs(value) < 2 THEN 'good' WHEN abs(value) < 4 THEN 'ok' ELSE 'bad' END END AS tier, count(*) AS n FROM stats WHERE value IS NOT NULL GROUP BY 1, 2")
+def quality_tiers(spark, d):
+    return fx.stats(spark, d).where("value is not null").groupBy("statistic", fn.quality_tier(F.col("statistic"), F.col("value")).alias("tier")).agg(F.count("*").alias("n"))
+
+
+@register("lead_interp", f"WITH {ALL}, n AS (SELECT *, lead(value) OVER w AS nxt, lead(lead) OVER w IS NULL AS ended FROM allleads WINDOW w AS (PARTITION BY region_id, model, statistic ORDER BY lead)) SELECT region_id, model, statistic, lead + 0.25e0 AS pos, round(CASE WHEN ended THEN value WHEN value IS NULL THEN nxt WHEN nxt IS NULL THEN value ELSE value + (nxt - value) * 0.25e0 END, 5) AS value FROM n")
+def lead_interp(spark, d):
+    return panel.at_fraction(_curves(spark, d), 0.25).select("region_id", "model", "statistic", F.col("at").cast("double").alias("pos"), F.round("value", 5).alias("value"))
+
+
+@register("lead_slope", f"WITH {ALL} SELECT region_id, model, statistic, round(min(value), 6) AS low, round(max(value), 6) AS high, min(lead) AS first_lead, max(lead) AS last_lead, round((arg_max(value, lead) - arg_min(value, lead)) / CASE WHEN max(lead) = min(lead) THEN NULL ELSE max(lead) - min(lead) END, 5) AS slope FROM allleads WHERE value IS NOT NULL GROUP BY 1, 2, 3")
+def lead_slope(spark, d):
+    return panel.curve_summary(_curves(spark, d)).select("region_id", "model", "statistic", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "first_lead", "last_lead", F.round("slope", 5).alias("slope"))
+
+
+def _inits(spark, d):
+    return fx.forecast_base(spark, d).groupBy("model").agg(F.max("init_date").alias("init_date"))
+
+
+@register("latest_init", f"WITH {S.BASE} SELECT model, max(init_date) AS init_date FROM base GROUP BY 1")
+def latest_init(spark, d):
+    return _inits(spark, d)
+
+
+@register("config_json")
+def config_json(spark, d):
+    return publish.config_json(dims.model_dim(spark), dims.statistic_dim(spark), _inits(spark, d))
+
+
+@register("forecast_calendar", f"""WITH {S.MODEL}, {S.BASE} SELECT model, init_date, lead_min, lead_max, '{{"initDate":"' || strftime(init_date, '%Y-%m-%d') || '","leadMin":' || lead_min || ',"leadMax":' || lead_max || '}}' AS entry FROM model JOIN (SELECT model, max(init_date) AS init_date FROM base GROUP BY 1) USING (model)""")
+def forecast_calendar(spark, d):
+    return publish.forecast_calendar(dims.model_dim(spark), _inits(spark, d))
+
+
+@register("labels", f"""WITH {S.STATS}, k AS (SELECT DISTINCT period, period_key, lead_key FROM stats), mn AS (SELECT ['January','February','March','April','May','June','July','August','September','October','November','December'] AS names)
+SELECT period, period_key, lead_key, CASE WHEN contains(lead_key, '_') THEN replace(lead_key, '_', '–') || ' Day Average' ELSE 'Day ' || lead_key END AS lead_label, CASE period WHEN 'monthly' THEN names[CAST(period_key AS INT)] WHEN 'seasonal' THEN CASE period_key WHEN 'djf' THEN 'Winter' WHEN 'mam' THEN 'Spring' WHEN 'jja' THEN 'Summer' ELSE 'Autumn' END || ' (' || upper(period_key) || ')' ELSE 'Yearly' END AS period_label FROM k, mn""".replace("CAST(period_key AS INT)", "TRY_CAST(period_key AS INT)"))
+def labels(spark, d):
+    keys = fx.stats(spark, d, names=["bias"]).select("period", "period_key", "lead_key").distinct()
+    return keys.select("*", fn.lead_label(F.col("lead_key")).alias("lead_label"), fn.period_label(F.col("period"), F.col("period_key")).alias("period_label"))
+
+
+@register("date_labels", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, strftime(o_orderdate, '%-m/%-d') AS short, strftime(o_orderdate, '%B %-d, %Y') AS medium, strftime(o_orderdate, '%A, %B %-d, %Y') AS full_label, 'T' || CASE WHEN date_diff('day', DATE '1998-01-01', CAST(o_orderdate AS DATE)) >= 0 THEN '+' ELSE '' END || date_diff('day', DATE '1998-01-01', CAST(o_orderdate AS DATE)) || 'd' AS t_label FROM orders")
+def date_labels(spark, d):
+    day = fx.read(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    named = fn.date_labels(F.col("day"))
+    return day.select("day", named["short"].alias("short"), named["medium"].alias("medium"), named["full"].alias("full_label"), fn.t_label(F.col("day"), F.lit("1998-01-01").cast("date")).alias("t_label"))
+
+
+# --- ingest
+
+LINES = """ordered AS (SELECT l_orderkey AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line_no, CAST(l_quantity AS BIGINT) * 100 AS size, l_returnflag, l_linestatus FROM lineitem),
+lines AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM ordered), ranged AS (SELECT *, lead(b) OVER (PARTITION BY file ORDER BY line_no) - 1 AS e FROM lines)"""
+
+
+@register("inventory_byte_ranges", f"WITH {LINES}, f AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) AS k FROM ranged WHERE l_returnflag = 'A' AND l_linestatus <> 'O') SELECT file, CAST(line_no AS INT) AS line_no, b AS begin_byte, e AS end_byte, 'bytes=' || b || '-' || coalesce(CAST(e AS VARCHAR), '') AS range FROM f WHERE k = 1")
+def inventory_byte_ranges(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("file").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    line = fx.read(spark, d, "lineitem").withColumn("file", F.col("l_orderkey"))
+    numbered = line.withColumns({"line_no": F.row_number().over(w), "b": F.coalesce(F.sum(F.col("l_quantity").cast("long") * 100).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")})
+    text = F.concat_ws(":", F.col("line_no").cast("string"), F.col("b").cast("string"), F.lit("d=2026032012"), F.when(F.col("l_returnflag") == "A", "APCP").otherwise("TMP"), F.lit("surface"), F.lit("0-6 hour acc fcst"), F.when(F.col("l_linestatus") == "O", "prob >0.254").otherwise(""))
+    out = ingest.byte_ranges(numbered.select("file", "line_no", text.alias("line")), "APCP", "surface", F.lit("0-6 hour acc fcst"))
+    return out.select("file", "line_no", F.col("begin").alias("begin_byte"), F.col("end").alias("end_byte"), "range")
+
+
+@register("download_gap", f"WITH {S.MODEL}, {S.BASE}, span AS (SELECT min(init_date) AS a, max(init_date) AS b FROM base), expected AS (SELECT model, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS init_date, lead * 24 AS fhour FROM span, leads), present AS (SELECT DISTINCT model, init_date, fhour FROM base JOIN (SELECT model, lead * 24 AS fhour FROM leads) USING (model) WHERE cell_id % 2 = 0) SELECT init_date, model, fhour FROM expected ANTI JOIN present USING (model, init_date, fhour)")
+def download_gap(spark, d):
+    base = fx.forecast_base(spark, d)
+    models = dims.model_dim(spark)
+    expected = ingest.expected_files(models, F.col("a"), F.col("b"), base.agg(F.min("init_date").alias("a"), F.max("init_date").alias("b")))
+    present = base.where("cell_id % 2 = 0").select("model", "init_date").distinct().join(F.broadcast(models.select("model", F.explode("forecast_hours").alias("fhour"))), "model")
+    return ingest.missing_files(expected, present)
+
+
+@register("catchup_dates", f"WITH {S.BASE} SELECT model, CAST(unnest(generate_series(max(init_date) + 1, DATE '2002-01-01', INTERVAL 1 DAY)) AS DATE) AS init_date FROM base GROUP BY model")
+def catchup_dates(spark, d):
+    return ingest.catch_up(_inits(spark, d).withColumnRenamed("init_date", "latest"), F.lit("2002-01-01").cast("date"))
+
+
+@register("freshest_forecast", f"WITH {S.BASE} SELECT model, max(init_date) AS init_date FROM base WHERE init_date IN (DATE '1997-05-04', DATE '1997-05-03') GROUP BY model")
+def freshest_forecast(spark, d):
+    return ingest.freshest(fx.forecast_base(spark, d).select("model", "init_date").distinct(), F.lit("1997-05-04 20:00:00").cast("timestamp"))
+
+
+@register("transfer_status_counts", "SELECT CASE WHEN event_type = 'purchase' THEN 'downloaded' WHEN event_type = 'error' THEN 'failed' ELSE event_type END AS status, count(*) AS n FROM events GROUP BY 1")
+def transfer_status_counts(spark, d):
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "downloaded (12 KB)").when(kind == "error", F.concat(F.lit("failed: "), F.col("user_id").cast("string"))).otherwise(kind)
+    return ingest.transfer_counts(fx.read(spark, d, "events").select(F.col("event_id").alias("task"), status.alias("status")))
+
+
+@register("failure_examples", "SELECT event_id AS task, 'failed: ' || user_id AS status FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 5")
+def failure_examples(spark, d):
+    log = fx.read(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("task"), F.concat(F.lit("failed: "), F.col("user_id").cast("string")).alias("status"))
+    return ingest.failure_examples(log)
+
+
+# --- incremental
+
+
+@register("completeness_audit", f"WITH {S.ACC}, f AS (SELECT model, month, list(DISTINCT lead) AS found FROM acc GROUP BY 1, 2) SELECT model, month, CAST(len(list_filter(generate_series(1, 14), lambda x: NOT list_contains(found, x))) AS INT) AS n_missing FROM f")
+def completeness_audit(spark, d):
+    return incremental.completeness(fx.accumulators(spark, d), list(range(1, 15))).select("model", "month", "n_missing")
+
+
+def _late(spark, d):
+    """Pairs that a first run saw: forecasts and observations up to a day; the second run sees all."""
+    cut = F.lit("1996-06-30").cast("date")
+    fc, obs = fx.forecast(spark, d), fx.observation(spark, d)
+    return pairing.pairs(fc.where(F.col("init_date") <= cut), obs.where(F.col("valid_date") <= cut)), pairing.pairs(fc, obs)
+
+
+@register("incremental_update", f"WITH {S.ACC} SELECT * FROM acc WHERE n > 0")
+def incremental_update(spark, d):
+    # a lead of an init is done when all its observations came: here one day each, so pairs of one day come together
+    first, everything = _late(spark, d)
+    stored, ledger = incremental.update(None, None, first)
+    return incremental.update(stored, ledger, everything)[0].select(*pairing.KEYS, *sum_names())
+
+
+@register("incremental_ledger", f"WITH {S.PAIRS} SELECT DISTINCT model, init_date, lead FROM pairs")
+def incremental_ledger(spark, d):
+    first, everything = _late(spark, d)
+    stored, ledger = incremental.update(None, None, first)
+    return incremental.update(stored, ledger, everything)[1]
+
+
+STREAM_SQL = """f AS (SELECT CAST(ts AS DATE) AS day, CAST(user_id % 24 AS INT) AS cell_id, count(*)::DOUBLE AS m FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2), o AS (SELECT CAST(ts AS DATE) AS day, CAST(user_id % 24 AS INT) AS cell_id, count(*)::DOUBLE AS o FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY 1, 2)"""
+
 
+@register("streaming_pairing", """WITH e AS (SELECT date_trunc('day', ts) AS day, CAST(user_id % 24 AS INT) AS cell_id, event_type IN ('view', 'click') AS forecast, value FROM events), p AS (SELECT month(a.day) AS month, a.cell_id, a.value AS m, b.value AS o FROM e a JOIN e b ON a.forecast AND NOT b.forecast AND a.day = b.day AND a.cell_id = b.cell_id)
+SELECT 'gfs' AS model, CAST(month AS INT) AS month, 1 AS lead, cell_id, count(*) AS n, round(sum(m - o), 4) AS sum_error FROM p GROUP BY month, cell_id""")
+def streaming_pairing(spark, d):
+    import tempfile
+    import uuid
 
-def oracle_sql() -> dict:
-    return {}
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="skillgrid-")
+    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = fx.read(spark, d, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    day, cell = F.date_trunc("day", "ts"), (F.col("user_id") % 24).cast("int")
+    is_forecast = F.col("event_type").isin("view", "click")
+    left = source.where(is_forecast).select(F.lit("gfs").alias("model"), F.date_sub(F.to_date("ts"), 1).alias("init_date"), F.lit(1).alias("lead"), cell.alias("cell_id"), F.col("value").alias("m"), day.alias("f_day"))
+    right = source.where(~is_forecast).select(cell.alias("o_cell"), F.col("value").alias("o"), day.alias("o_day"))
+    streaming.keep_accumulators(streaming.stream_pairs(left, right), f"{root}/acc", f"{root}/state").awaitTermination()
+    return streaming.accumulated(spark, f"{root}/acc").select("model", "month", "lead", "cell_id", "n", F.round("sum_error", 4).alias("sum_error"))
