@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -128,19 +129,28 @@ def _tokenizer(path: str):
 class ChunkIds:
     """Ids of text between ASCII white space. For a vocabulary that drops white space these make up the text's ids."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.tokenizer, self.most, self.known = _tokenizer(path), most, {}
 
-    def of(self, text: str) -> np.ndarray:
-        chunks, known = text.encode("utf-8", "surrogatepass").split(), self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for chunk, got in zip(new, self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False), strict=True):
-                known[chunk] = np.array(got.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32)
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Chunks seen before are looked up; new ones are tokenised together."""
+        chunks, known = [t.encode("utf-8", "surrogatepass").split() for t in texts], self.known
+        new = set().union(*chunks) - known.keys()
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = set().union(*chunks)
+        order = list(new)
+        for at in range(0, len(order), 20_000):
+            part = order[at : at + 20_000]
+            for chunk, got in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
+                known[chunk] = array("I", got.ids).tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, c)), np.uint32) for c in chunks]
+
+
+@lru_cache(maxsize=1)
+def chunk_ids(path: str) -> ChunkIds:
+    """The cache of a Python worker, which later tasks of the worker find filled."""
+    return ChunkIds(path)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, context: int = 4096, smallest: int = 256, end_id: int = 2, step_tokens: int = 65536, batch_ids: int = 4_000_000) -> DataFrame:
@@ -149,11 +159,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, context: int = 4096, smal
 
     ``tokenizer`` is a ``tokenizers`` file whose vocabulary drops white space. A null or empty text
     is the end id alone. Rows that repeat are packed as often; a null doc_id stays null; an empty
-    table gives no row. At most ``batch_ids`` ids and one document are held by a task.
+    table gives no row. A task holds about ``batch_ids`` ids and a
+    hundred documents at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = ChunkIds(tokenizer), TaskContext.get().partitionId()
+        encode, part = chunk_ids(tokenizer), TaskContext.get().partitionId()
         sequence, step = part << 33, part << 33
         docs_now, ids_now, total = [], [], 0
 
@@ -173,14 +184,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, context: int = 4096, smal
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(zip(*rows[at : at + 20_000], strict=True), types, strict=True)], names)
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(encode.of(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                docs_now.append(doc)
-                ids_now.append(ids)
-                total += len(ids)
-                if total >= batch_ids:
-                    yield from flush()
-                    docs_now, ids_now, total = [], [], 0
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode.of([t or "" for t in part.column("text").to_pylist()]), strict=True):
+                    docs_now.append(doc)
+                    ids_now.append(np.append(ids, np.uint32(end_id)).astype("<u4"))
+                    total += len(ids) + 1
+                    if total >= batch_ids:
+                        yield from flush()
+                        docs_now, ids_now, total = [], [], 0
         if docs_now:
             yield from flush()
 
