@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import bisect
 import os
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_MARK = "\x01"
 Piece = tuple[int, int, int]  # item, start in the item, length
 
 
@@ -132,19 +132,39 @@ class ChunkIds:
     def __init__(self, path: str, most: int = 500_000):
         self.tokenizer, self.most, self.known = _tokenizer(path), most, {}
 
+    @staticmethod
+    def _chunks(raw: bytes) -> list[bytes]:
+        """What stands between white space; the vocabulary lower-cases, so A-Z are lower-cased first
+        to make fewer different chunks. Text that may name special tokens stays as it is."""
+        return raw.split() if b"<|" in raw else raw.lower().split()
+
+    def _encode(self, chunks: list[bytes]) -> list[list[int]]:
+        """Ids of each chunk. They are tokenised as one text, with a mark between them that is a token of its own."""
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        texts = [c.decode() for c in chunks]
+        if len(mark) != 1 or any(_MARK in t for t in texts):
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(texts)], add_special_tokens=False)[0].ids)
+        ends = np.append(np.flatnonzero(ids == mark[0]), len(ids))
+        if len(ends) != len(texts):  # another character has the mark's id
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [ids[lo:hi] for lo, hi in zip(np.append(0, ends[:-1] + 1).tolist(), ends.tolist(), strict=True)]
+
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Chunks seen before are looked up; new ones are tokenised together."""
-        chunks, known = [t.encode("utf-8", "surrogatepass").split() for t in texts], self.known
-        new = set().union(*chunks) - known.keys()
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = set().union(*chunks)
-        order = list(new)
-        for at in range(0, len(order), 20_000):
-            part = order[at : at + 20_000]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                known[chunk] = array("I", got.ids).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, c)), np.uint32) for c in chunks]
+        chunks, known = [self._chunks(t.encode("utf-8", "surrogatepass")) for t in texts], self.known
+        found = [list(map(known.get, c)) for c in chunks]
+        new = {k for c, f in zip(chunks, found, strict=True) if None in f for k, v in zip(c, f, strict=True) if v is None}
+        if new:
+            if len(known) + len(new) > self.most:
+                known.clear()
+                new = set().union(*chunks)
+            order = list(new)
+            for at in range(0, len(order), 20_000):
+                part = order[at : at + 20_000]
+                known.update(zip(part, [np.asarray(ids, np.uint32).tobytes() for ids in self._encode(part)], strict=True))
+            found = [list(map(known.__getitem__, c)) if None in f else f for c, f in zip(chunks, found, strict=True)]
+        return [np.frombuffer(b"".join(f), np.uint32) for f in found]
 
 
 @lru_cache(maxsize=1)
