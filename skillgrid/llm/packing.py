@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _MARK = "\x01"
+_MARKS = b".,;:!?%$#&*|)]}"
 Piece = tuple[int, int, int]  # item, start in the item, length
 
 
@@ -129,7 +130,7 @@ def _tokenizer(path: str):
 class ChunkIds:
     """Ids of text between ASCII white space. For a vocabulary that drops white space these make up the text's ids."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         self.tokenizer, self.most, self.known = _tokenizer(path), most, {}
 
     @staticmethod
@@ -138,17 +139,30 @@ class ChunkIds:
         to make fewer different chunks. Text that may name special tokens stays as it is."""
         return raw.split() if b"<|" in raw else raw.lower().split()
 
-    def _encode(self, chunks: list[bytes]) -> list[list[int]]:
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of each chunk. They are tokenised as one text, with a mark between them that is a token of its own."""
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         texts = [c.decode() for c in chunks]
-        if len(mark) != 1 or any(_MARK in t for t in texts):
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(texts)], add_special_tokens=False)[0].ids)
-        ends = np.append(np.flatnonzero(ids == mark[0]), len(ids))
-        if len(ends) != len(texts):  # another character has the mark's id
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return [ids[lo:hi] for lo, hi in zip(np.append(0, ends[:-1] + 1).tolist(), ends.tolist(), strict=True)]
+        if len(mark) == 1 and not any(_MARK in t for t in texts):
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = (4 * np.append(np.flatnonzero(ids == mark[0]), len(ids))).tolist()
+            if len(ends) == len(texts):  # no other character has the mark's id
+                raw = ids.tobytes()
+                return [raw[lo:hi] for lo, hi in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Ids of new chunks. The vocabulary cuts between letters and marks, so marks that end a word are tokenised apart."""
+        known, cut = self.known, {}
+        for chunk in new:
+            word = chunk.rstrip(_MARKS)
+            if word and len(word) < len(chunk) and 97 <= word[-1] <= 122 and b"<|" not in chunk:
+                cut[chunk] = (word, chunk[len(word) :])
+        wanted = list(((new - cut.keys()) | {p for pair in cut.values() for p in pair}) - known.keys())
+        for at in range(0, len(wanted), 20_000):
+            part = wanted[at : at + 20_000]
+            known.update(zip(part, self._encode(part), strict=True))
+        known.update((chunk, known[word] + known[marks]) for chunk, (word, marks) in cut.items())
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Chunks seen before are looked up; new ones are tokenised together."""
@@ -159,10 +173,7 @@ class ChunkIds:
             if len(known) + len(new) > self.most:
                 known.clear()
                 new = set().union(*chunks)
-            order = list(new)
-            for at in range(0, len(order), 20_000):
-                part = order[at : at + 20_000]
-                known.update(zip(part, [np.asarray(ids, np.uint32).tobytes() for ids in self._encode(part)], strict=True))
+            self._learn(new)
             found = [list(map(known.__getitem__, c)) if None in f else f for c, f in zip(chunks, found, strict=True)]
         return [np.frombuffer(b"".join(f), np.uint32) for f in found]
 
