@@ -176,7 +176,7 @@ def _links(cosine: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, block: int = 1024, most_cells: int = 512, sample: int = 4096) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, block: int = 2048, most_cells: int = 512, sample: int = 4096) -> DataFrame:
     """Rows ``vec_id, n_links, component_id, kept``: links are pairs with at least this cosine (0 to 1).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing,
