@@ -6,12 +6,14 @@ vector goes to its nearest centre, and a cell's covering radius is measured over
 Cells are cut into blocks that fit a task. A block has a cover tree of its own: nested levels
 whose radii halve, each node with the covering radius of all below it. Pairs of cells, then of
 blocks, then of nodes level by level, are dropped when their centres are farther apart than both
-covering radii and the threshold radius; the members of what is left are compared in double
-precision. The sample decides how much is pruned, never what is found.
+covering radii and the threshold radius, and count whole when all their vectors are within it;
+the members of what is left are compared in double precision. So a group of near copies costs what
+its nodes cost, not what its pairs would. The sample decides how much is pruned, never what is found.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,49 +34,154 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
+    """Nodes of one level, in an order that puts the rows and the children of each node side by side."""
+
     centre: np.ndarray  # row of each node's centre
     radius: np.ndarray  # covering radius over all rows below it
-    child: list[np.ndarray]  # nodes of the next level, or rows at the last
-
-
-def cover_tree(x: np.ndarray, top: float = 1.0, levels: int = 4) -> list[Level]:
-    """Nested nets with radii ``top``, ``top / 2``, ...: each row is within the radius of its node's centre."""
-    groups, radius, out = [np.arange(len(x))], top, []
-    for depth in range(levels):
-        centre, cover, members, children = [], [], [], []
-        for rows in groups:
-            own, left = [], rows
-            while len(left):
-                c = left[0]
-                d = distances(x[left], x[c : c + 1])[:, 0]
-                near = d <= radius
-                near[0] = True
-                own.append(len(centre))
-                centre.append(c)
-                cover.append(d[near].max())
-                members.append(left[near])
-                left = left[~near]
-            children.append(np.array(own))
-        if depth:
-            out[-1].child = children
-        out.append(Level(np.array(centre), np.array(cover), members))
-        groups, radius = members, radius / 2
-    return out
-
-
-def dual_traversal(a: np.ndarray, tree_a: list[Level], b: np.ndarray, tree_b: list[Level], reach: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of row sets that may hold rows within ``reach``; every such pair of rows is in one of them."""
-    i, j = np.divmod(np.arange(len(tree_a[0].centre) * len(tree_b[0].centre)), len(tree_b[0].centre))
-    full = distances(a[tree_a[0].centre], b[tree_b[0].centre]).ravel()
-    for depth, (p, q) in enumerate(zip(tree_a, tree_b, strict=True)):
-        d = full if not depth else np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a[p.centre[i]], b[q.centre[j]]), 0))
-        near = d <= p.radius[i] + q.radius[j] + reach + SLACK
-        i, j = i[near], j[near]
-        if depth + 1 < len(tree_a):
-            grid = [np.meshgrid(p.child[m], q.child[n], indexing="ij") for m, n in zip(i, j, strict=True)]
-            i = np.concatenate([g[0].ravel() for g in grid]) if grid else np.empty(0, int)
-            j = np.concatenate([g[1].ravel() for g in grid]) if grid else np.empty(0, int)
-    return [(tree_a[-1].child[m], tree_b[-1].child[n]) for m, n in zip(i.tolist(), j.tolist(), strict=True)]
+    child: np.ndarray  # where each node's children begin at the next level (among rows, at the last), and the end
+    row: np.ndarray  # where each node's rows begin, and the end
+
+
+def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are farther than ``radius`` apart, and for every row the place of one of them within ``radius``."""
+    picked, at_picked, own = np.empty(len(x), np.int64), np.empty_like(x), np.empty(len(x), np.int64)
+    n = 0
+    for at in range(0, len(x), 512):
+        rows = np.arange(at, min(at + 512, len(x)))
+        if n:
+            d = distances(x[rows], at_picked[:n])
+            best = d.argmin(axis=1)
+            covered = d[np.arange(len(rows)), best] <= radius
+            own[rows[covered]] = best[covered]
+            rows = rows[~covered]
+        near, free = distances(x[rows], x[rows]) <= radius, np.ones(len(rows), bool)
+        for k in range(len(rows)):
+            if free[k]:
+                hit = free & near[k]
+                hit[k] = True
+                own[rows[hit]], picked[n], at_picked[n] = n, rows[k], x[rows[k]]
+                free &= ~hit
+                n += 1
+    return picked[:n], own
+
+
+def cover_tree(x: np.ndarray, top: float = 1.0, levels: int = 4) -> tuple[np.ndarray, list[Level]]:
+    """Nested nets whose radii halve from ``top``: an order for the rows, and the levels over rows in that order.
+
+    Centres of a level are more than half its radius apart and are centres of the next level too;
+    every row is within the radius of its node's centre, and ``Level.radius`` is what was measured.
+    """
+    nodes, nets = np.arange(len(x)), []
+    for depth in reversed(range(levels)):
+        picked, own = net(x[nodes], top / 2 ** (depth + 1))
+        nodes = nodes[picked]
+        nets.insert(0, (nodes, own))
+    order, out = np.arange(len(nodes)), []
+    for centre, own in nets:
+        rank = np.argsort(order)[own]
+        below = np.argsort(rank, kind="stable")
+        out.append(Level(centre[order], np.empty(0), np.searchsorted(rank[below], np.arange(len(order) + 1)), np.empty(0)))
+        order = below
+    place, x = np.argsort(order), x[order]
+    for k in reversed(range(levels)):
+        level = out[k]
+        level.centre = place[level.centre]
+        level.row = level.child if k + 1 == levels else out[k + 1].row[level.child]
+        to = np.repeat(level.centre, np.diff(level.row))
+        d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", x, x[to]), 0))
+        d[to == np.arange(len(x))] = 0
+        level.radius = np.maximum.reduceat(d, level.row[:-1])
+    return order, out
+
+
+def _spread(first: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Children of ``nodes``, each with its parent's place in ``nodes``."""
+    n = first[nodes + 1] - first[nodes]
+    parent = np.repeat(np.arange(len(nodes)), n)
+    return parent, np.arange(len(parent)) + np.repeat(first[nodes] - np.cumsum(n) + n, n)
+
+
+def dual_traversal(a: np.ndarray, tree_a: list[Level], b: np.ndarray, tree_b: list[Level], cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ranges of rows of ``a`` and of ``b`` (begin and end of each) of which every row links with every row.
+
+    Every linked pair of rows is in exactly one pair of ranges; for a block with itself (``same``)
+    pairs come in one order. A pair of nodes is dropped when its covering radii put all its rows out
+    of reach, and handed on whole when they put all within reach; the rest goes down a level.
+    """
+    reach, most = float(np.sqrt(2 - 2 * cosine)), max(1, (1 << 23) // a.shape[1])
+
+    def down(depth: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
+        """Children of the pairs of nodes of level ``depth``, a bounded number at a time."""
+        at, i = _spread(tree_a[depth].child, i)
+        j = j[at]
+        n = np.cumsum(tree_b[depth].child[j + 1] - tree_b[depth].child[j])
+        cuts = np.searchsorted(n, np.arange(most, n[-1] if len(n) else 0, most))
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)], strict=True):
+            at, q = _spread(tree_b[depth].child, j[lo:hi])
+            p = i[lo:hi][at]
+            if same:
+                p, q = p[p <= q], q[p <= q]
+            yield from level(depth + 1, p, q)
+
+    def level(depth: int, i: np.ndarray, j: np.ndarray, d: np.ndarray | None = None) -> Iterator[tuple]:
+        if depth == len(tree_a):
+            keep = (np.einsum("ij,ij->i", a[i], b[j]) >= cosine) & ((i != j) | (not same))
+            i, j = i[keep], j[keep]
+            yield i, i + 1, j, j + 1
+            return
+        p, q = tree_a[depth], tree_b[depth]
+        if d is None:
+            d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a[p.centre[i]], b[q.centre[j]]), 0))
+        cover = p.radius[i] + q.radius[j]
+        whole = d + cover <= reach - SLACK
+        yield p.row[i[whole]], p.row[i[whole] + 1], q.row[j[whole]], q.row[j[whole] + 1]
+        rest = ~whole & (d <= cover + (reach + SLACK))
+        if rest.any():
+            yield from down(depth, i[rest], j[rest])
+
+    p, q = tree_a[0], tree_b[0]
+    own, other, limit = a[p.centre], b[q.centre], q.radius + (reach + SLACK)
+    for at in range(0, len(own), 512):
+        d = distances(own[at : at + 512], other)
+        i, j = np.nonzero(d <= p.radius[at : at + 512, None] + limit)
+        d, i = d[i, j], i + at
+        keep = i <= j if same else np.ones(len(i), bool)
+        yield from level(0, i[keep], j[keep], d[keep])
+
+
+class Tally:
+    """Links of rows and who is joined with whom, from ranges of rows that link throughout."""
+
+    def __init__(self, sizes: np.ndarray):
+        self.sizes, self.before = sizes, np.append(0, np.cumsum(sizes))
+        self.n, self.itself, self.chain = (np.zeros(len(sizes) + 1, np.int64) for _ in range(3))
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, lo: np.ndarray, hi: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray) -> None:
+        itself = lo == lo_b
+        for begin, end, other in ((lo, hi, self.before[hi_b] - self.before[lo_b]), (lo_b[~itself], hi_b[~itself], (self.before[hi] - self.before[lo])[~itself])):
+            np.add.at(self.n, begin, other)
+            np.add.at(self.n, end, -other)
+            np.add.at(self.chain, begin, 1)
+            np.add.at(self.chain, end - 1, -1)
+        np.add.at(self.itself, lo[itself], 1)
+        np.add.at(self.itself, hi[itself], -1)
+        self.edges.append((lo[~itself], lo_b[~itself]))
+        self.held += len(lo)
+        if self.held > 2_000_000:
+            low = self.joined()
+            self.edges, self.held = [(np.arange(len(low)), low)], len(low)
+
+    def links(self) -> np.ndarray:
+        """Other vectors that each row links with; of its own class it counts none."""
+        return np.cumsum(self.n)[:-1] - np.cumsum(self.itself)[:-1] * self.sizes
+
+    def joined(self) -> np.ndarray:
+        """The first row that each row is joined with."""
+        next_too = np.flatnonzero(np.cumsum(self.chain)[:-1] > 0)
+        i, j = (np.concatenate([e[side] for e in self.edges] + [next_too + side]) for side in (0, 1))
+        return forest(len(self.sizes), i, j)
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,65 +225,43 @@ def _cells(centres: dict[int, np.ndarray]):
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each block: its representatives, their class sizes and their vectors."""
+    """One row for each block: its representatives, their class sizes, their vectors and their cover tree."""
     for rows, cuts in sorted_groups(batches, ["dim", "cell", "part"]):
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             own = rows.slice(lo, hi - lo)
             head = own.slice(0, 1)
+            x = _matrix(own.column("vec").to_pylist())
+            order, tree = cover_tree(x)
+            blobs = [own.column(c).to_numpy().astype(np.int64)[order].tobytes() for c in ("rep", "n")] + [x[order].tobytes(), pickle.dumps(tree)]
             yield pa.RecordBatch.from_arrays(
-                [head.column(c).combine_chunks() for c in ("dim", "cell", "part")] + [pa.array([own.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in ("rep", "n")] + [pa.array([b"".join(own.column("vec").to_pylist())], pa.binary())],
-                ["dim", "cell", "part", "reps", "sizes", "vecs"],
+                [head.column(c).combine_chunks() for c in ("dim", "cell", "part")] + [pa.array([v], pa.binary()) for v in blobs],
+                ["dim", "cell", "part", "reps", "sizes", "vecs", "tree"],
             )
 
 
 def _links(cosine: float):
-    reach = float(np.sqrt(2 - 2 * cosine))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple] = {}
-
-        def block(row: dict, side: str):
-            key = (row["dim"], row[f"cell_{side}"], row[f"part_{side}"])
-            if key not in held:
-                if len(held) > 8:
-                    held.clear()
-                x = np.frombuffer(row[f"vecs_{side}"], np.float64).reshape(-1, row["dim"])
-                centre = x.mean(axis=0)
-                tree = cover_tree(x)
-                held[key] = (np.frombuffer(row[f"reps_{side}"], np.int64), np.frombuffer(row[f"sizes_{side}"], np.int64), x, tree, centre, float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max()))
-            return held[key]
-
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                (ra, na, a, ta, ca, rad_a), (rb, nb, b, tb, cb, rad_b) = block(row, "a"), block(row, "b")
-                same = row["cell_a"] == row["cell_b"] and row["part_a"] == row["part_b"]
-                if np.linalg.norm(ca - cb) > rad_a + rad_b + reach + SLACK:
-                    continue
-                found_i, found_j = [], []
-                for p, q in dual_traversal(a, ta, b, tb, reach):
-                    i, j = np.nonzero(a[p] @ b[q].T >= cosine)
-                    found_i.append(p[i])
-                    found_j.append(q[j])
-                i = np.concatenate(found_i) if found_i else np.empty(0, int)
-                j = np.concatenate(found_j) if found_j else np.empty(0, int)
-                if same:
-                    i, j = i[i < j], j[i < j]
-                if not len(i):
-                    continue
-                ids, sizes = (ra, na) if same else (np.concatenate([ra, rb]), np.concatenate([na, nb]))
-                j = j if same else j + len(ra)
-                n = np.zeros(len(ids), np.int64)
-                np.add.at(n, i, sizes[j])
-                np.add.at(n, j, sizes[i])
-                low = forest(len(ids), i, j)
-                own = np.flatnonzero(n)
-                yield pa.RecordBatch.from_pydict({"node": ids[own], "n": n[own], "other": ids[low[own]]})
+    """Links of one pair of blocks, given as one row for each of the two, or as one row for a block with itself."""
+
+    def run(pair: pa.Table) -> pa.Table:
+        blocks = []
+        for row in pair.to_pylist():
+            sizes = np.frombuffer(row["sizes"], np.int64)
+            blocks.append((np.frombuffer(row["reps"], np.int64), sizes, np.frombuffer(row["vecs"], np.float64).reshape(len(sizes), -1), pickle.loads(row["tree"])))
+        (_, _, a, tree_a), (_, _, b, tree_b) = blocks[0], blocks[-1]
+        same = len(blocks) == 1
+        ids = np.concatenate([x[0] for x in blocks])
+        tally, shift = Tally(np.concatenate([x[1] for x in blocks])), 0 if same else len(a)
+        for lo, hi, lo_b, hi_b in dual_traversal(a, tree_a, b, tree_b, cosine, same):
+            if len(lo):
+                tally.add(lo, hi, lo_b + shift, hi_b + shift)
+        n = tally.links()
+        own = np.flatnonzero(n)
+        return pa.table({"node": ids[own], "n": n[own], "other": ids[tally.joined()[own]] if len(own) else ids[own]})
 
     return run
 
 
-def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, block: int = 2048, most_cells: int = 512, sample: int = 4096) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, block: int = 16384, most_cells: int = 512, sample: int = 4096) -> DataFrame:
     """Rows ``vec_id, n_links, component_id, kept``: links are pairs with at least this cosine (0 to 1).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing,
@@ -193,7 +278,9 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, block: int = 2048,
     classes = unit.where("vec is not null and vec_id is not null").groupBy("key_a", "key_b").agg(F.min(F.struct("vec_id", "vec")).alias("first"), F.count("*").alias("n"))
     classes = scratch.keep(classes.select("key_a", "key_b", F.col("first.vec_id").alias("rep"), "n", F.col("first.vec").alias("vec")))
 
-    total = classes.count()
+    total, longest = classes.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
+    # a block fits a task; with few vectors blocks are smaller, so that every core has pairs of blocks
+    block = max(1, min(block, (8 << 20) // (longest or 1), max(256, -(-total // int(np.ceil(np.sqrt(4 * spark.sparkContext.defaultParallelism)))))))
     cells = int(min(most_cells, max(1, total // (2 * block))))
     share = min(1.0, sample / max(total, 1))
     picked = classes.where(F.pmod("key_a", F.lit(1 << 20)) < int(share * (1 << 20))).select("vec").limit(2 * sample).collect()
@@ -223,18 +310,15 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, block: int = 2048,
                     pairs.append((r.dim, r.cell, s.cell))
     parts = spark.createDataFrame([(r.dim, r.cell, -(-r.size // block)) for r in sizes], "dim int, cell int, parts long")
     dealt = placed.join(F.broadcast(parts), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).select("dim", "cell", "part", "rep", "n", "vec")
-    blocks = scratch.keep(dealt.repartition("dim", "cell", "part").sortWithinPartitions("dim", "cell", "part", "rep").mapInArrow(_blocks, "dim int, cell int, part int, reps binary, sizes binary, vecs binary"))
-
-    def side(name: str) -> DataFrame:
-        return blocks.select("dim", *(F.col(c).alias(f"{c}_{name}") for c in ("cell", "part", "reps", "sizes", "vecs")))
+    blocks = scratch.keep(dealt.repartition("dim", "cell", "part").sortWithinPartitions("dim", "cell", "part", "rep").mapInArrow(_blocks, "dim int, cell int, part int, reps binary, sizes binary, vecs binary, tree binary"))
 
     pair_rows = spark.createDataFrame(pairs, "dim int, cell_a int, cell_b int")
     heads = blocks.select("dim", "cell", "part")
     tasks = F.broadcast(pair_rows).join(heads.select("dim", F.col("cell").alias("cell_a"), F.col("part").alias("part_a")), ["dim", "cell_a"])
     tasks = tasks.join(heads.select("dim", F.col("cell").alias("cell_b"), F.col("part").alias("part_b")), ["dim", "cell_b"]).where("cell_a < cell_b or part_a <= part_b")
-    both = tasks.join(side("a"), ["dim", "cell_a", "part_a"]).join(side("b"), ["dim", "cell_b", "part_b"])
-    slots = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    links = scratch.keep(both.repartition(slots, "cell_a", "part_a", "cell_b", "part_b").mapInArrow(_links(cosine), "node long, n long, other long"))
+    sides = F.array_distinct(F.array(F.struct(F.col("cell_a").alias("cell"), F.col("part_a").alias("part")), F.struct(F.col("cell_b").alias("cell"), F.col("part_b").alias("part"))))
+    both = tasks.withColumn("side", F.explode(sides)).select("*", "side.cell", "side.part").drop("side").join(blocks, ["dim", "cell", "part"])
+    links = scratch.keep(both.groupBy("dim", "cell_a", "part_a", "cell_b", "part_b").applyInArrow(_links(cosine), "node long, n long, other long"))
     counts = links.groupBy("node").agg(F.sum("n").alias("n_other"))
     joined = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")), scratch).withColumnRenamed("node", "member")
 

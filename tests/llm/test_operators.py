@@ -156,13 +156,26 @@ def test_dual_traversal_prunes_and_misses_nothing():
     centres = rng.normal(size=(40, 8))
     x = np.repeat(centres, 10, axis=0) + rng.normal(size=(400, 8)) * 0.01
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    tree = cover_tree.cover_tree(x)
+    order, tree = cover_tree.cover_tree(x)
+    x = x[order]
     for level, radius in zip(tree, (1, 0.5, 0.25, 0.125)):
         assert (level.radius <= radius + 1e-12).all()
-    parts = cover_tree.dual_traversal(x, tree, x, tree, 0.1)
-    found = {(i, j) for p, q in parts for i in p.tolist() for j in q.tolist()}
-    near = {(int(i), int(j)) for i, j in zip(*np.nonzero(cover_tree.distances(x, x) <= 0.1))}
-    assert near <= found and len(found) < x.shape[0] ** 2 / 4
+        for c, r, lo, hi in zip(level.centre, level.radius, level.row[:-1], level.row[1:]):
+            assert lo <= c < hi and (cover_tree.distances(x[lo:hi], x[c : c + 1]) <= r + 1e-7).all()
+    for cosine in (0.5, 0.9, 0.995, 0.9999):
+        for same in (False, True):
+            found = [(i, j) for part in cover_tree.dual_traversal(x, tree, x, tree, cosine, same) for a, b, c, d in zip(*(v.tolist() for v in part)) for i in range(a, b) for j in range(c, d)]
+            if same:  # one order of each pair; a range with itself has both
+                found = [p for p in {(min(p), max(p)) for p in found} if p[0] < p[1]]
+            near = {(int(i), int(j)) for i, j in zip(*np.nonzero(x @ x.T >= cosine)) if i < j or not same}
+            assert set(found) == near and len(found) == len(near)
+
+
+def test_tally_counts_ranges_with_class_sizes():
+    tally = cover_tree.Tally(np.array([1, 4, 2, 1, 3]))
+    tally.add(np.array([0]), np.array([2]), np.array([0]), np.array([2]))  # rows 0 and 1 with one another
+    tally.add(np.array([1]), np.array([2]), np.array([3]), np.array([5]))  # row 1 with rows 3 and 4
+    assert tally.links().tolist() == [4, 5, 0, 4, 4] and tally.joined().tolist() == [0, 0, 2, 0, 0]
 
 
 def test_decontamination(spark, docs, texts):
