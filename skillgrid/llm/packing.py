@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MARK = "\x01"
+#: How byte-level vocabularies write the bytes of a text as letters: printable Latin-1 as it is, the other bytes from U+0100 on.
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 Piece = tuple[int, int, int]  # item, start in the item, length
 
 
@@ -127,10 +130,23 @@ def _tokenizer(path: str):
 
 
 class ChunkIds:
-    """Ids of text between ASCII white space. For a vocabulary that drops white space these make up the text's ids."""
+    """Ids of text between ASCII white space. For a vocabulary that drops white space these make up the text's ids.
+
+    A chunk of lower-case Latin-1 letters, digits and ASCII signs without an apostrophe is cut into its
+    words here and given to the vocabulary's model directly; every other chunk, and every chunk of a
+    vocabulary that doesn't agree with that on some trials, goes through the whole tokenizer.
+    Known chunks are kept in two tables: when the young one is full it becomes the old one, and
+    what is met again moves back.
+    """
+
+    PLAIN = re.compile("[a-z0-9!-&(-/:-@[-`{-~\u00df-\u00f6\u00f8-\u00ff]+")
+    WORDS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    TRIALS = ("word", "the", "gr\u00fc\u00dfe", "d\u00e9j\u00e0", "a1b22", "(x_y)...", "e-mail:", "***", "12", "\u00e0\u00ed\u00ff\u00f0")
 
     def __init__(self, path: str, most: int = 500_000):
-        self.tokenizer, self.most, self.known = _tokenizer(path), most, {}
+        self.tokenizer, self.most, self.young, self.old = _tokenizer(path), most, {}, {}
+        self.model, self.words = self.tokenizer.model, {}
+        self.plain = all(list(np.frombuffer(self._cut(t), np.uint32)) == self.tokenizer.encode(t, add_special_tokens=False).ids for t in self.TRIALS)
 
     @staticmethod
     def _chunks(raw: bytes) -> list[bytes]:
@@ -138,33 +154,43 @@ class ChunkIds:
         to make fewer different chunks. Text that may name special tokens stays as it is."""
         return raw.split() if b"<|" in raw else raw.lower().split()
 
-    def _encode(self, chunks: list[bytes]) -> list[list[int]]:
-        """Ids of each chunk. They are tokenised as one text, with a mark between them that is a token of its own."""
-        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+    def _cut(self, text: str) -> bytes:
+        out = []
+        for word in self.WORDS.findall(text):
+            ids = self.words.get(word)
+            if ids is None:
+                if len(self.words) >= self.most // 2:
+                    self.words.clear()
+                seen = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk."""
         texts = [c.decode() for c in chunks]
-        if len(mark) != 1 or any(_MARK in t for t in texts):
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(texts)], add_special_tokens=False)[0].ids)
-        ends = np.append(np.flatnonzero(ids == mark[0]), len(ids))
-        if len(ends) != len(texts):  # another character has the mark's id
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return [ids[lo:hi] for lo, hi in zip(np.append(0, ends[:-1] + 1).tolist(), ends.tolist(), strict=True)]
+        match = self.PLAIN.fullmatch
+        plain = [self.plain and "<|" not in t and match(t) is not None for t in texts]
+        rest = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [self._cut(t) if p else array("I", next(rest).ids).tobytes() for t, p in zip(texts, plain, strict=True)]
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Chunks seen before are looked up; new ones are tokenised together."""
-        chunks, known = [self._chunks(t.encode("utf-8", "surrogatepass")) for t in texts], self.known
-        found = [list(map(known.get, c)) for c in chunks]
-        new = {k for c, f in zip(chunks, found, strict=True) if None in f for k, v in zip(c, f, strict=True) if v is None}
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = set().union(*chunks)
-            order = list(new)
-            for at in range(0, len(order), 20_000):
-                part = order[at : at + 20_000]
-                known.update(zip(part, [np.asarray(ids, np.uint32).tobytes() for ids in self._encode(part)], strict=True))
-            found = [list(map(known.__getitem__, c)) if None in f else f for c, f in zip(chunks, found, strict=True)]
-        return [np.frombuffer(b"".join(f), np.uint32) for f in found]
+        chunks = [self._chunks(t.encode("utf-8", "surrogatepass")) for t in texts]
+        here = set().union(*chunks)
+        new = here.difference(self.young)
+        if len(self.young) + len(new) > self.most:
+            self.old, self.young = self.young, {}
+            new = here
+        young, old = self.young, self.old
+        again = [k for k in new if k in old]
+        young.update(zip(again, map(old.__getitem__, again), strict=True))
+        order = list(new.difference(again))
+        for at in range(0, len(order), 20_000):
+            part = order[at : at + 20_000]
+            young.update(zip(part, self._encode(part), strict=True))
+        ids = dict(zip(here, map(young.__getitem__, here), strict=True)).__getitem__
+        return [np.frombuffer(b"".join(map(ids, c)), np.uint32) for c in chunks]
 
 
 @lru_cache(maxsize=1)
