@@ -301,3 +301,24 @@ def test_pipeline(spark, texts, tmp_path):
 
 def test_folds():
     assert zlib.crc32(b"17") % 3 in (0, 1, 2)
+
+
+ODD = ["don't L'été <|endoftext|> ABC<|startoftext|>x", "a\x1cb c\x85d", "Ünïcödé ÀÉ İstanbul ΣΑΣ", "x\u0301y e\u0301", "1234 5,6.7% £5 ½ ²", "'s't a'b it's", "\u00a0a\u2003b", "日本語 текст", "<| x |> <|y|>", "ÿþð÷×ß --a--b--", "", " \n\t ", "y" * 5000]
+
+
+def test_chunk_ids_equal_the_whole_tokenizer():
+    ids = packing.ChunkIds(queries.tokenizer_path(), most=40)  # tables turn over all the time
+    assert ids.plain
+    rng = random.Random(11)
+    letters = "abcxyzABCéßñüÀ0189.,;-_'!?&$<|>\u0301"
+    made = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(60)]
+    for texts in (ODD, made[:25], made[20:], ODD + made):
+        want = [ids.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in ids.of(texts)] == want
+    assert len(ids.words) <= 40
+
+
+def test_chunk_ids_of_a_vocabulary_that_disagrees_use_the_whole_tokenizer():
+    ids = packing.ChunkIds(queries.tokenizer_path())
+    ids.plain = False
+    assert [x.tolist() for x in ids.of(ODD)] == [ids.tokenizer.encode(t, add_special_tokens=False).ids for t in ODD]
