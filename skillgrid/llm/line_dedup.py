@@ -53,7 +53,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, scratch: Scratch | None =
         suffixes = suffixes.drop("first")
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = 2, *, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """Add ``n_lines`` (not blank), ``n_removed`` and replace ``text`` by what is left.
 
     A line goes if a run of ``min_lines`` lines over it starts earlier too: in a document with a
@@ -61,10 +61,11 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     such runs, so the union is every maximal repeated run but its first copy. Blank lines
     stay and don't count; a null text stays null with 0 lines. Rows with a null doc_id stay
     whole. Rows that repeat an id and text are one document: none is a copy of the other.
-    An empty table gives no row; other columns stay, those named like the new ones are replaced.
+    An empty table gives no row; other columns stay, those named like the new ones are replaced,
+    and the new ones can be given other names.
     """
     scratch = Scratch(docs.sparkSession)
-    kept = docs.drop("n_lines", "n_removed", "__doc", "__gone")
+    kept = docs.drop(n_lines, n_removed, "__doc", "__gone")
     doc = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("body"))
     keyed = kept.where("doc_id is not null and text is not null").select(doc.alias("__doc"), F.col("text").cast("string")).select("__doc", "text")
     runs = repeated_runs(keyed, min_lines, scratch)
@@ -86,5 +87,5 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     touched = F.col("__gone").isNotNull()
     out = wide.withColumn("__covered", covered)
     text = F.when(touched, F.array_join(state["kept"], "\n")).otherwise(F.col("text").cast("string"))
-    out = out.withColumns({"n_lines": n.cast("long"), "n_removed": F.size("__covered").cast("long"), "__text": text})
+    out = out.withColumns({n_lines: n.cast("long"), n_removed: F.size("__covered").cast("long"), "__text": text})
     return out.drop("text", "__gone", "__covered", "__body").withColumnRenamed("__text", "text")
