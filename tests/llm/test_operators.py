@@ -105,6 +105,23 @@ def test_line_dedup_keeps_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "a\nb"), (1, "a\nb\nc"), (1, "a\nb\nc"), (2, "x")]
 
 
+def test_stages_keep_columns_named_like_their_own(spark):
+    import corpus_pipeline
+
+    shared = "a b c d e f g h i j\nk l m n o p q r s t"
+    rows = [(1, shared + "\nfirst one", "x", -1, "p"), (2, "own line\n" + shared, None, -2, None), (3, None, "y", -3, "q"), (None, "lost", "z", -4, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, n_chars long, kept string").withColumns({"n_removed": F.lit("n"), "component_id": F.lit("c"), "item_id": F.lit("i"), "signature": F.lit("s")})
+    out = corpus_pipeline.line_dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {r.doc_id: (r.text, r.n_lines, r.n_chars, r.n_removed) for r in out.collect()} == {1: (rows[0][1], "x", -1, "n"), 2: ("own line", None, 8, "n"), 3: (None, "y", -3, "n"), None: ("lost", "z", -4, "n")}
+    out = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {r.n_chars for r in out.collect()} == {-1, -3, -4}  # 16 of 20 shingles are in both texts
+    bench = spark.createDataFrame([(1, "k l m n o p", "b")], "item_id long, text string, doc_id string")
+    out = decontaminate.remove_contaminated(docs, bench)
+    assert out.columns == docs.columns and sorted(r.n_chars for r in out.collect()) == [-4, -3]
+
+
 def test_near_duplicates(docs, texts):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_forest.near_duplicates(docs, most=32).collect()}
     assert got == brute.near_duplicates(texts)
