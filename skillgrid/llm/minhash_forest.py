@@ -3,11 +3,16 @@
 Documents with equal shingle sets are one class with one representative. A signature has 192
 MinHash values of 16 bits; a tree is an order of eight of them, and 48 trees use every value
 twice. In a tree, representatives are sorted by their signature; those with a common prefix of
-three values are a region. A region with more members than ``most`` is divided by longer
-prefixes, so that depth follows density; what is still larger after seven values is cut into
-runs of neighbours, each with the region's first member and its left neighbour, to which such
-almost equal documents link. Regions found by several trees are compared once. Within a
-region all pairs are compared exactly, and only a spanning forest of the links leaves the task.
+three values are a region. Regions found by several trees are compared once. Within a region
+all pairs are compared exactly, and only a spanning forest of the links leaves the task.
+
+A region with more members than ``most`` is dense, and goes an exact way in two steps. Each of
+its members is compared with the region's pivot, the member that lies in the most dense regions,
+in chunks of bounded size. Dense regions with members in common are then one cluster. Unless all
+of a cluster is joined already, its members are dealt into blocks, of one component or of small
+ones by size, and all pairs of blocks are compared but those of one component and those whose
+sizes rule out a link. So a group around a base costs a few texts a member, and the work
+grows with the square of a cluster's size only where its members stay apart.
 """
 
 from __future__ import annotations
@@ -17,12 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, components, forest, mix, shingle_set, sorted_groups
 
-VALUES, DEPTH, TREES, BASE = 192, 8, 48, 3
+VALUES, DEPTH, TREES = 192, 8, 48
 _RNG = np.random.default_rng(20240501)
 _SEEDS = _RNG.integers(1, 1 << 63, VALUES, dtype=np.uint64) | np.uint64(1)
 _ORDER = np.concatenate([_RNG.permutation(VALUES) for _ in range(TREES * DEPTH // VALUES)]).reshape(TREES, DEPTH)
@@ -54,51 +59,34 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each tree: hash of the tree and prefix, the next four values in order, and the representative."""
+    """A row for each tree: hash of the tree and prefix, and the representative."""
     salt = mix(np.arange(1, TREES + 1, dtype=np.uint64))
-    shift = np.array([48, 32, 16, 0], np.uint64)
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             reps = part.column("rep").to_numpy()
             values = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(-1, VALUES)[:, _ORDER].astype(np.uint64)
             key = mix((values[:, :, 0] << np.uint64(32) | values[:, :, 1] << np.uint64(16) | values[:, :, 2]) ^ salt[None, :])
-            deep = (values[:, :, BASE : BASE + 4] << shift).sum(axis=2, dtype=np.uint64) ^ np.uint64(1 << 63)  # signed order
-            yield pa.RecordBatch.from_pydict({"key": key.ravel().view(np.int64), "deep": deep.ravel().view(np.int64), "rep": np.repeat(reps, TREES)})
-
-
-def regions(deep: np.ndarray, most: int) -> list[np.ndarray]:
-    """Places of the members of each region of a common prefix; ``deep`` is sorted."""
-    out: list[np.ndarray] = []
-    todo = [(0, len(deep), 0)]
-    bits = deep.view(np.uint64) ^ np.uint64(1 << 63)
-    while todo:
-        lo, hi, level = todo.pop()
-        if hi - lo < 2:
-            continue
-        if hi - lo <= most:
-            out.append(np.arange(lo, hi))
-        elif level == 4:
-            out += [np.unique(np.append(np.arange(max(lo, at - 1), min(hi, at + most)), lo)) for at in range(lo, hi, most)]
-        else:
-            part = bits[lo:hi] >> np.uint64(48 - 16 * level)
-            cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [hi - lo]]) + lo
-            todo += [(int(a), int(b), level + 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return out
+            yield pa.RecordBatch.from_pydict({"key": key.ravel().view(np.int64), "rep": np.repeat(reps, TREES)})
 
 
 def _regions(most: int):
+    """A row for each region, or for each ``most`` members of a dense one, whose key is then in ``dense``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cuts in sorted_groups(batches, ["key"]):
-            deep, reps = rows.column("deep").to_numpy(), rows.column("rep").to_numpy()
-            found = []
+            keys, reps = rows.column("key").to_numpy(), rows.column("rep").to_numpy()
+            ids, dense, found = [], [], []
             for g in np.flatnonzero(np.diff(cuts) > 1):
                 lo, hi = cuts[g], cuts[g + 1]
-                found += [np.unique(reps[lo + m]) for m in regions(deep[lo:hi], most)]
-            found = [m for m in found if len(m) > 1]
+                whole = hi - lo <= most
+                for at in range(lo, hi, most):
+                    members = reps[at : min(at + most, hi)]
+                    ids.append(xxhash.xxh3_64_intdigest(members.tobytes(), 0 if whole else int(keys[lo]) & 0xFFFFFFFFFFFFFFFF))
+                    dense.append(None if whole else int(keys[lo]))
+                    found.append(members.tolist())
             if found:
-                ids = [xxhash.xxh3_64_intdigest(m.tobytes()) for m in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array([m.tolist() for m in found], pa.list_(pa.int64()))], ["region", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(dense, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["region", "dense", "members"])
 
     return run
 
@@ -145,6 +133,54 @@ def _confirm(percent: int):
     return run
 
 
+def _sieved(base: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of ``base`` whose id may be a ``rep`` of ``members``, by a bitmap of 2^23 bits (at most 131,072 rows).
+
+    Ids that only share a bit pass too; the join that follows drops them.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23))
+    bits = members.select(bit("rep").alias("bit")).select(F.floor(F.col("bit") / 64).alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mask"))
+    words = bits.groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    marked = base.withColumn("bit", bit("doc_id")).withColumn("word", F.floor(F.col("bit") / 64))
+    return marked.join(F.broadcast(words), "word").where("mask & shiftleft(1L, cast(bit % 64 as int)) <> 0").select(*base.columns)
+
+
+def _with_pivots(found: DataFrame) -> DataFrame:
+    """Rows ``a, b``: each member of a dense region and the region's pivot, once."""
+    dense = found.where("dense is not null").select("dense", F.explode("members").alias("rep"))
+    n = dense.groupBy("rep").agg(F.count("*").alias("n"))
+    pivots = dense.join(n, "rep").groupBy("dense").agg(F.min(F.struct((-F.col("n")).alias("n"), "rep"))["rep"].alias("pivot"))
+    return dense.join(pivots, "dense").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct()
+
+
+def _chunks(pairs: DataFrame, most: int) -> DataFrame:
+    """Rows ``region, rep``: each pivot with its members, about ``most`` at a time."""
+    n = pairs.groupBy("b").agg(F.ceil(F.count("*") / most).alias("n"))
+    dealt = pairs.join(n, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), "n"), F.lit("chunk")).alias("region"))
+    return dealt.select("region", F.explode(F.array("a", "b")).alias("rep")).distinct()
+
+
+def _apart(clusters: DataFrame, joined: DataFrame, sizes: DataFrame, percent: int, most: int, scratch: Scratch) -> DataFrame:
+    """Rows ``region, rep``: pairs of blocks over all members of a cluster that may link and are not of one component."""
+    nodes = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("rep"))
+    heads = nodes.select("cluster").distinct().select("cluster", F.col("cluster").alias("rep"))
+    nodes = nodes.unionByName(heads).distinct().join(joined, F.col("rep") == F.col("node"), "left")
+    nodes = scratch.keep(nodes.select("cluster", "rep", F.coalesce("component", "rep").alias("label")))
+    labels = nodes.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    split = labels.groupBy("cluster").agg(F.count("*").alias("labels")).where("labels > 1").select("cluster")
+    named = labels.join(split, "cluster").select("cluster", "label", F.when(F.col("n") >= most, F.col("label")).alias("one"))
+    order = Window.partitionBy("cluster", "one").orderBy("high", "rep")
+    ranked = nodes.join(named, ["cluster", "label"]).join(sizes, "rep").withColumn("at", F.floor((F.row_number().over(order) - 1) / most))
+    blocked = scratch.keep(ranked.select("cluster", "rep", "one", "low", "high", F.struct("cluster", F.col("one").isNull().alias("mixed"), F.coalesce("one", F.lit(0)).alias("of"), "at").alias("block")))
+    blocks = blocked.groupBy("cluster", "block").agg(F.first("one").alias("one"), F.min("low").alias("low"), F.max("high").alias("high"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    near = (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
+    apart = F.col("x.one").isNull() | F.col("y.one").isNull() | (F.col("x.one") != F.col("y.one"))
+    both = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & near & apart)
+    both = both.select(F.xxhash64("x.block", "y.block").alias("region"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
+    return both.join(blocked.select("block", "rep"), "block").select("region", "rep")
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 75, most: int = 256) -> DataFrame:
     """Rows ``doc_id, n_shingles, component_id, kept`` of whole texts, A-Z lower-cased, 5-word shingles.
 
@@ -160,13 +196,24 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, most: int = 256) -> D
     classes = signed.where("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "signature")).alias("first"))
     classes = classes.select("set_a", "set_b", F.col("first.doc_id").alias("rep"), F.col("first.signature").alias("signature"))
 
-    rows = classes.select("rep", "signature").mapInArrow(_trees, "key long, deep long, rep long")
-    found = rows.repartition("key").sortWithinPartitions("key", "deep", "rep").mapInArrow(_regions(most), "region long, members array<long>")
-    found = scratch.keep(found.groupBy("region").agg(F.first("members").alias("members")))
-    members = found.select("region", F.explode("members").alias("rep"))
-    texts = base.where("doc_id is not null").join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("region", "rep", "text")
-    links = texts.repartition("region").sortWithinPartitions("region", "rep").mapInArrow(_confirm(percent), "a long, b long")
-    joined = components(links, scratch)
+    rows = classes.select("rep", "signature").mapInArrow(_trees, "key long, rep long")
+    found = rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_regions(most), "region long, dense long, members array<long>")
+    found = scratch.keep(found.groupBy("region").agg(F.first("dense").alias("dense"), F.first("members").alias("members")))
+
+    def confirmed(members: DataFrame, docs: DataFrame = base) -> DataFrame:
+        texts = docs.where("doc_id is not null").join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("region", "rep", "text")
+        return texts.repartition("region").sortWithinPartitions("region", "rep").mapInArrow(_confirm(percent), "a long, b long")
+
+    members = found.where("dense is null").select("region", F.explode("members").alias("rep"))
+    if found.where("dense is not null").isEmpty():
+        joined = components(confirmed(members), scratch)
+    else:
+        pairs = scratch.keep(_with_pivots(found))
+        joined = scratch.keep(components(confirmed(members.unionByName(_chunks(pairs, most))), scratch))
+        sizes = signed.where("doc_id is not null").groupBy(F.col("doc_id").alias("rep")).agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+        rest = scratch.keep(_apart(components(pairs, scratch), joined, sizes, percent, most, scratch))
+        links = confirmed(rest, _sieved(base, rest)).unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        joined = components(links, scratch)
 
     ids = classes.select("set_a", "set_b", "rep")
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(ids, ["set_a", "set_b"], "left").join(joined, F.col("rep") == F.col("node"), "left")

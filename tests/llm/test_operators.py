@@ -128,6 +128,23 @@ def test_near_duplicates(docs, texts):
     assert minhash_forest.near_duplicates(empty(docs)).count() == 0
 
 
+def test_near_duplicates_of_a_hub_with_many_variants(spark):
+    """12,000 variants link with the base, hardly with each other; others of the same family stay just apart from it."""
+    rng = random.Random(12)
+    base = passage(rng, 150)
+
+    def variant(k, edits):
+        w = list(base)
+        for p in rng.sample(range(5, 145, 5), edits):  # each in five shingles of its own
+            w[p] = f"v{k}p{p}"
+        return " ".join(w)
+
+    rows = [(k, variant(k, 4)) for k in range(12000)] + [(50000, " ".join(base))] + [(60000 + k, variant(60000 + k, 6)) for k in range(300)]
+    got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert {got[d] for d in got if d < 60000} == {0}
+    assert all(got[d] == d for d in got if d >= 60000)
+
+
 def test_near_duplicates_null_ids_and_repeated_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, "A B c d e f"), (4, "zz")]
     got = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
