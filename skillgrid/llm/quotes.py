@@ -2,13 +2,14 @@
 
 Leading ``>`` marks give a line's quote level. Quoted lines are normalised (marks off, lower
 case, white space collapsed) and hashed; lines that a message itself wrote are hashed the same
-way. A quoted line is joined to the messages before it in its conversation that wrote it; the
-message with the most matches (the latest on ties) is the one replied to.
+way. A quoted line is joined to all messages before it in its conversation that wrote it; of those
+matched at the lowest level, the message with the most matches (the latest on ties) is the one
+replied to. Messages that wrote the same set of lines are joined as one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -48,17 +49,17 @@ def link_quotes(messages: DataFrame, min_chars: int = 1) -> DataFrame:
     lines = lines.select("conv_id", "turn", quote_level(F.col("line")).alias("level"), normalised(F.col("line")).alias("body")).where(F.length("body") >= min_chars)
     hashed = lines.select("conv_id", "turn", "level", F.xxhash64("body").alias("hash"))
     quoted = hashed.where("level > 0").groupBy("conv_id", "hash", "turn").agg(F.count("*").alias("n"), F.min("level").alias("level"))
-    wrote = hashed.where("level = 0").select("conv_id", "hash", F.col("turn").alias("source")).distinct()
-    # a line's latest author before the quoting turn, one row for each quoted line: union and running maximum
-    events = quoted.select("conv_id", "hash", F.col("turn").alias("at"), "n", "level", F.lit(None).cast(dict(messages.dtypes)["turn"]).alias("source")).unionByName(
-        wrote.select("conv_id", "hash", F.col("source").alias("at"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("level"), "source")
+    # messages that wrote the same lines are one class: of these the latest before the quote is the candidate
+    wrote = hashed.where("level = 0").select("conv_id", "turn", "hash").distinct()
+    classes = scratch.keep(wrote.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("hash")).alias("lines")).select("conv_id", "turn", "lines", F.xxhash64("lines").alias("class")))
+    authors = classes.groupBy("conv_id", "class").agg(F.min("turn").alias("first"), F.min_by("lines", "turn").alias("lines")).select("conv_id", "class", "first", F.explode("lines").alias("hash"))
+    votes = quoted.join(authors, ["conv_id", "hash"]).where("first < turn").groupBy("conv_id", "turn", "class").agg(F.min("level").alias("level"), F.sum("n").alias("votes"))
+    events = votes.select("conv_id", "class", F.col("turn").alias("at"), "level", "votes", F.lit(None).cast(dict(messages.dtypes)["turn"]).alias("source")).unionByName(
+        classes.select("conv_id", "class", F.col("turn").alias("at"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("votes"), F.col("turn").alias("source"))
     )
-    from pyspark.sql import Window
-
-    # a message's own lines sort after its quotes, so that nothing replies to itself
-    before = Window.partitionBy("conv_id", "hash").orderBy("at", F.col("source").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = events.withColumn("latest", F.last("source", ignorenulls=True).over(before)).where("n > 0 and latest is not null and latest < at")
-    votes = found.groupBy("conv_id", F.col("at").alias("turn"), "latest").agg(F.min("level").alias("level"), F.sum("n").alias("votes"))
+    # a message itself sorts after its quotes, so that nothing replies to itself
+    before = Window.partitionBy("conv_id", "class").orderBy("at", F.col("source").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    votes = events.withColumn("latest", F.last("source", ignorenulls=True).over(before)).where("votes is not null and latest < at").select("conv_id", F.col("at").alias("turn"), "latest", "level", "votes")
     best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), F.col("votes"), F.col("latest"))).alias("b")).select("conv_id", "turn", F.col("b.latest").alias("reply_to"))
 
     # paths by pointer doubling: each round joins the path of the topmost turn so far

@@ -294,6 +294,28 @@ def test_quotes(spark):
     assert max(r.depth for r in quotes.link_quotes(chain).collect()) == 39
 
 
+def test_quotes_count_every_earlier_author(spark):
+    rng = random.Random(21)
+    rows = [(1, 0, "A\nB\nC\nD"), (1, 1, "A\nB\nC"), (1, 2, "> A\n> B\n> C\n> D"), (2, 0, "Hello\nreal"), (2, 1, "Hello\nother"), (2, 2, "> Hello\n> real"), (2, 3, "Hello\nreal"), (2, 4, "> real\n>> other\n>> Hello")]
+    for conv in range(3, 40):
+        for turn in range(20):
+            rows.append((conv, turn, "\n".join(rng.choice(["", "> ", ">> "]) + rng.choice("abcdef") for _ in range(rng.randint(1, 5)))))
+    wanted = {}
+    for c, t, text in rows:
+        quoted = [(x.count(">"), x.strip("> ")) for x in text.split("\n") if x.startswith(">")]
+        least = {b: min(v for v, o in quoted if o == b) for _, b in quoted}
+        found = []
+        for d, u, other in rows:
+            own = {x for x in other.split("\n") if not x.startswith(">")}
+            hits = [b for _, b in quoted if b in own]
+            if d == c and u < t and hits:
+                found.append((-min(least[b] for b in hits), len(hits), u))
+        wanted[c, t] = max(found)[2] if found else None
+    got = {(r.conv_id, r.turn): r.reply_to for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert wanted[1, 2] == 0 and wanted[2, 2] == 0
+    assert got == wanted
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(k, k + 1) for k in range(100, 180)] + [(500, k) for k in range(600, 700)] + [(3, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()}
