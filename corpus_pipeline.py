@@ -17,8 +17,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; a document of which nothing is left goes too."""
-    out = line_dedup.dedup_lines(docs, n_lines="__n_lines", n_removed="__n_removed")
+    """Later copies of repeated line runs, and of single lines of 20 words or more, go; a document of which nothing is left goes too."""
+    out = line_dedup.dedup_lines(docs, min_words=20, n_lines="__n_lines", n_removed="__n_removed")
     out = out.where((F.col("__n_removed") == 0) | (F.col("__n_removed") < F.col("__n_lines")))
     return out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

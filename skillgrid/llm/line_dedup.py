@@ -53,12 +53,23 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, scratch: Scratch | None =
         suffixes = suffixes.drop("first")
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 2, *, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """Rows ``__doc, at`` of lines of ``min_words`` words or more that also stand earlier: the rank classes at length 1."""
+    lines = docs.select("__doc", F.posexplode(F.split("text", "\n")).alias("line", "value")).select("__doc", "line", F.trim(F.regexp_replace("value", r"[\s]+$", "")).alias("value")).where("value <> ''")
+    by_doc = Window.partitionBy("__doc").orderBy("line")
+    long = F.size(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")) >= min_words
+    placed = lines.select("__doc", "line", F.xxhash64("value").alias("rank"), long.alias("long")).withColumn("at", F.row_number().over(by_doc) - 1).where("long").select("__doc", "at", "rank")
+    firsts = placed.groupBy("rank").agg(F.count("*").alias("n"), F.min(F.struct("__doc", "at")).alias("first")).where("n > 1")
+    return placed.join(firsts.select("rank", "first"), "rank").where(F.struct(F.col("__doc"), F.col("at")) > F.col("first")).select("__doc", "at")
+
+
+def dedup_lines(docs: DataFrame, min_lines: int = 2, *, min_words: int | None = None, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """Add ``n_lines`` (not blank), ``n_removed`` and replace ``text`` by what is left.
 
     A line goes if a run of ``min_lines`` lines over it starts earlier too: in a document with a
     smaller doc_id, or further up in the same one. Runs of any greater length are covered by
-    such runs, so the union is every maximal repeated run but its first copy. Blank lines
+    such runs, so the union is every maximal repeated run but its first copy. With ``min_words``,
+    a single line of that many words or more goes too if it stands earlier. Blank lines
     stay and don't count; a null text stays null with 0 lines. Rows with a null doc_id stay
     whole. Rows that repeat an id and text are one document: none is a copy of the other.
     An empty table gives no row; other columns stay, those named like the new ones are replaced,
@@ -69,13 +80,16 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, *, n_lines: str = "n_lines"
     doc = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("body"))
     keyed = kept.where("doc_id is not null and text is not null").select(doc.alias("__doc"), F.col("text").cast("string")).select("__doc", "text")
     runs = repeated_runs(keyed, min_lines, scratch)
-    gone = runs.groupBy(F.col("__doc.id").alias("__id"), F.col("__doc.body").alias("__of")).agg(F.sort_array(F.collect_set("at")).alias("__gone"))
+    spans = runs.select("__doc", F.explode(F.sequence("at", F.col("at") + (min_lines - 1))).alias("at"))
+    if min_words:
+        spans = spans.unionByName(repeated_lines(keyed, min_words))
+    gone = spans.groupBy(F.col("__doc.id").alias("__id"), F.col("__doc.body").alias("__of")).agg(F.sort_array(F.collect_set("at")).alias("__gone"))
     wide = kept.withColumn("__body", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__body") == F.col("__of")), "left").drop("__of", "__id")
     lines = F.split(F.col("text").cast("string"), "\n")
     solid = F.transform(lines, lambda v: F.trim(F.regexp_replace(v, r"[\s]+$", "")) != "")
     n = F.coalesce(F.size(F.filter(solid, lambda v: v)), F.lit(0))
     # the place of each line among those that are not blank, then which of those go
-    covered = F.coalesce(F.array_distinct(F.flatten(F.transform("__gone", lambda g: F.sequence(g, g + (min_lines - 1))))), F.array().cast("array<int>"))
+    covered = F.coalesce("__gone", F.array().cast("array<int>"))
     state = F.aggregate(
         F.arrays_zip(lines.alias("line"), solid.alias("solid")),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")),

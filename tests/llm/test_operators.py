@@ -99,6 +99,16 @@ def test_line_dedup_longer_runs(docs, texts):
     assert got == wanted
 
 
+def test_line_dedup_stage_deletes_single_long_lines(spark):
+    import corpus_pipeline
+
+    long, short = " ".join(f"a{k}" for k in range(20)), " ".join(f"a{k}" for k in range(19))
+    rows = [(1, f"one\n{long}\ntwo"), (2, f"three\n\n {long} \nfour"), (3, long), (4, f"{short}\nfive"), (5, f"six\n{short}"), (6, f"b\n{short} z\nc\n{short} z\nd"), (6, f"b\n{short} z\nc\n{short} z\nd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect())
+    assert got == [rows[0], (2, "three\n\nfour"), rows[3], rows[4], *[(6, f"b\n{short} z\nc\nd")] * 2]
+
+
 def test_line_dedup_keeps_repeated_rows_and_null_ids(spark):
     rows = [(1, "a\nb\nc", 1), (1, "a\nb\nc", 2), (None, "a\nb", 3), (2, "x\na\nb", 4)]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines int")).collect()
