@@ -8,16 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_CACHE_WORDS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +32,8 @@ class Scratch:
         if not base:
             base = spark.sparkContext.getCheckpointDir()
         if not base:  # a local session without the setting, as in tests
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="skillgrid-")
             spark.sparkContext.setCheckpointDir(base)
         self.base = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
@@ -56,18 +57,60 @@ class Scratch:
             hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word seen, kept while there is room."""
+_BYTES = np.random.default_rng(20240117).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER = np.frombuffer(_ASCII_LOWER, np.uint8)
+_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+_SPAN = 1 << 18  # bytes that are hashed at once; longer words are hashed one by one
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = np.cumprod(np.append(np.uint64(1), np.full(_SPAN - 1, _BASE, np.uint64)))
+_INVERSES = np.cumprod(np.append(np.uint64(1), np.full(_SPAN - 1, pow(_BASE, -1, 1 << 64), np.uint64)))
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        self[word] = value
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column end to end, and where each text begins, and the end; nulls are empty."""
+    col = texts.cast(pa.large_binary()).fill_null(b"")
+    _, bounds, data = col.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[col.offset : col.offset + len(col) + 1]
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
+    return raw, bounds - bounds[0]
+
+
+def word_places(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each word between the white space \\x20 and \\x09-\\x0D, and the number of the first word of each text, and the end."""
+    inside = np.zeros(len(raw) + 2, bool)
+    np.logical_not(_SPACE[raw], out=inside[1:-1])
+    begins, ends = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
+    cut = bounds[1:-1]
+    cut = cut[inside[cut] & inside[cut + 1]]  # two texts that touch
+    begins[cut] = ends[cut] = True
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+    return begins, ends, np.searchsorted(begins, bounds)
+
+
+def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word of a string column, and the number of the first word of each text, and the end.
+
+    The hash is a polynomial over a random table of the bytes, from running sums, so that no word
+    becomes an object of its own; ``lower`` lower-cases A-Z only.
+    """
+    raw, bounds = bytes_of(texts)
+    begins, ends, first = word_places(raw, bounds)
+    table = _BYTES[_LOWER] if lower else _BYTES
+    out = np.empty(len(begins), np.uint64)
+    lo = 0
+    while lo < len(begins):
+        at = begins[lo]
+        hi = int(np.searchsorted(ends, at + _SPAN, "right"))
+        if hi <= lo:
+            hi, word = lo + 1, raw[at : ends[lo]]
+            out[lo] = xxhash.xxh3_64_intdigest((_LOWER[word] if lower else word).tobytes())
+        else:
+            sums = np.zeros(ends[hi - 1] - at + 1, np.uint64)
+            np.cumsum(table[raw[at : ends[hi - 1]]] * _POWERS[: len(sums) - 1], out=sums[1:])
+            b, e = begins[lo:hi] - at, ends[lo:hi] - at
+            out[lo:hi] = mix((sums[e] - sums[b]) * _INVERSES[b] + (e - b).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        lo = hi
+    return out, first
 
 
 def words_of(text: str | bytes | None, lower: bool) -> list[bytes]:
@@ -100,10 +143,15 @@ def rolling(word_hashes: np.ndarray, k: int, seed: int = 0x9E3779B97F4A7C15) ->
     return mix(out)
 
 
-def shingle_set(text: str | bytes | None, cache: WordHashes, k: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; a shorter text is one shingle; no word: empty."""
-    hashes = cache.of(words_of(text, lower=True))
-    return np.unique(rolling(hashes, min(k, len(hashes)))) if len(hashes) else hashes
+def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
+    """For each text, sorted distinct hashes of its k-word shingles; a shorter text is one shingle; no word: empty."""
+    hashes, first = word_hashes(texts, lower=True)
+    runs = rolling(hashes, k)
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if hi - lo >= k:
+            yield np.unique(runs[lo : hi - k + 1])
+        else:
+            yield rolling(hashes[lo:hi], hi - lo) if hi > lo else hashes[lo:hi]
 
 
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -154,12 +202,27 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], spread: list[str], *, pieces: int = 1000, total: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``: one row for each key, with ``n``, the rows of that key.
+
+    A key with more than one ``pieces``-th of all rows is dealt out by a hash of ``spread``, so that no
+    task meets a hot key whole. There are fewer than ``pieces`` such keys, which bounds what is broadcast.
+    """
+    least = max(1, (rows.count() if total is None else total) // pieces)
+    parts = F.ceil(F.col("n") / least).cast("int")
+    hot = groups.where(F.col("n") > least).select(*keys, parts.alias("__parts"))
+    salt = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("__parts"))).otherwise(0).cast("int")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__parts")
+    copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > least, parts - 1).otherwise(0))))
+    return dealt.join(copies, [*keys, "__salt"]).drop("__salt")
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of the links ``a``-``b`` (longs): rows ``node, component`` (smallest id).
 
     Alternating large-star and small-star rounds: each joins every node to the smallest node of
-    its neighbourhood, so that chains shrink by half and hubs stay one row for each neighbour.
-    All state is in written tables; only a row count and a checksum come to the driver.
+    its neighbourhood, so that chains shrink by half and hubs stay one row for each neighbour,
+    dealt out over tasks. All state is in written tables; only counts and a checksum come to the driver.
     """
     cur = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -170,26 +233,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while before[0]:
         # large star: every larger neighbour of a node goes to the smallest of the node's neighbourhood
         both = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        low = scratch.keep(both.groupBy("a").agg(F.count("*").alias("n"), F.least(F.col("a"), F.min("b")).alias("low")))
+        large = join_counted(both, low, ["a"], ["b"], total=2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = scratch.keep(large.where("a <> b").distinct())
-        # small star: a node and its smaller neighbours go to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.a", "e.b")
+        # small star: a node and its smaller neighbours go to the smallest of them, which large stars leave few of
+        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.a", "e.b")
         new = scratch.keep(small.where("a <> b").distinct())
         after = sign(new)
-        scratch.drop(large)
-        scratch.drop(cur)
+        for done in (low, large, cur):
+            scratch.drop(done)
         cur = new
         if after == before:
             break
         before = after
     return cur.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-
-
-def bucket(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n))
-
-
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)

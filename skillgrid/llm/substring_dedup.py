@@ -3,11 +3,15 @@
 A window is ``window`` consecutive words. Its anchor is the smallest 5-gram hash inside it, so
 equal windows have equal anchors, whatever surrounds them. Neighbouring windows with one anchor
 make one context, and only anchors that occur twice or more can belong to a repeated window.
-The contexts of an anchor are a shard: an automaton of the earlier contexts is grown in the
-order of documents while the later ones stream over it, and the matching statistic of each
-position tells whether the window that ends there started earlier. An anchor that is too common
-for one task is dealt out again, by the hash of each whole window, and the first copy of each is
-found by a pre-aggregated minimum.
+
+Contexts are first put together by anchor and words, before anything is dealt out: every copy of
+a whole context but the first goes without its words being looked at. What is left are the first
+places of different contexts with one anchor, as at the ends of shared passages. They are a
+shard: an automaton of the earlier contexts is grown in the order of documents while the later
+ones stream over it, and the matching statistic of each position tells whether the window that
+ends there started earlier. A shard with more than ``common`` members would be too much for one
+task; its members are dealt out again by the hash of each window, as automata of one window each,
+and the first copy is found by a pre-aggregated minimum.
 
 The whole corpus is its own reference, so automata of all of it have no size bound and cannot be
 broadcast; dealing contexts and automata to tasks by anchor is the same search with bounded
@@ -17,14 +21,14 @@ memory.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, rolling, sorted_groups, words_of
+from .common import Scratch, bytes_of, join_counted, mix, rolling, sorted_groups, word_hashes, word_places
 
 GRAM = 5
 
@@ -73,68 +77,85 @@ class SuffixAutomaton:
         return [self.extend(s) for s in symbols]
 
 
-def contexts(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window and number of windows of each context of a document's word hashes."""
-    if len(hashes) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+def least_of(values: np.ndarray, span: int) -> np.ndarray:
+    """The smallest of every ``span`` values in a row."""
+    wide = 1
+    while 2 * wide <= span:
+        values = np.minimum(values[:-wide], values[wide:])
+        wide *= 2
+    return np.minimum(values[: len(values) - (span - wide)], values[span - wide :]) if span > wide else values
+
+
+def window_hashes(grams: np.ndarray, at: np.ndarray, window: int, seed: int) -> np.ndarray:
+    """Hash of the window at each place, from the 5-grams that cover it."""
+    out = np.zeros(len(at), np.uint64)
+    for offset in [*range(0, window - GRAM, GRAM), window - GRAM]:
+        out = out * np.uint64(seed) + grams[at + offset]
+    return mix(out)
+
+
+def contexts(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Anchor, hash of the words, text, first window and number of windows of each context.
+
+    ``hashes`` are the words of several texts end to end, ``first`` tells where each text begins.
+    """
+    n = np.maximum(np.diff(first) - window + 1, 0)
+    text = np.repeat(np.arange(len(n)), n)
+    if not len(text):
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+    at = np.arange(len(text)) + np.repeat(first[:-1] - np.cumsum(n) + n, n)
     grams = rolling(hashes, GRAM)
-    span = window - GRAM + 1
-    at = np.concatenate([sliding_window_view(grams[k : k + 65536 + span - 1], span).argmin(axis=1) + k for k in range(0, len(grams) - span + 1, 65536)])
-    at = at + np.concatenate([np.arange(k, min(k + 65536, len(grams) - span + 1)) - k for k in range(0, len(grams) - span + 1, 65536)])
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return grams[at[starts]], starts, np.diff(np.append(starts, len(at)))
+    anchor = least_of(grams, window - GRAM + 1)[at]
+    # an anchor's place moves on when a smaller one comes in or when it drops out itself
+    new = np.append(True, (anchor[1:] != anchor[:-1]) | (grams[at[:-1]] == anchor[:-1]) | (text[1:] != text[:-1]))
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(at)))
+    low, high = (window_hashes(grams, at[k], window, 0xC2B2AE3D27D4EB4F) for k in (start, start + size - 1))
+    words = mix(low * np.uint64(0x9E3779B97F4A7C15) + high + size.astype(np.uint64))
+    return anchor[start], words, text[start], at[start] - first[text[start]], size
 
 
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [contexts(cache.of(words_of(t.as_py(), lower=False)), window) for t in part.column("text")]
-                sizes = [len(f[0]) for f in found]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "anchor": np.concatenate([f[0] for f in found]).view(np.int64),
-                        "doc_id": np.repeat(part.column("doc_id").to_numpy(), sizes),
-                        "body": np.repeat(part.column("body").to_numpy(), sizes),
-                        "start": np.concatenate([f[1] for f in found]).astype(np.int32),
-                        "windows": np.concatenate([f[2] for f in found]).astype(np.int32),
-                    }
-                )
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                anchor, words, text, start, windows = contexts(*word_hashes(part.column("text"), lower=False), window)
+                cols = {"anchor": anchor.view(np.int64), "same": words.view(np.int64), "doc_id": part.column("doc_id").to_numpy()[text], "body": part.column("body").to_numpy()[text]}
+                yield pa.RecordBatch.from_pydict(cols | {"start": start.astype(np.int32), "windows": windows.astype(np.int32)})
 
     return run
 
 
 def _shard_rows(window: int):
-    """Contexts of a document as rows; those of very common anchors as single windows with two hashes."""
+    """Contexts of a document as rows with their word hashes; those of very common anchors as single windows with two hashes."""
+    names = ["key", "again", "doc_id", "body", "start", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                key, doc_ids, bodies, starts, words = [], [], [], [], []
-                for doc, body, text, hits in zip(part.column("doc_id").to_pylist(), part.column("body").to_pylist(), part.column("text"), part.column("hits").to_pylist(), strict=True):
-                    h = cache.of(words_of(text.as_py(), lower=False))
-                    first = None
-                    for hit in hits:
-                        s, n = hit["start"], hit["windows"]
-                        if hit["common"]:
-                            if first is None:
-                                first, second = rolling(h, window).view(np.int64), rolling(h, window, seed=0xC2B2AE3D27D4EB4F)
-                            key += first[s : s + n].tolist()
-                            words += [second[i : i + 1].tobytes() for i in range(s, s + n)]
-                            starts += range(s, s + n)
-                        else:
-                            n_rows = 1
-                            key.append(hit["anchor"])
-                            words.append(h[s : s + n + window - 1].tobytes())
-                            starts.append(s)
-                        n_rows = n if hit["common"] else 1
-                        doc_ids += [doc] * n_rows
-                        bodies += [body] * n_rows
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(bodies, pa.int64()), pa.array(starts, pa.int32()), pa.array(words, pa.binary())], ["key", "doc_id", "body", "start", "words"])
+                hashes, first = word_hashes(part.column("text"), lower=False)
+                hits = part.column("hits")
+                text = np.repeat(np.arange(len(part)), hits.value_lengths().to_numpy())
+                start, windows, anchor, common = (hits.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("start", "windows", "anchor", "common"))
+                docs, bodies = (part.column(c).to_numpy()[text] for c in ("doc_id", "body"))
+                grams = rolling(hashes, GRAM)
+                for alone in (False, True):
+                    own = np.flatnonzero(common == alone)
+                    size = windows[own].astype(np.int64) if alone else windows[own] + (window - 1)
+                    k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    place = np.repeat(first[text[own]] + start[own], size) + k
+                    if alone:
+                        pick = np.repeat(own, size)
+                        key, again = (window_hashes(grams, place, window, seed).view(np.int64) for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+                        cols = [key, again, docs[pick], bodies[pick], (start[pick] + k).astype(np.int32), pa.nulls(len(pick), pa.binary())]
+                    else:
+                        ends = np.append(0, np.cumsum(8 * size)).astype(np.int32)
+                        words = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(hashes[place])])
+                        cols = [anchor[own], pa.nulls(len(own), pa.int64()), docs[own], bodies[own], start[own], words]
+                    if len(own):
+                        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names)
 
     return run
 
@@ -146,22 +167,11 @@ def _match(window: int):
             words = rows.column("words").to_pylist()
             out: list[tuple[int, int]] = []
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if hi - lo < 2:
-                    continue
-                seen: dict[bytes, int] = {words[lo]: lo}
-                automaton = None
-                for k in range(lo + 1, hi):
-                    own = words[k]
-                    if own in seen:
-                        first = seen[own]
-                        if (docs[first], bodies[first], starts[first]) != (docs[k], bodies[k], starts[k]):
-                            out.append((k, (1 << (len(own) // 8 - window + 1)) - 1))
-                        continue
-                    if automaton is None:
-                        automaton = SuffixAutomaton()
-                        automaton.add(np.frombuffer(words[lo], np.uint64).tolist())
-                    seen[own] = k
-                    match = automaton.add(np.frombuffer(own, np.uint64).tolist())
+                automaton = SuffixAutomaton()
+                for k in range(lo, hi if hi - lo > 1 else lo):
+                    if k > lo and (docs[k], bodies[k], starts[k]) == (docs[k - 1], bodies[k - 1], starts[k - 1]):
+                        continue  # a row that repeats
+                    match = automaton.add(np.frombuffer(words[k], np.uint64).tolist())
                     mask = sum(1 << (i - window + 1) for i in range(window - 1, len(match)) if match[i] >= window)
                     if mask:
                         out.append((k, mask))
@@ -174,32 +184,22 @@ def _match(window: int):
 
 def _keep_words(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["__kept", "n_words", "n_removed"]
         for batch in batches:
-            others = [c for c in batch.schema.names if c not in ("__text", "__marks", "__copy")]
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                out: list[tuple[str, int, int]] = []
-                for text, marks, copy in zip(part.column("__text"), part.column("__marks"), part.column("__copy").to_pylist(), strict=True):
-                    words = words_of(text.as_py(), lower=False)
-                    n = len(words)
-                    if copy and n >= window:
-                        words = []
-                    elif marks.is_valid:
-                        edge = np.zeros(n + 1, np.int32)
-                        for m in marks.as_py():
-                            mask, s = m["mask"], m["start"]
-                            while mask:
-                                if mask & 1:
-                                    edge[s] += 1
-                                    edge[s + window] -= 1
-                                mask >>= 1
-                                s += 1
-                        gone = np.cumsum(edge[:-1]) > 0
-                        words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                    out.append((b" ".join(words).decode("utf-8", "replace"), n, n - len(words)))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], [*others, *names])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts, marks = part.column("text"), part.column("marks")
+                _, _, first = word_places(*bytes_of(texts))
+                text = np.repeat(np.arange(len(part)), marks.value_lengths().fill_null(0).to_numpy())
+                start, mask = (marks.flatten().field(c).to_numpy() for c in ("start", "mask"))
+                begins = np.concatenate([(first[text] + start + bit)[mask >> bit & 1 == 1] for bit in range(window - GRAM + 1)])
+                edge = np.bincount(begins, minlength=first[-1] + 1) - np.bincount(begins + window, minlength=first[-1] + 1)
+                keep = np.cumsum(edge[:-1]) == 0
+                left = np.diff(np.append(0, np.cumsum(keep))[first])
+                n, out = np.diff(first), []
+                for value, lo, hi, rest in zip(texts, first[:-1].tolist(), first[1:].tolist(), left.tolist(), strict=True):
+                    words = (value.as_py() or "").encode().split() if rest else []
+                    out.append(b" ".join(words if rest == hi - lo else compress(words, keep[lo:hi].tolist())).decode())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(n - left), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -212,38 +212,38 @@ def remove_repeats(docs: DataFrame, window: int = 20, common: int = 64) -> DataF
     one space. A null text has no words. Rows with a null doc_id are neither searched nor cut.
     Rows that repeat an id and text are one document: none removes the other; rows that repeat
     an id with another text are ordered by a hash of it. An empty table gives no row. ``common``
-    is the number of occurrences from which an anchor's windows are dealt out one by one.
+    is the number of occurrences from which an anchor's windows are dealt out one by one; the
+    results don't depend on it. A task holds some hundred documents and their marks, which are
+    fewer than their words.
     """
-    if not GRAM < window <= GRAM + 30:
+    if not GRAM < window <= 35:
         raise ValueError("window must be 6 to 35 words")
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = base.where("doc_id is not null and text is not null").withColumn("body", F.xxhash64("text"))
-
-    # whole copies of an earlier document, found without their words
-    bodies = known.select("doc_id", "body", F.xxhash64(F.reverse("text")).alias("again"))
-    origin = bodies.groupBy("body", "again").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("other")).where("origin < other")
-    copies = bodies.join(origin, ["body", "again"]).where("doc_id > origin").select("doc_id", "body").distinct()
-    copies = scratch.keep(copies)
-
-    anchors = scratch.keep(known.mapInArrow(_anchors(window), "anchor long, doc_id long, body long, start int, windows int"))
-    repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > common).alias("common"))
-    hits = anchors.join(repeated, "anchor").join(copies, ["doc_id", "body"], "left_anti")
-    hits = hits.groupBy("doc_id", "body").agg(F.collect_set(F.struct("start", "windows", "anchor", "common")).alias("hits"))
-    rows = scratch.keep(known.join(hits, ["doc_id", "body"]).select("doc_id", "body", "text", "hits").mapInArrow(_shard_rows(window), "key long, doc_id long, body long, start int, words binary"))
-    scratch.drop(anchors)
-
-    alone = F.length("words") == 8
-    shards = rows.where(~alone).repartition("key").sortWithinPartitions("key", "doc_id", "body", "start")
-    marks = shards.mapInArrow(_match(window), "doc_id long, body long, start int, mask int")
     place = F.struct("doc_id", "body", "start")
-    single = rows.where(alone)
-    first = single.groupBy("key", "words").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
-    late = single.join(first, ["key", "words"]).where(place > F.col("first")).select("doc_id", "body", "start", F.lit(1).alias("mask"))
-    marks = marks.unionByName(late).groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "mask")).alias("__marks"))
-
-    # marks and whole copies of a document in one row, so that the texts are dealt out once
-    found = marks.withColumn("__copy", F.lit(False)).unionByName(copies.select("doc_id", "body", F.lit(None).cast(marks.schema["__marks"].dataType).alias("__marks"), F.lit(True).alias("__copy")))
-    wide = base.withColumn("body", F.xxhash64("text")).join(found, ["doc_id", "body"], "left")
-    wide = wide.select("doc_id", F.col("text").alias("__text"), "__marks", F.coalesce("__copy", F.lit(False)).alias("__copy"))
-    return wide.mapInArrow(_keep_words(window), "doc_id long, __kept string, n_words long, n_removed long").select("doc_id", "n_words", "n_removed", F.col("__kept").alias("kept"))
+
+    found = scratch.keep(known.mapInArrow(_anchors(window), "anchor long, same long, doc_id long, body long, start int, windows int"))
+    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("same") < F.max("same")).alias("mixed"), (F.count("*") > common).alias("common")).where("n > 1")
+    repeated = scratch.keep(join_counted(found, scratch.keep(anchors), ["anchor"], ["doc_id", "body", "start"]).drop("n"))
+    scratch.drop(found)
+
+    # a context's first place, before its copies are dealt out
+    firsts = repeated.groupBy("anchor", "same", "windows", "mixed", "common").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    firsts = scratch.keep(firsts.select("anchor", "same", "windows", "mixed", "common", "n", "first.*"))
+    origin = firsts.where("n > 1").select("anchor", "same", "n", F.struct("doc_id", "body", "start").alias("first"))
+    copies = join_counted(repeated, origin, ["anchor", "same"], ["doc_id", "body", "start"]).where(place > F.col("first"))
+    whole = copies.select("doc_id", "body", "start", F.expr("shiftleft(1, windows) - 1").alias("mask"))
+
+    hits = firsts.where("mixed").groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "windows", "anchor", "common")).alias("hits"))
+    rows = scratch.keep(known.join(hits, ["doc_id", "body"]).select("doc_id", "body", "text", "hits").mapInArrow(_shard_rows(window), "key long, again long, doc_id long, body long, start int, words binary"))
+    shards = rows.where("words is not null").repartition("key").sortWithinPartitions("key", "doc_id", "body", "start")
+    inside = shards.mapInArrow(_match(window), "doc_id long, body long, start int, mask int")
+
+    single = rows.where("words is null").select("key", "again", "doc_id", "body", "start")
+    origin = scratch.keep(single.groupBy("key", "again").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
+    late = join_counted(single, origin, ["key", "again"], ["doc_id", "body", "start"]).where(place > F.col("first")).select("doc_id", "body", "start", F.lit(1).alias("mask"))
+
+    marks = whole.unionByName(inside).unionByName(late).groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    wide = base.withColumn("body", F.xxhash64("text")).join(marks, ["doc_id", "body"], "left").select("doc_id", "text", "marks")
+    return wide.mapInArrow(_keep_words(window), "doc_id long, n_words long, n_removed long, kept string")
