@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, components, forest, mix, shingle_set, sorted_groups
+from .common import Scratch, components, forest, join_counted, mix, shingle_sets, sorted_groups
 
 VALUES, DEPTH, TREES = 192, 8, 48
 _RNG = np.random.default_rng(20240501)
@@ -43,13 +43,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
             sizes, keys, signs = [], [], []
-            for text in part.column("text"):
-                own = shingle_set(text.as_py(), cache)
+            for own in shingle_sets(part.column("text")):
                 sizes.append(len(own))
                 digest = xxhash.xxh3_128_digest(own.tobytes())
                 keys.append(np.frombuffer(digest, np.int64))
@@ -114,19 +112,15 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for rows, cuts in sorted_groups(batches, ["region"]):
-            reps, texts = rows.column("rep").to_numpy(), rows.column("text")
-            known: dict[int, np.ndarray] = {}
+            reps, texts = rows.column("rep").to_numpy(), rows.column("text").combine_chunks()
             out_a, out_b = [], []
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                sets = [shingle_set(texts[k].as_py(), cache) for k in range(lo, hi)]
-                i, j = linked_pairs(sets, percent)
+                i, j = linked_pairs(list(shingle_sets(texts.slice(lo, hi - lo))), percent)
                 low = forest(hi - lo, i, j)
                 own = np.flatnonzero(low != np.arange(hi - lo))
                 out_a.append(reps[lo + own])
                 out_b.append(reps[lo + low[own]])
-                known.clear()
             if out_a:
                 yield pa.RecordBatch.from_pydict({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
@@ -193,8 +187,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, most: int = 256) -> D
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(base.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, signature binary"))
-    classes = signed.where("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "signature")).alias("first"))
-    classes = classes.select("set_a", "set_b", F.col("first.doc_id").alias("rep"), F.col("first.signature").alias("signature"))
+    classes = signed.where("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "signature")).alias("first"), F.count("*").alias("n"))
+    classes = classes.select("set_a", "set_b", "n", F.col("first.doc_id").alias("rep"), F.col("first.signature").alias("signature"))
 
     rows = classes.select("rep", "signature").mapInArrow(_trees, "key long, rep long")
     found = rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_regions(most), "region long, dense long, members array<long>")
@@ -215,8 +209,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, most: int = 256) -> D
         links = confirmed(rest, _sieved(base, rest)).unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
         joined = components(links, scratch)
 
-    ids = classes.select("set_a", "set_b", "rep")
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(ids, ["set_a", "set_b"], "left").join(joined, F.col("rep") == F.col("node"), "left")
-    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    component = F.when(linked, F.least(F.coalesce("component", "rep"), F.col("rep"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    # components go to the classes first, and from there to their members
+    ids = classes.select("set_a", "set_b", "n", "rep").join(joined, F.col("rep") == F.col("node"), "left")
+    ids = scratch.keep(ids.select("set_a", "set_b", "n", F.least(F.coalesce("component", "rep"), F.col("rep")).alias("component_id")))
+    member = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    members = join_counted(signed.where(member).drop("signature"), ids, ["set_a", "set_b"], ["doc_id"]).select("doc_id", "n_shingles", "component_id")
+    out = members.unionByName(signed.where(~member).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
