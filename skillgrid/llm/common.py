@@ -23,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    tail = next(f"__{k}" for k in range(len(taken) * len(names) + 1) if not any(f"{n}__{k}".lower() in taken for n in names))
+    return [n + tail for n in names]
+
+
 class Scratch:
     """Written intermediate tables in the session's shared checkpoint folder."""
 
@@ -202,8 +209,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], spread: list[str], *, pieces: int = 1000, total: int | None = None) -> DataFrame:
-    """Inner join of ``rows`` with ``groups``: one row for each key, with ``n``, the rows of that key.
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], spread: list[str], *, how: str = "inner", pieces: int = 1000, total: int | None = None) -> DataFrame:
+    """Join (``inner`` or ``left``) of ``rows`` with ``groups``: one row for each key, with ``n``, the rows of that key.
 
     A key with more than one ``pieces``-th of all rows is dealt out by a hash of ``spread``, so that no
     task meets a hot key whole. There are fewer than ``pieces`` such keys, which bounds what is broadcast.
@@ -214,7 +221,7 @@ def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], spread: li
     salt = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("__parts"))).otherwise(0).cast("int")
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__parts")
     copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > least, parts - 1).otherwise(0))))
-    return dealt.join(copies, [*keys, "__salt"]).drop("__salt")
+    return dealt.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -10,12 +10,23 @@ WITH lines AS (
   SELECT doc_id, line, trim(regexp_replace(parts[line], '\s+$', ''), ' ') AS body FROM lines
 ), ranked AS (
   SELECT doc_id, line, body, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos FROM solid WHERE body <> ''
-), pairs AS (
-  SELECT a.doc_id, a.pos, a.body AS one, b.body AS two FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
-), firsts AS (
-  SELECT *, row_number() OVER (PARTITION BY one, two ORDER BY doc_id, pos) AS copy FROM pairs
+), alike AS (  -- every line with every earlier equal one
+  SELECT a.doc_id, a.pos, b.doc_id AS other, a.pos - b.pos AS shift
+  FROM ranked a JOIN ranked b ON a.body = b.body AND (b.doc_id, b.pos) < (a.doc_id, a.pos)
+), islands AS (  -- those that follow each other in both documents
+  SELECT *, pos - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY pos) AS island FROM alike
+), ends AS (
+  SELECT doc_id, pos, max(pos) OVER (PARTITION BY doc_id, other, shift, island) + 1 AS stop FROM islands
+), longest AS (
+  SELECT doc_id, pos, max(stop) AS stop FROM ends GROUP BY 1, 2
+), runs AS (
+  SELECT l.doc_id, l.pos, l.stop FROM longest l JOIN ranked r USING (doc_id, pos)
+  WHERE l.stop - l.pos >= 2 OR len(regexp_split_to_array(r.body, '\s+')) >= 20
+), counted AS (
+  SELECT doc_id, count(*) FILTER (lag_pos IS DISTINCT FROM pos - 1 OR lag_stop <> stop) AS n_runs, max(stop - pos) AS longest_run
+  FROM (SELECT *, lag(pos) OVER w AS lag_pos, lag(stop) OVER w AS lag_stop FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) GROUP BY 1
 ), gone AS (
-  SELECT doc_id, pos FROM firsts WHERE copy > 1 UNION SELECT doc_id, pos + 1 FROM firsts WHERE copy > 1
+  SELECT DISTINCT doc_id, unnest(generate_series(pos, stop - 1)) AS pos FROM runs
 ), flagged AS (
   SELECT s.doc_id, s.line, l.parts[s.line] AS raw, r.pos IS NOT NULL AS counted, g.pos IS NOT NULL AS removed
   FROM solid s JOIN lines l ON l.doc_id = s.doc_id AND l.line = s.line
@@ -26,7 +37,8 @@ WITH lines AS (
          sha256(coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (NOT removed), '')) AS kept_sha256
   FROM flagged GROUP BY doc_id
 )
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, kept_sha256 FROM documents d LEFT JOIN done USING (doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, coalesce(longest_run, 0) AS longest_run, kept_sha256
+FROM documents d LEFT JOIN done USING (doc_id) LEFT JOIN counted USING (doc_id)
 """
 
 SUBSTRING_DEDUP = r"""

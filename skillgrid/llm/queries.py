@@ -27,7 +27,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def fitted_quality(spark: SparkSession, sf_dir: str) -> quality.RuleModel:

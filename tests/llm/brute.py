@@ -80,21 +80,28 @@ def repeats(docs, window=20):
     return out
 
 
-def line_runs(docs, min_lines=2):
-    """doc_id -> (n_lines, n_removed, text left)."""
-    seen, out = set(), {}
+def line_runs(docs, min_lines=2, min_words=20):
+    """doc_id -> (n_lines, n_removed, maximal runs, longest run, text left)."""
+    where, out, bodies = defaultdict(list), {}, {}
     for d, t in sorted(docs):
         lines = (t or "").split("\n")
         solid = [i for i, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
-        body = [lines[i].strip(" ").rstrip(" \t\r\x0b\x0c").strip(" ") for i in solid]
-        gone = set()
-        for i in range(len(body) - min_lines + 1):
-            key = tuple(body[i : i + min_lines])
-            if key in seen:
-                gone |= {solid[j] for j in range(i, i + min_lines)}
-            seen.add(key)
+        body = bodies[d] = [lines[i].rstrip(" \t\r\x0b\x0c").strip(" ") for i in solid]
+        runs = []
+        for i in range(len(body)):
+            n = 0
+            for e, j in where[body[i]]:
+                k = 0
+                while i + k < len(body) and j + k < len(bodies[e]) and body[i + k] == bodies[e][j + k]:
+                    k += 1
+                n = max(n, k)
+            where[body[i]].append((d, i))
+            if n >= min_lines or n and len(body[i].split()) >= min_words:
+                runs.append((i, i + n))
+        gone = {solid[k] for i, j in runs for k in range(i, j)}
+        most = [r for r in runs if (r[0] - 1, r[1]) not in runs]
         left = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-        out[d] = (len(solid), len(gone), t if t is None or not gone else left)
+        out[d] = (len(solid), len(gone), len(most), max([j - i for i, j in runs], default=0), t if t is None or not gone else left)
     return out
 
 

@@ -83,20 +83,23 @@ def test_packing_steps():
     assert sum(s for s, g in zip([4096] * 5 + [512] * 8 + [256], groups) if g == groups[4]) <= 8192
 
 
-def test_line_dedup(docs, texts):
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(docs).collect()}
-    wanted = brute.line_runs(texts)
-    wanted[len(texts) - 1] = (0, 0, None)
+@pytest.mark.parametrize("least", [(2, 20), (4, 10_000), (1, 1)])
+def test_line_dedup(docs, texts, least):
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_runs, r.longest_run, r.text) for r in line_dedup.dedup_lines(docs, *least).collect()}
+    wanted = brute.line_runs(texts, *least)
+    wanted[len(texts) - 1] = (0, 0, 0, 0, None)
     assert got == wanted
-    assert sum(n for _, n, _ in got.values()) > 0
+    assert sum(n for _, n, *_ in got.values()) > 0
     assert line_dedup.dedup_lines(empty(docs)).count() == 0
 
 
-def test_line_dedup_longer_runs(docs, texts):
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(docs, 4).collect()}
-    wanted = brute.line_runs(texts, 4)
-    wanted[len(texts) - 1] = (0, 0, None)
-    assert got == wanted
+def test_line_dedup_of_runs_in_runs(spark):
+    """Few different lines, so that runs overlap, nest and repeat inside one document; blank lines and odd white space."""
+    rng = random.Random(31)
+    texts = [(k, "\n".join(rng.choice(["a", "b", "a ", " b", "", "c\t", "d e"]) for _ in range(rng.randint(0, 40)))) for k in range(60)]
+    texts += [(100, "\n".join(["x"] * 70)), (101, "\n".join(["x"] * 33 + ["y"])), (102, "\n\n"), (103, "")]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_runs, r.longest_run, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == brute.line_runs(texts)
 
 
 def test_line_dedup_stage_deletes_single_long_lines(spark):
@@ -110,8 +113,10 @@ def test_line_dedup_stage_deletes_single_long_lines(spark):
 
 
 def test_line_dedup_keeps_repeated_rows_and_null_ids(spark):
-    rows = [(1, "a\nb\nc", 1), (1, "a\nb\nc", 2), (None, "a\nb", 3), (2, "x\na\nb", 4)]
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines int")).collect()
+    rows = [(1, "a\nb\nc", 1, "i", "k"), (1, "a\nb\nc", 2, "i", "k"), (None, "a\nb", 3, "i", "k"), (2, "x\na\nb", 4, "i", "k")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines int, ID string, found__0 string"))
+    got = out.collect()
+    assert out.columns == ["doc_id", "text", "ID", "found__0", "n_lines", "n_removed", "n_runs", "longest_run"] and {r.ID for r in got} == {"i"}
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "a\nb"), (1, "a\nb\nc"), (1, "a\nb\nc"), (2, "x")]
 
 
@@ -355,7 +360,7 @@ def test_pipeline(spark, texts, tmp_path):
             seen[name] = {r.doc_id: r.text for r in now.collect()}
     assert not any(i in seen["quality classifier"] for i, *_ in junk)
     lines = brute.line_runs(list(seen["quality classifier"].items()))
-    wanted = {i: (t if seen["quality classifier"][i] is not None else None) for i, (n, gone, t) in lines.items() if gone == 0 or gone < n}
+    wanted = {i: (t if seen["quality classifier"][i] is not None else None) for i, (n, gone, *_, t) in lines.items() if gone == 0 or gone < n}
     assert seen["line dedup"] == wanted
     near = brute.near_duplicates(list(wanted.items()))
     assert set(seen["minhash near-dedup"]) == {i for i, (_, c) in near.items() if c == i}
