@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgrid.llm import decontaminate, line_dedup, minhash_forest, packing, quality
-from skillgrid.llm.common import Scratch, table
+from skillgrid.llm.common import Scratch, fresh, table
 from skillgrid.llm.queries import fitted_quality, tokenizer_path
 
 
@@ -17,10 +17,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs, and of single lines of 20 words or more, go; a document of which nothing is left goes too."""
-    out = line_dedup.dedup_lines(docs, min_words=20, n_lines="__n_lines", n_removed="__n_removed")
-    out = out.where((F.col("__n_removed") == 0) | (F.col("__n_removed") < F.col("__n_lines")))
-    return out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Lines of repeated runs go but for their first copy; a document of which nothing is left goes too.
+
+    Null and empty texts stay, and so do rows with a null doc_id; ``n_chars`` follows the text where
+    lines went. An empty table gives no row.
+    """
+    names = fresh(docs, "n_lines", "n_removed", "n_runs", "longest_run")
+    out = line_dedup.dedup_lines(docs, names=tuple(names))
+    lines, removed = (F.col(n) for n in names[:2])
+    out = out.where((removed == 0) | (removed < lines))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
