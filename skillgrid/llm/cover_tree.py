@@ -267,7 +267,8 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, block: int = 16384,
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing,
     and so do vectors of different lengths. Rows with a null vec_id link with nothing, have a
     null component and are kept. Rows that repeat an id and vector count as one vector each.
-    An empty table gives no row. ``sample`` bounds the vectors that the cells are fitted on.
+    An empty table gives no row. ``sample`` bounds the vectors that the cells are fitted on, at most
+    ``most_cells`` for each length; any number of lengths is allowed.
     """
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be over 0")
@@ -294,27 +295,24 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, block: int = 16384,
             near = np.minimum(near, distances(x, x[chosen[-1] :][:1])[:, 0])
         centres[dim] = x[chosen]
     placed = scratch.keep(classes.select("rep", "n", "vec").mapInArrow(_cells(centres), "rep long, n long, vec binary, dim int, cell int, far double"))
-    cover = placed.groupBy("dim", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("size"))
-    sizes = cover.collect()  # at most most_cells rows for each vector length
-    if len(sizes) > 64 * most_cells:
-        raise ValueError("too many different vector lengths")
+    cover = scratch.keep(placed.groupBy("dim", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("size")))
+    known = F.col("dim").isin(list(centres))
+    sizes = cover.where(known).collect()  # one row for each centre; a length that no centre has is one cell, and stays in tables
     reach = float(np.sqrt(2 - 2 * cosine))
     pairs = []
-    zero = {r.dim: np.eye(1, r.dim) for r in sizes}
-    for r in sizes:
-        for s in sizes:
-            if r.dim == s.dim and r.cell <= s.cell:
-                own = centres.get(r.dim, zero[r.dim])
-                gap = np.linalg.norm(own[r.cell] - own[s.cell])
-                if r.dim not in centres or gap <= r.radius + s.radius + reach + SLACK:
-                    pairs.append((r.dim, r.cell, s.cell))
-    parts = spark.createDataFrame([(r.dim, r.cell, -(-r.size // block)) for r in sizes], "dim int, cell int, parts long")
-    dealt = placed.join(F.broadcast(parts), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).select("dim", "cell", "part", "rep", "n", "vec")
+    for dim, c in centres.items():
+        own = [r for r in sizes if r.dim == dim]
+        gap = distances(c, c)
+        pairs += [(dim, r.cell, s.cell) for r in own for s in own if r.cell <= s.cell and gap[r.cell, s.cell] <= r.radius + s.radius + reach + 2 * SLACK]
+    count = F.ceil(F.col("size") / block).alias("parts")
+    rows = placed.join(F.broadcast(cover.where(known).select("dim", "cell", count)), ["dim", "cell"])
+    rows = rows.unionByName(placed.where(~known).join(cover.where(~known).select("dim", "cell", count), ["dim", "cell"]))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).select("dim", "cell", "part", "rep", "n", "vec")
     blocks = scratch.keep(dealt.repartition("dim", "cell", "part").sortWithinPartitions("dim", "cell", "part", "rep").mapInArrow(_blocks, "dim int, cell int, part int, reps binary, sizes binary, vecs binary, tree binary"))
 
-    pair_rows = spark.createDataFrame(pairs, "dim int, cell_a int, cell_b int")
+    pair_rows = spark.createDataFrame(pairs, "dim int, cell_a int, cell_b int").unionByName(cover.where(~known).select("dim", F.col("cell").alias("cell_a"), F.col("cell").alias("cell_b")))
     heads = blocks.select("dim", "cell", "part")
-    tasks = F.broadcast(pair_rows).join(heads.select("dim", F.col("cell").alias("cell_a"), F.col("part").alias("part_a")), ["dim", "cell_a"])
+    tasks = pair_rows.join(heads.select("dim", F.col("cell").alias("cell_a"), F.col("part").alias("part_a")), ["dim", "cell_a"])
     tasks = tasks.join(heads.select("dim", F.col("cell").alias("cell_b"), F.col("part").alias("part_b")), ["dim", "cell_b"]).where("cell_a < cell_b or part_a <= part_b")
     sides = F.array_distinct(F.array(F.struct(F.col("cell_a").alias("cell"), F.col("part_a").alias("part")), F.struct(F.col("cell_b").alias("cell"), F.col("part_b").alias("part"))))
     both = tasks.withColumn("side", F.explode(sides)).select("*", "side.cell", "side.part").drop("side").join(blocks, ["dim", "cell", "part"])

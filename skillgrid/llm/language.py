@@ -14,10 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _ASCII_LOWER
+from .common import _ASCII_LOWER, fresh
 
 DIMS = 1 << 13
 UNKNOWN = "und"
@@ -67,14 +67,17 @@ class LanguageModel:
     languages: tuple[str, ...]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
+    floors: np.ndarray  # of each centroid's language: nearly all rows it was learnt from are closer to it than this
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = 400, clusters: int = 4) -> LanguageModel:
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = 400, clusters: int = 4, most_languages: int = 256, far: float = 0.005) -> LanguageModel:
     """Learn from rows with a language and a text that is not null.
 
-    Document frequencies use every such row. Centroids use about ``per_language`` rows of each
-    language, those with the smallest hashes of their text; that is the documented bound of the
-    sample (a language with fewer rows gives all).
+    Document frequencies use every such row. Centroids use about ``per_language`` different texts of
+    each language, those with the smallest hashes, and at most twice as many; that is the documented
+    bound of the sample (a language with fewer gives all). The ``most_languages`` most frequent
+    languages are learnt, ties by name. ``far`` is the share of a language's sample that lies beyond its
+    floor, the cosine from which ``identify`` can reject. Empty tables give a model that knows none.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
 
@@ -93,9 +96,12 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language
         df[i] = n
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
 
-    shares = known.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang"), F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share"))
-    unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.join(F.broadcast(shares), "lang").where(unit < F.col("share")).select("lang", "text")  # one row for each language is broadcast
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    shares = known.sparkSession.createDataFrame([(r.lang, min(1.0, per_language / r.n)) for r in sizes], "lang string, share double")
+    pick = F.xxhash64("text")
+    unit = F.pmod(pick, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = known.join(F.broadcast(shares), "lang").where(unit < F.col("share")).select("lang", "text", pick.alias("pick"))  # at most most_languages rows are broadcast
+    sample = sample.dropDuplicates(["lang", "pick"]).withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("pick"))).where(F.col("at") <= 2 * per_language).select("lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,26 +113,29 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language
     by_language: dict[str, list[np.ndarray]] = {}
     for name, v in sample.mapInArrow(features, "lang string, v binary").toLocalIterator():
         by_language.setdefault(name, []).append(np.frombuffer(v, np.float16))
-    names, centres = [], []
+    names, centres, floors = [], [], []
     for name in sorted(by_language):
-        rows = sorted(by_language[name], key=lambda r: r.tobytes())[: 2 * per_language]
-        c = cluster(np.stack(rows).astype(np.float32), clusters)
+        x = np.stack(sorted(by_language[name], key=lambda r: r.tobytes())).astype(np.float32)
+        c = cluster(x, clusters)
         names += [name] * len(c)
         centres.append(c)
-    return LanguageModel(tuple(names), np.concatenate(centres) if centres else np.zeros((0, DIMS), np.float32), idf)
+        floors += [float(np.quantile((x @ c.T).max(axis=1), far))] * len(c)
+    return LanguageModel(tuple(names), np.concatenate(centres) if centres else np.zeros((0, DIMS), np.float32), idf, np.array(floors))
 
 
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", reject_below: float = 0.0) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", reject_below: float = 0.0, reject_far: bool = False) -> DataFrame:
     """Add ``lang_pred`` and ``score`` (cosine with the closest centroid, 0 to 1).
 
-    ``und`` with score 0: the text is null or has no letter, no language was learnt, or the
-    closest centroid's cosine is under ``reject_below``. Ties go to the first language by name.
-    Whole texts count, however long. Columns named like the new ones are replaced.
+    ``und`` with score 0: the text is null or has no letter, no language was learnt, or the closest
+    centroid's cosine is under ``reject_below`` or, with ``reject_far``, under the floor learnt for its
+    language. Ties go to the first language by name. Whole texts count, however long. Rows that repeat
+    are predicted alike; an empty table gives no row. Columns named like the new ones are replaced.
     """
+    floors = np.maximum(model.floors if reject_far else np.zeros(len(model.languages)), reject_below)
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -141,12 +150,13 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", rejec
                 cosine = v @ model.centroids.T
                 top = np.argmax(cosine, axis=1)
                 close = np.clip(cosine[np.arange(len(v)), top].astype(float), 0, 1)
-                best += [model.languages[j] if s >= reject_below else UNKNOWN for j, s in zip(top, close, strict=True)]
-                score += [float(s) if s >= reject_below else 0.0 for s in close]
+                best += [model.languages[j] if s >= floors[j] else UNKNOWN for j, s in zip(top, close, strict=True)]
+                score += [float(s) if s >= floors[j] else 0.0 for j, s in zip(top, close, strict=True)]
             yield pd.DataFrame({"lang_pred": best, "score": score})
 
-    kept = docs.drop("lang_pred", "score", "__p")
+    kept = docs.drop("lang_pred", "score")
+    (said,) = fresh(kept, "said")
     value = F.col(text).cast("string")
-    said = kept.withColumn("__p", predict(F.coalesce(value, F.lit(""))))
     ok = has_letter(value)
-    return said.withColumns({"lang_pred": F.when(ok, F.col("__p.lang_pred")).otherwise(UNKNOWN), "score": F.when(ok, F.col("__p.score")).otherwise(0.0)}).drop("__p")
+    out = kept.withColumn(said, predict(F.coalesce(value, F.lit(""))))
+    return out.withColumns({"lang_pred": F.when(ok, F.col(said)["lang_pred"]).otherwise(UNKNOWN), "score": F.when(ok, F.col(said)["score"]).otherwise(0.0)}).drop(said)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, forest, join_counted, mix, shingle_sets, sorted_groups
+from .common import Scratch, components, forest, fresh, join_counted, mix, shingle_sets, sorted_groups
 
 VALUES, DEPTH, TREES = 192, 8, 48
 _RNG = np.random.default_rng(20240501)
@@ -216,3 +216,22 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, most: int = 256) -> D
     members = join_counted(signed.where(member).drop("signature"), ids, ["set_a", "set_b"], ["doc_id"]).select("doc_id", "n_shingles", "component_id")
     out = members.unionByName(signed.where(~member).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def one_of_each_group(docs: DataFrame, *, percent: int = 75) -> DataFrame:
+    """Rows of ``docs`` but for those of a near-duplicate group that are not its document with the smallest doc_id.
+
+    Rows are judged by id and text: rows that repeat both are one document, and another text under the
+    same id is a document of its own. Rows with a null doc_id, and texts without words, stay. All columns
+    stay, whatever their names; an empty table gives no row.
+    """
+    scratch = Scratch(docs.sparkSession)
+    (gone_id,) = fresh(docs, "gone")
+    own = F.when(docs["doc_id"].isNotNull(), F.xxhash64(docs["doc_id"], docs["text"]))
+    found = near_duplicates(docs.select(own.alias("doc_id"), docs["text"]), percent=percent)
+    found = scratch.keep(found.where("doc_id is not null").select(F.col("doc_id").alias("own"), F.col("component_id").alias("group")).distinct())
+    ids = docs.select(own.alias("own"), docs["doc_id"].alias("id")).where("own is not null").distinct()
+    members = scratch.keep(found.join(ids, "own"))
+    groups = scratch.keep(members.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct("id", "own")).alias("first")).where("n > 1"))
+    gone = join_counted(members, groups, ["group"], ["own"]).where(F.col("own") != F.col("first.own")).select(F.col("own").alias(gone_id))
+    return docs.join(gone, own == F.col(gone_id), "left_anti")

@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 Term = tuple[int, bool, float]  # feature, above?, threshold
 
 
@@ -111,19 +113,22 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 6
     return float(w[0]), w[1:]
 
 
-def fit(labelled: DataFrame, *, text: str = "text", label: str = "label", sample: int = 12_000, trees: int = 40, depth: int = 3, penalty: float = 0.002, seed: int = 7) -> RuleModel:
-    """Fit on the statistics of about ``sample`` labelled rows (those with the smallest hashes of their text).
+def fit(labelled: DataFrame, *, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = 12_000, trees: int = 40, depth: int = 3, penalty: float = 0.002, seed: int = 7) -> RuleModel:
+    """Fit on the statistics of about ``sample`` labelled rows (those with the smallest hashes of key and text).
 
-    ``sample`` is the documented bound of what comes to the driver: a few doubles a row. Rows
-    with a null label are left out. With no labels, or one class, the model is its prior.
+    ``sample`` is the documented bound of what comes to the driver: a few doubles a row, at most twice
+    as many rows. Rows with a null label are left out; rows that repeat key, text and label count once.
+    ``key`` (a column that need not be there) only picks rows, so that copies of a text are not all in
+    or all out; it is no statistic. With no labels, or one class, the model is its prior.
     """
     known = labelled.where(F.col(label).isNotNull())
     n = known.count()
+    pick = F.pmod(F.xxhash64(*([F.col(key)] if key in labelled.columns else []), F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 30))
     if n > sample:
-        known = known.where(F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+        known = known.where(pick < int(sample / n * (1 << 30)))
     stats = statistics(F.col(text))
-    rows = known.select(F.col(label).cast("double"), *stats.values()).limit(2 * sample).toPandas().to_numpy(float)
-    rows = rows[np.lexsort(rows.T)]  # the order of tasks doesn't matter
+    rows = known.select(pick, F.col(label).cast("double"), *stats.values()).toDF("pick", "label", *stats).distinct()
+    rows = rows.orderBy(*rows.columns).limit(2 * sample).drop("pick").toPandas().to_numpy(float)
     names = tuple(stats)
     if not len(rows) or rows[:, 0].min() == rows[:, 0].max():
         p = (rows[:, 0].sum() + 0.5) / (len(rows) + 1)
@@ -157,9 +162,12 @@ def score(docs: DataFrame, model: RuleModel, *, text: str = "text", out: str = "
     """Add ``out``: the probability (0 to 1) that the text is good. Null and empty texts get the score of an empty text.
 
     Each statistic is a column that is computed once, before the rules read it; they are dropped again.
+    Whole texts count, however long. Rows that repeat are scored alike; an empty table gives no row. A
+    column named like ``out`` is replaced; others stay, whatever their names.
     """
-    stats = {f"__q_{k}": v for k, v in statistics(F.col(text)).items()}
-    cols = [F.col(f"__q_{f}") for f in model.features]
+    named = dict(zip(model.features, fresh(docs, *model.features), strict=True))
+    stats = {named[k]: v for k, v in statistics(F.col(text)).items()}
+    cols = [F.col(named[f]) for f in model.features]
     total = F.lit(model.bias)
     for f, slope, low, high in model.linear:
         total = total + F.lit(slope) * F.least(F.greatest(cols[f], F.lit(low)), F.lit(high))

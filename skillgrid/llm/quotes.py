@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 MARK = r"^\s*((?:>\s?)+)"
 
@@ -74,16 +74,17 @@ def link_quotes(messages: DataFrame, min_chars: int = 1) -> DataFrame:
         paths = grown
         if not moved:
             break
-    paths = paths.select(F.col("conv_id").alias("__c"), F.col("turn").alias("__t"), "reply_to", F.col("path").alias("__path"))
+    conv, turn, found = fresh(keep, "conv", "at", "path")
+    paths = paths.select(F.col("conv_id").alias(conv), F.col("turn").alias(turn), "reply_to", F.col("path").alias(found))
     text = F.col("text").cast("string")
     levels = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: quote_level(x))
-    out = keep.join(paths, (F.col("conv_id") == F.col("__c")) & (F.col("turn") == F.col("__t")), "left")
+    out = keep.join(paths, (F.col("conv_id") == F.col(conv)) & (F.col("turn") == F.col(turn)), "left")
     return out.withColumns(
         {
             "n_quoted": F.size(F.filter(levels, lambda v: v > 0)).cast("long"),
             "max_level": F.array_max(levels),
-            "reply_path": F.coalesce("__path", F.when(F.col("turn").isNotNull(), F.array("turn"))),
-            "depth": F.when(F.col("turn").isNotNull(), F.coalesce(F.size("__path") - 1, F.lit(0))),
+            "reply_path": F.coalesce(found, F.when(F.col("turn").isNotNull(), F.array("turn"))),
+            "depth": F.when(F.col("turn").isNotNull(), F.when(F.col(found).isNull(), 0).otherwise(F.size(found) - 1)),
             "text": own_text(text),
         }
-    ).drop("__c", "__t", "__path")
+    ).drop(conv, turn, found)

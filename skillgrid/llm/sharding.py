@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import Scratch, fresh, mix
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -41,23 +41,24 @@ def shard_of(key: Column, shards: int) -> Column:
 def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = 24, rows_per_block: int = 50_000) -> DataFrame:
     """Add ``shard``, ``slot`` (gapless from 0 in its shard) and ``grown_shard`` (with one shard more).
 
-    Slots follow the key's hash and then all other columns. They are counted in two steps, so no
-    task holds a whole shard: rows are ranked in blocks of a shard, and a block starts where the
-    blocks before it end. Only the block counts, one row for each ``rows_per_block`` rows and
-    shard, meet in one place. Rows that repeat get slots of their own; an empty table gives no row.
+    Slots are counted in two steps, so no task holds a whole shard: rows are dealt into blocks of a
+    shard, ranked there by their columns, and a block starts where the blocks before it end. The
+    block is of the whole row and of where it was read, so that neither a key nor a row that repeats,
+    or a null key, fills one block; the rows are written with it, and a lost task finds the same.
+    Only the block counts, one row for each ``rows_per_block`` rows and shard, meet in one place. A
+    null key counts as key 0. Rows that repeat get slots of their own; an empty table gives no row.
     Columns named like the new ones are replaced.
     """
-    from pyspark.sql import Window
-
+    kept = df.drop("shard", "slot", "grown_shard")
+    block, rank, n, start, other, shard = fresh(kept, "block", "rank", "n", "start", "other", "in_shard")
     blocks = max(1, df.count() // (shards * rows_per_block) + 1)
-    keep = [c for c in df.columns if c not in ("shard", "slot", "grown_shard")]
-    placed = df.select(*keep).withColumns({"shard": shard_of(F.col(key), shards), "grown_shard": shard_of(F.col(key), shards + 1)})
-    placed = placed.withColumn("__block", F.pmod(F.xxhash64(F.col(key), F.lit("block")), F.lit(blocks)).cast("int"))
-    sizes = placed.groupBy("shard", "__block").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    order = [c for c, kind in df.dtypes if c in keep and not kind.startswith(("map", "variant"))]
-    rank = F.row_number().over(Window.partitionBy("shard", "__block").orderBy(*order))
-    ranked = placed.withColumn("__rank", rank)
-    out = ranked.join(starts, ["shard", "__block"])
-    return out.select(*keep, "shard", (F.col("__start") + F.col("__rank") - 1).cast("long").alias("slot"), "grown_shard")
+    order = [F.col(f"`{c}`") for c, kind in kept.dtypes if not kind.startswith(("map", "variant"))]
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))
+    placed = kept.withColumns({"shard": shard_of(F.col(key), shards), "grown_shard": shard_of(F.col(key), shards + 1), block: F.pmod(F.xxhash64(*order, spread), F.lit(blocks)).cast("int")})
+    placed = Scratch(df.sparkSession).keep(placed)
+    sizes = placed.groupBy("shard", block).agg(F.count("*").alias(n))
+    before = Window.partitionBy("shard").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("shard").alias(shard), F.col(block).alias(other), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    ranked = placed.withColumn(rank, F.row_number().over(Window.partitionBy("shard", block).orderBy(*order)))
+    out = ranked.join(starts, (F.col("shard") == F.col(shard)) & (F.col(block) == F.col(other)))
+    return out.select(*(F.col(f"`{c}`") for c in kept.columns), "shard", (F.col(start) + F.col(rank) - 1).cast("long").alias("slot"), "grown_shard")

@@ -1,10 +1,12 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import regex
 
 _LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -149,3 +151,41 @@ def jump(key, shards):
 
 def crc(data):
     return zlib.crc32(data)
+
+
+def quality(text, model):
+    """Score of a text by a fitted rule ensemble, from statistics counted here."""
+    t = text or ""
+    n, space = max(len(t), 1), "[ \\t\\n\\x0b\\f\\r]+"
+    words = [w for w in regex.split(space, t) if w]
+    lines = [x for x in t.split("\n") if x.strip(" ")]
+    n_words, n_lines = max(len(words), 1), max(len(lines), 1)
+    count = lambda p: sum(len(m) for m in regex.findall(p, t))
+    x = {
+        "log_chars": math.log1p(n), "letters": count(r"\p{L}+") / n, "upper": count(r"\p{Lu}+") / n, "digits": count("[0-9]+") / n,
+        "symbols": count(r"[^\p{L}\p{N} \t\n\x0b\f\r.,;:'\"-]+") / n, "spaces": count(space) / n, "stops": t.count(".") / n_words,
+        "word_length": (len(t) - count(space)) / n_words, "distinct_words": len(set(words)) / n_words, "distinct_lines": len(set(lines)) / n_lines,
+        "line_words": math.log1p(n_words / n_lines),
+    }
+    v = [x[f] for f in model.features]
+    total = model.bias + sum(slope * min(max(v[f], low), high) for f, slope, low, high in model.linear)
+    total += sum(w for terms, w in model.rules if all((v[f] > cut) == up for f, up, cut in terms))
+    return 1 / (1 + math.exp(-total))
+
+
+def language(text, model, dims=1 << 13):
+    """Language and cosine of the closest centroid, from n-grams counted here."""
+    if not text or not regex.search(r"\p{L}", text):
+        return "und", 0.0
+    raw, found = b" " + text.lower().encode() + b" ", defaultdict(int)
+    for i in range(len(raw) - 1):
+        two = (raw[i] * 257 + raw[i + 1]) % 2**32
+        found[(two * 2246822519 % 2**32) >> 19] += 1
+        if i + 2 < len(raw):
+            three = (two * 2654435761 + raw[i + 2] * 40503) % 2**32
+            found[(three * 2246822519 % 2**32) >> 19] += 1
+    v = np.zeros(dims)
+    for k, n in found.items():
+        v[k] = math.log1p(n) * model.idf[k]
+    cosine = model.centroids @ (v / np.linalg.norm(v))
+    return model.languages[int(cosine.argmax())], float(cosine.max())

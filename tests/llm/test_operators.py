@@ -160,6 +160,16 @@ def test_near_duplicates_of_a_hub_with_many_variants(spark):
     assert all(got[d] == d for d in got if d >= 60000)
 
 
+def test_one_of_each_group_judges_rows(spark):
+    a, b = "a b c d e f g h", "some other words that are long enough"
+    rows = [(0, a), (1, a), (1, b), (1, b), (None, a), (3, None), (4, ""), (5, b + " x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"gone__0": F.lit(1), "own": F.lit(2), "id": F.lit(3)})
+    out = minhash_forest.one_of_each_group(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([rows[0], *rows[2:]], key=str)
+    assert minhash_forest.one_of_each_group(docs.where("false")).count() == 0
+
+
 def test_near_duplicates_null_ids_and_repeated_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, "A B c d e f"), (4, "zz")]
     got = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -169,12 +179,25 @@ def test_near_duplicates_null_ids_and_repeated_rows(spark):
 def test_substring_dedup(docs, texts):
     import hashlib
 
-    for common in (2, 64):  # through single windows, and through automata
+    for common in (1, 64):  # through single windows, and through automata
         got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.remove_repeats(docs, common=common).collect()}
         assert got == brute.repeats(texts)
     assert substring_dedup.remove_repeats(empty(docs)).count() == 0
 
 
+def test_substring_dedup_of_periodic_texts_and_repeated_rows(spark):
+    import hashlib
+
+    rng = random.Random(3)
+    texts = [(k, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 90)))) for k in range(40)]
+    texts += [(50, "a b c d e " * 5), (51, "z " * 4000), (52, "é\u00a0x " * 30), (53, " ".join(f"k{k % 23}" for k in range(300)))]
+    df = spark.createDataFrame([*texts, *texts[:5], *[texts[-2]] * 50], "doc_id long, text string").repartition(3)
+    for common in (1, 64):
+        rows = substring_dedup.remove_repeats(df, common=common).collect()
+        assert len(rows) == len(texts) + 55
+        assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in rows} == brute.repeats(texts)
+
+
 def test_suffix_automaton_matching_statistics():
     rng = random.Random(1)
     automaton, before = substring_dedup.SuffixAutomaton(), []
@@ -227,6 +250,16 @@ def test_tally_counts_ranges_with_class_sizes():
     assert tally.links().tolist() == [4, 5, 0, 4, 4] and tally.joined().tolist() == [0, 0, 2, 0, 0]
 
 
+def test_decontamination_judges_rows(spark):
+    item = " ".join(f"q{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, "x " + item), (1, "clean text of another row"), (None, item), (2, None), (2, "")], "doc_id long, text string").withColumn("__hit", F.lit("mine"))
+    bench = spark.createDataFrame([(7, item), (7, item), (8, "one two")], "item_id long, text string")
+    out = decontaminate.remove_contaminated(docs, bench)
+    assert out.columns == docs.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, "clean text of another row"), (None, item), (2, None), (2, "")], key=str)
+    assert decontaminate.contained_items(docs.where("doc_id = 1"), bench).count() == 1
+    assert decontaminate.remove_contaminated(docs.where("false"), bench).count() == 0 and decontaminate.remove_contaminated(docs, bench.where("false")).count() == 5
+
+
 def test_decontamination(spark, docs, texts):
     rng = random.Random(9)
     items = [(0, texts[1][1]), (1, " ".join((texts[2][1] or "").split()[:9])), (2, "one TWO"), (3, None), (4, ""), (5, " ".join(passage(rng, 30))), (6, " ".join((texts[421 + 4][1]).split()[500:560]))]
@@ -254,6 +287,11 @@ def test_sharding(spark):
     odd = spark.createDataFrame([(None,), (None,), (7,), (7,)], "doc_id long")
     assert sharding.assign_shards(odd).count() == 4
     assert sharding.assign_shards(odd.where("false")).count() == 0
+    hot = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("s").alias("__start"), F.lit("b").alias("block__0"), (F.col("id") % 3).alias("Rank__1"))
+    out = sharding.assign_shards(hot, rows_per_block=5)
+    assert out.columns == ["doc_id", "__start", "block__0", "Rank__1", "shard", "slot", "grown_shard"]
+    got = out.collect()
+    assert sorted(r.slot for r in got) == list(range(3000)) and {r["__start"] for r in got} == {"s"}
 
 
 def test_quality(spark):
@@ -267,6 +305,14 @@ def test_quality(spark):
     assert all((out[i] >= 0.5) == bool(y) for i, _, y in rows if i % 3 == 1)
     assert all(0 <= s <= 1 for s in out.values()) and out[900] == out[901]
     assert len(model.rules) < 200 and model.describe()
+    odd = [(k, t) for k, t in enumerate([None, "", "   ", "\n\n", "é È 12,5 % a\u00a0b", "x" * 5000, "one.\ntwo.\n two.\nTWO"])]
+    texts = rows[:20] + rows[200:220] + [(1000 + k, t, None) for k, t in odd] + [(1, good[1], 1)] * 3
+    plain = spark.createDataFrame(texts, "doc_id long, text string, letters__0 int").withColumn("__q_letters", F.lit("mine"))
+    scored = quality.score(plain, model)
+    assert scored.columns == ["doc_id", "text", "letters__0", "__q_letters", "score"]
+    assert all(abs(r.score - brute.quality(r.text, model)) < 1e-9 and r["__q_letters"] == "mine" for r in scored.collect()) and scored.count() == len(texts)
+    small = quality.fit(df, sample=40)
+    assert quality.fit(df.repartition(3), sample=40) == small  # which rows are learnt from doesn't depend on tasks
     flat = quality.fit(df.where("label = 1"))
     assert all(0 <= r.score <= 1 for r in quality.score(df, flat).collect())
     assert all(0 <= r.score <= 1 for r in quality.score(df, quality.fit(df.where("false"))).collect())
@@ -283,6 +329,16 @@ def test_language(spark):
     assert out[900] == out[901] == out[902] == ("und", 0.0)
     far = {r.doc_id: r.lang_pred for r in language.identify(df, model, reject_below=1.1).collect()}
     assert set(far.values()) == {"und"}
+    texts = [(k, t) for k, t in enumerate([rows[0][1], rows[0][1], rows[1][1], "über der schein " * 3000, "the", "Être ÉAU", "日本", "a"])]
+    near = language.identify(spark.createDataFrame(texts, "doc_id long, text string").withColumns({"said__0": F.lit("mine"), "lang_pred": F.lit("old")}), model)
+    assert near.columns == ["doc_id", "text", "said__0", "lang_pred", "score"]
+    for r in near.collect():
+        name, score = brute.language(r.text, model)
+        assert r.lang_pred == name and abs(r.score - score) < 1e-4
+    far = {r.doc_id: r.lang_pred for r in language.identify(df.unionByName(spark.createDataFrame([(950, "zzqx jjvk wwyp " * 9, None)], df.schema)), model, reject_far=True).collect()}
+    assert far[950] == "und" and sum(far[i] == k for i, _, k in rows) >= 0.9 * len(rows)
+    hot = df.unionByName(spark.createDataFrame([(5000 + k, rows[0][1], "en") for k in range(2000)], df.schema))
+    assert set(language.fit(hot, per_language=20).languages) == set(words)
     none = language.identify(df, language.fit(df.where("false"))).collect()
     assert {r.lang_pred for r in none} == {"und"}
 
@@ -370,6 +426,17 @@ def test_pipeline(spark, texts, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
 
 
+def test_held_out_accuracy(spark):
+    """On whole tables of the small scale: what the queries predict for documents they did not learn from."""
+    base = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{base}/labels.parquet").select("doc_id", "quality")
+    right = queries.op3_quality(spark, base).where("held_out").join(labels, "doc_id").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]
+    assert right >= 0.97
+    langs = spark.read.parquet(f"{base}/documents.parquet").where("lang is not null").select("doc_id", "lang")
+    right = queries.op8_language_id(spark, base).where("held_out and lang_pred <> 'und'").join(langs, "doc_id").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0]
+    assert right >= 0.95
+
+
 def test_folds():
     assert zlib.crc32(b"17") % 3 in (0, 1, 2)
 
