@@ -11,9 +11,14 @@ from skillgrid.llm.queries import fitted_quality, tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is under 0.5 go."""
+    """Documents whose score is under 0.5 go.
+
+    Null and empty texts are scored as an empty text; rows that repeat are judged alike. An empty
+    table gives no row; all columns stay, whatever their names.
+    """
     model = fitted_quality(spark, sf_dir)
-    return quality.score(docs, model, out="__score").where(F.col("__score") >= 0.5).select(*docs.columns)
+    (score,) = fresh(docs, "score")
+    return quality.score(docs, model, out=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,18 +37,23 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    gone = minhash_forest.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One document of each near-duplicate group stays, that with the smallest doc_id.
+
+    Documents are told apart by id and text. Null ids and texts without words stay; an empty table gives no row.
+    """
+    return minhash_forest.one_of_each_group(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go, whatever else has their id.
+
+    Null ids and null or empty texts stay; an empty table, or one of items, changes nothing.
+    """
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, tokenised and packed."""
+    """What is left, tokenised and packed; a null or empty text is the end id alone, rows that repeat are packed as often."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
