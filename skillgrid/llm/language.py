@@ -96,8 +96,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language
         df[i] = n
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
 
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    shares = known.sparkSession.createDataFrame([(r.lang, min(1.0, per_language / r.n)) for r in sizes], "lang string, share double")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("text").alias("texts")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    shares = known.sparkSession.createDataFrame([(r.lang, min(1.0, 1.2 * per_language / r.texts)) for r in sizes], "lang string, share double")
     pick = F.xxhash64("text")
     unit = F.pmod(pick, F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = known.join(F.broadcast(shares), "lang").where(unit < F.col("share")).select("lang", "text", pick.alias("pick"))  # at most most_languages rows are broadcast
