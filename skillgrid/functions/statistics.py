@@ -55,10 +55,12 @@ def statistics() -> list[Statistic]:
 
 
 def all_sums(registered: list[Statistic] | None = None) -> dict[str, Column]:
+    """Sums of all statistics, equal ones once; two different sums under one name are an error."""
     out: dict[str, Column] = {}
     for s in registered if registered is not None else statistics():
         for name, expr in s.sums.items():
-            out.setdefault(name, expr)
+            if str(out.setdefault(name, expr)) != str(expr):
+                raise ValueError(f"two statistics have different sums called {name}")
     return out
 
 

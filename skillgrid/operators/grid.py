@@ -36,11 +36,16 @@ def axis_arrays(axes: DataFrame) -> DataFrame:
     return edges(axes).groupBy("model").agg(axis("lat").alias("lats"), axis("lon").alias("lons"))
 
 
-def affine(lats: Column, lons: Column) -> Column:
-    """Six-value transform ``a, b, c, d, e, f`` of centre axes: corner at half a cell before the first centre."""
-    a = lons[1] - lons[0]
-    e = lats[1] - lats[0]
-    return F.array(a, F.lit(0.0), lons[0] - a / 2, F.lit(0.0), e, lats[0] - e / 2)
+def affine(lats: str, lons: str) -> Column:
+    """Six-value transform ``a, b, c, d, e, f`` of centre axes: corner at half a cell before the first centre; a single cell is 1 wide."""
+
+    def axis(name: str) -> tuple[Column, Column]:
+        first = F.get(F.col(name), F.lit(0))
+        step = F.coalesce(F.get(F.col(name), F.lit(1)) - first, F.lit(1.0))
+        return step, first - step / 2
+
+    (a, c), (e, f) = axis(lons), axis(lats)
+    return F.array(a, F.lit(0.0), c, F.lit(0.0), e, f)
 
 
 def wrap_longitudes(axis: DataFrame) -> DataFrame:

@@ -1,44 +1,79 @@
 """Incremental upkeep of accumulators, with late observations.
 
-The ledger has one row for each model, init date and lead that was paired, so an observation
-that comes after its forecast was processed is picked up by the next run. The result is that of
-computing all anew.
+The ledger has the runs of cells that were paired, for each model, init date and lead (one row
+where a whole grid came at once), so an observation that comes after its forecast was processed,
+or a part of a day that comes after another part, is picked up by the next run. Forecasts that
+the ledger covers leave before they meet observations. The result is that of computing all anew.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pairing import KEYS, accumulate, add_up
+from ..functions.statistics import Statistic
+from ..sources.scratch import Scratch
+from .pairing import KEYS, accumulate, add_up, pairs
 
 LEDGER = ["model", "init_date", "lead"]
 
 
-def update(stored: DataFrame | None, ledger: DataFrame | None, paired: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New accumulators and ledger after adding the pairs whose init and lead the ledger lacks."""
-    new = paired if ledger is None else paired.join(ledger, LEDGER, "left_anti")
-    acc = accumulate(new)
-    done = new.select(*LEDGER).distinct()
+def runs_of_cells(paired: DataFrame) -> DataFrame:
+    """``model, init_date, lead, first_cell, last_cell``: the cells of each init and lead, put together where they follow each other."""
+    cells = paired.select(*LEDGER, "cell_id").distinct()
+    island = F.col("cell_id") - F.row_number().over(Window.partitionBy(*LEDGER).orderBy("cell_id"))
+    return cells.withColumn("island", island).groupBy(*LEDGER, "island").agg(F.min("cell_id").alias("first_cell"), F.max("cell_id").alias("last_cell")).drop("island")
+
+
+def update(stored: DataFrame | None, ledger: DataFrame | None, forecast: DataFrame, observation: DataFrame, registered: list[Statistic] | None = None) -> tuple[DataFrame, DataFrame]:
+    """New accumulators and ledger after adding the pairs whose init, lead and cell the ledger lacks."""
+    if ledger is not None:
+        f, done = forecast.alias("f"), ledger.alias("done")
+        same = [F.col(f"f.{c}") == F.col(f"done.{c}") for c in LEDGER]
+        forecast = f.join(done, [*same, F.col("f.cell_id").between(F.col("done.first_cell"), F.col("done.last_cell"))], "left_anti")
+    new = Scratch(forecast.sparkSession).keep(pairs(forecast, observation))
+    acc, done = accumulate(new, registered), runs_of_cells(new)
     if stored is None:
         return acc, done
-    return add_up(stored.unionByName(acc), KEYS), ledger.unionByName(done)
+    return add_up(stored.unionByName(acc), KEYS, registered), ledger.unionByName(done)
+
+
+def write_version(acc: DataFrame, ledger: DataFrame, root: str, version: str) -> None:
+    """A new version of both tables beside the old ones, and then the row that makes it the current one."""
+    acc.write.parquet(f"{root}/{version}/acc")
+    ledger.write.parquet(f"{root}/{version}/ledger")
+    acc.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("ts")).write.mode("append").parquet(f"{root}/current")
+
+
+def current_version(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Accumulators and ledger of the version that was made current last."""
+    version = spark.read.parquet(f"{root}/current").orderBy(F.desc("ts")).first().version
+    return spark.read.parquet(f"{root}/{version}/acc"), spark.read.parquet(f"{root}/{version}/ledger")
 
 
-def can_update(ledger: DataFrame | None, stored: DataFrame | None, lead_range: tuple[int, int], seen_range: tuple[int, int], tag: str, seen_tag: str) -> bool:
-    """Whether stored sums may be added to; otherwise all is computed anew."""
-    if ledger is None or stored is None or lead_range != seen_range or tag != seen_tag:
+def can_update(ledger: DataFrame | None, stored: DataFrame | None, models: DataFrame, seen: DataFrame | None, tag: str) -> bool:
+    """Whether stored sums may be added to; otherwise all is computed anew.
+
+    ``seen`` has ``model, lead_min, lead_max, tag`` as they were when the sums were stored; ``models`` is the model dimension.
+    """
+    if ledger is None or stored is None or seen is None:
+        return False
+    now = models.select("model", "lead_min", "lead_max", F.lit(tag).alias("tag"))
+    if not now.exceptAll(seen.select(*now.columns)).isEmpty():
         return False
-    wanted = list(range(lead_range[0], lead_range[1] + 1))
-    gaps = completeness(stored, wanted).where("n_missing > 0")
-    return not gaps.limit(1).count()
+    return completeness(stored, models).where("n_missing > 0").isEmpty()
 
 
-def completeness(acc: DataFrame, wanted: list[int]) -> DataFrame:
-    """``model, month, missing, n_missing``: leads that a month's sums lack."""
-    leads = acc.select("model", "month", "lead").distinct().groupBy("model", "month").agg(F.collect_set("lead").alias("found"))
-    missing = F.array_sort(F.array_except(F.array(*(F.lit(x) for x in wanted)), F.col("found")))
-    return leads.select("model", "month", missing.alias("missing"), F.size(missing).alias("n_missing"))
+def completeness(acc: DataFrame, models: DataFrame) -> DataFrame:
+    """``model, month, missing, n_missing``: leads of a model's range that a month's sums lack.
+
+    A model without any sums lacks all of its leads, in a row with a null month.
+    """
+    found = acc.groupBy("model", "month").agg(F.collect_set("lead").alias("found"))
+    wanted = F.broadcast(models.select("model", F.sequence("lead_min", "lead_max").alias("wanted")))  # a fixed dimension
+    both = found.join(wanted, "model", "right")
+    missing = F.array_sort(F.array_except("wanted", F.coalesce("found", F.array().cast("array<int>"))))
+    return both.select("model", "month", missing.alias("missing"), F.size(missing).alias("n_missing"))
 
 
 def shape_snapshot(log: DataFrame) -> DataFrame:

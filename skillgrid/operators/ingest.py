@@ -9,11 +9,16 @@ from ..functions.scalars import status_key
 
 
 def inventory(lines: DataFrame) -> DataFrame:
-    """``file, line_no, begin, variable, level, accumulation, extra, end``: ``end`` is the byte before the next line's, null on the last."""
+    """``file, line_no, begin, variable, level, accumulation, extra, end``: ``end`` is the byte before the next line's, null on the last.
+
+    Fields are trimmed; lines of less than six are left out after they ended the line before.
+    """
     p = F.split("line", ":")
-    begin = p[1].cast("long")
+    part = lambda k: F.trim(F.get(p, F.lit(k)))
+    begin = part(1).try_cast("long")
     after = F.lead(begin).over(Window.partitionBy("file").orderBy("line_no"))
-    return lines.select("file", "line_no", begin.alias("begin"), p[3].alias("variable"), p[4].alias("level"), p[5].alias("accumulation"), F.get(p, F.lit(6)).alias("extra"), (after - 1).alias("end"))
+    named = {"variable": part(3), "level": part(4), "accumulation": part(5), "extra": part(6)}
+    return lines.select("file", "line_no", F.size(p).alias("parts"), begin.alias("begin"), *(v.alias(k) for k, v in named.items()), (after - 1).alias("end")).where("parts >= 6").drop("parts")
 
 
 def byte_ranges(lines: DataFrame, variable: str, level: str, accumulation: Column | None = None) -> DataFrame:

@@ -36,11 +36,12 @@ def accumulate(paired: DataFrame, registered: list[Statistic] | None = None) ->
     return paired.groupBy("model", F.month("valid_date").alias("month"), "lead", "cell_id").agg(*sums)
 
 
-def add_up(acc: DataFrame, keys: list[str]) -> DataFrame:
-    return acc.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in acc.columns if c in sum_names()))
+def add_up(acc: DataFrame, keys: list[str], registered: list[Statistic] | None = None) -> DataFrame:
+    """Sums of sums by fewer keys; ``registered`` names those of statistics that are not built in."""
+    return acc.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sum_names(registered) if c in acc.columns))
 
 
-def by_period(acc: DataFrame, periods: tuple[str, ...] = ("monthly", "seasonal", "yearly")) -> DataFrame:
+def by_period(acc: DataFrame, periods: tuple[str, ...] = ("monthly", "seasonal", "yearly"), registered: list[Statistic] | None = None) -> DataFrame:
     """Sums by ``period, period_key`` from month sums in one aggregation: months, seasons over all years, and the year."""
     each = {
         "monthly": F.struct(F.lit("monthly").alias("period"), month_key(F.col("month")).alias("period_key")),
@@ -48,15 +49,15 @@ def by_period(acc: DataFrame, periods: tuple[str, ...] = ("monthly", "seasonal",
         "yearly": F.struct(F.lit("yearly").alias("period"), F.lit("").alias("period_key")),
     }
     rows = acc.withColumn("p", F.explode(F.array(*(each[p] for p in periods)))).select("*", "p.period", "p.period_key")
-    return add_up(rows, ["model", "period", "period_key", "lead", "cell_id"])
+    return add_up(rows, ["model", "period", "period_key", "lead", "cell_id"], registered)
 
 
-def by_window(sums: DataFrame, windows: DataFrame) -> DataFrame:
+def by_window(sums: DataFrame, windows: DataFrame, registered: list[Statistic] | None = None) -> DataFrame:
     """Sums over lead windows, of slices that have every lead of the window. ``windows`` is a fixed dimension."""
     keys = ["model", "period", "period_key"]
     within = sums.join(F.broadcast(windows), "model").where(F.col("lead").between(F.col("start"), F.col("end")))
     whole = within.groupBy(*keys, "lead_key").agg(F.count_distinct("lead").alias("found"), F.first(F.col("end") - F.col("start") + 1).alias("wanted")).where("found = wanted")
-    return add_up(within, [*keys, "lead_key", "cell_id"]).join(whole.select(*keys, "lead_key"), [*keys, "lead_key"], "left_semi")
+    return add_up(within, [*keys, "lead_key", "cell_id"], registered).join(whole.select(*keys, "lead_key"), [*keys, "lead_key"], "left_semi")
 
 
 def finalize(sums: DataFrame, registered: list[Statistic] | None = None, names: list[str] | None = None) -> DataFrame:
@@ -68,11 +69,18 @@ def finalize(sums: DataFrame, registered: list[Statistic] | None = None, names:
     return sums.select(*keys, F.col("n").alias("sample_count"), F.explode(rows).alias("s")).select(*keys, "s.statistic", "s.value", "sample_count")
 
 
-def layers(acc: DataFrame, windows: DataFrame, periods: tuple[str, ...] = ("monthly", "seasonal", "yearly"), names: list[str] | None = None) -> DataFrame:
+def finalize_wide(sums: DataFrame, registered: list[Statistic] | None = None) -> DataFrame:
+    """The key columns, a column for each statistic, and ``sample_count``: one row where ``finalize`` has several."""
+    cols = {c: F.col(c) for c in sums.columns}
+    keys = [c for c in sums.columns if c not in sum_names(registered)]
+    return sums.select(*keys, *(s.finalize(cols).alias(s.name) for s in (registered if registered is not None else statistics())), F.col("n").alias("sample_count"))
+
+
+def layers(acc: DataFrame, windows: DataFrame, periods: tuple[str, ...] = ("monthly", "seasonal", "yearly"), names: list[str] | None = None, registered: list[Statistic] | None = None) -> DataFrame:
     """The published table: every period by lead day and by lead window."""
-    sums = by_period(acc, periods)
+    sums = by_period(acc, periods, registered)
     days = sums.withColumn("lead_key", F.col("lead").cast("string")).drop("lead")
-    return finalize(days.unionByName(by_window(sums, windows)), names=names)
+    return finalize(days.unionByName(by_window(sums, windows, registered)), registered, names)
 
 
 def daily_from_buckets(buckets: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import interpolate
@@ -26,6 +26,19 @@ def curve_summary(means: DataFrame) -> DataFrame:
     return known.withColumn("slope", F.try_divide(F.col("last_value") - F.col("first_value"), (F.col("last_lead") - F.col("first_lead")).cast("double")))
 
 
+def at_lead(means: DataFrame, at: Column) -> DataFrame:
+    """Curves at the lead ``at`` (a number or a column of ``means``), between the leads on both sides; clamped to the first and last lead.
+
+    A missing side takes the value of the other. Regions, models and statistics are one row each for each ``at``.
+    """
+    keys = ["region_id", "model", "statistic"]
+    own = Window.partitionBy(*keys)
+    rows = means.withColumn("at", F.greatest(F.least(at.cast("double"), F.max("lead").over(own).cast("double")), F.min("lead").over(own).cast("double")))
+    below, above = F.col("lead") == F.floor("at"), F.col("lead") == F.ceil("at")
+    ends = rows.where(below | above).groupBy(*keys, "at").agg(F.max(F.when(below, F.col("value"))).alias("low"), F.max(F.when(above, F.col("value"))).alias("high"))
+    return ends.select(*keys, "at", interpolate(F.col("low"), F.col("high"), F.col("at") - F.floor("at")).alias("value"))
+
+
 def at_fraction(means: DataFrame, step: float) -> DataFrame:
     """Curves at lead + ``step`` (0 to 1), on an axis that has every lead; clamped at its end."""
     w = Window.partitionBy("region_id", "model", "statistic").orderBy("lead")

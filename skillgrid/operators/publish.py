@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blend_weight, position, rgba
@@ -27,6 +27,15 @@ def legend_ranges(layers: DataFrame, spec: DataFrame, mode: str = "export", keys
     return found.select(*keys, "colormap", out_low.alias("low"), out_high.alias("high"))
 
 
+LAYER = ["model", "statistic", "period", "period_key", "lead_key"]
+
+
+def not_rendered(layers: DataFrame, ledger: DataFrame, force: bool = False) -> DataFrame:
+    """Keys of layers that the ledger of rendered ones lacks; all with ``force``."""
+    keys = layers.select(*LAYER).distinct()
+    return keys if force else keys.join(ledger, LAYER, "left_anti")
+
+
 def land_mask(observation: DataFrame) -> DataFrame:
     """Cells that an observation ever covered."""
     return observation.where("value is not null").select(*[c for c in ("model", "cell_id") if c in observation.columns]).distinct()
@@ -49,8 +58,11 @@ def blended(pixel_rows: DataFrame, lead: Column, keys: list[str]) -> DataFrame:
     """Two leads' pixels blended at a fractional lead on premultiplied channels; the weight has 64 steps.
 
     ``lead`` is a column of the rows. Rows of the lead below and above it are summed with their
-    weights, so no self-join is needed; the lead is clamped to what the rows have.
+    weights, so no self-join is needed; the lead is clamped to the least and greatest lead that a pixel has.
     """
+    own = Window.partitionBy(*keys)
+    pixel_rows = pixel_rows.withColumns({"first_lead": F.min("lead").over(own), "last_lead": F.max("lead").over(own)})
+    lead = F.greatest(F.least(lead, F.col("last_lead").cast("double")), F.col("first_lead").cast("double"))
     weight = blend_weight(lead - F.floor(lead))
     share = F.when(F.col("lead") == F.floor(lead), 1 - weight).when(F.col("lead") == F.floor(lead) + 1, weight)
     near = pixel_rows.withColumn("w", share).where("w is not null")

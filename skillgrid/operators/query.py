@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import loss, month_key, resolve_model, season_of, winner_metric
-from .regions import exploded
+
+
+def _sets(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Regions with a key of their cells, and the cells of each key once: regions with the same cells are aggregated once."""
+    keyed = cells.select("region_id", "model", F.xxhash64("cells").alias("set_a"), F.xxhash64(F.lit(1), "cells").alias("set_b"), "cells")
+    return keyed.drop("cells"), keyed.drop("region_id").distinct().select("model", "set_a", "set_b", F.explode("cells").alias("cell_id"))
 
 
 def region_means(stats: DataFrame, cells: DataFrame) -> DataFrame:
@@ -15,40 +20,78 @@ def region_means(stats: DataFrame, cells: DataFrame) -> DataFrame:
     ``cells``: ``region_id, model, cells``. Cells are joined before anything else, so a layer's
     other cells are never dealt out.
     """
-    joined = stats.join(exploded(cells), ["model", "cell_id"])
-    keys = ["region_id", "model", "statistic", "period", "period_key", "lead_key"]
-    return joined.groupBy(*keys).agg(F.avg("value").alias("value"), F.count("value").alias("n_cells"))
+    regions, sets = _sets(cells)
+    layer = ["statistic", "period", "period_key", "lead_key"]
+    means = stats.join(sets, ["model", "cell_id"]).groupBy("model", "set_a", "set_b", *layer).agg(F.avg("value").alias("value"), F.count("value").alias("n_cells"))
+    return regions.join(means, ["model", "set_a", "set_b"]).select("region_id", "model", *layer, "value", "n_cells")
+
+
+def region_summary(wide: DataFrame, cells: DataFrame, statistics: list[str]) -> DataFrame:
+    """One row for each region, model, lead and other key of ``wide`` (a column for each statistic): means and losses of all statistics.
+
+    ``{s}``, ``{s}_loss`` and ``{s}_n`` are the mean, the mean loss and the number of values of statistic ``s``.
+    """
+    regions, sets = _sets(cells)
+    keys = [c for c in wide.columns if c not in (*statistics, "sample_count", "cell_id", "model")]
+    each = [e for s in statistics for e in (F.avg(s).alias(s), F.avg(loss(F.lit(s), F.col(s))).alias(f"{s}_loss"), F.count(s).alias(f"{s}_n"))]
+    means = wide.join(sets, ["model", "cell_id"]).groupBy("model", "set_a", "set_b", *keys).agg(*each)
+    return regions.join(means, ["model", "set_a", "set_b"]).drop("set_a", "set_b")
 
 
-def all_leads(stats: DataFrame, cells: DataFrame, models: DataFrame, statistics: list[str]) -> DataFrame:
-    """Every lead of a model's range for each region and statistic; leads without a layer have no data."""
-    means = region_means(stats.where(F.col("statistic").isin(statistics)), cells)
-    wanted = cells.select("region_id", "model").join(F.broadcast(models.select("model", F.explode(F.sequence("lead_min", "lead_max")).alias("lead"))), "model")
-    wanted = wanted.withColumn("statistic", F.explode(F.array(*(F.lit(s) for s in statistics)))).withColumn("lead_key", F.col("lead").cast("string"))
-    out = wanted.join(means, ["region_id", "model", "statistic", "lead_key"], "left")
-    return out.select("region_id", "model", "statistic", "lead", "value", F.col("value").isNull().alias("no_data"))
+def _wanted(cells: DataFrame, models: DataFrame) -> DataFrame:
+    return cells.select("region_id", "model").join(F.broadcast(models.select("model", F.explode(F.sequence("lead_min", "lead_max")).alias("lead"))), "model")  # a fixed dimension
 
 
-def region_losses(stats: DataFrame, cells: DataFrame) -> DataFrame:
-    joined = stats.join(exploded(cells), ["model", "cell_id"])
-    keys = ["region_id", "model", "statistic", "lead_key"]
-    return joined.groupBy(*keys).agg(F.avg(loss(F.col("statistic"), F.col("value"))).alias("loss"))
+def curves(summary: DataFrame, cells: DataFrame, models: DataFrame, statistics: list[str]) -> DataFrame:
+    """Every lead of a model's range for each region and statistic, from one period's summary; leads without a layer have no data."""
+    means = F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in statistics))
+    out = _wanted(cells, models).join(summary, ["region_id", "model", "lead"], "left").select("region_id", "model", "lead", F.explode(means).alias("m"))
+    return out.select("region_id", "model", "m.statistic", "lead", "m.value", F.col("m.value").isNull().alias("no_data"))
+
+
+def region_losses(summary: DataFrame, statistics: list[str]) -> DataFrame:
+    """A row for each statistic of a summary, with the keys of the summary."""
+    keys = [c for c in summary.columns if not any(c in (s, f"{s}_loss", f"{s}_n") for s in statistics)]
+    losses = F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(f"{s}_loss").alias("loss")) for s in statistics))
+    return summary.select(*keys, F.explode(losses).alias("l")).select(*keys, "l.statistic", "l.loss")
 
 
 def lead_winners(losses: DataFrame, places: int | None = None) -> DataFrame:
-    """The model with the least loss for each region, statistic and lead; the first by name on ties.
+    """The model with the least loss for each region, statistic, lead and period; the first by name on ties.
 
     Leads without any loss are left out. ``places`` rounds losses before they are compared.
     """
     value = F.col("loss") if places is None else F.round("loss", places)
-    best = losses.where("loss is not null").groupBy("region_id", "statistic", "lead_key").agg(F.min(F.struct(value.alias("loss"), F.col("model"))).alias("b"), F.count("*").alias("n_models"))
-    return best.select("region_id", "statistic", F.col("lead_key").cast("int").alias("lead"), F.col("b.model").alias("model"), F.col("b.loss").alias("loss"), "n_models", winner_metric(F.col("statistic")).alias("metric"))
+    keys = [c for c in losses.columns if c not in ("model", "loss")]
+    best = losses.where("loss is not null").groupBy(*keys).agg(F.min(F.struct(value.alias("loss"), F.col("model"))).alias("b"), F.count("*").alias("n_models"))
+    return best.select(*keys, F.col("b.model").alias("model"), F.col("b.loss").alias("loss"), "n_models", winner_metric(F.col("statistic")).alias("metric"))
 
 
 def forecasts(latest: DataFrame, cells: DataFrame, models: DataFrame) -> DataFrame:
     """Mean forecast of every model and integer lead of its range for each region."""
-    layers = latest.select("model", "cell_id", "value", F.lit("forecast").alias("statistic"), F.lit("latest").alias("period"), F.lit("").alias("period_key"), F.col("lead").cast("string").alias("lead_key"))
-    return all_leads(layers, cells, models, ["forecast"]).drop("statistic")
+    regions, sets = _sets(cells)
+    means = latest.join(sets, ["model", "cell_id"]).groupBy("model", "set_a", "set_b", "lead").agg(F.avg("value").alias("value"))
+    found = regions.join(means, ["model", "set_a", "set_b"]).select("region_id", "model", "lead", "value")
+    return _wanted(cells, models).join(found, ["region_id", "model", "lead"], "left").select("region_id", "model", "lead", "value", F.col("value").isNull().alias("no_data"))
+
+
+PERIODS, REGION_TYPES = ("yearly", "monthly", "seasonal"), ("point", "rectangle", "polygon")
+
+
+def _region_error(requests: DataFrame) -> Column:
+    """The rule on a request's region; its type is held against the known ones where the table has it."""
+    known = F.coalesce(F.col("region_type").isin(*REGION_TYPES), F.lit(False)) if "region_type" in requests.columns else F.lit(True)
+    return F.when(~known, "unknown region type").when(F.col("region_id").isNull(), "no region")
+
+
+def _period_key(month: int) -> Column:
+    """The asked month or season, or that of the current ``month``."""
+    now = F.lit(month)
+    return F.when(F.col("period") == "monthly", F.coalesce("month", month_key(now))).when(F.col("period") == "seasonal", F.coalesce("season", season_of(now))).otherwise("")
+
+
+def _period_error() -> Column:
+    return F.when(~F.coalesce(F.col("period"), F.lit("yearly")).isin(*PERIODS), "unknown period")
 
 
 def validated(requests: DataFrame, models: list[str], statistics: list[str]) -> DataFrame:
@@ -57,10 +100,10 @@ def validated(requests: DataFrame, models: list[str], statistics: list[str]) ->
     known = F.size(F.array_except(F.coalesce("statistics", F.array().cast("array<string>")), F.array(*(F.lit(s) for s in statistics)))) == 0
     one, span = F.col("lead").isNotNull(), F.col("min_lead").isNotNull() | F.col("max_lead").isNotNull()
     error = (
-        F.when(~F.coalesce(F.col("period"), F.lit("yearly")).isin("yearly", "monthly", "seasonal"), "unknown period")
+        F.when(_period_error().isNotNull(), _period_error())
+        .when(_region_error(requests).isNotNull(), _region_error(requests))
         .when(~model.isin(models), "unknown model")
         .when(~known, "unknown statistic")
-        .when(F.col("region_id").isNull(), "no region")
         .when(one == span, "either a lead or a range of leads")
         .when(span & (F.col("min_lead").isNull() | F.col("max_lead").isNull()), "a range needs both ends")
         .when(span & (F.col("min_lead") > F.col("max_lead")), "range of leads ends before it begins")
@@ -68,14 +111,18 @@ def validated(requests: DataFrame, models: list[str], statistics: list[str]) ->
     return requests.withColumns({"model": model, "error": error})
 
 
+def labelled(answers: DataFrame, spec: DataFrame) -> DataFrame:
+    """Adds ``label`` and ``units`` of the statistic. ``spec`` is the statistic dimension."""
+    return answers.join(F.broadcast(spec.select("statistic", "label", "units")), "statistic", "left")
+
+
 def run_requests(requests: DataFrame, stats: DataFrame, cells: DataFrame, models: list[str], statistics: list[str], month: int) -> tuple[DataFrame, DataFrame]:
     """Answers and rejects of a request table. ``month`` is the current month, for requests that name none."""
     checked = validated(requests, models, statistics)
-    now = F.lit(month)
     ok = checked.where("error is null").withColumns(
         {
             "period": F.coalesce("period", F.lit("yearly")),
-            "period_key": F.when(F.col("period") == "monthly", F.coalesce("month", month_key(now))).when(F.col("period") == "seasonal", F.coalesce("season", season_of(now))).otherwise(""),
+            "period_key": _period_key(month),
             "statistic": F.explode(F.when(F.size("statistics") > 0, F.col("statistics")).otherwise(F.array(*(F.lit(s) for s in statistics)))),
         }
     )
@@ -84,3 +131,27 @@ def run_requests(requests: DataFrame, stats: DataFrame, cells: DataFrame, models
     means = region_means(stats, cells)
     out = asked.join(means, ["region_id", "model", "period", "period_key", "statistic", "lead_key"], "left")
     return out.select("request_id", "region_id", "model", "period", "period_key", "statistic", "lead_key", "value", F.col("value").isNull().alias("no_data")), checked.where("error is not null").select("request_id", "error")
+
+
+def run_winner_requests(requests: DataFrame, losses: DataFrame, statistics: list[str], month: int, places: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Best model for each lead of a request's range, and rejects. ``losses`` cover all periods; ``forecast`` has no loss."""
+    error = (
+        F.when(_period_error().isNotNull(), _period_error())
+        .when(_region_error(requests).isNotNull(), _region_error(requests))
+        .when(F.col("statistic") == "forecast", "forecast has no winners")
+        .when(~F.coalesce(F.col("statistic").isin(statistics), F.lit(False)), "unknown statistic")
+        .when(F.col("min_lead").isNull() | F.col("max_lead").isNull() | (F.least("min_lead", "max_lead") < 0), "a range needs both ends")
+        .when(F.col("min_lead") > F.col("max_lead"), "range of leads ends before it begins")
+    )
+    checked = requests.withColumn("error", error)
+    ok = checked.where("error is null").withColumns({"period": F.coalesce("period", F.lit("yearly")), "period_key": _period_key(month)})
+    best = lead_winners(losses, places)
+    found = ok.join(best, ["region_id", "statistic", "period", "period_key"]).where(F.col("lead").between(F.col("min_lead"), F.col("max_lead")))
+    return found.select("request_id", "region_id", "statistic", "period", "period_key", "lead", "model", "loss", "n_models", "metric"), checked.where("error is not null").select("request_id", "error")
+
+
+def run_forecast_requests(requests: DataFrame, latest: DataFrame, cells: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Latest forecasts of every model and lead for each request, and rejects."""
+    checked = requests.withColumn("error", _region_error(requests))
+    asked = checked.where("error is null").select("request_id", "region_id")
+    return asked.join(forecasts(latest, cells, models), "region_id"), checked.where("error is not null").select("request_id", "error")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grid
-from ..operators.pairing import accumulate, layers, pairs, with_valid_date
+from ..operators.pairing import accumulate, by_period, finalize_wide, layers, pairs, with_valid_date
 from ..operators.regions import region_cells
 from ..sources import registry
 
@@ -36,18 +36,20 @@ def forecast_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("model", F.col("o_orderdate").cast("date").alias("init_date"), (F.col("l_suppkey") % N_CELLS).cast("int").alias("cell_id")).agg(F.sum("l_quantity").cast("double").alias("fv"))
 
 
-def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+def forecast(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    """``base`` is ``forecast_base`` where a query has written it already."""
     leads = F.broadcast(registry.model_dim(spark).select("model", F.explode(F.sequence("lead_min", "lead_max")).alias("lead")))
-    rows = forecast_base(spark, sf_dir).join(leads, "model").select("model", "init_date", "lead", "cell_id", (F.col("fv") + F.col("lead")).alias("value"))
+    rows = (forecast_base(spark, sf_dir) if base is None else base).join(leads, "model").select("model", "init_date", "lead", "cell_id", (F.col("fv") + F.col("lead")).alias("value"))
     return with_valid_date(rows, registry.model_dim(spark))
 
 
-def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(forecast(spark, sf_dir), observation(spark, sf_dir))
+def accumulators(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    return accumulate(pairs(forecast(spark, sf_dir, base), observation(spark, sf_dir)))
 
 
-def accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accumulate(paired(spark, sf_dir))
+def wide(spark: SparkSession, sf_dir: str, periods=("yearly",), base: DataFrame | None = None) -> DataFrame:
+    """Finished statistics by lead day, a column each."""
+    return finalize_wide(by_period(accumulators(spark, sf_dir, base), periods))
 
 
 def stats(spark: SparkSession, sf_dir: str, periods=("monthly", "seasonal", "yearly"), names=None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..functions.statistics import sum_names
 from ..operators import grid, incremental, ingest, pairing, panel, publish, query
 from ..sources import registry as dims
 from ..sources import scans, sinks
+from ..sources.scratch import Scratch, shared_folder
 from ..streaming import pairing as streaming
 from . import fixtures as fx
 from . import sql as S
@@ -94,10 +96,10 @@ def layer_keys(spark, d):
 
 @register("rendered_anti_join", f"WITH {S.STATS} SELECT DISTINCT model, statistic, period, period_key, lead_key FROM stats WHERE NOT (period = 'yearly' AND NOT contains(lead_key, '_'))")
 def rendered_anti_join(spark, d):
-    keys = ["model", "statistic", "period", "period_key", "lead_key"]
-    layers = fx.stats(spark, d).select(*keys).distinct()
-    done = layers.where((F.col("period") == "yearly") & ~F.col("lead_key").contains("_"))
-    return layers.join(done, keys, "left_anti")
+    # rendered before: the yearly layers of single leads, from a run over the years alone
+    done = fx.wide(spark, d).select("model", "period", "period_key", F.col("lead").cast("string").alias("lead_key")).distinct()
+    ledger = done.withColumn("statistic", F.explode(F.array(*(F.lit(s) for s in STATISTICS))))
+    return publish.not_rendered(fx.stats(spark, d), ledger)
 
 
 @register("forecast_windows", f"WITH {S.FC}, w AS (SELECT fc.model, init_date, lead_key, cell_id, e - s + 1 AS wanted, lead, m FROM fc JOIN win ON fc.model = win.model AND lead BETWEEN s AND e) SELECT model, init_date, lead_key, cell_id, avg(m) AS value FROM w GROUP BY model, init_date, lead_key, cell_id")
@@ -192,8 +194,13 @@ def _yearly(spark, d, names=None):
     return fx.stats(spark, d, ("yearly",), names)
 
 
-def _curves(spark, d):
-    return query.all_leads(_yearly(spark, d), fx.cells(spark, d), dims.model_dim(spark), STATISTICS)
+def _summary(spark, d, periods=("yearly",), base=None):
+    """Means and losses of every region, model and lead day: what curves and winners both read."""
+    return query.region_summary(fx.wide(spark, d, periods, base), fx.cells(spark, d), STATISTICS)
+
+
+def _curves(spark, d, summary=None):
+    return query.curves(_summary(spark, d) if summary is None else summary, fx.cells(spark, d), dims.model_dim(spark), STATISTICS)
 
 
 @register("region_mean", f"WITH {MEANS} SELECT region_id, model, statistic, lead_key, round(value, 6) AS value, n_cells FROM means WHERE contains(lead_key, '_')")
@@ -211,9 +218,9 @@ LOSS = f"{S.YEARLY}, losses AS (SELECT region_id, model, statistic, lead_key, ro
 WINNERS = f"{LOSS}, winners AS (SELECT region_id, statistic, CAST(lead_key AS INT) AS lead, arg_min(model, (loss, model)) AS model, min(loss) AS loss, count(*) AS n_models FROM losses WHERE loss IS NOT NULL GROUP BY ALL)"
 
 
-def _winners(spark, d):
-    days = _yearly(spark, d).where(~F.col("lead_key").contains("_"))
-    return query.lead_winners(query.region_losses(days, fx.cells(spark, d)), places=6)
+def _winners(spark, d, summary=None):
+    losses = query.region_losses(_summary(spark, d) if summary is None else summary, STATISTICS)
+    return query.lead_winners(losses.drop("period", "period_key"), places=6)
 
 
 @register("lead_winners", f"WITH {WINNERS} SELECT *, CASE statistic WHEN 'bias' THEN 'region_mean_abs_value_lower_better' WHEN 'sacc' THEN 'region_mean_value_higher_better' ELSE 'region_mean_value_lower_better' END AS metric FROM winners")
@@ -224,8 +231,8 @@ def lead_winners(spark, d):
 FORECASTS = f"{S.FC}, {S.LATEST}, {S.REGION}, fmeans AS (SELECT region_id, rc.model, lead, avg(m) AS value FROM rc JOIN latest ON rc.model = latest.model AND rc.cell_id = latest.cell_id GROUP BY ALL), forecasts AS (SELECT region_id, model, lead, round(value, 6) AS value, value IS NULL AS no_data FROM (SELECT DISTINCT region_id, model FROM rc) JOIN leads USING (model) LEFT JOIN fmeans USING (region_id, model, lead))"
 
 
-def _forecasts(spark, d):
-    return query.forecasts(pairing.latest_init(fx.forecast(spark, d)), fx.cells(spark, d), dims.model_dim(spark))
+def _forecasts(spark, d, base=None):
+    return query.forecasts(pairing.latest_init(fx.forecast(spark, d, base)), fx.cells(spark, d), dims.model_dim(spark))
 
 
 @register("forecast_all_models", f"WITH {FORECASTS} SELECT * FROM forecasts")
@@ -234,22 +241,29 @@ def forecast_all_models(spark, d):
 
 
 def _requests(spark, d):
+    """Every order is a request."""
     k = F.col("o_orderkey")
-    return fx.read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(
+    names = F.when(k % 4 == 0, F.array(F.lit("bias"))).when(k % 4 == 1, F.array(F.lit("nmad"), F.lit("sacc"))).when(k % 4 == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("nrmse")))
+    names = F.when(k % 11 == 0, F.array(F.lit("skill"))).otherwise(names)
+    return fx.read(spark, d, "orders").select(
         k.alias("request_id"), F.when(k % 3 == 0, " GFS ").when(k % 3 == 1, "nbm").alias("model"), F.when(k % 2 == 0, F.lit("3")).alias("lead"),
         F.when(k % 2 == 1, F.lit(5)).alias("min_lead"), F.when(k % 2 == 1, F.when(k % 7 == 0, 4).otherwise(6)).alias("max_lead"), F.col("o_custkey").alias("region_id"),
-        F.when(k % 5 == 0, "monthly").when(k % 5 == 1, "seasonal").when(k % 5 == 2, "daily").otherwise("yearly").alias("period"), F.lit(None).cast("string").alias("month"), F.lit(None).cast("string").alias("season"), F.array(F.lit("bias")).alias("statistics"))
+        F.when(k % 13 == 0, "circle").when(k % 13 == 1, "point").otherwise("polygon").alias("region_type"),
+        F.when(k % 5 == 0, "monthly").when(k % 5 == 1, "seasonal").when(k % 5 == 2, "daily").otherwise("yearly").alias("period"),
+        F.when(k % 17 == 0, "11").alias("month"), F.when(k % 17 == 1, "djf").alias("season"), names.alias("statistics"))
 
 
 REQUESTS = """req AS (SELECT o_orderkey AS request_id, CASE o_orderkey % 3 WHEN 1 THEN 'nbm' ELSE 'gfs' END AS model, o_custkey AS region_id, o_orderkey % 2 = 0 AS one, CASE o_orderkey % 5 WHEN 0 THEN 'monthly' WHEN 1 THEN 'seasonal' WHEN 2 THEN 'daily' ELSE 'yearly' END AS period,
-  CASE o_orderkey % 5 WHEN 0 THEN '04' WHEN 1 THEN 'mam' ELSE '' END AS period_key, CASE WHEN o_orderkey % 5 = 2 THEN 'unknown period' WHEN o_orderkey % 2 = 1 AND o_orderkey % 7 = 0 THEN 'range of leads ends before it begins' END AS error FROM orders WHERE o_orderpriority = '1-URGENT')"""
+  CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN o_orderkey % 17 = 0 THEN '11' ELSE '04' END WHEN 1 THEN CASE WHEN o_orderkey % 17 = 1 THEN 'djf' ELSE 'mam' END ELSE '' END AS period_key,
+  CASE o_orderkey % 4 WHEN 0 THEN ['bias'] WHEN 1 THEN ['nmad', 'sacc'] WHEN 2 THEN ['bias', 'sacc', 'nrmse', 'nmad'] ELSE ['nrmse'] END AS names,
+  CASE WHEN o_orderkey % 5 = 2 THEN 'unknown period' WHEN o_orderkey % 13 = 0 THEN 'unknown region type' WHEN o_orderkey % 11 = 0 THEN 'unknown statistic' WHEN o_orderkey % 2 = 1 AND o_orderkey % 7 = 0 THEN 'range of leads ends before it begins' END AS error FROM orders)"""
+SPEC = "spec AS (SELECT * FROM (VALUES ('bias', 'Bias', 'mm'), ('sacc', 'SACC', '%'), ('nrmse', 'NRMSE', '%'), ('nmad', 'NMAD', '%')) t(statistic, label, units))"
 
 
-@register("batch_requests", f"WITH {S.STATS}, {S.REGION}, {REQUESTS}, asked AS (SELECT *, unnest(CASE WHEN one THEN ['3'] ELSE ['5', '6'] END) AS lead_key FROM req WHERE error IS NULL), means AS (SELECT region_id, model, period, period_key, lead_key, round(avg(value), 6) AS value FROM stats JOIN rc USING (model, cell_id) WHERE statistic = 'bias' GROUP BY ALL) SELECT request_id, region_id, model, period, period_key, 'bias' AS statistic, lead_key, value, value IS NULL AS no_data FROM asked LEFT JOIN means USING (region_id, model, period, period_key, lead_key)")
+@register("batch_requests", f"WITH {S.STATS}, {S.REGION}, {REQUESTS}, {SPEC}, named AS (SELECT *, unnest(names) AS statistic FROM req WHERE error IS NULL), asked AS (SELECT *, unnest(CASE WHEN one THEN ['3'] ELSE ['5', '6'] END) AS lead_key FROM named), means AS (SELECT region_id, model, statistic, period, period_key, lead_key, round(avg(value), 6) AS value FROM stats JOIN rc USING (model, cell_id) GROUP BY ALL) SELECT request_id, region_id, model, period, period_key, statistic, label, units, lead_key, value, value IS NULL AS no_data FROM asked LEFT JOIN means USING (region_id, model, period, period_key, statistic, lead_key) LEFT JOIN spec USING (statistic)")
 def batch_requests(spark, d):
-    stats = fx.stats(spark, d, names=["bias"])
-    answers, _ = query.run_requests(_requests(spark, d), stats, fx.cells(spark, d), ["gfs", "nbm"], STATISTICS, month=4)
-    return answers.withColumn("value", F.round("value", 6))
+    answers, _ = query.run_requests(_requests(spark, d), fx.stats(spark, d), fx.cells(spark, d), ["gfs", "nbm"], STATISTICS, month=4)
+    return query.labelled(answers, dims.statistic_dim(spark)).withColumn("value", F.round("value", 6))
 
 
 @register("batch_rejects", f"WITH {REQUESTS} SELECT request_id, error FROM req WHERE error IS NOT NULL")
@@ -257,6 +271,38 @@ def batch_rejects(spark, d):
     return query.validated(_requests(spark, d), ["gfs", "nbm"], STATISTICS).where("error is not null").select("request_id", "error")
 
 
+def _winner_requests(spark, d):
+    k = F.col("o_orderkey")
+    names = F.array(*(F.lit(s) for s in [*STATISTICS, "forecast"]))
+    return fx.read(spark, d, "orders").select(k.alias("request_id"), F.col("o_custkey").alias("region_id"), F.when(k % 13 == 0, "circle").otherwise("rectangle").alias("region_type"), F.get(names, (k % 5).cast("int")).alias("statistic"),
+        F.when(k % 3 == 0, "monthly").when(k % 3 == 1, "seasonal").alias("period"), F.lit(None).cast("string").alias("month"), F.when(k % 2 == 0, "son").alias("season"), (k % 9).cast("int").alias("min_lead"), (k * 7 % 12).cast("int").alias("max_lead"))
+
+
+WINNER_REQUESTS = """wreq AS (SELECT o_orderkey AS request_id, o_custkey AS region_id, (['bias', 'sacc', 'nrmse', 'nmad', 'forecast'])[o_orderkey % 5 + 1] AS statistic, CASE o_orderkey % 3 WHEN 0 THEN 'monthly' WHEN 1 THEN 'seasonal' ELSE 'yearly' END AS period,
+  CASE o_orderkey % 3 WHEN 0 THEN '04' WHEN 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'son' ELSE 'mam' END ELSE '' END AS period_key, o_orderkey % 9 AS min_lead, o_orderkey * 7 % 12 AS max_lead,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'unknown region type' WHEN o_orderkey % 5 = 4 THEN 'forecast has no winners' WHEN o_orderkey % 9 > o_orderkey * 7 % 12 THEN 'range of leads ends before it begins' END AS error FROM orders)"""
+ALL_LOSS = f"{S.STATS}, {S.REGION}, alllosses AS (SELECT region_id, statistic, period, period_key, lead_key, model, round(avg(CASE statistic WHEN 'bias' THEN abs(value) WHEN 'sacc' THEN -value ELSE value END), 6) AS loss FROM stats JOIN rc USING (model, cell_id) WHERE NOT contains(lead_key, '_') GROUP BY ALL)"
+
+
+@register("winner_requests", f"WITH {ALL_LOSS}, {WINNER_REQUESTS}, best AS (SELECT region_id, statistic, period, period_key, CAST(lead_key AS INT) AS lead, arg_min(model, (loss, model)) AS model, min(loss) AS loss, count(*) AS n_models FROM alllosses WHERE loss IS NOT NULL GROUP BY ALL) SELECT request_id, region_id, statistic, period, period_key, lead, model, loss, n_models FROM wreq JOIN best USING (region_id, statistic, period, period_key) WHERE error IS NULL AND lead BETWEEN min_lead AND max_lead")
+def winner_requests(spark, d):
+    losses = query.region_losses(_summary(spark, d, ("monthly", "seasonal", "yearly")), STATISTICS)
+    return query.run_winner_requests(_winner_requests(spark, d), losses, STATISTICS, month=4, places=6)[0].drop("metric")
+
+
+@register("winner_rejects", f"WITH {WINNER_REQUESTS} SELECT request_id, error FROM wreq WHERE error IS NOT NULL")
+def winner_rejects(spark, d):
+    losses = query.region_losses(_summary(spark, d), STATISTICS)
+    return query.run_winner_requests(_winner_requests(spark, d), losses, STATISTICS, month=4)[1]
+
+
+@register("forecast_requests", f"WITH {FORECASTS} SELECT o_orderkey AS request_id, o_custkey AS region_id, model, lead, value, no_data FROM orders JOIN forecasts ON region_id = o_custkey WHERE o_orderkey % 13 <> 0")
+def forecast_requests(spark, d):
+    asked = _winner_requests(spark, d).select("request_id", "region_id", "region_type")
+    answers, _ = query.run_forecast_requests(asked, pairing.latest_init(fx.forecast(spark, d)), fx.cells(spark, d), dims.model_dim(spark))
+    return answers.withColumn("value", F.round("value", 6))
+
+
 LOG = """log AS (SELECT o_custkey AS user_id, o_orderkey % 5 AS shape_id, CASE o_orderkey % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'delete' ELSE 'update' END AS op, CASE WHEN o_orderkey % 3 <> 0 THEN 'shape ' || o_orderkey END AS name,
   CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS region, CAST(o_orderdate AS TIMESTAMP) AS ts, o_orderkey AS seq FROM orders)"""
 
@@ -405,8 +451,11 @@ PANEL = f"{ALL}, {LOSS.split(S.YEARLY + ', ')[1]}, {WINNERS.split(LOSS + ', ')[1
 any_value(w.model) AS best_model, any_value(g.value) AS forecast_gfs, any_value(b.value) AS forecast_nbm FROM allleads a LEFT JOIN winners w ON w.region_id = a.region_id AND w.lead = a.lead AND w.statistic = 'nmad'
 LEFT JOIN forecasts g ON g.region_id = a.region_id AND g.lead = a.lead AND g.model = 'gfs' LEFT JOIN forecasts b ON b.region_id = a.region_id AND b.lead = a.lead AND b.model = 'nbm' GROUP BY a.region_id, a.model, a.lead""")
 def panel_csv(spark, d):
-    winners = _winners(spark, d).where("statistic = 'nmad'")
-    out = panel.panel(_curves(spark, d), STATISTICS, winners, _forecasts(spark, d), ("gfs", "nbm"))
+    scratch = Scratch(spark)
+    base = scratch.keep(fx.forecast_base(spark, d))
+    summary = scratch.keep(_summary(spark, d, base=base))
+    winners = _winners(spark, d, summary).where("statistic = 'nmad'")
+    out = panel.panel(_curves(spark, d, summary), STATISTICS, winners, _forecasts(spark, d, base), ("gfs", "nbm"))
     return out.select("region_id", "model", "lead", *(F.round(c, 6).alias(c) for c in STATISTICS), "best_model", *(F.round(c, 6).alias(c) for c in ("forecast_gfs", "forecast_nbm")))
 
 
@@ -420,6 +469,11 @@ def lead_interp(spark, d):
     return panel.at_fraction(_curves(spark, d), 0.25).select("region_id", "model", "statistic", F.col("at").cast("double").alias("pos"), F.round("value", 5).alias("value"))
 
 
+@register("lead_at", f"WITH {ALL}, a AS (SELECT *, least(greatest(CAST(region_id % 18 AS DOUBLE) + 0.5e0, 1.0e0), CASE model WHEN 'gfs' THEN 14.0e0 ELSE 11.0e0 END) AS pos FROM allleads), e AS (SELECT region_id, model, statistic, pos, max(CASE WHEN lead = floor(pos) THEN value END) AS lo, max(CASE WHEN lead = ceil(pos) THEN value END) AS hi FROM a GROUP BY ALL) SELECT region_id, model, statistic, pos, round(coalesce(lo + (hi - lo) * (pos - floor(pos)), lo, hi), 5) AS value FROM e")
+def lead_at(spark, d):
+    return panel.at_lead(_curves(spark, d), F.col("region_id") % 18 + F.lit(0.5)).select("region_id", "model", "statistic", F.col("at").alias("pos"), F.round("value", 5).alias("value"))
+
+
 @register("lead_slope", f"WITH {ALL} SELECT region_id, model, statistic, round(min(value), 6) AS low, round(max(value), 6) AS high, min(lead) AS first_lead, max(lead) AS last_lead, round((arg_max(value, lead) - arg_min(value, lead)) / CASE WHEN max(lead) = min(lead) THEN NULL ELSE max(lead) - min(lead) END, 5) AS slope FROM allleads WHERE value IS NOT NULL GROUP BY 1, 2, 3")
 def lead_slope(spark, d):
     return panel.curve_summary(_curves(spark, d)).select("region_id", "model", "statistic", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "first_lead", "last_lead", F.round("slope", 5).alias("slope"))
@@ -476,12 +530,33 @@ def inventory_byte_ranges(spark, d):
     return out.select("file", "line_no", F.col("begin").alias("begin_byte"), F.col("end").alias("end_byte"), "range")
 
 
-@register("download_gap", f"WITH {S.MODEL}, {S.BASE}, span AS (SELECT min(init_date) AS a, max(init_date) AS b FROM base), expected AS (SELECT model, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS init_date, lead * 24 AS fhour FROM span, leads), present AS (SELECT DISTINCT model, init_date, fhour FROM base JOIN (SELECT model, lead * 24 AS fhour FROM leads) USING (model) WHERE cell_id % 2 = 0) SELECT init_date, model, fhour FROM expected ANTI JOIN present USING (model, init_date, fhour)")
+@register("forecast_export", f"WITH {S.FC}, {S.LATEST} SELECT model, init_date, lead, count(*) AS n_cells, round(sum(CAST(CAST(m AS FLOAT) AS DOUBLE)), 3) AS total, min(cell_id) AS first_cell FROM latest GROUP BY ALL")
+def forecast_export(spark, d):
+    latest = pairing.latest_init(fx.forecast(spark, d))
+    first = latest.groupBy("model", "lead").agg(F.min("cell_id").alias("first_cell"))
+    total = F.aggregate("layer_values", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return sinks.forecast_export(latest).join(first, ["model", "lead"]).select("model", "init_date", "lead", F.size("layer_values").cast("long").alias("n_cells"), F.round(total, 3).alias("total"), "first_cell")
+
+
+@register("grid_metadata", f"WITH {S.OBS}, {S.AXES}, grid AS (SELECT (SELECT list(c ORDER BY i) FROM lat) AS lats, (SELECT list(c ORDER BY i) FROM lon) AS lons) SELECT model, array_to_string(lats, ',') AS lats, array_to_string(lons, ',') AS lons, array_to_string([lons[2] - lons[1], 0.0e0, lons[1] - (lons[2] - lons[1]) / 2, 0.0e0, lats[2] - lats[1], lats[1] - (lats[2] - lats[1]) / 2], ',') AS transform, 'EPSG:4326' AS crs, n_obs FROM grid, (VALUES ('gfs'), ('nbm')) t(model), (SELECT count(*) AS n_obs FROM obs)")
+def grid_metadata(spark, d):
+    n = fx.observation(spark, d).agg(F.count("*").alias("n_obs"))
+    text = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("lats", "lons", "transform")]
+    return sinks.grid_metadata(fx.axes(spark)).select("model", *text, "crs").crossJoin(n)  # one row each
+
+
+@register("lead_options", f"WITH {S.MODEL}, {S.BASE}, o AS (SELECT model, 0 AS kind, lead AS a, 0 AS b, CAST(lead AS VARCHAR) AS lead_key FROM leads UNION ALL SELECT win.model, 1, row_number() OVER (PARTITION BY win.model ORDER BY CASE lead_key WHEN '1_7' THEN 1 WHEN '1_10' THEN 3 ELSE 2 END), 0, lead_key FROM win JOIN model ON win.model = model.model AND s >= lead_min AND e <= lead_max) SELECT o.model, CAST(row_number() OVER (PARTITION BY o.model ORDER BY kind, a) - 1 AS INT) AS position, lead_key, n_inits FROM o JOIN (SELECT model, count(DISTINCT init_date) AS n_inits FROM base GROUP BY 1) USING (model)")
+def lead_options(spark, d):
+    n = fx.forecast_base(spark, d).groupBy("model").agg(F.count_distinct("init_date").alias("n_inits"))
+    return dims.lead_options(dims.model_dim(spark)).join(n, "model")
+
+
+@register("download_gap", f"WITH {S.MODEL}, {S.BASE}, span AS (SELECT min(init_date) AS a, max(init_date) AS b FROM base), expected AS (SELECT model, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS init_date, lead * 24 AS fhour FROM span, leads), present AS (SELECT DISTINCT model, init_date, fhour FROM base JOIN (SELECT model, lead * 24 AS fhour FROM leads) USING (model)) SELECT init_date, model, fhour FROM expected ANTI JOIN present USING (model, init_date, fhour)")
 def download_gap(spark, d):
     base = fx.forecast_base(spark, d)
     models = dims.model_dim(spark)
     expected = ingest.expected_files(models, F.col("a"), F.col("b"), base.agg(F.min("init_date").alias("a"), F.max("init_date").alias("b")))
-    present = base.where("cell_id % 2 = 0").select("model", "init_date").distinct().join(F.broadcast(models.select("model", F.explode("forecast_hours").alias("fhour"))), "model")
+    present = base.select("model", "init_date").distinct().join(F.broadcast(models.select("model", F.explode("forecast_hours").alias("fhour"))), "model")
     return ingest.missing_files(expected, present)
 
 
@@ -511,31 +586,29 @@ def failure_examples(spark, d):
 # --- incremental
 
 
-@register("completeness_audit", f"WITH {S.ACC}, f AS (SELECT model, month, list(DISTINCT lead) AS found FROM acc GROUP BY 1, 2) SELECT model, month, CAST(len(list_filter(generate_series(1, 14), lambda x: NOT list_contains(found, x))) AS INT) AS n_missing FROM f")
+@register("completeness_audit", f"WITH {S.ACC}, f AS (SELECT model, month, list(DISTINCT lead) AS found FROM acc GROUP BY 1, 2) SELECT model, month, CAST(lead_max - lead_min + 1 - coalesce(len(list_filter(found, lambda x: x BETWEEN lead_min AND lead_max)), 0) AS INT) AS n_missing FROM model LEFT JOIN f USING (model)")
 def completeness_audit(spark, d):
-    return incremental.completeness(fx.accumulators(spark, d), list(range(1, 15))).select("model", "month", "n_missing")
+    return incremental.completeness(fx.accumulators(spark, d), dims.model_dim(spark)).select("model", "month", "n_missing")
 
 
-def _late(spark, d):
-    """Pairs that a first run saw: forecasts and observations up to a day; the second run sees all."""
+def _updated(spark, d):
+    """A first run sees forecasts and observations up to a day, and one half of that day's cells; the second sees all."""
     cut = F.lit("1996-06-30").cast("date")
     fc, obs = fx.forecast(spark, d), fx.observation(spark, d)
-    return pairing.pairs(fc.where(F.col("init_date") <= cut), obs.where(F.col("valid_date") <= cut)), pairing.pairs(fc, obs)
+    early = obs.where((F.col("valid_date") < cut) | ((F.col("valid_date") == cut) & (F.col("cell_id") < 12)))
+    stored, ledger = incremental.update(None, None, fc.where(F.col("init_date") <= cut), early)
+    return incremental.update(stored, ledger, fc, obs)
 
 
 @register("incremental_update", f"WITH {S.ACC} SELECT * FROM acc WHERE n > 0")
 def incremental_update(spark, d):
-    # a lead of an init is done when all its observations came: here one day each, so pairs of one day come together
-    first, everything = _late(spark, d)
-    stored, ledger = incremental.update(None, None, first)
-    return incremental.update(stored, ledger, everything)[0].select(*pairing.KEYS, *sum_names())
+    return _updated(spark, d)[0].select(*pairing.KEYS, *sum_names())
 
 
-@register("incremental_ledger", f"WITH {S.PAIRS} SELECT DISTINCT model, init_date, lead FROM pairs")
+@register("incremental_ledger", f"WITH {S.PAIRS} SELECT model, init_date, lead, count(DISTINCT cell_id) AS n_cells FROM pairs GROUP BY ALL")
 def incremental_ledger(spark, d):
-    first, everything = _late(spark, d)
-    stored, ledger = incremental.update(None, None, first)
-    return incremental.update(stored, ledger, everything)[1]
+    ledger = _updated(spark, d)[1]
+    return ledger.groupBy("model", "init_date", "lead").agg(F.sum(F.col("last_cell") - F.col("first_cell") + 1).cast("long").alias("n_cells"))
 
 
 STREAM_SQL = """f AS (SELECT CAST(ts AS DATE) AS day, CAST(user_id % 24 AS INT) AS cell_id, count(*)::DOUBLE AS m FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2), o AS (SELECT CAST(ts AS DATE) AS day, CAST(user_id % 24 AS INT) AS cell_id, count(*)::DOUBLE AS o FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY 1, 2)"""
@@ -544,11 +617,7 @@ STREAM_SQL = """f AS (SELECT CAST(ts AS DATE) AS day, CAST(user_id % 24 AS INT)
 @register("streaming_pairing", """WITH e AS (SELECT date_trunc('day', ts) AS day, CAST(user_id % 24 AS INT) AS cell_id, event_type IN ('view', 'click') AS forecast, value FROM events), p AS (SELECT month(a.day) AS month, a.cell_id, a.value AS m, b.value AS o FROM e a JOIN e b ON a.forecast AND NOT b.forecast AND a.day = b.day AND a.cell_id = b.cell_id)
 SELECT 'gfs' AS model, CAST(month AS INT) AS month, 1 AS lead, cell_id, count(*) AS n, round(sum(m - o), 4) AS sum_error FROM p GROUP BY month, cell_id""")
 def streaming_pairing(spark, d):
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="skillgrid-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = fx.read(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     day, cell = F.date_trunc("day", "ts"), (F.col("user_id") % 24).cast("int")

@@ -34,6 +34,14 @@ def model_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MODELS, schema).withColumn("forecast_hours", hours)
 
 
+def lead_options(models: DataFrame) -> DataFrame:
+    """``model, position, lead_key``: every lead day of a model, then its windows that lie within them."""
+    days = F.transform(F.sequence("lead_min", "lead_max"), lambda d: d.cast("string"))
+    fitting = F.filter("lead_windows", lambda w: (w["start"] >= F.col("lead_min")) & (w["end"] <= F.col("lead_max")))
+    windows = F.transform(fitting, lambda w: F.concat_ws("_", w["start"].cast("string"), w["end"].cast("string")))
+    return models.select("model", F.posexplode(F.concat(days, windows)).alias("position", "lead_key"))
+
+
 def statistic_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STATISTICS, "statistic string, label string, units string, colormap string, kind string, is_default boolean")
 

@@ -15,15 +15,17 @@ from ..functions.scalars import finite
 PARTIAL = ".part"
 
 
-def forecast_fields(spark: SparkSession, root: str, model: str, n_lat: int, n_lon: int, cycle: str = "12z") -> DataFrame:
+def forecast_fields(spark: SparkSession, root: str, model: str, n_lat: int, n_lon: int, cycle: str = "12z", hours: list[int] | None = None) -> DataFrame:
     """``model, init_date, fhour, lead, cell_id, value`` from ``{root}/{year}/{YYYYMMDD}_{cycle}/fHHH_*.npy``.
 
-    Other cycles and partial files are left out before they are read. A field of another shape
-    than the grid's raises. Non-finite values become null.
+    The path names the cycle, so other cycles and partial files are never read; ``hours`` keeps only
+    those forecast hours, before a field is decoded. A field of another shape than the grid's raises. Non-finite values become null.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "f[0-9][0-9][0-9]_*.npy").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "f[0-9][0-9][0-9]_*.npy").load(f"{root}/*/*_{cycle}")
     init = F.regexp_extract("path", rf"/(\d{{8}})_{cycle}/", 1)
     named = files.where(init != "").select(F.to_date(init, "yyyyMMdd").alias("init_date"), F.regexp_extract("path", r"/f(\d{3})_[^/]*$", 1).cast("int").alias("fhour"), "content")
+    if hours is not None:
+        named = named.where(F.col("fhour").isin(hours))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -69,9 +71,9 @@ def observation_day(valid_date: Column) -> Column:
 
 
 def inventory_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, line`` of inventory files; a line number counts the file's lines, which must start with a message number."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.input_file_name().alias("file"), F.split("value", ":")[0].cast("int").alias("line_no"), F.col("value").alias("line"))
+    """``file, line_no, line`` of inventory files, which are small; lines are numbered by their place, from 1."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")), "\r?\n").alias("lines"))
+    return files.select("file", F.posexplode("lines").alias("at", "line")).select("file", (F.col("at") + 1).alias("line_no"), "line")
 
 
 def zip_directory(raw: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.grid import affine
+
 
 def write_stats(stats: DataFrame, path: str) -> None:
     stats.write.mode("overwrite").partitionBy("model", "statistic", "period", "period_key").parquet(path)
@@ -21,6 +23,27 @@ def layer_export(stats: DataFrame) -> DataFrame:
     return layers.select("model", "statistic", "period", "period_key", "lead_key", F.col("c.value").alias("layer_values"))
 
 
+def forecast_export(latest: DataFrame) -> DataFrame:
+    """One array of float32 for each model and lead of the latest forecasts, in the order of cells; null where a cell has no value."""
+    cells = F.array_sort(F.collect_list(F.struct("cell_id", F.col("value").cast("float").alias("value"))))
+    return latest.groupBy("model", "init_date", "lead").agg(cells.alias("c")).select("model", "init_date", "lead", F.col("c.value").alias("layer_values"))
+
+
+def grid_metadata(axes: DataFrame, crs: str = "EPSG:4326") -> DataFrame:
+    """``model, lats, lons, transform, crs`` of each model's grid: what a reader of its layers needs to place them."""
+    arrays = grid_export(axes)
+    return arrays.select("model", "lats", "lons", affine("lats", "lons").alias("transform"), F.lit(crs).alias("crs"))
+
+
+def write_grid_metadata(axes: DataFrame, path: str, crs: str = "EPSG:4326") -> None:
+    grid_metadata(axes, crs).write.mode("overwrite").parquet(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """One JSON document a row: grids, calendars or the configuration."""
+    rows.write.mode("overwrite").json(path)
+
+
 def grid_export(axes: DataFrame) -> DataFrame:
     """``model, n_lat, n_lon, lats, lons`` in the order of the axes."""
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skillgrid.functions import scalars as fn
-from skillgrid.operators import grid, incremental, ingest, pairing, publish, query, regions
+from skillgrid.functions.statistics import Statistic, all_sums, statistics
+from skillgrid.operators import grid, incremental, ingest, pairing, panel, publish, query, regions
 from skillgrid.plans import fixtures as fx
 from skillgrid.sources import registry, scans, sinks
 
@@ -52,8 +53,8 @@ def test_window_needs_every_lead(spark):
 
 
 def test_winners(spark):
-    rows = [(1, "nbm", "nmad", "3", 2.0), (1, "gfs", "nmad", "3", 2.0), (1, "gfs", "nmad", "12", None)]
-    got = query.lead_winners(spark.createDataFrame(rows, "region_id int, model string, statistic string, lead_key string, loss double")).collect()
+    rows = [(1, "nbm", "nmad", 3, 2.0), (1, "gfs", "nmad", 3, 2.0), (1, "gfs", "nmad", 12, None)]
+    got = query.lead_winners(spark.createDataFrame(rows, "region_id int, model string, statistic string, lead int, loss double")).collect()
     assert [(r.lead, r.model) for r in got] == [(3, "gfs")]
 
 
@@ -81,17 +82,98 @@ def test_months_add_up_to_years(spark):
     assert not wide.where("abs(sacc) > 100 or nrmse < nmad - 1e-9").count()
 
 
-def test_late_observation_is_counted(spark):
+def test_late_observation_is_counted(spark, tmp_path):
     day = dt.date(2020, 1, 1)
-    fc = spark.createDataFrame([("gfs", day, k, day + dt.timedelta(days=k), 0, 1.0 * k) for k in (1, 2, 3)], SCHEMA)
-    obs = spark.createDataFrame([(day + dt.timedelta(days=k), 0, 1.0) for k in (1, 2, 3)], "valid_date date, cell_id int, value double")
-    first = pairing.pairs(fc, obs.where(F.col("valid_date") < day + dt.timedelta(days=3)))
-    stored, ledger = incremental.update(None, None, first)
-    stored, ledger = incremental.update(stored, ledger, pairing.pairs(fc, obs))
+    cells = (0, 1, 2, 3)
+    fc = spark.createDataFrame([("gfs", day, k, day + dt.timedelta(days=k), c, 1.0 * k + c) for k in (1, 2, 3) for c in cells], SCHEMA)
+    obs = spark.createDataFrame([(day + dt.timedelta(days=k), c, 1.0) for k in (1, 2, 3) for c in cells], "valid_date date, cell_id int, value double")
+    # a day that is missing, and one of which only cells 1 and 3 came
+    early = obs.where((F.col("valid_date") < day + dt.timedelta(days=2)) | ((F.col("valid_date") == day + dt.timedelta(days=2)) & F.col("cell_id").isin(1, 3)))
+    stored, ledger = incremental.update(None, None, fc, early)
+    assert ledger.count() == 3
+    incremental.write_version(stored, ledger, str(tmp_path), "one")
+    stored, ledger = incremental.update(*incremental.current_version(spark, str(tmp_path)), fc, obs)
+    incremental.write_version(stored, ledger, str(tmp_path), "two")
+    stored, ledger = incremental.current_version(spark, str(tmp_path))
     whole = pairing.accumulate(pairing.pairs(fc, obs))
-    assert not stored.select(*whole.columns).exceptAll(whole).count() and ledger.count() == 3
-    assert incremental.can_update(ledger, stored, (1, 3), (1, 3), "a", "a")
-    assert not incremental.can_update(ledger, stored, (1, 4), (1, 4), "a", "a")
+    assert not stored.select(*whole.columns).exceptAll(whole).count() and stored.agg(F.sum("n")).first()[0] == 12
+    again, _ = incremental.update(stored, ledger, fc, obs)
+    assert not again.select(*whole.columns).exceptAll(whole).count()
+
+    dim = "model string, lead_min int, lead_max int"
+    model, seen = spark.createDataFrame([("gfs", 1, 3)], dim), spark.createDataFrame([("gfs", 1, 3, "a")], dim + ", tag string")
+    assert incremental.can_update(ledger, stored, model, seen, "a")
+    assert not incremental.can_update(ledger, stored, model, seen, "b") and not incremental.can_update(ledger, stored, model, None, "a")
+    assert not incremental.can_update(ledger, stored, spark.createDataFrame([("gfs", 1, 4)], dim), seen, "a")
+    assert not incremental.can_update(ledger, stored.where("false"), model, seen, "a")
+    both, seen2 = spark.createDataFrame([("gfs", 1, 3), ("nbm", 1, 2)], dim), spark.createDataFrame([("gfs", 1, 3, "a"), ("nbm", 1, 2, "a")], dim + ", tag string")
+    assert not incremental.can_update(ledger, stored, both, seen2, "a")
+    assert {(r.model, r.month, r.n_missing) for r in incremental.completeness(stored, both).collect()} == {("gfs", 1, 0), ("nbm", None, 2)}
+
+
+def test_sums_of_a_new_statistic_reach_every_rollup(spark):
+    worst = Statistic("worst", {"n": F.lit(1).cast("long"), "sum_wet": (F.col("o") > 0).cast("long")}, lambda c: c["sum_wet"] / c["n"])
+    known = [*statistics(), worst]
+    day = dt.date(2020, 1, 1)
+    fc = spark.createDataFrame([("gfs", day, k, day + dt.timedelta(days=k), 0, 2.0) for k in range(1, 15)], SCHEMA)
+    obs = spark.createDataFrame([(day + dt.timedelta(days=k), 0, float(k % 2)) for k in range(1, 15)], "valid_date date, cell_id int, value double")
+    stored, _ = incremental.update(*incremental.update(None, None, fc.where("lead < 5"), obs, known), fc, obs, known)
+    got = {(r.period, r.lead_key): r.value for r in pairing.layers(stored, registry.lead_windows(spark), names=["worst"], registered=known).collect()}
+    assert got["yearly", "1"] == 1.0 and got["yearly", "2"] == 0.0 and got["yearly", "1_10"] == 0.5
+    assert "worst" in pairing.finalize_wide(pairing.by_period(stored, registered=known), known).columns
+    with pytest.raises(ValueError, match="different sums"):
+        all_sums([worst, Statistic("other", {"sum_wet": F.col("m")}, lambda c: c["sum_wet"])])
+
+
+def test_blend_is_clamped_to_the_leads_there_are(spark):
+    rows = spark.createDataFrame([(0, lead, 10 * lead, 0, 0, 255) for lead in (1, 2, 14)], "px int, lead int, r int, g int, b int, a int")
+    for at, r in ((14.3, 140.0), (0.2, 10.0), (1.5, 15.0)):
+        out = publish.blended(rows, F.lit(at), ["px"]).first()
+        assert (out.r, out.a) == (r, 255.0)
+
+
+def test_curve_at_any_lead(spark):
+    rows = [(1, "gfs", "nmad", lead, v) for lead, v in ((1, 2.0), (2, 4.0), (3, None), (4, 8.0))]
+    curve = spark.createDataFrame(rows, "region_id int, model string, statistic string, lead int, value double")
+    for at, value in ((0.1, 2.0), (1.25, 2.5), (2.5, 4.0), (3.5, 8.0), (9.0, 8.0), (2.0, 4.0)):
+        assert panel.at_lead(curve, F.lit(at)).first().value == value
+
+
+def test_inventory_files_with_odd_lines(spark, tmp_path):
+    text = "1:0:d=1:TMP:surface:x:\n1.1:50:d=1: APCP :surface: 0-6 hour acc fcst :prob >1\nshort line\n2:100:d=1: APCP :surface : 0-6 hour acc fcst:\n3:oops\n4:300:d=1:APCP:surface:0-6 hour acc fcst:\n\n"
+    (tmp_path / "a.idx").write_text(text)
+    lines = scans.inventory_lines(spark, str(tmp_path))
+    assert [r.line_no for r in lines.orderBy("line_no").collect()] == [1, 2, 3, 4, 5, 6]
+    got = ingest.byte_ranges(lines, "APCP", "surface", F.lit("0-6 hour acc fcst")).first()
+    assert (got.line_no, got.begin, got.end) == (4, 100, None)
+    assert {r.line_no: r.end for r in ingest.inventory(lines).collect()} == {1: 49, 2: None, 4: None, 6: None}
+
+
+def test_stored_tables_and_small_readers(spark, tmp_path):
+    acc = spark.createDataFrame([("gfs", 1)], "model string, month int")
+    acc.write.parquet(str(tmp_path / "acc"))
+    assert scans.stored_accumulators(spark, str(tmp_path / "acc"), ["model"]).count() == 1 and scans.stored_accumulators(spark, str(tmp_path / "acc"), ["lead"]) is None
+    files = spark.createDataFrame([("a.npy",), ("b.npy.part",)], "path string")
+    assert [r.path for r in scans.complete_files(files).collect()] == ["a.npy"] and scans.count_partial(files).first().n_partial == 1
+    raw = spark.createDataFrame([(bytearray(b"GRIBxx"), 6), (bytearray(b"x"), 2)], "content binary, size int")
+    assert [tuple(r) for r in raw.select(scans.has_grib_magic(F.col("content")), scans.length_matches(F.col("content"), F.col("size"))).collect()] == [(True, True), (False, False)]
+    zips = spark.createDataFrame([("12345", 1.0), ("12399", 2.0)], "zip string, lat double")
+    sinks.write_zip_directory(zips, str(tmp_path / "z"))
+    assert spark.read.json(str(tmp_path / "z")).where("prefix = 123").count() == 2
+    sinks.write_grid_metadata(fx.axes(spark), str(tmp_path / "g"))
+    assert spark.read.parquet(str(tmp_path / "g")).where("model = 'nbm'").first().transform == [8.0, 0.0, -124.0, 0.0, 5.0, 22.5]
+    sinks.write_json(sinks.grid_export(fx.axes(spark)), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    sinks.write_pixels(spark.createDataFrame([("gfs", "bias", "yearly", 1)], "model string, statistic string, period string, px int"), str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).first().px == 1
+    mixed = grid.crop(spark.createDataFrame([(25.0, -120.0), (60.0, -120.0)], "lat double, lon double"), -130, 20, -60, 55)
+    assert mixed.count() == 1
+
+
+def test_requests_are_checked(spark):
+    rows = [(1, "gfs", "3", None, None, 7, "circle", "yearly"), (2, "gfs", "3", None, None, None, "point", None), (3, "gfs", None, 1, None, 7, "point", "yearly"), (4, None, "3", None, None, 7, "point", "yearly")]
+    asked = spark.createDataFrame(rows, "request_id int, model string, lead string, min_lead int, max_lead int, region_id int, region_type string, period string").withColumn("statistics", F.array(F.lit("bias")))
+    assert {r.request_id: r.error for r in query.validated(asked, ["gfs"], ["bias"]).collect()} == {1: "unknown region type", 2: "no region", 3: "a range needs both ends", 4: None}
 
 
 def test_raw_sources(spark, tmp_path):
