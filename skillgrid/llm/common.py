@@ -1,13 +1,10 @@
 """Helpers that the operators of this subpackage share.
 
-Intermediate tables go to the folder that the session names in ``spark.checkpoint.dir`` (a
-shared one on a cluster), as Parquet, so that a lost executor never loses them.
+Intermediate tables are written with ``Scratch``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 _ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -30,40 +29,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [n + tail for n in names]
 
 
-class Scratch:
-    """Written intermediate tables in the session's shared checkpoint folder."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = spark.sparkContext.getCheckpointDir()
-        if not base:  # a local session without the setting, as in tests
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="skillgrid-")
-            spark.sparkContext.setCheckpointDir(base)
-        self.base = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-        self.count = 0
-        self.paths: dict[int, str] = {}
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it back: the lineage ends in shared files."""
-        path = f"{self.base}/{self.count}"
-        self.count += 1
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table of ``keep`` that no later step reads."""
-        path = self.paths.pop(id(df), None)
-        if path:
-            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 _BYTES = np.random.default_rng(20240117).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.frombuffer(_ASCII_LOWER, np.uint8)
 _SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
