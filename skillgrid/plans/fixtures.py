@@ -74,4 +74,6 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return region_cells(regions(spark, sf_dir), grid.axis_arrays(axes(spark)))
+    """Regions are few bytes and much work each, so they are dealt out over all cores first."""
+    dealt = regions(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism, "region_id")
+    return region_cells(dealt, grid.axis_arrays(axes(spark)))

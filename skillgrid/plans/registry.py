@@ -194,19 +194,25 @@ def _yearly(spark, d, names=None):
     return fx.stats(spark, d, ("yearly",), names)
 
 
-def _summary(spark, d, periods=("yearly",), base=None):
+def _cells(spark, d):
+    """The cells of all regions, written once for the several steps that read them."""
+    return Scratch(spark).keep(fx.cells(spark, d))
+
+
+def _summary(spark, d, cells=None, periods=("yearly",), base=None):
     """Means and losses of every region, model and lead day: what curves and winners both read."""
-    return query.region_summary(fx.wide(spark, d, periods, base), fx.cells(spark, d), STATISTICS)
+    return query.region_summary(fx.wide(spark, d, periods, base), _cells(spark, d) if cells is None else cells, STATISTICS)
 
 
-def _curves(spark, d, summary=None):
-    return query.curves(_summary(spark, d) if summary is None else summary, fx.cells(spark, d), dims.model_dim(spark), STATISTICS)
+def _curves(spark, d, cells=None, summary=None):
+    cells = _cells(spark, d) if cells is None else cells
+    return query.curves(_summary(spark, d, cells) if summary is None else summary, cells, dims.model_dim(spark), STATISTICS)
 
 
 @register("region_mean", f"WITH {MEANS} SELECT region_id, model, statistic, lead_key, round(value, 6) AS value, n_cells FROM means WHERE contains(lead_key, '_')")
 def region_mean(spark, d):
     windows = _yearly(spark, d).where(F.col("lead_key").contains("_"))
-    return query.region_means(windows, fx.cells(spark, d)).select("region_id", "model", "statistic", "lead_key", F.round("value", 6).alias("value"), "n_cells")
+    return query.region_means(windows, _cells(spark, d)).select("region_id", "model", "statistic", "lead_key", F.round("value", 6).alias("value"), "n_cells")
 
 
 @register("region_all_leads", f"WITH {ALL} SELECT region_id, model, statistic, lead, round(value, 6) AS value, value IS NULL AS no_data FROM allleads")
@@ -231,8 +237,8 @@ def lead_winners(spark, d):
 FORECASTS = f"{S.FC}, {S.LATEST}, {S.REGION}, fmeans AS (SELECT region_id, rc.model, lead, avg(m) AS value FROM rc JOIN latest ON rc.model = latest.model AND rc.cell_id = latest.cell_id GROUP BY ALL), forecasts AS (SELECT region_id, model, lead, round(value, 6) AS value, value IS NULL AS no_data FROM (SELECT DISTINCT region_id, model FROM rc) JOIN leads USING (model) LEFT JOIN fmeans USING (region_id, model, lead))"
 
 
-def _forecasts(spark, d, base=None):
-    return query.forecasts(pairing.latest_init(fx.forecast(spark, d, base)), fx.cells(spark, d), dims.model_dim(spark))
+def _forecasts(spark, d, cells=None, base=None):
+    return query.forecasts(pairing.latest_init(fx.forecast(spark, d, base)), _cells(spark, d) if cells is None else cells, dims.model_dim(spark))
 
 
 @register("forecast_all_models", f"WITH {FORECASTS} SELECT * FROM forecasts")
@@ -262,7 +268,7 @@ SPEC = "spec AS (SELECT * FROM (VALUES ('bias', 'Bias', 'mm'), ('sacc', 'SACC',
 
 @register("batch_requests", f"WITH {S.STATS}, {S.REGION}, {REQUESTS}, {SPEC}, named AS (SELECT *, unnest(names) AS statistic FROM req WHERE error IS NULL), asked AS (SELECT *, unnest(CASE WHEN one THEN ['3'] ELSE ['5', '6'] END) AS lead_key FROM named), means AS (SELECT region_id, model, statistic, period, period_key, lead_key, round(avg(value), 6) AS value FROM stats JOIN rc USING (model, cell_id) GROUP BY ALL) SELECT request_id, region_id, model, period, period_key, statistic, label, units, lead_key, value, value IS NULL AS no_data FROM asked LEFT JOIN means USING (region_id, model, period, period_key, statistic, lead_key) LEFT JOIN spec USING (statistic)")
 def batch_requests(spark, d):
-    answers, _ = query.run_requests(_requests(spark, d), fx.stats(spark, d), fx.cells(spark, d), ["gfs", "nbm"], STATISTICS, month=4)
+    answers, _ = query.run_requests(_requests(spark, d), fx.stats(spark, d), _cells(spark, d), ["gfs", "nbm"], STATISTICS, month=4)
     return query.labelled(answers, dims.statistic_dim(spark)).withColumn("value", F.round("value", 6))
 
 
@@ -286,7 +292,7 @@ ALL_LOSS = f"{S.STATS}, {S.REGION}, alllosses AS (SELECT region_id, statistic, p
 
 @register("winner_requests", f"WITH {ALL_LOSS}, {WINNER_REQUESTS}, best AS (SELECT region_id, statistic, period, period_key, CAST(lead_key AS INT) AS lead, arg_min(model, (loss, model)) AS model, min(loss) AS loss, count(*) AS n_models FROM alllosses WHERE loss IS NOT NULL GROUP BY ALL) SELECT request_id, region_id, statistic, period, period_key, lead, model, loss, n_models FROM wreq JOIN best USING (region_id, statistic, period, period_key) WHERE error IS NULL AND lead BETWEEN min_lead AND max_lead")
 def winner_requests(spark, d):
-    losses = query.region_losses(_summary(spark, d, ("monthly", "seasonal", "yearly")), STATISTICS)
+    losses = query.region_losses(_summary(spark, d, periods=("monthly", "seasonal", "yearly")), STATISTICS)
     return query.run_winner_requests(_winner_requests(spark, d), losses, STATISTICS, month=4, places=6)[0].drop("metric")
 
 
@@ -299,7 +305,7 @@ def winner_rejects(spark, d):
 @register("forecast_requests", f"WITH {FORECASTS} SELECT o_orderkey AS request_id, o_custkey AS region_id, model, lead, value, no_data FROM orders JOIN forecasts ON region_id = o_custkey WHERE o_orderkey % 13 <> 0")
 def forecast_requests(spark, d):
     asked = _winner_requests(spark, d).select("request_id", "region_id", "region_type")
-    answers, _ = query.run_forecast_requests(asked, pairing.latest_init(fx.forecast(spark, d)), fx.cells(spark, d), dims.model_dim(spark))
+    answers, _ = query.run_forecast_requests(asked, pairing.latest_init(fx.forecast(spark, d)), _cells(spark, d), dims.model_dim(spark))
     return answers.withColumn("value", F.round("value", 6))
 
 
@@ -325,7 +331,7 @@ def saved_shapes_snapshot(spark, d):
 @register("saved_shapes_stats", f"WITH {SNAPSHOT}, {MEANS} SELECT user_id, shape_id, model, statistic, round(value, 6) AS value FROM snap JOIN means ON region = region_id WHERE lead_key = '3'")
 def saved_shapes_stats(spark, d):
     shapes = incremental.shape_snapshot(_shape_log(spark, d)).where("region is not null").select("user_id", "shape_id", F.col("region").alias("region_id"))
-    means = query.region_means(_yearly(spark, d).where("lead_key = '3'"), fx.cells(spark, d))
+    means = query.region_means(_yearly(spark, d).where("lead_key = '3'"), _cells(spark, d))
     return shapes.join(means, "region_id").select("user_id", "shape_id", "model", "statistic", F.round("value", 6).alias("value"))
 
 
@@ -452,10 +458,10 @@ any_value(w.model) AS best_model, any_value(g.value) AS forecast_gfs, any_value(
 LEFT JOIN forecasts g ON g.region_id = a.region_id AND g.lead = a.lead AND g.model = 'gfs' LEFT JOIN forecasts b ON b.region_id = a.region_id AND b.lead = a.lead AND b.model = 'nbm' GROUP BY a.region_id, a.model, a.lead""")
 def panel_csv(spark, d):
     scratch = Scratch(spark)
-    base = scratch.keep(fx.forecast_base(spark, d))
-    summary = scratch.keep(_summary(spark, d, base=base))
+    base, cells = scratch.keep(fx.forecast_base(spark, d)), _cells(spark, d)
+    summary = scratch.keep(_summary(spark, d, cells, base=base))
     winners = _winners(spark, d, summary).where("statistic = 'nmad'")
-    out = panel.panel(_curves(spark, d, summary), STATISTICS, winners, _forecasts(spark, d, base), ("gfs", "nbm"))
+    out = panel.panel(_curves(spark, d, cells, summary), STATISTICS, winners, _forecasts(spark, d, cells, base), ("gfs", "nbm"))
     return out.select("region_id", "model", "lead", *(F.round(c, 6).alias(c) for c in STATISTICS), "best_model", *(F.round(c, 6).alias(c) for c in ("forecast_gfs", "forecast_nbm")))
 
 
