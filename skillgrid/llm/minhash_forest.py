@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, forest, fresh, join_counted, mix, shingle_sets, sorted_groups
@@ -69,22 +69,47 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _regions(most: int):
-    """A row for each region, or for each ``most`` members of a dense one, whose key is then in ``dense``."""
+    """A row for each region, or for each ``most`` members of a dense one, whose key is then in ``dense``.
+
+    Rows come in the order of their keys. Of a dense region a task holds no more than a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, cuts in sorted_groups(batches, ["key"]):
-            keys, reps = rows.column("key").to_numpy(), rows.column("rep").to_numpy()
-            ids, dense, found = [], [], []
-            for g in np.flatnonzero(np.diff(cuts) > 1):
-                lo, hi = cuts[g], cuts[g + 1]
-                whole = hi - lo <= most
-                for at in range(lo, hi, most):
-                    members = reps[at : min(at + most, hi)]
-                    ids.append(xxhash.xxh3_64_intdigest(members.tobytes(), 0 if whole else int(keys[lo]) & 0xFFFFFFFFFFFFFFFF))
-                    dense.append(None if whole else int(keys[lo]))
-                    found.append(members.tolist())
+        ids, dense, found = [], [], []
+
+        def add(key: int, members: np.ndarray, whole: bool) -> None:
+            ids.append(xxhash.xxh3_64_intdigest(members.tobytes(), 0 if whole else key & 0xFFFFFFFFFFFFFFFF))
+            dense.append(None if whole else key)
+            found.append(members.tolist())
+
+        def out() -> pa.RecordBatch:
+            cols = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(dense, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            for rows in (ids, dense, found):
+                rows.clear()
+            return pa.RecordBatch.from_arrays(cols, ["region", "dense", "members"])
+
+        last, held, split = None, np.empty(0, np.int64), False  # the group that may go on in the next batch
+        for batch in batches:
+            keys, reps = batch.column("key").to_numpy(), batch.column("rep").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+            sizes = np.diff(cuts)
+            for g in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)):
+                key, members = int(keys[cuts[g]]), reps[cuts[g] : cuts[g + 1]]
+                if key != last:
+                    if len(held) > 1 or split and len(held):
+                        add(last, held, not split)
+                    last, held, split = key, members, False
+                else:
+                    held = np.concatenate([held, members])
+                while len(held) > most:
+                    add(key, held[:most], False)
+                    held, split = held[most:], True
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(dense, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["region", "dense", "members"])
+                yield out()
+        if len(held) > 1 or split and len(held):
+            add(last, held, not split)
+        if found:
+            yield out()
 
     return run
 
@@ -139,38 +164,47 @@ def _sieved(base: DataFrame, members: DataFrame) -> DataFrame:
     return marked.join(F.broadcast(words), "word").where("mask & shiftleft(1L, cast(bit % 64 as int)) <> 0").select(*base.columns)
 
 
-def _with_pivots(found: DataFrame) -> DataFrame:
+def _with_pivots(found: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows ``a, b``: each member of a dense region and the region's pivot, once."""
-    dense = found.where("dense is not null").select("dense", F.explode("members").alias("rep"))
-    n = dense.groupBy("rep").agg(F.count("*").alias("n"))
-    pivots = dense.join(n, "rep").groupBy("dense").agg(F.min(F.struct((-F.col("n")).alias("n"), "rep"))["rep"].alias("pivot"))
-    return dense.join(pivots, "dense").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct()
+    dense = scratch.keep(found.where("dense is not null").select("dense", F.explode("members").alias("rep")))
+    often = dense.groupBy("rep").agg(F.count("*").alias("often"))
+    pivots = dense.join(often, "rep").groupBy("dense").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("often")).alias("often"), "rep"))["rep"].alias("pivot"))
+    return join_counted(dense, scratch.keep(pivots), ["dense"], ["rep"]).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct()
 
 
 def _chunks(pairs: DataFrame, most: int) -> DataFrame:
     """Rows ``region, rep``: each pivot with its members, about ``most`` at a time."""
-    n = pairs.groupBy("b").agg(F.ceil(F.count("*") / most).alias("n"))
-    dealt = pairs.join(n, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), "n"), F.lit("chunk")).alias("region"))
+    n = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    dealt = join_counted(pairs, n, ["b"], ["a"]).select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / most)), F.lit("chunk")).alias("region"))
     return dealt.select("region", F.explode(F.array("a", "b")).alias("rep")).distinct()
 
 
 def _apart(clusters: DataFrame, joined: DataFrame, sizes: DataFrame, percent: int, most: int, scratch: Scratch) -> DataFrame:
-    """Rows ``region, rep``: pairs of blocks over all members of a cluster that may link and are not of one component."""
+    """Rows ``region, rep``: pairs of blocks over all members of a cluster that may link and are not of one component.
+
+    A block is about ``most`` members of about one size, of one large component or of several small ones.
+    """
     nodes = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("rep"))
     heads = nodes.select("cluster").distinct().select("cluster", F.col("cluster").alias("rep"))
     nodes = nodes.unionByName(heads).distinct().join(joined, F.col("rep") == F.col("node"), "left")
     nodes = scratch.keep(nodes.select("cluster", "rep", F.coalesce("component", "rep").alias("label")))
-    labels = nodes.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    labels = scratch.keep(nodes.groupBy("cluster", "label").agg(F.count("*").alias("n")))
     split = labels.groupBy("cluster").agg(F.count("*").alias("labels")).where("labels > 1").select("cluster")
-    named = labels.join(split, "cluster").select("cluster", "label", F.when(F.col("n") >= most, F.col("label")).alias("one"))
-    order = Window.partitionBy("cluster", "one").orderBy("high", "rep")
-    ranked = nodes.join(named, ["cluster", "label"]).join(sizes, "rep").withColumn("at", F.floor((F.row_number().over(order) - 1) / most))
-    blocked = scratch.keep(ranked.select("cluster", "rep", "one", "low", "high", F.struct("cluster", F.col("one").isNull().alias("mixed"), F.coalesce("one", F.lit(0)).alias("of"), "at").alias("block")))
-    blocks = blocked.groupBy("cluster", "block").agg(F.first("one").alias("one"), F.min("low").alias("low"), F.max("high").alias("high"))
-    x, y = blocks.alias("x"), blocks.alias("y")
+    named = labels.join(split, "cluster").select("cluster", "label", "n", F.when(F.col("n") >= most, F.col("label")).alias("one"))
+    level = F.floor(F.log(F.col("high")) / F.lit(np.log(1.1).item())).alias("level")
+    kind = [F.col("one").isNull().alias("mixed"), F.coalesce("one", F.lit(0)).alias("of")]
+    members = scratch.keep(join_counted(nodes, scratch.keep(named), ["cluster", "label"], ["rep"]).join(sizes, "rep").select("cluster", "rep", "one", "low", "high", *kind, level))
+    keys = ["cluster", "mixed", "of", "level"]
+    filled = scratch.keep(members.groupBy(*keys).agg(F.count("*").alias("n")))
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / most)).alias("part")
+    blocked = scratch.keep(join_counted(members, filled, keys, ["rep"]).select("cluster", "rep", "one", "low", "high", F.struct(*keys, part).alias("block")))
+    blocks = scratch.keep(blocked.groupBy("cluster", "block").agg(F.first("one").alias("one"), F.min("low").alias("low"), F.max("high").alias("high")))
+    ways = 64  # so that the pairs of one cluster are no single task
+    x = blocks.withColumn("way", F.pmod(F.xxhash64("block"), F.lit(ways)).cast("int")).alias("x")
+    y = blocks.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))).alias("y")
     near = (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
     apart = F.col("x.one").isNull() | F.col("y.one").isNull() | (F.col("x.one") != F.col("y.one"))
-    both = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & near & apart)
+    both = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.way") == F.col("y.way")) & (F.col("x.block") <= F.col("y.block")) & near & apart)
     both = both.select(F.xxhash64("x.block", "y.block").alias("region"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
     return both.join(blocked.select("block", "rep"), "block").select("region", "rep")
 
@@ -202,7 +236,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, most: int = 256) -> D
     if found.where("dense is not null").isEmpty():
         joined = components(confirmed(members), scratch)
     else:
-        pairs = scratch.keep(_with_pivots(found))
+        pairs = scratch.keep(_with_pivots(found, scratch))
         joined = scratch.keep(components(confirmed(members.unionByName(_chunks(pairs, most))), scratch))
         sizes = signed.where("doc_id is not null").groupBy(F.col("doc_id").alias("rep")).agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
         rest = scratch.keep(_apart(components(pairs, scratch), joined, sizes, percent, most, scratch))

@@ -160,6 +160,21 @@ def test_near_duplicates_of_a_hub_with_many_variants(spark):
     assert all(got[d] == d for d in got if d >= 60000)
 
 
+def test_regions_come_whole_or_in_chunks_over_any_batches():
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    rows = sorted((rng.choice([1, 2, 3, 3, 3, 3, 900 + k]), k) for k in range(400))
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in rows[i : i + size]], "rep": [r for _, r in rows[i : i + size]]}) for i in range(0, len(rows), size)]
+        out = [r for b in minhash_forest._regions(60)(iter(batches)) for r in b.to_pylist()]
+        by = defaultdict(list)
+        for k, r in rows:
+            by[k].append(r)
+        wanted = [([None] if len(v) <= 60 else [k]) + v[i : i + 60] for k, v in by.items() if len(v) > 1 for i in range(0, len(v), 60)]
+        assert sorted(([r["dense"]] + r["members"] for r in out), key=str) == sorted(wanted, key=str)
+
+
 def test_one_of_each_group_judges_rows(spark):
     a, b = "a b c d e f g h", "some other words that are long enough"
     rows = [(0, a), (1, a), (1, b), (1, b), (None, a), (3, None), (4, ""), (5, b + " x y z")]
