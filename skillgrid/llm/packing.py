@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,10 +150,19 @@ class ChunkIds:
         self.plain = all(list(np.frombuffer(self._cut(t), np.uint32)) == self.tokenizer.encode(t, add_special_tokens=False).ids for t in self.TRIALS)
 
     @staticmethod
-    def _chunks(raw: bytes) -> list[bytes]:
-        """What stands between white space; the vocabulary lower-cases, so A-Z are lower-cased first
-        to make fewer different chunks. Text that may name special tokens stays as it is."""
-        return raw.split() if b"<|" in raw else raw.lower().split()
+    def _chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """What stands between white space: where each text's chunks begin and end, the number of each chunk, and the different chunks.
+
+        The vocabulary lower-cases, so A-Z are lower-cased first to make fewer different chunks.
+        Text that may name special tokens stays as it is.
+        """
+        special = pc.match_substring(texts, "<|")
+        found = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        known = found.flatten().dictionary_encode()
+        bounds = found.offsets.to_numpy()
+        _, ends, data = known.dictionary.cast(pa.binary()).buffers()
+        ends, data = np.frombuffer(ends, np.int32, len(known.dictionary) + 1).tolist() if ends else [0], data.to_pybytes() if data else b""
+        return bounds - bounds[0], known.indices.to_numpy(), [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def _cut(self, text: str) -> bytes:
         out = []
@@ -174,23 +184,32 @@ class ChunkIds:
         rest = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
         return [self._cut(t) if p else array("I", next(rest).ids).tobytes() for t, p in zip(texts, plain, strict=True)]
 
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Chunks seen before are looked up; new ones are tokenised together."""
-        chunks = [self._chunks(t.encode("utf-8", "surrogatepass")) for t in texts]
-        here = set().union(*chunks)
-        new = here.difference(self.young)
+    def _look_up(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of different chunks. Those seen before are looked up; new ones are tokenised together."""
+        each = list(map(self.young.get, chunks))
+        new = [c for c, ids in zip(chunks, each, strict=True) if ids is None]
         if len(self.young) + len(new) > self.most:
             self.old, self.young = self.young, {}
-            new = here
-        young, old = self.young, self.old
-        again = [k for k in new if k in old]
-        young.update(zip(again, map(old.__getitem__, again), strict=True))
-        order = list(new.difference(again))
+            each, new = [None] * len(chunks), chunks
+        found = dict(zip(new, map(self.old.get, new), strict=True))
+        order = [c for c, ids in found.items() if ids is None]
         for at in range(0, len(order), 20_000):
             part = order[at : at + 20_000]
-            young.update(zip(part, self._encode(part), strict=True))
-        ids = dict(zip(here, map(young.__getitem__, here), strict=True)).__getitem__
-        return [np.frombuffer(b"".join(map(ids, c)), np.uint32) for c in chunks]
+            found.update(zip(part, self._encode(part), strict=True))
+        self.young.update(found)
+        return [found[c] if ids is None else ids for c, ids in zip(chunks, each, strict=True)]
+
+    def of(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """Ids of each text, none of which is null."""
+        bounds, codes, chunks = self._chunks(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        each = self._look_up(chunks)
+        flat = np.frombuffer(b"".join(each), np.uint32)
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        begins, lengths = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = flat[np.repeat(begins - ends[:-1], lengths) + np.arange(ends[-1])]
+        cuts = ends[bounds]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -205,8 +224,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, context: int = 4096, smal
 
     ``tokenizer`` is a ``tokenizers`` file whose vocabulary drops white space. A null or empty text
     is the end id alone. Rows that repeat are packed as often; a null doc_id stays null; an empty
-    table gives no row. A task holds about ``batch_ids`` ids and a
-    hundred documents at a time.
+    table gives no row. A task holds about ``batch_ids`` ids, and cuts
+    about 4 MB of text, or one longer document, at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +249,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, context: int = 4096, smal
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(zip(*rows[at : at + 20_000], strict=True), types, strict=True)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode.of([t or "" for t in part.column("text").to_pylist()]), strict=True):
+            texts = pc.fill_null(batch.column("text"), "")
+            block = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) >> 22
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+            for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+                for doc, ids in zip(batch.column("doc_id").slice(at, end - at).to_pylist(), encode.of(texts.slice(at, end - at)), strict=True):
                     docs_now.append(doc)
                     ids_now.append(np.append(ids, np.uint32(end_id)).astype("<u4"))
                     total += len(ids) + 1
