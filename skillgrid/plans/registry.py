@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -172,6 +173,19 @@ def grid_audit(spark, d):
     return grid.check_single_grid(rows)
 
 
+@register("grid_guard", "SELECT CASE WHEN l_returnflag = 'A' THEN 'gfs' ELSE 'nbm' END AS model, CAST(1 AS BIGINT) AS n_grids, true AS consistent FROM lineitem GROUP BY 1")
+def grid_guard(spark, d):
+    rows = fx.read(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "A", "gfs").otherwise("nbm").alias("model"), F.lit("4x6").alias("transform"), F.lit("EPSG:4326").alias("crs"), F.lit(4).alias("n_lat"), F.lit(6).alias("n_lon"))
+    return grid.require_single_grid(rows)
+
+
+@register("grid_crop", f"WITH {S.OBS}, {S.AXES} SELECT cell_id, lat, lon, count(*) AS n_obs FROM obs JOIN cell USING (cell_id) WHERE lat BETWEEN 25 AND 35 AND lon BETWEEN -112 AND -88 GROUP BY ALL")
+def grid_crop(spark, d):
+    box = grid.crop(grid.cells(fx.axes(spark).where("model = 'gfs'")), -112.0, 25.0, -88.0, 35.0)
+    n = fx.observation(spark, d).groupBy("cell_id").agg(F.count("*").alias("n_obs"))
+    return n.join(F.broadcast(box.select("cell_id", "lat", "lon")), "cell_id")  # the grid is a fixed dimension
+
+
 # --- regions
 
 for _name, _how in (("region_rectangle", "overlap"), ("region_polygon", "centers"), ("region_polygon_corners", "corners"), ("region_nearest", "nearest")):
@@ -358,7 +372,7 @@ FIT = "SELECT model, statistic, period, period_key, colormap, round(coalesce(p,
 
 
 def _ranges(spark, d, mode, periods=("monthly", "seasonal", "yearly")):
-    layers = fx.stats(spark, d, periods)
+    layers = Scratch(spark).keep(fx.stats(spark, d, periods))
     return layers, publish.legend_ranges(layers, dims.statistic_dim(spark), mode)
 
 
@@ -369,7 +383,7 @@ def legend_range_export(spark, d):
 
 for _mode, _top in (("export", "greatest(q, 1.0e0)"), ("tile", "CASE WHEN q <= 0 THEN 1.0e0 ELSE q END")):
     register(f"forecast_range_{_mode}", f"WITH {S.FC} SELECT model, statistic, colormap, low, round({_top}, 6) AS high FROM (SELECT model, 'forecast' AS statistic, 'sequential' AS colormap, 0.0e0 AS low, quantile_cont((m - 20) / 100, 0.98) AS q FROM fc GROUP BY 1)")(
-        lambda spark, d, mode=_mode: publish.legend_ranges(fx.forecast(spark, d).select("model", F.lit("forecast").alias("statistic"), ((F.col("value") - 20) / 100).alias("value")), dims.statistic_dim(spark), mode, ("model", "statistic")).withColumn("high", F.round("high", 6))
+        lambda spark, d, mode=_mode: publish.legend_ranges(Scratch(spark).keep(fx.forecast(spark, d).select("model", F.lit("forecast").alias("statistic"), ((F.col("value") - 20) / 100).alias("value"))), dims.statistic_dim(spark), mode, ("model", "statistic")).withColumn("high", F.round("high", 6))
     )
 
 
@@ -436,6 +450,41 @@ def layer_tiles(spark, d):
     return tiles.groupBy("statistic", "model", "lead_key").agg(F.count("*").alias("n_pixels"), F.count_if(F.col("a") > 0).alias("n_shown"))
 
 
+def _tint(name: str, k: int) -> str:
+    low, high = (fn.BLUE, fn.RED) if name == "diverging" else (fn.RED, fn.BLUE)
+    return f"CAST(trunc({_mix(low, high, 't', k)}) AS INT)"
+
+
+_CHANNELS = ", ".join(f"CASE WHEN t IS NULL THEN 0 WHEN colormap = 'diverging' THEN {_tint('diverging', k)} ELSE {_tint('diverging_reversed', k)} END AS {c}" for k, c in enumerate("rgb"))
+
+
+@register("tile_pixels", f"WITH {S.STATS}, r AS ({RANGES}), {IMAGE_SQL}, fit AS ({FIT}), v AS (SELECT stats.*, colormap, least(greatest((value - low) / (high - low), 0.0e0), 1.0e0) AS t FROM stats JOIN fit USING (model, statistic, period, period_key) WHERE period = 'yearly') SELECT model, statistic, lead_key, px, py, {_CHANNELS}, CASE WHEN t IS NULL THEN 0 ELSE 255 END AS a FROM v JOIN pix USING (cell_id)")
+def tile_pixels(spark, d):
+    layers, ranges = _ranges(spark, d, "tile", ("yearly",))
+    colours = publish.coloured(layers, ranges.withColumns({c: F.round(c, 6) for c in ("low", "high")}))
+    image = _image(spark).withColumn("model", F.explode(F.array(*(F.lit(m[0]) for m in dims.MODELS))))  # of a fixed size
+    path = f"{shared_folder(spark)}/pixels-{uuid.uuid4().hex}"
+    sinks.write_pixels(publish.pixels(colours, F.broadcast(image)), path)
+    return spark.read.parquet(path).select("model", "statistic", "lead_key", "px", "py", "r", "g", "b", "a")
+
+
+@register("stored_layers", f"WITH {S.STATS} SELECT cell_id, lead_key, value, sample_count FROM stats WHERE model = 'gfs' AND statistic = 'nmad' AND period = 'seasonal' AND period_key = 'djf'")
+def stored_layers(spark, d):
+    path = f"{shared_folder(spark)}/stats-{uuid.uuid4().hex}"
+    sinks.write_stats(fx.stats(spark, d), path)
+    stored = spark.read.parquet(path)  # slices are folders, so only one is read
+    return stored.where("model = 'gfs' and statistic = 'nmad' and period = 'seasonal' and period_key = 'djf'").select("cell_id", "lead_key", "value", "sample_count")
+
+
+@register("array_fields", f"WITH {S.FC}, {S.LATEST}, {S.OBS}, {S.AXES} SELECT model, init_date, lead, cell_id, CAST(CAST(m AS FLOAT) AS DOUBLE) AS value FROM (SELECT DISTINCT model, init_date, lead FROM latest) CROSS JOIN cell LEFT JOIN latest USING (model, init_date, lead, cell_id)")
+def array_fields(spark, d):
+    latest = pairing.latest_init(fx.forecast(spark, d))
+    grid_cells = F.explode(F.sequence(F.lit(0), F.lit(fx.N_CELLS - 1))).alias("cell_id")
+    whole = latest.select("model", "init_date", "lead").distinct().select("*", grid_cells).join(latest, ["model", "init_date", "lead", "cell_id"], "left")
+    fields = sinks.forecast_export(whole).withColumnRenamed("layer_values", "values")
+    return scans.array_fields(fields, len(fx.LATS), len(fx.LONS)).withColumn("value", F.col("value").cast("double"))
+
+
 @register("lead_blend", f"WITH {S.FC}, {S.LATEST}, c AS (SELECT model, lead, cell_id, CAST(trunc(255.0e0 + (120 - 255) * t) AS INT) AS r, CAST(trunc(least(t * 1020.0e0, 255.0e0)) AS INT) AS a FROM (SELECT *, least(greatest((m - 20.0e0) / 180.0e0, 0.0e0), 1.0e0) AS t FROM latest)), b AS (SELECT model, cell_id, sum(r * a * w) AS ra, sum(a * w) AS a FROM (SELECT *, CASE lead WHEN 3 THEN 1 - 0.296875e0 WHEN 4 THEN 0.296875e0 END AS w FROM c) WHERE w IS NOT NULL GROUP BY 1, 2) SELECT model, cell_id, round(CASE WHEN a > 0 THEN ra / a ELSE 0.0e0 END, 6) AS r, round(a, 6) AS a FROM b")
 def lead_blend(spark, d):
     latest = pairing.latest_init(fx.forecast(spark, d))
@@ -494,7 +543,15 @@ def latest_init(spark, d):
     return _inits(spark, d)
 
 
-@register("config_json")
+def _json_row(fields: dict) -> str:
+    return "{" + ",".join(f'"{k}":{json.dumps(v) if not isinstance(v, tuple) else v[0]}' for k, v in fields.items()) + "}"
+
+
+_MODEL_ROWS = ",".join(_json_row({"model": m[0], "label": m[1], "lead_min": m[2], "lead_max": m[3], "init_date": (f"\"' || (SELECT max(init_date) FROM base WHERE model = '{m[0]}') || '\"",), "is_default": m[6]}) for m in sorted(dims.MODELS))
+_STATISTIC_ROWS = ",".join(_json_row(dict(zip(("statistic", "label", "units", "colormap", "kind", "is_default"), row, strict=True))) for row in sorted(dims.STATISTICS))
+
+
+@register("config_json", f"""WITH {S.BASE} SELECT '{{"models":[{_MODEL_ROWS}],"statistics":[{_STATISTIC_ROWS}],"default_model":"{dims.DEFAULT_MODEL}","default_statistic":"{dims.DEFAULT_STATISTIC}"}}' AS config""")
 def config_json(spark, d):
     return publish.config_json(dims.model_dim(spark), dims.statistic_dim(spark), _inits(spark, d))
 
@@ -589,6 +646,17 @@ def failure_examples(spark, d):
     return ingest.failure_examples(log)
 
 
+@register("file_audit", """WITH f AS (SELECT p_partkey % 7 = 0 AS part, p_partkey % 5 <> 0 AS magic, p_partkey % 3 <> 0 AS whole FROM part)
+SELECT whole AS length_ok, magic AS magic_ok, count(CASE WHEN NOT part THEN 1 END) AS n_complete, count(CASE WHEN part THEN 1 END) AS n_partial FROM f GROUP BY ALL""")
+def file_audit(spark, d):
+    k = F.col("p_partkey")
+    content = F.concat(F.when(k % 5 != 0, F.lit("GRIB")).otherwise(F.lit("HTML")), F.col("p_name")).cast("binary")
+    files = fx.read(spark, d, "part").select(F.concat(F.lit("f"), k.cast("string"), F.when(k % 7 == 0, F.lit(scans.PARTIAL)).otherwise(F.lit(".grib2"))).alias("path"), content.alias("content"), (F.octet_length(content) + F.when(k % 3 == 0, 1).otherwise(0)).alias("announced"))
+    marked = files.select("path", scans.length_matches(F.col("content"), F.col("announced")).alias("length_ok"), scans.has_grib_magic(F.col("content")).alias("magic_ok"))
+    both = scans.complete_files(marked).withColumn("partial", F.lit(0)).unionByName(marked.where(F.col("path").endswith(scans.PARTIAL)).withColumn("partial", F.lit(1)))
+    return both.groupBy("length_ok", "magic_ok").agg(F.sum(1 - F.col("partial")).alias("n_complete"), F.sum("partial").alias("n_partial"))
+
+
 # --- incremental
 
 
@@ -611,6 +679,17 @@ def incremental_update(spark, d):
     return _updated(spark, d)[0].select(*pairing.KEYS, *sum_names())
 
 
+@register("incremental_version", f"WITH {S.ACC} SELECT * FROM acc WHERE n > 0")
+def incremental_version(spark, d):
+    root = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    forecast, observation = fx.forecast(spark, d), fx.observation(spark, d)
+    early = F.col("valid_date") < F.lit("1996-06-30").cast("date")
+    incremental.write_version(*incremental.update(None, None, forecast, observation.where(early)), root, "first")
+    stored, ledger = incremental.current_version(spark, root)
+    incremental.write_version(*incremental.update(stored, ledger, forecast, observation), root, "second")
+    return incremental.current_version(spark, root)[0].select(*pairing.KEYS, *sum_names())
+
+
 @register("incremental_ledger", f"WITH {S.PAIRS} SELECT model, init_date, lead, count(DISTINCT cell_id) AS n_cells FROM pairs GROUP BY ALL")
 def incremental_ledger(spark, d):
     ledger = _updated(spark, d)[1]

@@ -67,6 +67,19 @@ def test_daily_sum_and_ranges(spark):
     assert publish.legend_ranges(low, spec, "tile", ("statistic",)).first().high == pytest.approx(0.4)
 
 
+@pytest.mark.parametrize("accuracy", [10, 10_000])
+def test_percentiles_are_exact(spark, accuracy):
+    rng = np.random.default_rng(3)
+    slices = {"ties": np.repeat([1.0, 2.0, 3.0], [50, 4000, 7]), "few": np.array([4.0, -1.0, 9.0]), "one": np.array([5.0]), "many": rng.normal(size=5000), "constant": np.full(300, 2.5)}
+    rows = [(k, float(x)) for k, v in slices.items() for x in v] + [("none", None), ("few", None)]
+    layers = spark.createDataFrame(rows, "s string, value double").repartition(7)
+    shares = (0.0, 0.02, 0.5, 0.98, 1.0)
+    got = {r.s: r.p for r in publish.percentiles(layers, ("s",), shares, accuracy).collect()}
+    assert got.pop("none") is None and set(got) == set(slices)
+    for k, v in slices.items():
+        assert np.allclose(got[k], np.quantile(v, shares), rtol=0, atol=1e-12)
+
+
 def test_byte_ranges(spark):
     lines = [f"{k}:{b}:d=2026032012:{v}:surface:0-6 hour acc fcst:" for k, b, v in ((1, 0, "TMP"), (2, 100, "APCP"), (3, 250, "TMP"))]
     rows = [("a", k + 1, x) for k, x in enumerate(lines)] + [("b", 3, lines[2].replace("TMP", "APCP"))]
