@@ -31,7 +31,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 _BYTES = np.random.default_rng(20240117).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.frombuffer(_ASCII_LOWER, np.uint8)
-_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])  # white space: \x20 and \x09-\x0D
 _SPAN = 1 << 18  # bytes that are hashed at once; longer words are hashed one by one
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.cumprod(np.append(np.uint64(1), np.full(_SPAN - 1, _BASE, np.uint64)))
@@ -47,10 +47,10 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
-def word_places(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of each word between the white space \\x20 and \\x09-\\x0D, and the number of the first word of each text, and the end."""
+def word_places(raw: np.ndarray, bounds: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each word between the bytes ``between``, white space as a rule, and the number of the first word of each text, and the end."""
     inside = np.zeros(len(raw) + 2, bool)
-    np.logical_not(_SPACE[raw], out=inside[1:-1])
+    np.logical_not(between[raw], out=inside[1:-1])
     begins, ends = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
     cut = bounds[1:-1]
     cut = cut[inside[cut] & inside[cut + 1]]  # two texts that touch
@@ -59,14 +59,14 @@ def word_places(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return begins, ends, np.searchsorted(begins, bounds)
 
 
-def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, lower: bool, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word of a string column, and the number of the first word of each text, and the end.
 
     The hash is a polynomial over a random table of the bytes, from running sums, so that no word
     becomes an object of its own; ``lower`` lower-cases A-Z only.
     """
     raw, bounds = bytes_of(texts)
-    begins, ends, first = word_places(raw, bounds)
+    begins, ends, first = word_places(raw, bounds, between)
     table = _BYTES[_LOWER] if lower else _BYTES
     out = np.empty(len(begins), np.uint64)
     lo = 0

@@ -81,5 +81,39 @@ FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a
 """
 
 
+SOURCE_DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), tokens AS (
+  SELECT row, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS lang_count FROM tokens GROUP BY 1, 2 HAVING count(DISTINCT row) >= 3
+), kinds AS (
+  SELECT lang, count(*) AS kinds, sum(lang_count)::HUGEINT AS lang_total FROM kept GROUP BY 1
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), here AS (
+  SELECT lang, source, term, count(*) AS n FROM tokens JOIN kept USING (lang, term) GROUP BY 1, 2, 3
+), totals AS (
+  SELECT lang, source, sum(n)::HUGEINT AS total FROM here GROUP BY 1, 2
+), dense AS (  -- every group with every kept term
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, lang_count, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (coalesce(total, 0) + kinds) AS p,
+         1 + (1000000000::HUGEINT * (lang_count + 1)) // (lang_total + kinds) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN kinds USING (lang) LEFT JOIN totals USING (lang, source) LEFT JOIN here h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), words AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value FROM dense WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM words)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP, "op6_cover_tree": COVER_TREE, "op7_substring_dedup": SUBSTRING_DEDUP}
+    return {"op13_source_divergence": SOURCE_DIVERGENCE, "op2_line_dedup": LINE_DEDUP, "op6_cover_tree": COVER_TREE, "op7_substring_dedup": SUBSTRING_DEDUP}
