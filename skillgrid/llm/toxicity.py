@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +38,8 @@ LEVELS = (2, 4, 6)  # log-likelihood ratios over which words are counted
 SUMS = ("words", "known", "total", "best", *(f"over_{v}" for v in LEVELS))  # of a text: words, those in the table, the sum of their ratios, the largest, and those over each level
 FEATURES = ("mean", "best", *(f"share_over_{v}" for v in LEVELS), *(f"log_over_{v}" for v in LEVELS), "log_words")
 _BEST = SUMS.index("best")
-_BREAK = np.array([c < 128 and not (65 <= c <= 90 or 97 <= c <= 122) for c in range(256)])  # between words: ASCII but letters
-_FOLD = np.frombuffer(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)), np.uint8)
+BREAK = np.array([c < 128 and not (65 <= c <= 90 or 97 <= c <= 122) for c in range(256)])  # between words: ASCII but letters
+FOLD = np.frombuffer(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)), np.uint8)
 _BEGIN, _END = 1, 2  # bytes that no word has
 
 
@@ -48,13 +49,13 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             texts = part.column("text")
             raw, bounds = bytes_of(texts)
-            begins, ends, first = word_places(raw, bounds, _BREAK)
-            hashes, _ = word_hashes(texts, lower=True, between=_BREAK)
+            begins, ends, first = word_places(raw, bounds, BREAK)
+            hashes, _ = word_hashes(texts, lower=True, between=BREAK)
             toxic = np.repeat(part.column("label").to_numpy() > 0, np.diff(first))
             found, at, word = np.unique(hashes, return_index=True, return_inverse=True)
             t = np.bincount(word, weights=toxic, minlength=len(at)).astype(np.int64)
             n = np.bincount(word, minlength=len(at))
-            low = _FOLD[raw].tobytes()
+            low = FOLD[raw].tobytes()
             yield pa.RecordBatch.from_pydict({"hash": pa.array(found.view(np.int64)), "word": pa.array([low[b:e] for b, e in zip(begins[at].tolist(), ends[at].tolist(), strict=True)], pa.binary()), "toxic": pa.array(t), "ordinary": pa.array(n - t)})
 
 
@@ -139,7 +140,7 @@ def fit_spelling(words: DataFrame) -> Spelling:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    blocks: tuple[tuple[np.ndarray, np.ndarray], ...]  # sorted hashes of words, and their log-likelihood ratios
+    blocks: tuple[Broadcast, ...]  # sorted hashes of words, and their log-likelihood ratios
     unseen: float  # the ratio of a word that neither class has
     bias: float
     weights: np.ndarray
@@ -171,20 +172,20 @@ def word_ratios(labelled: DataFrame, scratch: Scratch) -> tuple[DataFrame, float
     return scratch.keep(words.mapInArrow(finish, "hash long, ratio double")), float(np.log(left["toxic"] / left["ordinary"]))
 
 
-def blocks_of(words: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
-    """The table of words in blocks of about ``BLOCK`` at most, each sorted by hash."""
+def blocks_of(words: DataFrame) -> tuple[Broadcast, ...]:
+    """The table of words in blocks of about ``BLOCK`` at most, each sorted by hash; the driver holds one at a time."""
     parts, out = max(1, -(-words.count() * 11 // (10 * BLOCK))), []
     for k in range(parts):
         own = words.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == k).select("hash", F.col("ratio").cast("float").alias("ratio")).toArrow()
         h = own.column("hash").to_numpy().view(np.uint64)
         order = np.argsort(h)
-        out.append((h[order], own.column("ratio").to_numpy()[order]))
+        out.append(words.sparkSession.sparkContext.broadcast((h[order], own.column("ratio").to_numpy()[order])))
     return tuple(out)
 
 
 def sums_of(texts: pa.Array, block: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """``SUMS`` of each text over its words of a block, but for the number of all its words."""
-    hashes, first = word_hashes(texts, lower=True, between=_BREAK)
+    hashes, first = word_hashes(texts, lower=True, between=BREAK)
     out = np.zeros((len(texts), len(SUMS)))
     out[:, 0], out[:, _BEST] = np.diff(first), -np.inf
     known, ratios = block
@@ -205,8 +206,7 @@ def sums_of(texts: pa.Array, block: tuple[np.ndarray, np.ndarray]) -> np.ndarray
 
 def measured(rows: DataFrame, column: str, model: ToxicityModel, names: list[str]) -> DataFrame:
     """``rows`` with ``SUMS`` over all blocks of words in the columns ``names``: one pass for each block."""
-    for k, block in enumerate(model.blocks):
-        sent = rows.sparkSession.sparkContext.broadcast(block)
+    for k, sent in enumerate(model.blocks):
         schema = T.StructType([f for f in rows.schema.fields if f.name not in names] + [T.StructField(n, T.DoubleType(), False) for n in names])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, first=not k, schema=schema) -> Iterator[pa.RecordBatch]:

@@ -277,7 +277,7 @@ def test_toxicity_ratios_equal_definition(spark, judged):
     ratio, none, words = plain_ratios(rows)
     log_chance = plain_spelling(words)
     words = sorted(words)
-    hashes, _ = word_hashes(pa.array(words), lower=True, between=toxicity._BREAK)
+    hashes, _ = word_hashes(pa.array(words), lower=True, between=toxicity.BREAK)
     assert len(got) == len(words) and unseen == pytest.approx(none)
     for word, h in zip(words, hashes.tolist(), strict=True):
         assert got[h] == pytest.approx(ratio(word, log_chance(word)), abs=0.05)  # places of the spelling model can be shared
@@ -296,9 +296,9 @@ def test_toxicity_scores_and_blocks(spark, judged, monkeypatch):
     assert scored.columns == ["doc_id", "text", "score", "log_ratio"]
     rows = scored.collect()
     assert len(rows) == len(judged) + len(odd)
-    ratios = dict(zip(*(a.tolist() for a in model.blocks[0]), strict=True))
+    ratios = dict(zip(*(a.tolist() for a in model.blocks[0].value), strict=True))
     vocabulary = sorted({w for r in rows for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (r.text or "").lower())})
-    hashes, _ = word_hashes(pa.array(vocabulary), lower=True, between=toxicity._BREAK)
+    hashes, _ = word_hashes(pa.array(vocabulary), lower=True, between=toxicity.BREAK)
     known = {w: ratios[h] for w, h in zip(vocabulary, hashes.tolist(), strict=True) if h in ratios}
     for r in rows:
         f = np.array(plain_features(r.text, known, model.unseen))
