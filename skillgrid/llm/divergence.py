@@ -12,29 +12,61 @@ since terms with equal counts have equal shares; terms of both sources correct t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bytes_of, word_places
+from .periodic import slices
+from .toxicity import BREAK, FOLD
 
 SCALE = 1_000_000_000
-SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BITS = 23
 _FEW = 100_000  # groups up to which their sizes are broadcast: some 100 bytes each
 
 
-def terms_of(text: Column) -> Column:
-    """The terms of a text in their order: letters A-Z, lower-cased, a-z and all beyond ASCII."""
-    return F.filter(F.split(F.translate(text, _UPPER, _LOWER), SEPARATORS), lambda t: t != "")
-
-
-def _marked(terms: Column) -> Column:
-    """Sorted terms, each with whether it is the first of its kind."""
-
-    def mark(s: Column) -> Column:
-        return F.transform(s, lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get(s, i - 1) != t)).alias("first")))
-
-    return F.get(F.transform(F.array(F.array_sort(terms)), mark), F.lit(0))  # the outer lambda names the sorted array, so that it is sorted once
+def _terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The terms of texts, one after the other: letters A-Z, lower-cased, a-z and all beyond ASCII; and the first of each text, and the end."""
+    raw, bounds = bytes_of(texts)
+    begins, ends, first = word_places(raw, bounds, BREAK)
+    inside = ~BREAK[raw]
+    offsets = np.concatenate([[0], np.cumsum(ends - begins)])
+    return pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(FOLD[raw[inside]])]), first
+
+
+def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``lang, source, term, count, documents`` of each slice of classes ``lang, text, weights``, tokenised once and counted for all their sources."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            terms, first = _terms(part.column("text"))
+            if not len(terms):
+                continue
+            coded = terms.dictionary_encode()
+            kinds = len(coded.dictionary)
+            owner = np.repeat(np.arange(part.num_rows), np.diff(first))
+            pair, times = np.unique(owner * kinds + coded.indices.to_numpy(), return_counts=True)
+            text, term = pair // kinds, pair % kinds
+            weights = part.column("weights")
+            of = np.asarray(weights.value_lengths())
+            each = weights.flatten()
+            sources, langs = each.field("source").dictionary_encode(), part.column("lang").dictionary_encode()
+            n, source = each.field("n").to_numpy(), sources.indices.to_numpy()
+            own = of[text]  # a class counts for each of its sources
+            place = np.repeat((np.cumsum(of) - of)[text] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            group = np.repeat(langs.indices.to_numpy()[text].astype(np.int64) * len(sources.dictionary), own) + source[place]
+            key, at = np.unique(group * kinds + np.repeat(term, own), return_inverse=True)
+            count, documents = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+            np.add.at(count, at, np.repeat(times, own) * n[place])
+            np.add.at(documents, at, n[place])
+            group = key // kinds
+            yield pa.RecordBatch.from_pydict({
+                "lang": langs.dictionary.take(pa.array(group // len(sources.dictionary))),
+                "source": sources.dictionary.take(pa.array(group % len(sources.dictionary))),
+                "term": coded.dictionary.take(pa.array(key % kinds)).cast(pa.large_string()).cast(pa.string()),
+                "count": pa.array(count), "documents": pa.array(documents)})
 
 
 def share(count: Column, total: Column, kinds: Column) -> Column:
@@ -53,17 +85,26 @@ def divergence(p: Column, q: Column) -> Column:
 def collapsed(docs: DataFrame, scratch: Scratch, *, text: str = "text", lang: str = "lang", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """Rows ``lang, text, weights`` (one a class; ``weights`` are ``source, n``), and rows ``lang, source`` of all groups.
 
-    Only hashes are counted by source, so that a text goes over the network once at most; a class has
-    as many weights as sources.
+    Only hashes are counted by source. A bitmap of those that several rows have (``2^_BITS`` bits) then tells rows
+    apart: a text that is there once stays where it is, others go over the network, once a task. A class has as
+    many weights as sources.
     """
     read = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(read(lang).alias("lang"), read(source).alias("source"), read(text).alias("text"))
     key = ["lang", "hash_a", "hash_b"]
     rows = rows.select("lang", "source", "text", F.xxhash64("text").alias("hash_a"), F.xxhash64(F.lit(1), "text").alias("hash_b"))
     counted = scratch.keep(rows.groupBy(*key, "source").agg(F.count("*").alias("n")))
-    weights = counted.groupBy(*key).agg(F.collect_list(F.struct("source", "n")).alias("weights"))
-    texts = rows.groupBy(*key).agg(F.first("text").alias("text"))
-    return texts.join(weights.hint("merge"), key).select("lang", "text", "weights"), counted.select("lang", "source").distinct()
+    weights = counted.groupBy(*key).agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("weights")).where("n > 1")
+    bit = F.pmod("hash_a", F.lit(1 << _BITS))
+    word, mask = F.floor(bit / 64).alias("word"), F.expr("shiftleft(1L, cast(pmod(hash_a, 64) as int))")
+    often = weights.select(word, mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    marked = rows.withColumn("word", word).join(F.broadcast(often), "word", "left")  # 2^_BITS / 64 rows at most
+    repeats = F.coalesce(F.col("mask").bitwiseAND(mask) != 0, F.lit(False))
+    once = marked.where(~repeats).select("lang", "text", F.array(F.struct("source", F.lit(1).cast("long").alias("n"))).alias("weights"))
+    texts = marked.where(repeats).groupBy(*key).agg(F.first("text").alias("text"), F.first("source").alias("source"))
+    own = F.coalesce("weights", F.array(F.struct("source", F.lit(1).cast("long").alias("n"))))  # a row that only shares its bit
+    met = texts.join(weights.select(*key, "weights").hint("merge"), key, "left").select("lang", "text", own.alias("weights"))
+    return once.unionByName(met), counted.select("lang", "source").distinct()
 
 
 def counts(docs: DataFrame, scratch: Scratch, *, least_documents: int = 3, **names: str) -> tuple[DataFrame, DataFrame]:
@@ -72,9 +113,8 @@ def counts(docs: DataFrame, scratch: Scratch, *, least_documents: int = 3, **nam
     A term is kept in a language if at least ``least_documents`` of its documents have it.
     """
     classes, groups = collapsed(docs, scratch, **names)
-    tokens = classes.select("lang", "weights", _marked(terms_of(F.col("text"))).alias("terms")).select("lang", F.explode("weights").alias("w"), "terms")
-    tokens = tokens.select("lang", "w.source", "w.n", F.inline("terms"))
-    counted = tokens.groupBy("lang", "source", "term").agg(F.sum("n").alias("count"), F.sum(F.when(F.col("first"), F.col("n")).otherwise(0)).alias("documents"))
+    tokens = classes.mapInArrow(_tokenised, "lang string, source string, term string, count long, documents long")
+    counted = tokens.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
     own = Window.partitionBy("lang", "term")  # one row a source
     seen = counted.withColumns({"lang_documents": F.sum("documents").over(own), "lang_count": F.sum("count").over(own), "one": F.row_number().over(own.orderBy("source")) == 1})
     return scratch.keep(seen.where(F.col("lang_documents") >= least_documents).select("lang", "source", "term", "count", "lang_count", "one")), groups
