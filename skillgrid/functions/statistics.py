@@ -55,8 +55,8 @@ def statistics() -> list[Statistic]:
 
 
 def all_sums(registered: list[Statistic] | None = None) -> dict[str, Column]:
-    """Sums of all statistics, equal ones once; two different sums under one name are an error."""
-    out: dict[str, Column] = {}
+    """Sums of all statistics, equal ones once, and the count ``n``; two different sums under one name are an error."""
+    out: dict[str, Column] = {"n": pair_sums()["n"]}
     for s in registered if registered is not None else statistics():
         for name, expr in s.sums.items():
             if str(out.setdefault(name, expr)) != str(expr):

@@ -67,12 +67,17 @@ def source_index(x: Column, y: Column, transform: tuple[float, ...]) -> dict[str
 
 
 def regrid(target: DataFrame, source: DataFrame, transform: tuple[float, ...], x: Column | None = None, y: Column | None = None) -> DataFrame:
-    """Nearest values of ``source`` (``src_row, src_col, value`` and keys) for every target cell and key; null outside.
+    """Nearest values of ``source`` (``src_row, src_col, value`` and keys) for every target cell and key; null where the source has none.
 
-    The index is arithmetic on the small target grid, so the large source is joined by equality.
+    The index is arithmetic on the target grid, a fixed dimension that is broadcast; every key of the
+    source meets all its cells, and the large source is joined by equality.
     """
     placed = target.withColumns(source_index(x if x is not None else F.col("lon"), y if y is not None else F.col("lat"), transform))
-    return placed.join(source, ["src_row", "src_col"], "left")
+    keys = [c for c in source.columns if c not in ("src_row", "src_col", "value")]
+    if not keys:
+        return placed.join(source, ["src_row", "src_col"], "left")
+    wanted = source.select(*keys).distinct().crossJoin(F.broadcast(placed))
+    return wanted.join(source, [*keys, "src_row", "src_col"], "left")
 
 
 def lambert(lat: Column, lon: Column, lat0: float, lon0: float, lat1: float, lat2: float, radius: float = 6371200.0) -> tuple[Column, Column]:

@@ -83,17 +83,20 @@ def layers(acc: DataFrame, windows: DataFrame, periods: tuple[str, ...] = ("mont
     return finalize(days.unionByName(by_window(sums, windows, registered)), registered, names)
 
 
-def daily_from_buckets(buckets: DataFrame, keys: list[str]) -> DataFrame:
-    """Daily sums of four six-hour buckets; a cell with a missing bucket has no value."""
-    return buckets.groupBy(*keys).agg(F.when(F.count("value") == 4, F.sum("value")).alias("value"))
+def daily_from_buckets(buckets: DataFrame, keys: list[str], hour: str = "fhour") -> DataFrame:
+    """Daily sums of four six-hour buckets, told apart by ``hour``; a cell with a missing bucket, or one twice, has no value."""
+    which = F.when(F.col("value").isNotNull(), F.expr(f"shiftleft(1, cast(pmod(`{hour}` div 6, 4) as int))"))
+    return buckets.groupBy(*keys).agg(F.when((F.count("value") == 4) & (F.bit_or(which) == 15), F.sum("value")).alias("value"))
 
 
 def window_means(forecast: DataFrame, windows: DataFrame) -> DataFrame:
-    """Mean forecast over lead windows; a cell that misses a lead has no value, a window that misses a lead no row."""
+    """Mean forecast over lead windows; a cell that misses a lead, or has one twice, has no value, a window that misses a lead no row."""
     within = forecast.join(F.broadcast(windows), "model").where(F.col("lead").between(F.col("start"), F.col("end")))
     length = F.col("end") - F.col("start") + 1
     found = within.groupBy("model", "init_date", "lead_key", "start", "end").agg(F.count_distinct("lead").alias("found")).where(F.col("found") == length)
-    means = within.groupBy("model", "init_date", "lead_key", "cell_id", "start", "end").agg(F.when(F.count("value") == F.first(length), F.avg("value")).alias("value"))
+    leads = F.bit_or(F.when(F.col("value").isNotNull(), F.expr("shiftleft(1L, cast(lead - start as int))")))
+    whole = (F.count("value") == F.first(length)) & (leads == F.expr("shiftleft(1L, cast(first(end - start + 1) as int)) - 1"))
+    means = within.groupBy("model", "init_date", "lead_key", "cell_id", "start", "end").agg(F.when(whole, F.avg("value")).alias("value"))
     return means.join(found.select("model", "init_date", "lead_key"), ["model", "init_date", "lead_key"], "left_semi").drop("start", "end")
 
 

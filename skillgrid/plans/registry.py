@@ -140,7 +140,7 @@ def _source(spark, d):
     return fx.read(spark, d, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("valid_date"), (F.col("l_suppkey") % 20).cast("int").alias("src_row"), (F.col("l_partkey") % 40).cast("int").alias("src_col")).agg(F.sum("l_quantity").cast("double").alias("value"))
 
 
-@register("regrid_nearest", f"WITH {SOURCE}, {S.AXES} SELECT cell_id, valid_date, value FROM cell LEFT JOIN src ON src_row = CAST(floor((lat - 45.0e0) / -1.25e0) AS INT) AND src_col = CAST(floor((lon - -125.0e0) / 1.25e0) AS INT)")
+@register("regrid_nearest", f"WITH {SOURCE}, {S.AXES} SELECT cell_id, d.valid_date, value FROM cell CROSS JOIN (SELECT DISTINCT valid_date FROM src) d LEFT JOIN src ON src.valid_date = d.valid_date AND src_row = CAST(floor((lat - 45.0e0) / -1.25e0) AS INT) AND src_col = CAST(floor((lon - -125.0e0) / 1.25e0) AS INT)")
 def regrid_nearest(spark, d):
     cells = grid.cells(fx.axes(spark).where("model = 'gfs'"))
     return grid.regrid(cells, _source(spark, d), (1.25, 0.0, -125.0, 0.0, -1.25, 45.0)).select("cell_id", "valid_date", "value")
@@ -151,7 +151,7 @@ LCC = """lcc AS (SELECT cell_id, 6371200.0e0 * f / pow(tan(pi() / 4 + radians(la
 place AS (SELECT cell_id, CAST(floor((rho0 - rho * cos(turn) + 1500000.0e0) / 100000.0e0) AS INT) AS r, CAST(floor((rho * sin(turn) + 2000000.0e0) / 100000.0e0) AS INT) AS c FROM lcc)"""
 
 
-@register("regrid_lcc", f"WITH {SOURCE}, {S.AXES}, {LCC} SELECT cell_id, r AS src_row, c AS src_col, valid_date, value FROM place LEFT JOIN src ON src_row = r AND src_col = c")
+@register("regrid_lcc", f"WITH {SOURCE}, {S.AXES}, {LCC} SELECT cell_id, r AS src_row, c AS src_col, d.valid_date, value FROM place CROSS JOIN (SELECT DISTINCT valid_date FROM src) d LEFT JOIN src ON src.valid_date = d.valid_date AND src_row = r AND src_col = c")
 def regrid_lcc(spark, d):
     cells = grid.cells(fx.axes(spark).where("model = 'gfs'"))
     x, y = grid.lambert(F.col("lat"), F.col("lon"), 38.5, -97.5, 38.5, 38.5)

@@ -30,7 +30,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
+        self.kept: dict[int, tuple[DataFrame, str]] = {}  # frames are held, so that no other gets the id of one
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back: the lineage ends in shared files."""
@@ -38,12 +38,12 @@ class Scratch:
         self.count += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.kept[id(out)] = out, path
         return out
 
     def drop(self, df: DataFrame) -> None:
-        """Delete a table of ``keep`` that no later step reads."""
-        path = self.paths.pop(id(df), None)
+        """Delete a table of ``keep`` that no later step reads; other frames are left alone."""
+        _, path = self.kept.pop(id(df), (None, None))
         if path:
             hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
