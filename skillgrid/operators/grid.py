@@ -55,6 +55,30 @@ def wrap_longitudes(axis: DataFrame) -> DataFrame:
     return wrapped.withColumn("idx", (F.row_number().over(Window.partitionBy("model").orderBy("center")) - 1).cast("int"))
 
 
+def orientation(axes: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """One row a model: ``lats, lons`` of its grid when wrapped to -180..180, south to north, west to east and cropped to ``box``, and ``place``.
+
+    ``place`` is the one permutation that does all of that to a field: where each of its cells is in the
+    field as it came. ``box`` is west, south, east, north, of centres, ends included.
+    """
+    west, south, east, north = box or (-math.inf, -math.inf, math.inf, math.inf)
+
+    def axis(name: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("axis") == name, F.struct(F.col("center").alias("c"), F.col("idx").alias("i")))))
+
+    wrapped = wrap_longitudes(axes.where("axis = 'lon'").withColumn("raw", F.col("idx"))).select("model", "axis", F.col("raw").alias("idx"), "center")
+    arrays = axes.where("axis = 'lat'").select("model", "axis", "idx", "center").unionByName(wrapped).groupBy("model").agg(axis("lat").alias("a"), axis("lon").alias("o"))
+    within = arrays.select("model", F.size("o").alias("width"), F.filter("a", lambda s: s["c"].between(south, north)).alias("a"), F.filter("o", lambda s: s["c"].between(west, east)).alias("o"))
+    place = F.flatten(F.transform("a", lambda r: F.transform("o", lambda c: (r["i"] * F.col("width") + c["i"]).cast("int"))))
+    return within.select("model", F.col("a.c").alias("lats"), F.col("o.c").alias("lons"), place.alias("place"))
+
+
+def oriented(fields: DataFrame, orientations: DataFrame) -> DataFrame:
+    """Fields with ``values`` moved to their place: whole arrays, one permutation a model. ``orientations`` is a fixed dimension."""
+    joined = fields.join(F.broadcast(orientations.select("model", "place")), "model")
+    return joined.withColumn("values", F.transform("place", lambda i: F.get("values", i))).drop("place")
+
+
 def crop(points: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
     """Cells whose centre is in the box, ends included."""
     return points.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))

@@ -8,11 +8,15 @@ the ledger covers leave before they meet observations. The result is that of com
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import Statistic
 from ..sources.scratch import Scratch
+from ..sources.sinks import claim, current
 from .pairing import KEYS, accumulate, add_up, pairs
 
 LEDGER = ["model", "init_date", "lead"]
@@ -38,17 +42,45 @@ def update(stored: DataFrame | None, ledger: DataFrame | None, forecast: DataFra
     return add_up(stored.unionByName(acc), KEYS, registered), ledger.unionByName(done)
 
 
-def write_version(acc: DataFrame, ledger: DataFrame, root: str, version: str) -> None:
-    """A new version of both tables beside the old ones, and then the row that makes it the current one."""
-    acc.write.parquet(f"{root}/{version}/acc")
-    ledger.write.parquet(f"{root}/{version}/ledger")
-    acc.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("ts")).write.mode("append").parquet(f"{root}/current")
+@dataclass(frozen=True)
+class Version:
+    """A published state: its number, accumulators, ledger, and the lead ranges and tag they were made with."""
+
+    number: int
+    acc: DataFrame
+    ledger: DataFrame
+    seen: DataFrame
 
 
-def current_version(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Accumulators and ledger of the version that was made current last."""
-    version = spark.read.parquet(f"{root}/current").orderBy(F.desc("ts")).first().version
-    return spark.read.parquet(f"{root}/{version}/acc"), spark.read.parquet(f"{root}/{version}/ledger")
+def write_version(acc: DataFrame, ledger: DataFrame, root: str, models: DataFrame, tag: str, after: int = 0) -> int:
+    """Publish both tables as the state that follows number ``after``, and return its number.
+
+    All is written beside what is current, and becomes current by one file. If another has followed
+    ``after`` meanwhile, ``FileExistsError`` is raised, and nothing changes.
+    """
+    spark, name = acc.sparkSession, f"{after + 1:09d}-{uuid.uuid4().hex}"
+    acc.write.parquet(f"{root}/versions/{name}/acc")
+    ledger.write.parquet(f"{root}/versions/{name}/ledger")
+    models.select("model", "lead_min", "lead_max", F.lit(tag).alias("tag")).write.parquet(f"{root}/versions/{name}/seen")
+    claim(spark, f"{root}/current", after + 1, name)
+    return after + 1
+
+
+def current_version(spark: SparkSession, root: str) -> Version | None:
+    """The state that was published last, or None."""
+    number, name = current(spark, f"{root}/current")
+    read = lambda table: spark.read.parquet(f"{root}/versions/{name}/{table}")
+    return Version(number, read("acc"), read("ledger"), read("seen")) if number else None
+
+
+def refresh(forecast: DataFrame, observation: DataFrame, root: str, models: DataFrame, tag: str) -> Version:
+    """Publish the next state: what is stored and what is new where ``can_update`` allows it, else all anew."""
+    spark = forecast.sparkSession
+    old = current_version(spark, root)
+    usable = old is not None and can_update(old.ledger, old.acc, models, old.seen, tag)
+    acc, ledger = update(old.acc, old.ledger, forecast, observation) if usable else update(None, None, forecast, observation)
+    write_version(acc, ledger, root, models, tag, old.number if old else 0)
+    return current_version(spark, root)
 
 
 def can_update(ledger: DataFrame | None, stored: DataFrame | None, models: DataFrame, seen: DataFrame | None, tag: str) -> bool:

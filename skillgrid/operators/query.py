@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import loss, month_key, resolve_model, season_of, winner_metric
+from .areas import rectangle_means
 
 
 def _sets(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -14,28 +15,48 @@ def _sets(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.drop("cells"), keyed.drop("region_id").distinct().select("model", "set_a", "set_b", F.explode("cells").alias("cell_id"))
 
 
-def region_means(stats: DataFrame, cells: DataFrame) -> DataFrame:
+def _split(cells: DataFrame, grid: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
+    """Rectangles, whose cells are a block, and the other regions; without a ``grid`` all go the way of the others."""
+    if grid is None or "how" not in cells.columns:
+        return None, cells
+    return cells.where("how = 'overlap'"), cells.where("how <> 'overlap'")
+
+
+def region_means(stats: DataFrame, cells: DataFrame, grid: DataFrame | None = None) -> DataFrame:
     """Unweighted mean of the values of a region's cells, one row for each layer; null without any value.
 
-    ``cells``: ``region_id, model, cells``. Cells are joined before anything else, so a layer's
-    other cells are never dealt out.
+    ``cells``: ``region_id, model, how, cells``. With a ``grid`` (``model, cell_id, row, col``), rectangles
+    are answered from summed-area tables. For other regions cells are joined before anything
+    else, so a layer's other cells are never dealt out.
     """
-    regions, sets = _sets(cells)
     layer = ["statistic", "period", "period_key", "lead_key"]
+    out = ["region_id", "model", *layer, "value", "n_cells"]
+    blocks, others = _split(cells, grid)
+    regions, sets = _sets(others)
     means = stats.join(sets, ["model", "cell_id"]).groupBy("model", "set_a", "set_b", *layer).agg(F.avg("value").alias("value"), F.count("value").alias("n_cells"))
-    return regions.join(means, ["model", "set_a", "set_b"]).select("region_id", "model", *layer, "value", "n_cells")
+    found = regions.join(means, ["model", "set_a", "set_b"]).select(*out)
+    if blocks is None:
+        return found
+    return found.unionByName(rectangle_means(stats, blocks, grid, ["model", *layer], {"value": F.col("value")}).withColumnRenamed("value_n", "n_cells").select(*out))
 
 
-def region_summary(wide: DataFrame, cells: DataFrame, statistics: list[str]) -> DataFrame:
+def region_summary(wide: DataFrame, cells: DataFrame, statistics: list[str], grid: DataFrame | None = None) -> DataFrame:
     """One row for each region, model, lead and other key of ``wide`` (a column for each statistic): means and losses of all statistics.
 
     ``{s}``, ``{s}_loss`` and ``{s}_n`` are the mean, the mean loss and the number of values of statistic ``s``.
+    With a ``grid``, rectangles are answered from summed-area tables.
     """
-    regions, sets = _sets(cells)
     keys = [c for c in wide.columns if c not in (*statistics, "sample_count", "cell_id", "model")]
+    out = ["region_id", "model", *keys, *(f"{s}{end}" for s in statistics for end in ("", "_loss", "_n"))]
+    blocks, others = _split(cells, grid)
+    regions, sets = _sets(others)
     each = [e for s in statistics for e in (F.avg(s).alias(s), F.avg(loss(F.lit(s), F.col(s))).alias(f"{s}_loss"), F.count(s).alias(f"{s}_n"))]
     means = wide.join(sets, ["model", "cell_id"]).groupBy("model", "set_a", "set_b", *keys).agg(*each)
-    return regions.join(means, ["model", "set_a", "set_b"]).drop("set_a", "set_b")
+    found = regions.join(means, ["model", "set_a", "set_b"]).select(*out)
+    if blocks is None:
+        return found
+    values = {n: v for s in statistics for n, v in ((s, F.col(s)), (f"{s}_loss", loss(F.lit(s), F.col(s))))}
+    return found.unionByName(rectangle_means(wide, blocks, grid, ["model", *keys], values).select(*out))
 
 
 def _wanted(cells: DataFrame, models: DataFrame) -> DataFrame:

@@ -213,9 +213,13 @@ def _cells(spark, d):
     return Scratch(spark).keep(fx.cells(spark, d))
 
 
+def _grid(spark):
+    return grid.cells(fx.axes(spark))
+
+
 def _summary(spark, d, cells=None, periods=("yearly",), base=None):
     """Means and losses of every region, model and lead day: what curves and winners both read."""
-    return query.region_summary(fx.wide(spark, d, periods, base), _cells(spark, d) if cells is None else cells, STATISTICS)
+    return query.region_summary(fx.wide(spark, d, periods, base), _cells(spark, d) if cells is None else cells, STATISTICS, _grid(spark))
 
 
 def _curves(spark, d, cells=None, summary=None):
@@ -226,7 +230,7 @@ def _curves(spark, d, cells=None, summary=None):
 @register("region_mean", f"WITH {MEANS} SELECT region_id, model, statistic, lead_key, round(value, 6) AS value, n_cells FROM means WHERE contains(lead_key, '_')")
 def region_mean(spark, d):
     windows = _yearly(spark, d).where(F.col("lead_key").contains("_"))
-    return query.region_means(windows, _cells(spark, d)).select("region_id", "model", "statistic", "lead_key", F.round("value", 6).alias("value"), "n_cells")
+    return query.region_means(windows, _cells(spark, d), _grid(spark)).select("region_id", "model", "statistic", "lead_key", F.round("value", 6).alias("value"), "n_cells")
 
 
 @register("region_all_leads", f"WITH {ALL} SELECT region_id, model, statistic, lead, round(value, 6) AS value, value IS NULL AS no_data FROM allleads")
@@ -485,6 +489,45 @@ def array_fields(spark, d):
     return scans.array_fields(fields, len(fx.LATS), len(fx.LONS)).withColumn("value", F.col("value").cast("double"))
 
 
+@register("raw_fields", f"WITH {S.BASE} SELECT model, init_date, 24 AS fhour, 1 AS lead, cell_id, CAST(CAST(fv AS FLOAT) AS DOUBLE) AS value FROM base")
+def raw_fields(spark, d):
+    base = Scratch(spark).keep(fx.forecast_base(spark, d).repartition(2 * spark.sparkContext.defaultParallelism, "model", "init_date"))
+    by_cell = F.map_from_entries(F.collect_list(F.struct("cell_id", "fv")))
+    values = F.transform(F.sequence(F.lit(0), F.lit(fx.N_CELLS - 1)), lambda k: F.try_element_at("cells", k))
+    fields = base.groupBy("model", "init_date").agg(by_cell.alias("cells")).select("model", "init_date", F.lit(24).alias("fhour"), values.alias("values"))
+    root, out = f"{shared_folder(spark)}/fields-{uuid.uuid4().hex}", None
+    for model in (m[0] for m in dims.MODELS):
+        scans.write_fields(fields.where(F.col("model") == model), f"{root}/{model}", len(fx.LATS), len(fx.LONS))
+        found = scans.forecast_fields(spark, f"{root}/{model}", model, len(fx.LATS), len(fx.LONS), hours=[24])
+        out = found if out is None else out.unionByName(found)
+    return out.where("value is not null")
+
+
+RAW_LATS, RAW_LONS, RAW_BOX = [40.0, 35.0, 30.0, 25.0], [140.0, 180.0, 220.0, 260.0, 300.0, 340.0], (-150.0, 26.0, -50.0, 42.0)  # north to south, 0..360
+
+
+@register("oriented_fields", f"WITH {S.FC}, {S.LATEST}, raw AS (SELECT model, init_date, lead, m, 40.0e0 - 5 * (cell_id // 6) AS lat, ([140.0e0, -180.0e0, -140.0e0, -100.0e0, -60.0e0, -20.0e0])[cell_id % 6 + 1] AS lon FROM latest) SELECT model, init_date, lead, lat, lon, CAST(CAST(m AS FLOAT) AS DOUBLE) AS value FROM raw WHERE lat BETWEEN 26 AND 42 AND lon BETWEEN -150 AND -50")
+def oriented_fields(spark, d):
+    latest = pairing.latest_init(fx.forecast(spark, d))
+    grid_cells = F.explode(F.sequence(F.lit(0), F.lit(fx.N_CELLS - 1))).alias("cell_id")
+    whole = latest.select("model", "init_date", "lead").distinct().select("*", grid_cells).join(latest, ["model", "init_date", "lead", "cell_id"], "left")
+    fields = sinks.forecast_export(whole).withColumnRenamed("layer_values", "values")
+    rows = [(m[0], a, i, v) for m in dims.MODELS for a, axis in (("lat", RAW_LATS), ("lon", RAW_LONS)) for i, v in enumerate(axis)]
+    turned = grid.orientation(spark.createDataFrame(rows, "model string, axis string, idx int, center double"), RAW_BOX)
+    placed = grid.oriented(fields, turned).join(F.broadcast(turned.select("model", "lats", "lons")), "model").select("model", "init_date", "lead", "lats", "lons", F.posexplode("values").alias("k", "value"))
+    row, col = F.expr("cast(k div size(lons) as int)"), F.expr("k % size(lons)")
+    return placed.where("value is not null").select("model", "init_date", "lead", F.get("lats", row).alias("lat"), F.get("lons", col).alias("lon"), F.col("value").cast("double").alias("value"))
+
+
+@register("calendar_reader", f"WITH {S.BASE}, {S.MODEL} SELECT base.model, init_date, lead_min, lead_max FROM (SELECT DISTINCT model, init_date FROM base) base JOIN model ON base.model = model.model WHERE day(init_date) % 7 <> 0")
+def calendar_reader(spark, d):
+    """A calendar document of every init date; those of some days are cut short, as a broken download leaves them."""
+    inits = fx.forecast_base(spark, d).select("model", "init_date").distinct().join(dims.model_dim(spark), "model")
+    entry = F.to_json(F.map_from_arrays(F.array("model"), F.array(F.struct(F.col("init_date").cast("string").alias("initDate"), F.col("lead_min").alias("leadMin"), F.col("lead_max").alias("leadMax")))))
+    documents = inits.select(F.when(F.dayofmonth("init_date") % 7 == 0, F.substring(entry, 1, 20)).otherwise(entry).alias("value"))
+    return scans.read_calendar(documents)
+
+
 @register("lead_blend", f"WITH {S.FC}, {S.LATEST}, c AS (SELECT model, lead, cell_id, CAST(trunc(255.0e0 + (120 - 255) * t) AS INT) AS r, CAST(trunc(least(t * 1020.0e0, 255.0e0)) AS INT) AS a FROM (SELECT *, least(greatest((m - 20.0e0) / 180.0e0, 0.0e0), 1.0e0) AS t FROM latest)), b AS (SELECT model, cell_id, sum(r * a * w) AS ra, sum(a * w) AS a FROM (SELECT *, CASE lead WHEN 3 THEN 1 - 0.296875e0 WHEN 4 THEN 0.296875e0 END AS w FROM c) WHERE w IS NOT NULL GROUP BY 1, 2) SELECT model, cell_id, round(CASE WHEN a > 0 THEN ra / a ELSE 0.0e0 END, 6) AS r, round(a, 6) AS a FROM b")
 def lead_blend(spark, d):
     latest = pairing.latest_init(fx.forecast(spark, d))
@@ -679,15 +722,25 @@ def incremental_update(spark, d):
     return _updated(spark, d)[0].select(*pairing.KEYS, *sum_names())
 
 
-@register("incremental_version", f"WITH {S.ACC} SELECT * FROM acc WHERE n > 0")
-def incremental_version(spark, d):
+def _published(spark, d):
+    """Two states, one after the other: forecasts of days up to one, then all."""
     root = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
-    forecast, observation = fx.forecast(spark, d), fx.observation(spark, d)
+    forecast, observation, models = fx.forecast(spark, d), fx.observation(spark, d), dims.model_dim(spark)
     early = F.col("valid_date") < F.lit("1996-06-30").cast("date")
-    incremental.write_version(*incremental.update(None, None, forecast, observation.where(early)), root, "first")
-    stored, ledger = incremental.current_version(spark, root)
-    incremental.write_version(*incremental.update(stored, ledger, forecast, observation), root, "second")
-    return incremental.current_version(spark, root)[0].select(*pairing.KEYS, *sum_names())
+    incremental.refresh(forecast, observation.where(early), root, models, "sums-1")
+    return incremental.refresh(forecast, observation, root, models, "sums-1")
+
+
+@register("incremental_version", f"WITH {S.ACC} SELECT * FROM acc WHERE n > 0")
+def incremental_version(spark, d):
+    return _published(spark, d).acc.select(*pairing.KEYS, *sum_names())
+
+
+@register("version_manifest", f"WITH {S.PAIRS} SELECT 2 AS number, model, lead_min, lead_max, 'sums-1' AS tag, count(DISTINCT pairs.init_date) AS n_inits, count(DISTINCT (pairs.init_date, pairs.lead)) AS n_paired FROM model JOIN pairs USING (model) GROUP BY ALL")
+def version_manifest(spark, d):
+    state = _published(spark, d)
+    done = state.ledger.groupBy("model").agg(F.count_distinct("init_date").alias("n_inits"), F.count_distinct("init_date", "lead").alias("n_paired"))
+    return state.seen.join(done, "model").select(F.lit(state.number).alias("number"), "model", "lead_min", "lead_max", "tag", "n_inits", "n_paired")
 
 
 @register("incremental_ledger", f"WITH {S.PAIRS} SELECT model, init_date, lead, count(DISTINCT cell_id) AS n_cells FROM pairs GROUP BY ALL")

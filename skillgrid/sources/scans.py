@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from .fields import register
 
 PARTIAL = ".part"
 
@@ -18,25 +18,35 @@ PARTIAL = ".part"
 def forecast_fields(spark: SparkSession, root: str, model: str, n_lat: int, n_lon: int, cycle: str = "12z", hours: list[int] | None = None) -> DataFrame:
     """``model, init_date, fhour, lead, cell_id, value`` from ``{root}/{year}/{YYYYMMDD}_{cycle}/fHHH_*.npy``.
 
-    The path names the cycle, so other cycles and partial files are never read; ``hours`` keeps only
-    those forecast hours, before a field is decoded. A field of another shape than the grid's raises. Non-finite values become null.
+    Files of other cycles, of other hours than ``hours``, and those that filters on init date, hour or lead
+    rule out, are not opened, nor are partial files. A field of another shape than the grid's raises.
+    Non-finite values become null.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "f[0-9][0-9][0-9]_*.npy").load(f"{root}/*/*_{cycle}")
-    init = F.regexp_extract("path", rf"/(\d{{8}})_{cycle}/", 1)
-    named = files.where(init != "").select(F.to_date(init, "yyyyMMdd").alias("init_date"), F.regexp_extract("path", r"/f(\d{3})_[^/]*$", 1).cast("int").alias("fhour"), "content")
-    if hours is not None:
-        named = named.where(F.col("fhour").isin(hours))
+    register(spark)
+    found = spark.read.format("forecast_fields").options(model=model, cycle=cycle, n_lat=n_lat, n_lon=n_lon).load(root)
+    return found if hours is None else found.where(F.col("fhour").isin(hours))
+
+
+def write_fields(fields: DataFrame, root: str, n_lat: int, n_lon: int, cycle: str = "12z") -> None:
+    """Rows ``init_date, fhour, values`` as array files in the layout that ``forecast_fields`` reads."""
+    register(fields.sparkSession)
+    fields.select("init_date", "fhour", "values").write.format("forecast_fields").options(cycle=cycle, n_lat=n_lat, n_lon=n_lon).mode("append").save(root)
+
+
+def layer_tree(spark: SparkSession, root: str, n_cells: int) -> DataFrame:
+    """``model, lead_key, cell_id, value`` of a forecast tree ``{root}/{model}/lead_{key}.bin``; a layer that isn't there has no row."""
+    name = F.regexp_extract("path", r"/([^/]+)/lead_[^/]+\.bin$", 1)
+    layers = flat_layers(spark, root, n_cells).where(name != "")
+    return layers.select(name.alias("model"), F.regexp_extract("path", r"/lead_([^/]+)\.bin$", 1).alias("lead_key"), "cell_id", "value")
+
+
+CALENDAR = "map<string,struct<initDate:string,leadMin:int,leadMax:int>>"
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                field = np.load(io.BytesIO(row.content), allow_pickle=False)
-                if field.shape != (n_lat, n_lon):
-                    raise ValueError(f"field of {row.init_date} hour {row.fhour} is {field.shape}, the grid is {(n_lat, n_lon)}")
-                yield pd.DataFrame({"init_date": row.init_date, "fhour": row.fhour, "cell_id": np.arange(field.size, dtype=np.int32), "value": field.ravel().astype(np.float64)})
 
-    cells = named.mapInPandas(decode, "init_date date, fhour int, cell_id int, value double")
-    return cells.select(F.lit(model).alias("model"), "init_date", "fhour", F.expr("fhour div 24").cast("int").alias("lead"), "cell_id", finite(F.col("value")).alias("value"))
+def read_calendar(documents: DataFrame, column: str = "value") -> DataFrame:
+    """``model, init_date, lead_min, lead_max`` of calendar documents, JSON by model; one that can't be parsed gives no row."""
+    parsed = documents.select(F.explode(F.from_json(column, CALENDAR)).alias("model", "c"))
+    return parsed.where("c is not null").select("model", F.try_to_date("c.initDate").alias("init_date"), F.col("c.leadMin").alias("lead_min"), F.col("c.leadMax").alias("lead_max"))
 
 
 def array_fields(df: DataFrame, n_lat: int, n_lon: int) -> DataFrame:

@@ -2,14 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import affine
 
 
 def write_stats(stats: DataFrame, path: str) -> None:
-    stats.write.mode("overwrite").partitionBy("model", "statistic", "period", "period_key").parquet(path)
+    """Replace the slices that ``stats`` has rows of; other models, statistics and periods stay as they are."""
+    stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "statistic", "period", "period_key").parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def claim(spark: SparkSession, folder: str, number: int, content: str) -> None:
+    """Make ``content`` the current state of ``folder``, as its ``number``-th.
+
+    The file of that number is created only if it isn't there, so that of two writers that start from one
+    state the later fails, with ``FileExistsError``, and nothing of the first is lost.
+    """
+    at, store = _hadoop(spark, f"{folder}/{number:09d}")
+    try:
+        out = store.create(at, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            raise FileExistsError(f"state {number} of {folder} was written by another") from e
+        raise
+    out.write(bytearray(content.encode()))
+    out.close()
+
+
+def current(spark: SparkSession, folder: str) -> tuple[int, str]:
+    """Number and content of the latest state; 0 and nothing if there is none. One that is still being written doesn't count."""
+    at, store = _hadoop(spark, folder)
+    if not store.exists(at):
+        return 0, ""
+    found = sorted((f.getPath() for f in store.listStatus(at) if f.getPath().getName().isdigit() and f.getLen()), key=lambda p: p.getName())
+    if not found:
+        return 0, ""
+    stream = store.open(found[-1])
+    content = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return int(found[-1].getName()), content
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, store = _hadoop(spark, path)
+    store.delete(at, True)
 
 
 def append_ledger(ledger: DataFrame, path: str) -> None:

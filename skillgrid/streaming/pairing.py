@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.pairing import KEYS, accumulate, add_up
+from ..sources.sinks import claim, current, remove
 
 
 def stream_pairs(forecast: DataFrame, observation: DataFrame, delay: str = "20 days") -> DataFrame:
@@ -21,14 +24,37 @@ def stream_pairs(forecast: DataFrame, observation: DataFrame, delay: str = "20 d
 
 
 def keep_accumulators(paired: DataFrame, path: str, checkpoint: str):
-    """Start a stream whose batches each write their own sums under ``path``; a repeated batch replaces its own."""
+    """Start a stream whose batches are each merged into the sums under ``path``.
+
+    A batch adds its sums to the current version and writes the next one, whose number is that of the batch;
+    the file that makes it current is the ledger of batches. A batch that is run again after that changes
+    nothing, one that broke off before is merged anew. The last two versions are kept, for readers that began before.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        accumulate(batch).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        merge_batch(batch, path, epoch)
 
     return paired.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_batch(batch: DataFrame, path: str, epoch: int) -> None:
+    """Merge one batch, unless it is in the current version already."""
+    spark = batch.sparkSession
+    number, name = current(spark, f"{path}/current")
+    if epoch < number:
+        return
+    new = accumulate(batch)
+    if number:
+        new = add_up(spark.read.parquet(f"{path}/{name}").unionByName(new), KEYS)
+    target = f"sums-{epoch:09d}-{uuid.uuid4().hex}"
+    new.write.parquet(f"{path}/{target}")
+    claim(spark, f"{path}/current", epoch + 1, target)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    for old in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at):
+        if old.getPath().getName().startswith("sums-") and old.getPath().getName() not in (name, target):
+            remove(spark, str(old.getPath()))
+
+
 def accumulated(spark, path: str) -> DataFrame:
-    """Sums over all batches so far."""
-    return add_up(spark.read.option("basePath", path).parquet(path).drop("batch"), KEYS)
+    """Sums over all batches so far: one version, however many batches there were."""
+    return spark.read.parquet(f"{path}/{current(spark, f'{path}/current')[1]}")

@@ -104,10 +104,17 @@ def test_late_observation_is_counted(spark, tmp_path):
     early = obs.where((F.col("valid_date") < day + dt.timedelta(days=2)) | ((F.col("valid_date") == day + dt.timedelta(days=2)) & F.col("cell_id").isin(1, 3)))
     stored, ledger = incremental.update(None, None, fc, early)
     assert ledger.count() == 3
-    incremental.write_version(stored, ledger, str(tmp_path), "one")
-    stored, ledger = incremental.update(*incremental.current_version(spark, str(tmp_path)), fc, obs)
-    incremental.write_version(stored, ledger, str(tmp_path), "two")
-    stored, ledger = incremental.current_version(spark, str(tmp_path))
+    models, root = spark.createDataFrame([("gfs", 1, 3)], "model string, lead_min int, lead_max int"), str(tmp_path)
+    assert incremental.current_version(spark, root) is None
+    assert incremental.write_version(stored, ledger, root, models, "a") == 1
+    old = incremental.current_version(spark, root)
+    stored, ledger = incremental.update(old.acc, old.ledger, fc, obs)
+    assert incremental.write_version(stored, ledger, root, models, "a", old.number) == 2
+    with pytest.raises(FileExistsError):  # a second writer that began from the same state
+        incremental.write_version(old.acc, old.ledger, root, models, "a", old.number)
+    state = incremental.current_version(spark, root)
+    stored, ledger = state.acc, state.ledger
+    assert state.number == 2 and tuple(state.seen.first()) == ("gfs", 1, 3, "a")
     whole = pairing.accumulate(pairing.pairs(fc, obs))
     assert not stored.select(*whole.columns).exceptAll(whole).count() and stored.agg(F.sum("n")).first()[0] == 12
     again, _ = incremental.update(stored, ledger, fc, obs)
