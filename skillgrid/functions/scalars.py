@@ -68,6 +68,13 @@ def date_labels(d: Column) -> dict[str, Column]:
     return {"short": F.date_format(d, "M/d"), "medium": F.date_format(d, "MMMM d, yyyy"), "full": F.date_format(d, "EEEE, MMMM d, yyyy")}
 
 
+def range_label(init: Column, start: Column, end: Column) -> Column:
+    """Short dates of a span of leads, one where both ends are a day; without an init date the leads themselves."""
+    low, high = (F.date_format(F.date_add(init, k.cast("int")), "M/d") for k in (start, end))
+    dates = F.when(start == end, low).otherwise(F.concat(low, F.lit("–"), high))
+    return F.coalesce(dates, F.concat(start.cast("string"), F.lit("–"), end.cast("string"), F.lit("d")))
+
+
 def winner_metric(statistic: Column) -> Column:
     # Names of the loss of each statistic.
     return F.when(statistic == "bias", "region_mean_abs_value_lower_better").when(statistic == "sacc", "region_mean_value_higher_better").otherwise("region_mean_value_lower_better")

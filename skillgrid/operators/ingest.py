@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import sub_hours
+
 from ..functions.scalars import status_key
 
 
@@ -36,6 +38,12 @@ def expected_files(models: DataFrame, first: Column, last: Column, spans: DataFr
     return days.crossJoin(F.broadcast(models.select("model", F.explode("forecast_hours").alias("fhour"))))  # a fixed dimension
 
 
+def needed_hours(days: DataFrame, hour: str = "day_hour") -> DataFrame:
+    """Every six-hour field that any of the days is made of, once: the columns of ``days`` but ``hour``, and ``fhour``."""
+    rest = [c for c in days.columns if c != hour]
+    return days.select(*rest, F.explode(sub_hours(F.col(hour))).alias("fhour")).distinct()
+
+
 def missing_files(expected: DataFrame, present: DataFrame) -> DataFrame:
     return expected.join(present, ["model", "init_date", "fhour"], "left_anti")
 

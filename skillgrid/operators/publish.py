@@ -66,6 +66,12 @@ def not_rendered(layers: DataFrame, ledger: DataFrame, force: bool = False) -> D
     return keys if force else keys.join(ledger, LAYER, "left_anti")
 
 
+def tile_layers(layers: DataFrame, spec: DataFrame) -> DataFrame:
+    """Layers that get tiles: of display-only statistics the yearly period alone. ``spec`` is the statistic dimension."""
+    shown = F.broadcast(spec.select("statistic", "kind"))
+    return layers.join(shown, "statistic").where((F.col("kind") != "display") | (F.col("period") == "yearly")).drop("kind")
+
+
 def land_mask(observation: DataFrame) -> DataFrame:
     """Cells that an observation ever covered."""
     return observation.where("value is not null").select(*[c for c in ("model", "cell_id") if c in observation.columns]).distinct()

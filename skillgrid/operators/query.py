@@ -137,8 +137,11 @@ def labelled(answers: DataFrame, spec: DataFrame) -> DataFrame:
     return answers.join(F.broadcast(spec.select("statistic", "label", "units")), "statistic", "left")
 
 
-def run_requests(requests: DataFrame, stats: DataFrame, cells: DataFrame, models: list[str], statistics: list[str], month: int) -> tuple[DataFrame, DataFrame]:
-    """Answers and rejects of a request table. ``month`` is the current month, for requests that name none."""
+def run_requests(requests: DataFrame, stats: DataFrame, cells: DataFrame, models: list[str], statistics: list[str], month: int, grid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Answers and rejects of a request table. ``month`` is the current month, for requests that name none.
+
+    Only layers and regions that some request asks for are read; requests that ask the same of one region are answered once.
+    """
     checked = validated(requests, models, statistics)
     ok = checked.where("error is null").withColumns(
         {
@@ -149,7 +152,10 @@ def run_requests(requests: DataFrame, stats: DataFrame, cells: DataFrame, models
     )
     leads = F.when(F.col("lead").isNotNull(), F.array("lead")).otherwise(F.transform(F.sequence("min_lead", "max_lead"), lambda v: v.cast("string")))
     asked = ok.select("request_id", "region_id", "model", "period", "period_key", "statistic", F.explode(leads).alias("lead_key"))
-    means = region_means(stats, cells)
+    layer = ["model", "period", "period_key", "statistic", "lead_key"]
+    asked_layers = stats.join(asked.select(*layer).distinct(), layer, "left_semi")
+    asked_cells = cells.join(asked.select("region_id", "model").distinct(), ["region_id", "model"], "left_semi")
+    means = region_means(asked_layers, asked_cells, grid)
     out = asked.join(means, ["region_id", "model", "period", "period_key", "statistic", "lead_key"], "left")
     return out.select("request_id", "region_id", "model", "period", "period_key", "statistic", "lead_key", "value", F.col("value").isNull().alias("no_data")), checked.where("error is not null").select("request_id", "error")
 

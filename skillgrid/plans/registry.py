@@ -218,8 +218,8 @@ def _grid(spark):
 
 
 def _summary(spark, d, cells=None, periods=("yearly",), base=None):
-    """Means and losses of every region, model and lead day: what curves and winners both read."""
-    return query.region_summary(fx.wide(spark, d, periods, base), _cells(spark, d) if cells is None else cells, STATISTICS, _grid(spark))
+    """Means and losses of every region, model and lead day: what curves and winners both read. The layers are written once."""
+    return query.region_summary(Scratch(spark).keep(fx.wide(spark, d, periods, base)), _cells(spark, d) if cells is None else cells, STATISTICS, _grid(spark))
 
 
 def _curves(spark, d, cells=None, summary=None):
@@ -229,7 +229,7 @@ def _curves(spark, d, cells=None, summary=None):
 
 @register("region_mean", f"WITH {MEANS} SELECT region_id, model, statistic, lead_key, round(value, 6) AS value, n_cells FROM means WHERE contains(lead_key, '_')")
 def region_mean(spark, d):
-    windows = _yearly(spark, d).where(F.col("lead_key").contains("_"))
+    windows = Scratch(spark).keep(_yearly(spark, d).where(F.col("lead_key").contains("_")))
     return query.region_means(windows, _cells(spark, d), _grid(spark)).select("region_id", "model", "statistic", "lead_key", F.round("value", 6).alias("value"), "n_cells")
 
 
@@ -286,7 +286,7 @@ SPEC = "spec AS (SELECT * FROM (VALUES ('bias', 'Bias', 'mm'), ('sacc', 'SACC',
 
 @register("batch_requests", f"WITH {S.STATS}, {S.REGION}, {REQUESTS}, {SPEC}, named AS (SELECT *, unnest(names) AS statistic FROM req WHERE error IS NULL), asked AS (SELECT *, unnest(CASE WHEN one THEN ['3'] ELSE ['5', '6'] END) AS lead_key FROM named), means AS (SELECT region_id, model, statistic, period, period_key, lead_key, round(avg(value), 6) AS value FROM stats JOIN rc USING (model, cell_id) GROUP BY ALL) SELECT request_id, region_id, model, period, period_key, statistic, label, units, lead_key, value, value IS NULL AS no_data FROM asked LEFT JOIN means USING (region_id, model, period, period_key, statistic, lead_key) LEFT JOIN spec USING (statistic)")
 def batch_requests(spark, d):
-    answers, _ = query.run_requests(_requests(spark, d), fx.stats(spark, d), _cells(spark, d), ["gfs", "nbm"], STATISTICS, month=4)
+    answers, _ = query.run_requests(_requests(spark, d), Scratch(spark).keep(fx.stats(spark, d)), _cells(spark, d), ["gfs", "nbm"], STATISTICS, month=4, grid=_grid(spark))
     return query.labelled(answers, dims.statistic_dim(spark)).withColumn("value", F.round("value", 6))
 
 
@@ -618,12 +618,55 @@ def date_labels(spark, d):
     return day.select("day", named["short"].alias("short"), named["medium"].alias("medium"), named["full"].alias("full_label"), fn.t_label(F.col("day"), F.lit("1998-01-01").cast("date")).alias("t_label"))
 
 
+@register("range_labels", f"WITH {S.MODEL}, {S.BASE}, n AS (SELECT DISTINCT model, CASE WHEN day(init_date) <> 1 THEN init_date END AS init_date FROM base) SELECT n.model, init_date, s AS start_lead, e AS end_lead, coalesce(strftime(init_date + s, '%-m/%-d') || '–' || strftime(init_date + e, '%-m/%-d'), s || '–' || e || 'd') AS label FROM n JOIN win ON n.model = win.model")
+def range_labels(spark, d):
+    """Chips of lead windows for every init date; the first of a month stands for a calendar that isn't there."""
+    inits = fx.forecast_base(spark, d).select("model", F.when(F.dayofmonth("init_date") != 1, F.col("init_date")).alias("init_date")).distinct()
+    both = inits.join(F.broadcast(dims.lead_windows(spark)), "model")
+    return both.select("model", "init_date", F.col("start").alias("start_lead"), F.col("end").alias("end_lead"), fn.range_label(F.col("init_date"), F.col("start"), F.col("end")).alias("label"))
+
+
+@register("tile_layers", f"WITH {S.PAIRS}, k AS (SELECT DISTINCT model, month(valid_date) AS month, lead FROM pairs), p AS (SELECT model, 'monthly' AS period, lpad(CAST(month AS VARCHAR), 2, '0') AS period_key, lead FROM k UNION SELECT model, 'yearly', '', lead FROM k) SELECT statistic, model, period, period_key, CAST(lead AS VARCHAR) AS lead_key FROM p, (VALUES ('nmad'), ('forecast')) t(statistic) WHERE statistic = 'nmad' OR period = 'yearly'")
+def tile_layers(spark, d):
+    layers = pairing.by_period(fx.accumulators(spark, d), ("monthly", "yearly")).select("model", "period", "period_key", F.col("lead").cast("string").alias("lead_key")).distinct()
+    both = layers.withColumn("statistic", F.explode(F.array(F.lit("nmad"), F.lit("forecast"))))
+    return publish.tile_layers(both, dims.statistic_dim(spark)).select("statistic", "model", "period", "period_key", "lead_key")
+
+
+@register("zip_export", "SELECT substr(CAST(10000 + s_suppkey AS VARCHAR), 1, 5) AS zip, substr(CAST(10000 + s_suppkey AS VARCHAR), 1, 3) AS prefix, min(round(CAST(s_acctbal AS DOUBLE) / 100, 6)) AS lat FROM supplier GROUP BY 1, 2")
+def zip_export(spark, d):
+    """The directory as JSON by the beginning of its codes, and read back."""
+    raw = fx.read(spark, d, "supplier").select((F.col("s_suppkey") + 10000).cast("string").alias("zip"), *((F.col("s_acctbal").cast("double") / 100).alias(c) for c in ("lat", "lon", "min_lon", "min_lat", "max_lon", "max_lat")))
+    path = f"{shared_folder(spark)}/zips-{uuid.uuid4().hex}"
+    sinks.write_zip_directory(scans.zip_directory(raw).groupBy("zip").agg(F.min("lat").alias("lat")), path)
+    return spark.read.schema("zip string, lat double, prefix string").json(path)
+
+
+@register("stored_sums", f"WITH {S.ACC} SELECT * FROM acc")
+def stored_sums(spark, d):
+    """Sums that were stored before, read back if they have all keys; a table that lacks one is not used."""
+    root = f"{shared_folder(spark)}/sums-{uuid.uuid4().hex}"
+    fx.accumulators(spark, d).write.parquet(f"{root}/whole")
+    wanted = [*pairing.KEYS, *sum_names()]
+    whole = scans.stored_accumulators(spark, f"{root}/whole", wanted)
+    whole.drop("sum_cross").write.parquet(f"{root}/old")
+    old = scans.stored_accumulators(spark, f"{root}/old", wanted)
+    return (old if old is not None else whole).select(*wanted)
+
+
 # --- ingest
 
 LINES = """ordered AS (SELECT l_orderkey AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line_no, CAST(l_quantity AS BIGINT) * 100 AS size, l_returnflag, l_linestatus FROM lineitem),
 lines AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM ordered), ranged AS (SELECT *, lead(b) OVER (PARTITION BY file ORDER BY line_no) - 1 AS e FROM lines)"""
 
 
+@register("needed_hours", f"WITH {S.BASE} SELECT DISTINCT model, init_date, unnest([h - 18, h - 12, h - 6, h]) AS fhour FROM base, (VALUES (24), (36), (48)) t(h)")
+def needed_hours(spark, d):
+    """Days may share buckets, as those of hours 24 and 36 do."""
+    days = fx.forecast_base(spark, d).select("model", "init_date").distinct().withColumn("day_hour", F.explode(F.array(F.lit(24), F.lit(36), F.lit(48))))
+    return ingest.needed_hours(days)
+
+
 @register("inventory_byte_ranges", f"WITH {LINES}, f AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) AS k FROM ranged WHERE l_returnflag = 'A' AND l_linestatus <> 'O') SELECT file, CAST(line_no AS INT) AS line_no, b AS begin_byte, e AS end_byte, 'bytes=' || b || '-' || coalesce(CAST(e AS VARCHAR), '') AS range FROM f WHERE k = 1")
 def inventory_byte_ranges(spark, d):
     from pyspark.sql import Window
