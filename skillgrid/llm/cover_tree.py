@@ -5,9 +5,10 @@ are one class. The upper tree has a bounded number of cells, fitted on a bounded
 vector goes to its nearest centre, and a cell's covering radius is measured over all its vectors.
 Cells are cut into blocks that fit a task. A block has a cover tree of its own: nested levels
 whose radii halve, each node with the covering radius of all below it. Pairs of cells, then of
-blocks, then of nodes level by level, are dropped when their centres are farther apart than both
+nodes of two blocks level by level, are dropped when their centres are farther apart than both
 covering radii and the threshold radius, and count whole when all their vectors are within it;
-the members of what is left are compared in double precision. So a group of near copies costs what
+the members of what is left are compared in double precision. Blocks of one cell are cut by a hash, so
+all blocks of two near cells meet, and what prunes there is their trees. So a group of near copies costs what
 its nodes cost, not what its pairs would. The sample decides how much is pruned, never what is found.
 """
 
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, forest, sorted_groups
+from .common import Scratch, components, forest, join_counted, sorted_groups
 
 SLACK = 1e-7  # over the rounding of distances from dot products
 
@@ -321,8 +322,9 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.9, block: int = 16384,
     joined = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")), scratch).withColumnRenamed("node", "member")
 
     info = classes.select("key_a", "key_b", "rep", "n").join(counts, F.col("rep") == F.col("node"), "left").join(joined, F.col("rep") == F.col("member"), "left")
-    info = info.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "rep", (F.col("n") - 1 + F.coalesce("n_other", F.lit(0))).alias("links"), F.least(F.coalesce("component", "rep"), "rep").alias("component"))
+    links_of = (F.col("n") - 1 + F.coalesce("n_other", F.lit(0))).cast("long").alias("n_links")
+    info = scratch.keep(info.select("key_a", "key_b", "n", links_of, F.least(F.coalesce("component", "rep"), "rep").alias("component_id")))
     ok = F.col("vec").isNotNull() & F.col("vec_id").isNotNull()
-    out = unit.select("vec_id", "key_a", "key_b", ok.alias("ok")).join(info, (F.col("key_a") == F.col("a")) & (F.col("key_b") == F.col("b")) & F.col("ok"), "left")
-    component = F.when(F.col("ok"), F.col("component")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.when(F.col("ok"), F.col("links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    members = join_counted(unit.where(ok).select("vec_id", "key_a", "key_b"), info, ["key_a", "key_b"], ["vec_id"]).select("vec_id", "n_links", "component_id")
+    rest = unit.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))  # they meet nothing
+    return members.unionByName(rest).withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))

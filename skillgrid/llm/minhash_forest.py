@@ -1,10 +1,12 @@
 """MinHash near-duplicates by an LSH forest, confirmed on full shingle sets.
 
 Documents with equal shingle sets are one class with one representative. A signature has 192
-MinHash values of 16 bits; a tree is an order of eight of them, and 48 trees use every value
-twice. In a tree, representatives are sorted by their signature; those with a common prefix of
-three values are a region. Regions found by several trees are compared once. Within a region
-all pairs are compared exactly, and only a spanning forest of the links leaves the task.
+MinHash values of 16 bits; 48 trees are orders of the values. Each tree is cut at one depth: those
+that share the first three values of its order are a region, so that every region is a node of the
+forest at that depth. Nodes are not deepened where they are dense, since a deeper prefix loses
+links; what an adaptive depth would save there is saved by the exact way below. Regions found by
+several trees are compared once. Within a region all pairs are compared exactly, and only a
+spanning forest of the links leaves the task.
 
 A region with more members than ``most`` is dense, and goes an exact way in two steps. Each of
 its members is compared with the region's pivot, the member that lies in the most dense regions,

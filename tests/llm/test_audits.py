@@ -319,3 +319,15 @@ def test_toxicity_without_labels(spark, judged):
     for rows in (labelled.where("false"), labelled.where("label = 0"), labelled.withColumn("label", F.lit(None).cast("long"))):
         model = toxicity.fit(rows)
         assert {r.score < 0.7 for r in toxicity.score(labelled, model).collect()} == {True}
+
+
+def test_vectors_that_link_with_nothing_stay_apart(spark):
+    """A hundred thousand null vectors, a group of equal ones, and a pair: no task meets the nulls or the group whole."""
+    from skillgrid.llm import cover_tree
+
+    null = spark.range(100_000).select(F.col("id").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"))
+    equal = spark.range(200_000, 205_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    near = spark.createDataFrame([(300_000, [5.0, -1.0]), (300_001, [5.0, -1.1]), (None, [1.0, 2.0]), (300_002, [0.0, 0.0]), (300_003, [1.0, float("nan")])], "vec_id long, embedding array<double>")
+    out = cover_tree.near_vectors(null.unionByName(equal).unionByName(near))
+    rows = {tuple(r) for r in out.groupBy((F.col("vec_id") < 100_000).alias("null"), "n_links", "kept").agg(F.count("*").alias("n"), F.count_distinct("component_id").alias("groups")).collect()}
+    assert rows == {(True, 0, True, 100_000, 100_000), (False, 4999, True, 1, 1), (False, 4999, False, 4999, 1), (False, 1, True, 1, 1), (False, 1, False, 1, 1), (False, 0, True, 2, 2), (None, 0, True, 1, 0)}
