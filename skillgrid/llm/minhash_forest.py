@@ -1,20 +1,25 @@
 """MinHash near-duplicates by an LSH forest, confirmed on full shingle sets.
 
 Documents with equal shingle sets are one class with one representative. A signature has 192
-MinHash values of 16 bits; 48 trees are orders of the values. Each tree is cut at one depth: those
-that share the first three values of its order are a region, so that every region is a node of the
-forest at that depth. Nodes are not deepened where they are dense, since a deeper prefix loses
-links; what an adaptive depth would save there is saved by the exact way below. Regions found by
-several trees are compared once. Within a region all pairs are compared exactly, and only a
-spanning forest of the links leaves the task.
-
-A region with more members than ``most`` is dense, and goes an exact way in two steps. Each of
-its members is compared with the region's pivot, the member that lies in the most dense regions,
-in chunks of bounded size. Dense regions with members in common are then one cluster. Unless all
+MinHash values of 16 bits; each of 48 trees is an order of eight of them. All trees are sorted by
+their signatures in one distributed sort by ranges, so that the nodes of a tree are stretches of its
+sorted rows and a node of any size is spread over as many tasks as it needs.
+
+Depth adapts to the region. A node of depth three with at most ``most`` members is a region as it
+is: all pairs in it are candidates, and regions found by several trees are compared once. In a
+node with more members, a dense one, rows go down as far as they share a prefix with their
+neighbours in the sorted order: of all its neighbours, in all trees, a member's candidate is the
+one with the longest common prefix. A deeper prefix alone would lose links between the parts of
+a dense node, so dense nodes then go an exact way in two steps.
+
+First each member is compared with the node's pivot, the member that lies in the most dense nodes,
+in chunks of bounded size. Dense nodes with members in common are then one cluster. Unless all
 of a cluster is joined already, its members are dealt into blocks, of one component or of small
 ones by size, and all pairs of blocks are compared but those of one component and those whose
 sizes rule out a link. So a group around a base costs a few texts a member, and the work
 grows with the square of a cluster's size only where its members stay apart.
+
+Within a region only a spanning forest of the confirmed links leaves the task.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, forest, fresh, join_counted, mix, shingle_sets, sorted_groups
 
 VALUES, DEPTH, TREES = 192, 8, 48
+NODE = 3  # values that the members of a region share at least
 _RNG = np.random.default_rng(20240501)
 _SEEDS = _RNG.integers(1, 1 << 63, VALUES, dtype=np.uint64) | np.uint64(1)
 _ORDER = np.concatenate([_RNG.permutation(VALUES) for _ in range(TREES * DEPTH // VALUES)]).reshape(TREES, DEPTH)
@@ -59,63 +65,116 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each tree: hash of the tree and prefix, and the representative."""
+    """A row for each tree: ``key`` of the tree and its first three values, the next four in ``near``, the last one, and the representative."""
     salt = mix(np.arange(1, TREES + 1, dtype=np.uint64))
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             reps = part.column("rep").to_numpy()
             values = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(-1, VALUES)[:, _ORDER].astype(np.uint64)
-            key = mix((values[:, :, 0] << np.uint64(32) | values[:, :, 1] << np.uint64(16) | values[:, :, 2]) ^ salt[None, :])
-            yield pa.RecordBatch.from_pydict({"key": key.ravel().view(np.int64), "rep": np.repeat(reps, TREES)})
+
+            def packed(lo: int, hi: int, values: np.ndarray = values) -> np.ndarray:
+                out = values[:, :, lo]
+                for k in range(lo + 1, hi):
+                    out = out << np.uint64(16) | values[:, :, k]
+                return out
+
+            key, near = mix(packed(0, NODE) ^ salt[None, :]), packed(NODE, DEPTH - 1)
+            yield pa.RecordBatch.from_pydict({"key": key.ravel().view(np.int64), "near": near.ravel().view(np.int64), "last": values[:, :, DEPTH - 1].ravel().astype(np.int32), "rep": np.repeat(reps, TREES)})
+
+
+def common_depth(keys: np.ndarray, near: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """How many values each row but the first has in common with the row before it; 0 where they differ within the first three."""
+    apart = (near[1:] ^ near[:-1]).view(np.uint64)
+    more = sum((apart >> np.uint64(16 * k) == 0).astype(np.int64) for k in range(DEPTH - NODE - 1))
+    return np.where(keys[1:] == keys[:-1], NODE + more + ((apart == 0) & (last[1:] == last[:-1])), 0)
+
+
+WHOLE, DENSE, EDGE = 0, 1, 2
+_REGIONS = "region long, other long, key long, kind int, members array<long>, before array<long>, depths array<long>"
 
 
 def _regions(most: int):
-    """A row for each region, or for each ``most`` members of a dense one, whose key is then in ``dense``.
+    """Rows for the nodes of a stretch of the sorted rows ``key, near, last, rep``.
 
-    Rows come in the order of their keys. Of a dense region a task holds no more than a batch.
+    A node with at most ``most`` members is one ``WHOLE`` row, named by two hashes of its members. A ``DENSE`` one is
+    a row for each ``most`` of its members, with the representative before each and the depth it shares with
+    it. The first and the last node may go on in another task: up to ``most`` members they are an ``EDGE``
+    row. Of a dense node a task holds no more than a batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, dense, found = [], [], []
+        rows: list[tuple] = []
 
-        def add(key: int, members: np.ndarray, whole: bool) -> None:
-            ids.append(xxhash.xxh3_64_intdigest(members.tobytes(), 0 if whole else key & 0xFFFFFFFFFFFFFFFF))
-            dense.append(None if whole else key)
-            found.append(members.tolist())
+        def add(key: int, node: np.ndarray, kind: int) -> None:
+            if kind == WHOLE:
+                members = np.sort(node[0])
+                raw = xxhash.xxh3_128_digest(members.tobytes())
+                a, b = np.frombuffer(raw, np.int64).tolist()
+                rows.append((a, b, key, kind, members.tolist(), None, None))
+            else:
+                rows.append((None, None, key, kind, *(c.tolist() for c in node)))
 
         def out() -> pa.RecordBatch:
-            cols = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(dense, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            for rows in (ids, dense, found):
-                rows.clear()
-            return pa.RecordBatch.from_arrays(cols, ["region", "dense", "members"])
-
-        last, held, split = None, np.empty(0, np.int64), False  # the group that may go on in the next batch
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3]
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(cols, ["region", "other", "key", "kind", "members", "before", "depths"])
+
+        none = np.empty((3, 0), np.int64)  # columns members, before, depths
+        last, held, split, first = None, none, False, True  # the node that may go on in the next batch
+        end = None  # the last row so far
         for batch in batches:
-            keys, reps = batch.column("key").to_numpy(), batch.column("rep").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+            if not batch.num_rows:
+                continue
+            keys, near, low, reps = (batch.column(c).to_numpy() for c in ("key", "near", "last", "rep"))
+            if end is None:
+                end = (keys[:1] + 1, near[:1], low[:1], reps[:1])
+            depths = common_depth(*(np.concatenate([e, c]) for e, c in zip(end, (keys, near, low), strict=False)))
+            node = np.stack([reps, np.concatenate([end[3], reps[:-1]]), depths])
+            end = tuple(c[-1:] for c in (keys, near, low, reps))
+            cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
             sizes = np.diff(cuts)
             for g in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)):
-                key, members = int(keys[cuts[g]]), reps[cuts[g] : cuts[g + 1]]
+                key, members = int(keys[cuts[g]]), node[:, cuts[g] : cuts[g + 1]]
                 if key != last:
-                    if len(held) > 1 or split and len(held):
-                        add(last, held, not split)
+                    if last is not None and (first or split or held.shape[1] > 1):
+                        add(last, held, DENSE if split else EDGE if first else WHOLE)
+                    first = first and last is None
                     last, held, split = key, members, False
                 else:
-                    held = np.concatenate([held, members])
-                while len(held) > most:
-                    add(key, held[:most], False)
-                    held, split = held[most:], True
-            if found:
+                    held = np.concatenate([held, members], axis=1)
+                while held.shape[1] > most:
+                    add(key, held[:, :most], DENSE)
+                    held, split = held[:, most:], True
+            if rows:
                 yield out()
-        if len(held) > 1 or split and len(held):
-            add(last, held, not split)
-        if found:
+        if held.shape[1]:
+            add(last, held, DENSE if split else EDGE)
+        if rows:
             yield out()
 
     return run
 
 
+def _nodes(rows: DataFrame, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The forest's nodes: ``region, members`` of those with at most ``most`` members, and rows ``key, members, before, depths`` of dense ones."""
+    order = ["key", "near", "last", "rep"]
+    found = scratch.keep(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_regions(most), _REGIONS))
+    # nodes at the borders of tasks: at most two rows a task, put together where they are small
+    size = F.size("members")
+    edges = found.where(F.col("kind") == EDGE)
+    total = found.where(F.col("kind") > WHOLE).groupBy("key").agg(F.sum(size).alias("n"))
+    edges = scratch.keep(edges.join(total, "key").select("key", "members", "before", "depths", "n"))
+    small = edges.where(F.col("n").between(2, most)).groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("members"))
+    small = small.select(F.xxhash64("members").alias("region"), F.xxhash64(F.lit(1), "members").alias("other"), "members")
+    whole = found.where(F.col("kind") == WHOLE).select("region", "other", "members").unionByName(small)
+    whole = scratch.keep(whole.groupBy("region", "other").agg(F.first("members").alias("members")).select("region", "members"))
+    columns = ["key", "members", "before", "depths"]
+    dense = found.where(F.col("kind") == DENSE).select(*columns).unionByName(edges.where(F.col("n") > most).select(*columns))
+    return whole, scratch.keep(dense)
+
+
 def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Places i < j of the sets with 100 * intersection >= percent * union, of all pairs, exactly."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -166,16 +225,24 @@ def _sieved(base: DataFrame, members: DataFrame) -> DataFrame:
     return marked.join(F.broadcast(words), "word").where("mask & shiftleft(1L, cast(bit % 64 as int)) <> 0").select(*base.columns)
 
 
-def _with_pivots(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows ``a, b``: each member of a dense region and the region's pivot, once."""
-    dense = scratch.keep(found.where("dense is not null").select("dense", F.explode("members").alias("rep")))
-    often = dense.groupBy("rep").agg(F.count("*").alias("often"))
-    pivots = dense.join(often, "rep").groupBy("dense").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("often")).alias("often"), "rep"))["rep"].alias("pivot"))
-    return join_counted(dense, scratch.keep(pivots), ["dense"], ["rep"]).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct()
+def _with_pivots(dense: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows ``a, b``: each member of a dense node and the node's pivot, once."""
+    rows = scratch.keep(dense.select("key", F.explode("members").alias("rep")))
+    often = rows.groupBy("rep").agg(F.count("*").alias("often"))
+    pivots = rows.join(often, "rep").groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("often")).alias("often"), "rep"))["rep"].alias("pivot"))
+    return join_counted(rows, scratch.keep(pivots), ["key"], ["rep"]).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct()
+
+
+def _neighbours(dense: DataFrame) -> DataFrame:
+    """Rows ``a, b``: each member of a dense node and, of its neighbours in any tree, that with the longest common prefix (the smallest on ties)."""
+    rows = dense.select(F.explode(F.arrays_zip("members", "before", "depths")).alias("r")).where("r.depths > 0")
+    both = rows.select(F.explode(F.array(*[F.struct(F.col(f"r.{x}").alias("a"), F.col(f"r.{y}").alias("b"), F.col("r.depths").alias("depth")) for x, y in (("members", "before"), ("before", "members"))])).alias("p"))
+    best = both.groupBy("p.a").agg(F.max(F.struct("p.depth", (-F.col("p.b")).alias("b"))).alias("best"))
+    return best.select("a", (-F.col("best.b")).alias("b"))
 
 
 def _chunks(pairs: DataFrame, most: int) -> DataFrame:
-    """Rows ``region, rep``: each pivot with its members, about ``most`` at a time."""
+    """Rows ``region, rep``: each ``b`` with its ``a``, about ``most`` at a time."""
     n = pairs.groupBy("b").agg(F.count("*").alias("n"))
     dealt = join_counted(pairs, n, ["b"], ["a"]).select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / most)), F.lit("chunk")).alias("region"))
     return dealt.select("region", F.explode(F.array("a", "b")).alias("rep")).distinct()
@@ -217,29 +284,29 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, most: int = 256) -> D
     Documents link when ``100 * intersection >= percent * union`` of their sets; ``component_id``
     is the smallest doc_id reachable. A text under five words is one shingle; a null text or one
     without words has none and links with nothing. Rows that repeat an id are one document. A
-    row with a null doc_id links with nothing, has a null component and is kept. An empty table
-    gives no row.
+    row with a null doc_id links with nothing, has a null component and is kept. Very long texts are
+    compared whole. An empty table gives no row; other columns, whatever their names, don't matter.
     """
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(base.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, signature binary"))
     classes = signed.where("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "signature")).alias("first"), F.count("*").alias("n"))
-    classes = classes.select("set_a", "set_b", "n", F.col("first.doc_id").alias("rep"), F.col("first.signature").alias("signature"))
+    classes = scratch.keep(classes.select("set_a", "set_b", "n", F.col("first.doc_id").alias("rep"), F.col("first.signature").alias("signature")))
 
-    rows = classes.select("rep", "signature").mapInArrow(_trees, "key long, rep long")
-    found = rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_regions(most), "region long, dense long, members array<long>")
-    found = scratch.keep(found.groupBy("region").agg(F.first("dense").alias("dense"), F.first("members").alias("members")))
+    trees = classes.select("rep", "signature").mapInArrow(_trees, "key long, near long, last int, rep long")
+    whole, dense = _nodes(trees, most, scratch)
 
     def confirmed(members: DataFrame, docs: DataFrame = base) -> DataFrame:
         texts = docs.where("doc_id is not null").join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("region", "rep", "text")
         return texts.repartition("region").sortWithinPartitions("region", "rep").mapInArrow(_confirm(percent), "a long, b long")
 
-    members = found.where("dense is null").select("region", F.explode("members").alias("rep"))
-    if found.where("dense is not null").isEmpty():
+    members = whole.select("region", F.explode("members").alias("rep"))
+    if dense.isEmpty():
         joined = components(confirmed(members), scratch)
     else:
-        pairs = scratch.keep(_with_pivots(found, scratch))
-        joined = scratch.keep(components(confirmed(members.unionByName(_chunks(pairs, most))), scratch))
+        pairs = scratch.keep(_with_pivots(dense, scratch))
+        first = scratch.keep(pairs.unionByName(_neighbours(dense)).distinct())
+        joined = scratch.keep(components(confirmed(members.unionByName(_chunks(first, most))), scratch))
         sizes = signed.where("doc_id is not null").groupBy(F.col("doc_id").alias("rep")).agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
         rest = scratch.keep(_apart(components(pairs, scratch), joined, sizes, percent, most, scratch))
         links = confirmed(rest, _sieved(base, rest)).unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))

@@ -161,18 +161,61 @@ def test_near_duplicates_of_a_hub_with_many_variants(spark):
 
 
 def test_regions_come_whole_or_in_chunks_over_any_batches():
+    """Small nodes are whole, larger ones come in chunks with the depth each row shares with the row before; border nodes are marked."""
     import pyarrow as pa
 
     rng = random.Random(13)
-    rows = sorted((rng.choice([1, 2, 3, 3, 3, 3, 900 + k]), k) for k in range(400))
+    rows = sorted((rng.choice([1, 2, 3, 3, 3, 3, 900 + k]), rng.choice([7, 7 << 16, 7 << 48]) + rng.randint(0, 1), rng.randint(0, 1), k) for k in range(400))
+    whole, dense, edge = minhash_forest.WHOLE, minhash_forest.DENSE, minhash_forest.EDGE
+    by = defaultdict(list)
+    for r in rows:
+        by[r[0]].append(r)
+
+    def values(r):
+        return [r[0], *((r[1] >> k) & 0xFFFF for k in (48, 32, 16, 0)), r[2]]
+
+    def shared(r, s):
+        same = next((k for k, (x, y) in enumerate(zip(values(r), values(s), strict=True)) if x != y), 6)
+        return same + 2 if same else 0  # the key stands for three values
+
+    ends = {rows[0][0], rows[-1][0]}
+    wanted = []
+    for key, v in by.items():
+        for i in range(0, len(v), 60):
+            members = [r[3] for r in v[i : i + 60]]
+            kind = dense if len(v) > 60 else edge if key in ends else whole
+            if len(v) > 1 or kind == edge:
+                wanted.append((key, kind, sorted(members) if kind == whole else members))
+    before = {r[3]: (rows[k - 1][3], shared(rows[k - 1], r)) for k, r in enumerate(rows) if k}
     for size in (1, 7, 1000):
-        batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in rows[i : i + size]], "rep": [r for _, r in rows[i : i + size]]}) for i in range(0, len(rows), size)]
+        names = ["key", "near", "last", "rep"]
+        batches = [pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows[i : i + size]], pa.int32() if n == "last" else pa.int64()) for k, n in enumerate(names)}) for i in range(0, len(rows), size)]
         out = [r for b in minhash_forest._regions(60)(iter(batches)) for r in b.to_pylist()]
-        by = defaultdict(list)
-        for k, r in rows:
-            by[k].append(r)
-        wanted = [([None] if len(v) <= 60 else [k]) + v[i : i + 60] for k, v in by.items() if len(v) > 1 for i in range(0, len(v), 60)]
-        assert sorted(([r["dense"]] + r["members"] for r in out), key=str) == sorted(wanted, key=str)
+        assert sorted((r["key"], r["kind"], r["members"]) for r in out) == sorted(wanted)
+        told = {m: (b, d) for r in out if r["before"] for m, b, d in zip(r["members"], r["before"], r["depths"], strict=True) if d}
+        assert told and all(before[m] == t for m, t in told.items())
+        assert {d for _, d in told.values()} >= {3, 8}
+    assert list(minhash_forest._regions(60)(iter([]))) == []
+
+
+def test_nodes_that_go_on_in_other_tasks_are_put_together(spark):
+    """However the sorted rows are cut into tasks, each small node is one region and each large one is dense."""
+    rows = [(key, k % 5, k % 3, 1000 * key + k) for key, n in ((1, 40), (2, 7), (3, 200), (4, 1), (5, 2)) for k in range(n)]
+    df = spark.createDataFrame(rows, "key long, near long, last int, rep long").repartition(5)
+    for parts in (1, 3, 60):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            small, dense = minhash_forest._nodes(df, 60, Scratch(spark))
+            assert sorted(tuple(sorted(r.members)) for r in small.collect()) == sorted(tuple(r[3] for r in rows if r[0] == key) for key in (1, 2, 5))
+            found = [m for r in dense.collect() for m in r.members]
+            assert sorted(found) == [r[3] for r in rows if r[0] == 3]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_neighbours_share_the_longest_prefix(spark):
+    dense = spark.createDataFrame([(1, [10, 11, 12], [9, 10, 11], [0, 4, 8]), (2, [12, 10, 13], [5, 12, 10], [0, 6, 3])], "key long, members array<long>, before array<long>, depths array<long>")
+    assert {r.a: r.b for r in minhash_forest._neighbours(dense).collect()} == {10: 12, 11: 12, 12: 11, 13: 10}
 
 
 def test_one_of_each_group_judges_rows(spark):
