@@ -1,10 +1,12 @@
 """Quotation linking: conversations in reply order, without their quotes, by DataFrame operations only.
 
-Leading ``>`` marks give a line's quote level. Quoted lines are normalised (marks off, lower
-case, white space collapsed) and hashed; lines that a message itself wrote are hashed the same
-way. A quoted line is joined to all messages before it in its conversation that wrote it; of those
-matched at the lowest level, the message with the most matches (the latest on ties) is the one
-replied to. Messages that wrote the same set of lines are joined as one.
+Leading ``>`` marks give a line's quote level. Lines are normalised (marks off, lower case, white
+space collapsed), and consecutive lines of one level, up to a blank one, are a passage, whose text is
+its lines joined by a space. What a message itself wrote, passages and single lines, is hashed; so is
+what it quotes. A quoted line is found in a message before it in its conversation that wrote the line's
+passage, however it is wrapped, or, where only part of a passage is quoted, the line. Of the messages
+found at the lowest level, that with the most lines found (the latest on ties) is the one replied
+to. Messages that wrote the same passages and lines are joined as one.
 """
 
 from __future__ import annotations
@@ -33,27 +35,45 @@ def own_text(text: Column) -> Column:
     return F.when(F.size(own) == F.size(lines), text).otherwise(F.trim(F.array_join(own, "\n")))
 
 
+def with_passages(lines: DataFrame) -> DataFrame:
+    """Lines that are not blank, with ``passage``: the hash of the consecutive lines of one level that hold it, joined by a space."""
+    text = ["conv_id", "turn", "of"]
+    order = Window.partitionBy(*text).orderBy("at")
+    starts = (F.col("body") == "") | ~F.lag("level").over(order).eqNullSafe(F.col("level"))
+    runs = lines.withColumn("starts", starts.cast("int")).withColumn("run", F.sum("starts").over(order)).where("body <> ''")
+    held = F.array_sort(F.collect_list(F.struct("at", "level", "body")))
+    runs = runs.groupBy(*text, "run").agg(held.alias("held"))
+    passage = F.xxhash64(F.array_join(F.col("held.body"), " ")).alias("passage")
+    return runs.select(*text, passage, F.explode("held").alias("line")).select("conv_id", "turn", "line.level", "line.body", "passage")
+
+
 def link_quotes(messages: DataFrame, min_chars: int = 1) -> DataFrame:
     """Rows of ``messages`` with ``n_quoted`` lines, ``max_level``, ``reply_to`` (a turn or null),
     ``depth``, ``reply_path`` (turns from the root down: its order is the reply order) and the
     text without quotes.
 
     A null text counts as empty and stays null. Rows with a null conversation or turn are linked
-    with nothing. Rows that repeat a conversation and turn each stay. An empty table gives no
-    row. Other columns stay; those named like the new ones are replaced. Quoted lines under
-    ``min_chars`` characters link nothing.
+    with nothing. Rows that repeat a conversation and turn each stay, and are one message that wrote
+    and quotes what any of them does. An empty table gives no row. Other columns stay; those named
+    like the new ones are replaced. Texts are taken whole, however long: a message's lines are
+    one group. Quoted lines under ``min_chars`` characters link nothing.
     """
     scratch = Scratch(messages.sparkSession)
     keep = messages.drop("n_quoted", "max_level", "reply_to", "depth", "reply_path")
-    lines = keep.where("conv_id is not null and turn is not null and text is not null").select("conv_id", "turn", F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line"))
-    lines = lines.select("conv_id", "turn", quote_level(F.col("line")).alias("level"), normalised(F.col("line")).alias("body")).where(F.length("body") >= min_chars)
-    hashed = lines.select("conv_id", "turn", "level", F.xxhash64("body").alias("hash"))
-    quoted = hashed.where("level > 0").groupBy("conv_id", "hash", "turn").agg(F.count("*").alias("n"), F.min("level").alias("level"))
-    # messages that wrote the same lines are one class: of these the latest before the quote is the candidate
-    wrote = hashed.where("level = 0").select("conv_id", "turn", "hash").distinct()
-    classes = scratch.keep(wrote.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("hash")).alias("lines")).select("conv_id", "turn", "lines", F.xxhash64("lines").alias("class")))
-    authors = classes.groupBy("conv_id", "class").agg(F.min("turn").alias("first"), F.min_by("lines", "turn").alias("lines")).select("conv_id", "class", "first", F.explode("lines").alias("hash"))
-    votes = quoted.join(authors, ["conv_id", "hash"]).where("first < turn").groupBy("conv_id", "turn", "class").agg(F.min("level").alias("level"), F.sum("n").alias("votes"))
+    texts = keep.where("conv_id is not null and turn is not null and text is not null").select("conv_id", "turn", F.col("text").cast("string").alias("text")).distinct()
+    lines = texts.select("conv_id", "turn", F.xxhash64("text").alias("of"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.select("conv_id", "turn", "of", "at", quote_level(F.col("line")).alias("level"), normalised(F.col("line")).alias("body"))
+    hashed = with_passages(lines).where(F.length("body") >= min_chars).select("conv_id", "turn", "level", F.xxhash64("body").alias("hash"), "passage")
+    units = F.explode(F.array_distinct(F.array("hash", "passage"))).alias("unit")
+    quoted = hashed.where("level > 0").groupBy("conv_id", "turn", "hash", "passage").agg(F.count("*").alias("n"), F.min("level").alias("level"))
+    quoted = quoted.select("conv_id", "turn", "hash", "passage", "n", "level", units)
+    # messages that wrote the same are one class: of these the latest before the quote is the candidate
+    wrote = hashed.where("level = 0").select("conv_id", "turn", units).distinct()
+    classes = scratch.keep(wrote.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("unit")).alias("units")).select("conv_id", "turn", "units", F.xxhash64("units").alias("class")))
+    authors = classes.groupBy("conv_id", "class").agg(F.min("turn").alias("first"), F.min_by("units", "turn").alias("units")).select("conv_id", "class", "first", F.explode("units").alias("unit"))
+    # a line counts once, whether it, its passage or both are found
+    found = quoted.join(authors, ["conv_id", "unit"]).where("first < turn").groupBy("conv_id", "turn", "class", "hash", "passage").agg(F.first("n").alias("n"), F.first("level").alias("level"))
+    votes = found.groupBy("conv_id", "turn", "class").agg(F.min("level").alias("level"), F.sum("n").alias("votes"))
     events = votes.select("conv_id", "class", F.col("turn").alias("at"), "level", "votes", F.lit(None).cast(dict(messages.dtypes)["turn"]).alias("source")).unionByName(
         classes.select("conv_id", "class", F.col("turn").alias("at"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("votes"), F.col("turn").alias("source"))
     )

@@ -445,6 +445,35 @@ def test_quotes_count_every_earlier_author(spark):
     assert got == wanted
 
 
+def test_quotes_by_passages(spark):
+    """A quote that was wrapped otherwise links; common lines don't outweigh a passage; repeats, clashes and long texts are defined."""
+    long = "\n".join(f"line {k} of a long text" for k in range(20000))
+    wrapped = "\n".join("> " + " ".join(f"line {k} of a long text" for k in range(i, i + 100)) for i in range(0, 20000, 100))
+    rows = [
+        (1, 0, "A long passage wrapped here"),
+        (1, 1, "something else"),
+        (1, 2, "> A long   passage\n> WRAPPED here\nyes"),
+        (2, 0, "first part\nof one thing\n\nsecond part"),
+        (2, 1, "first part"),
+        (2, 2, "> first part of\n> one thing\n>\n> second part\nso it is"),
+        (3, 0, long),
+        (3, 1, wrapped + "\nshort answer"),
+        (3, 1, wrapped + "\nshort answer"),
+        (4, 0, "one"),
+        (4, 1, "> one\n>> two"),
+        (4, 1, "written twice"),
+        (4, 2, "> written\n> twice"),
+        (4, None, "> one"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumns({n: F.lit(7) for n in ("of", "run", "unit", "passage", "conv__0", "line", "DEPTH")})
+    out = quotes.link_quotes(df)
+    assert out.count() == len(rows) and {"of", "run", "unit", "passage", "conv__0", "line"} <= set(out.columns)
+    got = defaultdict(set)
+    for r in out.collect():
+        got[r.conv_id, r.turn].add(r.reply_to)
+    assert got[1, 2] == {0} and got[2, 2] == {0} and got[3, 1] == {0} and got[4, 1] == {0} and got[4, 2] == {1} and got[4, None] == {None}
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(k, k + 1) for k in range(100, 180)] + [(500, k) for k in range(600, 700)] + [(3, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()}
