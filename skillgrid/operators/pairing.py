@@ -100,6 +100,33 @@ def window_means(forecast: DataFrame, windows: DataFrame) -> DataFrame:
     return means.join(found.select("model", "init_date", "lead_key"), ["model", "init_date", "lead_key"], "left_semi").drop("start", "end")
 
 
+def lead_extract(forecast: DataFrame, spans: DataFrame, last: int) -> DataFrame:
+    """``model, init_date, cell_id, lead_key, found, value``: every lead day and lead window in one aggregation.
+
+    Each cell's sums and counts are added up over its leads 1 to ``last``, so that a span is a difference of two of
+    them. ``found`` are the leads of the span with one value; ``value`` is their mean where that is all of them,
+    else null. A span without any has no row, so an empty table gives none. ``spans`` (``model, lead_key, start, end``,
+    a day being a span of one) is a fixed dimension.
+    """
+    days = range(1, last + 1)
+    at = lambda k, c: F.when(F.col("lead") == k, c)
+    sums = [F.sum(at(k, F.col("value"))).alias(f"s{k}") for k in days]
+    counts = [F.count(at(k, F.col("value"))).alias(f"c{k}") for k in days]
+    cells = forecast.groupBy("model", "init_date", "cell_id").agg(*sums, *counts)
+    once = [F.when(F.col(f"c{k}") == 1, F.col(f"s{k}")) for k in days]
+    total, seen = [F.lit(0.0)], [F.lit(0).cast("long")]
+    for v in once:
+        total.append(total[-1] + F.coalesce(v, F.lit(0.0)))
+        seen.append(seen[-1] + v.isNotNull().cast("long"))
+    cells = cells.select("model", "init_date", "cell_id", F.array(*once).alias("day"), F.array(*total).alias("total"), F.array(*seen).alias("seen"))
+    rows = cells.join(F.broadcast(spans.select("model", "lead_key", "start", "end")), "model")
+    between = lambda c: F.get(c, F.col("end")) - F.get(c, F.col("start") - 1)
+    length = F.col("end") - F.col("start") + 1
+    mean = F.when(length == 1, F.get("day", F.col("start") - 1)).otherwise(between("total") / length)
+    rows = rows.withColumn("found", between("seen")).where("found > 0")
+    return rows.select("model", "init_date", "cell_id", "lead_key", "found", F.when(F.col("found") == length, mean).alias("value"))
+
+
 def latest_init(forecast: DataFrame) -> DataFrame:
     """Rows of each model's latest init date."""
     last = forecast.groupBy("model").agg(F.max("init_date").alias("init_date"))

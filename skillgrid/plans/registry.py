@@ -108,6 +108,28 @@ def forecast_windows(spark, d):
     return pairing.window_means(fx.forecast(spark, d), dims.lead_windows(spark))
 
 
+EXTRACT = f"{S.FC}, span AS (SELECT model, lead AS s, lead AS e, CAST(lead AS VARCHAR) AS lead_key FROM leads UNION ALL SELECT model, s, e, lead_key FROM win)"
+
+
+@register("forecast_extract", f"WITH {EXTRACT} SELECT fc.model, init_date, cell_id, lead_key, count(nullif(m, 20)) AS found, CASE WHEN count(nullif(m, 20)) = any_value(e - s + 1) THEN avg(m) END AS value FROM fc JOIN span ON fc.model = span.model AND lead BETWEEN s AND e GROUP BY fc.model, init_date, cell_id, lead_key HAVING count(nullif(m, 20)) > 0")
+def forecast_extract(spark, d):
+    """Days and windows of every forecast from one scan; a value of 20 stands for no data."""
+    models = dims.model_dim(spark)
+    days = models.select("model", F.explode(F.sequence("lead_min", "lead_max")).alias("start")).select("model", F.col("start").cast("string").alias("lead_key"), "start", F.col("start").alias("end"))
+    spans = days.unionByName(dims.lead_windows(spark).select("model", "lead_key", "start", "end"))
+    values = fx.forecast(spark, d).withColumn("value", F.nullif(F.col("value"), F.lit(20.0)))
+    return pairing.lead_extract(values, spans, last=max(m[3] for m in dims.MODELS))
+
+
+@register("stored_pairing", f"WITH {S.ACC} SELECT * FROM acc")
+def stored_pairing(spark, d):
+    """Forecasts and observations stored by valid date and cell once, and paired without a shuffle from then on."""
+    base, keys = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}", ["valid_date", "cell_id"]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = [sinks.write_bucketed(df, f"{base}/{name}", keys, buckets) for name, df in (("forecast", fx.forecast(spark, d)), ("observation", fx.observation(spark, d)))]
+    return pairing.accumulate(pairing.pairs(*stored))
+
+
 BUCKETS = "b AS (SELECT CAST(o_orderdate AS DATE) AS init_date, CAST(l_suppkey % 24 AS INT) AS cell_id, CAST(l_linenumber AS INT) * 6 AS fhour, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"
 
 

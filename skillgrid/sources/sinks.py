@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,18 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(at, True)
 
 
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """Store ``df`` dealt out by ``keys``, one file a bucket, and read it back as a table of the session.
+
+    Tables of equal keys and buckets join and aggregate on those keys without a shuffle. ``buckets`` should leave
+    files that a task can hold; a bucket is not split further, so keys should be many, as dates with cells are.
+    """
+    name = f"bucketed_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def append_ledger(ledger: DataFrame, path: str) -> None:
     ledger.write.mode("append").parquet(path)
 

@@ -231,3 +231,46 @@ def test_scratch_drops_only_its_own(spark):
     scratch.drop(kept[0])
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(f"{scratch.base}/0").count()
+
+
+def test_stored_tables_pair_without_a_shuffle(spark, tmp_path):
+    rng = random.Random(5)
+    start = dt.date(2024, 1, 1)
+    fc = [("gfs", start, lead, start + dt.timedelta(days=lead), cell, float(rng.randint(0, 9))) for lead in range(1, 8) for cell in range(50)]
+    obs = [(start + dt.timedelta(days=k), cell, float(rng.randint(0, 9))) for k in range(1, 8) for cell in range(50)]
+    forecast = spark.createDataFrame(fc, "model string, init_date date, lead int, valid_date date, cell_id int, value double")
+    observed = spark.createDataFrame(obs, "valid_date date, cell_id int, value double")
+    keys = ["valid_date", "cell_id"]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = [sinks.write_bucketed(df, str(tmp_path / n), keys, 4) for n, df in (("f", forecast), ("o", observed))]
+        paired = pairing.pairs(*stored)
+        plan = paired._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert "Exchange" in pairing.pairs(forecast, observed)._jdf.queryExecution().executedPlan().toString()
+        assert sorted(pairing.accumulate(paired).collect()) == sorted(pairing.accumulate(pairing.pairs(forecast, observed)).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_extract_of_days_and_windows_counts_what_is_there(spark):
+    """A lead that is missing, null or there twice leaves its window without a value; days stand by themselves."""
+    day = dt.date(2024, 1, 1)
+    rows = [("gfs", day, lead, cell, float(lead * 10 + cell)) for cell in range(4) for lead in range(1, 6) if (cell, lead) != (1, 2)]
+    rows += [("gfs", day, 3, 2, 7.0), ("gfs", day, 1, 9, None)]
+    rows = [(*r[:4], None) if r[2:4] == (4, 3) else r for r in rows]
+    df = spark.createDataFrame(rows, "model string, init_date date, lead int, cell_id int, value double")
+    spans = spark.createDataFrame([("gfs", str(k), k, k) for k in range(1, 6)] + [("gfs", "1_3", 1, 3), ("gfs", "2_5", 2, 5)], "model string, lead_key string, start int, end int")
+    by = {}
+    for _, _, lead, cell, value in rows:
+        by.setdefault((cell, lead), []).append(value)
+    wanted = {}
+    for cell in {r[3] for r in rows}:
+        for key, lo, hi in [(str(k), k, k) for k in range(1, 6)] + [("1_3", 1, 3), ("2_5", 2, 5)]:
+            good = [by[cell, k][0] for k in range(lo, hi + 1) if len(by.get((cell, k), [])) == 1 and by[cell, k][0] is not None]
+            if good:
+                wanted[cell, key] = (len(good), sum(good) / len(good) if len(good) == hi - lo + 1 else None)
+    got = {(r.cell_id, r.lead_key): (r.found, r.value) for r in pairing.lead_extract(df, spans, 5).collect()}
+    assert got == wanted and any(v[1] is None for v in wanted.values())
+    assert pairing.lead_extract(df.where("false"), spans, 5).count() == 0
