@@ -47,6 +47,11 @@ def legend_ranges(layers: DataFrame, spec: DataFrame, mode: str = "export", keys
     or (0, 1) if sequential. ``approximate`` reads ``layers`` once, for a sketch, instead of twice.
     """
     ends = layers.groupBy(*keys).agg(F.percentile_approx("value", F.array(F.lit(0.02), F.lit(0.98)), 10_000).alias("p")) if approximate else percentiles(layers, keys)
+    return fit_ranges(ends, spec, mode, keys, fixed)
+
+
+def fit_ranges(ends: DataFrame, spec: DataFrame, mode: str, keys: tuple[str, ...], fixed: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Legend ranges from the two percentiles ``p`` of each slice, null where it has no value."""
     found = ends.join(F.broadcast(spec.select("statistic", "colormap")), "statistic")
     sequential, low, high = F.col("colormap") == "sequential", F.col("p")[0], F.col("p")[1]
     top = F.greatest(high, F.lit(1.0)) if mode == "export" else F.when(high <= 0, 1.0).otherwise(high)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..functions.statistics import sum_names
-from ..operators import grid, incremental, ingest, pairing, panel, publish, query
+from ..operators import grid, incremental, ingest, pairing, panel, publish, query, sketches
 from ..sources import registry as dims
 from ..sources import scans, sinks
 from ..sources.scratch import Scratch, shared_folder
@@ -195,10 +195,13 @@ def grid_audit(spark, d):
     return grid.check_single_grid(rows)
 
 
-@register("grid_guard", "SELECT CASE WHEN l_returnflag = 'A' THEN 'gfs' ELSE 'nbm' END AS model, CAST(1 AS BIGINT) AS n_grids, true AS consistent FROM lineitem GROUP BY 1")
+@register("grid_guard", f"WITH {S.BASE}, {S.AXES}, g AS (SELECT model, year(init_date) AS y, array_to_string(list_sort(list(DISTINCT lat)), ',') || ';' || array_to_string(list_sort(list(DISTINCT lon)), ',') AS grid FROM base JOIN cell USING (cell_id) GROUP BY 1, 2) SELECT model, count(DISTINCT grid) AS n_grids, count(DISTINCT grid) = 1 AS consistent FROM g GROUP BY 1")
 def grid_guard(spark, d):
-    rows = fx.read(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "A", "gfs").otherwise("nbm").alias("model"), F.lit("4x6").alias("transform"), F.lit("EPSG:4326").alias("crs"), F.lit(4).alias("n_lat"), F.lit(6).alias("n_lon"))
-    return grid.require_single_grid(rows)
+    """The grid that each year's forecasts cover, from their cells: a model whose years differ stops the query."""
+    cells = grid.cells(fx.axes(spark)).select("model", "cell_id", "lat", "lon")  # a fixed dimension
+    seen = fx.forecast_base(spark, d).select("model", F.year("init_date").alias("y"), "cell_id").distinct().join(F.broadcast(cells), ["model", "cell_id"])
+    grids = seen.groupBy("model", "y").agg(*(F.array_sort(F.collect_set(c)).alias(f"{c}s") for c in ("lat", "lon")))
+    return grid.require_single_grid(grids.select("model", grid.affine("lats", "lons").cast("string").alias("transform"), F.lit("EPSG:4326").alias("crs"), F.size("lats").alias("n_lat"), F.size("lons").alias("n_lon")))
 
 
 @register("grid_crop", f"WITH {S.OBS}, {S.AXES} SELECT cell_id, lat, lon, count(*) AS n_obs FROM obs JOIN cell USING (cell_id) WHERE lat BETWEEN 25 AND 35 AND lon BETWEEN -112 AND -88 GROUP BY ALL")
@@ -375,10 +378,10 @@ def saved_shapes_stats(spark, d):
     return shapes.join(means, "region_id").select("user_id", "shape_id", "model", "statistic", F.round("value", 6).alias("value"))
 
 
-@register("region_geometry_key", "SELECT 'point:' || printf('%.5f', CAST(-124.0e0 + (c_custkey * 7) % 50 AS DOUBLE)) || ',' || printf('%.5f', CAST(22.0e0 + (c_custkey * 3) % 20 AS DOUBLE)) AS geo_key, count(*) AS n, min(c_custkey) AS region_id FROM customer WHERE c_custkey % 5 = 0 GROUP BY 1")
+@register("region_geometry_key", f"WITH {S.REGION} SELECT type || ':' || array_to_string(list_transform(CASE type WHEN 'rectangle' THEN [bw, bs, be, bn] ELSE flatten(ring) END, lambda v: printf('%.5f', v)), ',') AS geo_key, count(*) AS n, min(region_id) AS region_id FROM region GROUP BY 1")
 def region_geometry_key(spark, d):
-    points = fx.regions(spark, d).where("type = 'point'")
-    return points.groupBy(fn.geometry_key(F.col("type"), F.flatten("coordinates")).alias("geo_key")).agg(F.count("*").alias("n"), F.min("region_id").alias("region_id"))
+    numbers = F.when(F.col("type") == "rectangle", F.col("bounds")).otherwise(F.flatten("coordinates"))
+    return fx.regions(spark, d).groupBy(fn.geometry_key(F.col("type"), numbers).alias("geo_key")).agg(F.count("*").alias("n"), F.min("region_id").alias("region_id"))
 
 
 @register("zip_lookup", """WITH z AS (SELECT DISTINCT substr(trim(CAST(10000 + s_suppkey AS VARCHAR)), 1, 5) AS zip, round(CAST(s_acctbal AS DOUBLE) / 100, 6) AS lat FROM supplier), z1 AS (SELECT zip, min(lat) AS lat FROM z GROUP BY 1)
@@ -418,6 +421,20 @@ def legend_range_tile(spark, d):
     return _ranges(spark, d, "tile")[1].withColumns({c: F.round(c, 6) for c in ("low", "high")})
 
 
+SKETCHED = RANGES.replace("quantile_cont", "quantile_disc")
+
+
+@register("legend_range_sketched", f"WITH {S.STATS}, r AS ({SKETCHED}) {FIT}")
+def legend_range_sketched(spark, d):
+    """Lead days are stored first; the windows come later, and ranges then cover both without the days' values."""
+    layers, path = Scratch(spark).keep(fx.stats(spark, d)), f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    window = F.col("lead_key").contains("_")
+    for part in (layers.where(~window), layers.where(window)):
+        sketches.store_sketches(sketches.layer_sketches(part), path)
+    ranges = sketches.sketched_ranges(sketches.stored_sketches(spark, path), dims.statistic_dim(spark))
+    return ranges.withColumns({c: F.round(c, 6) for c in ("low", "high")})
+
+
 def _mix(low, high, t, k):
     return f"CASE WHEN {t} <= 0.5 THEN {low[k]}.0e0 + ({fn.WHITE[k]} - {low[k]}) * ({t} / 0.5e0) ELSE {fn.WHITE[k]}.0e0 + ({high[k]} - {fn.WHITE[k]}) * (({t} - 0.5e0) / 0.5e0) END"
 

@@ -47,3 +47,14 @@ class Scratch:
         if path:
             hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+    def clear(self) -> None:
+        """Delete all tables of ``keep``: their results are written elsewhere, and nothing reads them any more."""
+        for df, _ in list(self.kept.values()):
+            self.drop(df)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()

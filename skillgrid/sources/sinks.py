@@ -52,6 +52,11 @@ def current(spark: SparkSession, folder: str) -> tuple[int, str]:
     return int(found[-1].getName()), content
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, store = _hadoop(spark, path)
+    return store.exists(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at, store = _hadoop(spark, path)
     store.delete(at, True)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skillgrid.functions.statistics import Statistic
-from skillgrid.operators import areas, grid, incremental, pairing, query
+from skillgrid.operators import areas, grid, incremental, pairing, publish, query, sketches
 from skillgrid.operators.regions import axis_step, polygon_cells, region_cells
 from skillgrid.sources import scans, sinks
 from skillgrid.sources.fields import FieldReader
@@ -274,3 +274,62 @@ def test_extract_of_days_and_windows_counts_what_is_there(spark):
     got = {(r.cell_id, r.lead_key): (r.found, r.value) for r in pairing.lead_extract(df, spans, 5).collect()}
     assert got == wanted and any(v[1] is None for v in wanted.values())
     assert pairing.lead_extract(df.where("false"), spans, 5).count() == 0
+
+
+LAYERS = "model string, statistic string, period string, period_key string, lead_key string, cell_id int, value double"
+SPEC = [("bias", "diverging"), ("nmad", "sequential")]
+
+
+def layer(lead, values, statistic="bias", key=""):
+    return [("gfs", statistic, "yearly", key, lead, k, v) for k, v in enumerate(values)]
+
+
+def test_sketches_follow_layers(spark, tmp_path):
+    """A new layer moves the range without the old layers' values; one computed anew replaces its sketch alone."""
+    path, spec = str(tmp_path / "sketches"), spark.createDataFrame(SPEC, "statistic string, colormap string")
+    put = lambda rows: sketches.store_sketches(sketches.layer_sketches(spark.createDataFrame(rows, LAYERS)), path)
+    ranges = lambda **k: {(r.statistic, r.period_key): (r.low, r.high) for r in sketches.sketched_ranges(sketches.stored_sketches(spark, path), spec, **k).collect()}
+    put(layer("1", range_of(0, 100)) + layer("1", [None, None], key="03") + layer("1", [0.25, 0.5], "nmad") + layer("2", [-1.0, None], "nmad", "03"))
+    assert ranges() == {("bias", ""): (1.0, 97.0), ("bias", "03"): (-1.0, 1.0), ("nmad", ""): (0.0, 1.0), ("nmad", "03"): (0.0, 1.0)}
+    assert ranges(mode="tile")["nmad", ""] == (0.0, 0.5) and ranges(fixed={"bias": (-9.0, 9.0)})["bias", ""] == (-9.0, 9.0)
+    files = {p: p.read_bytes() for p in tmp_path.glob("sketches/**/statistic=nmad/**/*.parquet")}
+    put(layer("2", range_of(1000, 1100)))
+    assert ranges()["bias", ""] == (3.0, 1095.0) and len(files) == 1 and all(p.read_bytes() == b for p, b in files.items())
+    put(layer("2", [5.0, 5.0]))
+    assert ranges()["bias", ""] == (2.0, 97.0)
+    assert sketches.sketched_ranges(sketches.layer_sketches(spark.createDataFrame([], LAYERS)), spec).count() == 0
+
+
+def range_of(low, high):
+    return [float(v) for v in range(low, high)]
+
+
+def test_sketch_rank_error(spark):
+    """17 leads of 60,000 cells, dealt unevenly: merged percentiles are within the stated share of the exact ones' ranks."""
+    rows = spark.range(17 * 60_000, numPartitions=16).select(F.lit("gfs").alias("model"), F.lit("bias").alias("statistic"), F.lit("yearly").alias("period"), F.lit("").alias("period_key"), (F.col("id") % 17).cast("string").alias("lead_key"), F.pow(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40), F.col("id") % 17 + 1).alias("value"))
+    found = sketches.sketch_percentiles(sketches.layer_sketches(rows), ("model", "statistic"), (0.02, 0.5, 0.98)).first()
+    exact = publish.percentiles(rows, ("model", "statistic"), (0.02, 0.98)).first()
+    ranks = rows.agg(*(F.avg((F.col("value") <= v).cast("double")) for v in found.p)).first()
+    assert found.n == 17 * 60_000 and all(abs(r - s) <= 2.3 / sketches.K**0.9 for r, s in zip(ranks, (0.02, 0.5, 0.98), strict=True))
+    assert found.p[2] == pytest.approx(exact.p[1], abs=0.01)
+
+
+def test_geometry_keys_of_all_kinds(spark):
+    from skillgrid.functions.scalars import geometry_key
+
+    rows = spark.createDataFrame([("point", [[-120.0, 25.000004]], None), ("rectangle", None, [-1.0, 2.0, 3.5, 4.25]), ("polygon", [[1.0, 2.0], [3.0, 4.0]], None)], "type string, coordinates array<array<double>>, bounds array<double>")
+    numbers = F.when(F.col("type") == "rectangle", F.col("bounds")).otherwise(F.flatten("coordinates"))
+    assert [r[0] for r in rows.select(geometry_key(F.col("type"), numbers)).collect()] == ["point:-120.00000,25.00000", "rectangle:-1.00000,2.00000,3.50000,4.25000", "polygon:1.00000,2.00000,3.00000,4.00000"]
+
+
+def test_scratch_scope(spark):
+    """Tables of a scope are deleted when it ends, also where it ends by an error; others stay."""
+    from skillgrid.sources.sinks import exists
+
+    outer = Scratch(spark)
+    kept = outer.keep(spark.range(3))
+    with pytest.raises(ValueError), Scratch(spark) as scratch:
+        inner = scratch.keep(spark.range(2))
+        assert inner.count() == 2 and exists(spark, f"{scratch.base}/0")
+        raise ValueError
+    assert not exists(spark, f"{scratch.base}/0") and kept.count() == 3
