@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _ASCII_LOWER, fresh
+from .common import _ASCII_LOWER, Scratch, fresh
 
 DIMS = 1 << 13
 UNKNOWN = "und"
@@ -70,14 +70,16 @@ class LanguageModel:
     floors: np.ndarray  # of each centroid's language: nearly all rows it was learnt from are closer to it than this
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = 400, clusters: int = 4, most_languages: int = 256, far: float = 0.005) -> LanguageModel:
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = 400, clusters: int = 4, small: int = 100_000, far: float = 0.005) -> LanguageModel:
     """Learn from rows with a language and a text that is not null.
 
     Document frequencies use every such row. Centroids use about ``per_language`` different texts of
     each language, those with the smallest hashes, and at most twice as many; that is the documented
-    bound of the sample (a language with fewer gives all). The ``most_languages`` most frequent
-    languages are learnt, ties by name. ``far`` is the share of a language's sample that lies beyond its
-    floor, the cosine from which ``identify`` can reject. Empty tables give a model that knows none.
+    bound of the sample (a language with fewer gives all). Every language is learnt, however rare; its
+    clustering is one task of its sample, and the model holds ``clusters`` times 32 KB of it. Shares of the
+    sample are sent to the texts for up to ``small`` languages, and joined by a shuffle for more. ``far`` is
+    the share of a language's sample that lies beyond its floor, the cosine from which ``identify`` can
+    reject. Empty tables give a model that knows none.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
 
@@ -96,11 +98,12 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language
         df[i] = n
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
 
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("text").alias("texts")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    shares = known.sparkSession.createDataFrame([(r.lang, min(1.0, 1.2 * per_language / r.texts)) for r in sizes], "lang string, share double")
+    texts = known.groupBy("lang").agg(F.approx_count_distinct("text").alias("texts"))
+    shares = Scratch(known.sparkSession).keep(texts.select("lang", F.least(F.lit(1.0), F.lit(1.2 * per_language) / F.col("texts")).alias("share")))
+    sent = F.broadcast(shares) if shares.count() <= small else shares
     pick = F.xxhash64("text")
     unit = F.pmod(pick, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.join(F.broadcast(shares), "lang").where(unit < F.col("share")).select("lang", "text", pick.alias("pick"))  # at most most_languages rows are broadcast
+    sample = known.join(sent, "lang").where(unit < F.col("share")).select("lang", "text", pick.alias("pick"))
     sample = sample.dropDuplicates(["lang", "pick"]).withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("pick"))).where(F.col("at") <= 2 * per_language).select("lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,17 +113,18 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language
                 v = vectors(counts(part.column("text").to_pylist()), idf)
                 yield pa.RecordBatch.from_pydict({"lang": part.column("lang"), "v": pa.array([r.astype(np.float16).tobytes() for r in v], pa.binary())})
 
-    by_language: dict[str, list[np.ndarray]] = {}
-    for name, v in sample.mapInArrow(features, "lang string, v binary").toLocalIterator():
-        by_language.setdefault(name, []).append(np.frombuffer(v, np.float16))
-    names, centres, floors = [], [], []
-    for name in sorted(by_language):
-        x = np.stack(sorted(by_language[name], key=lambda r: r.tobytes())).astype(np.float32)
+    def centres(own: pa.Table) -> pa.Table:
+        """The centroids of one language and its floor; at most twice ``per_language`` rows."""
+        rows = sorted(own.column("v").to_pylist())
+        x = np.stack([np.frombuffer(v, np.float16) for v in rows]).astype(np.float32)
         c = cluster(x, clusters)
-        names += [name] * len(c)
-        centres.append(c)
-        floors += [float(np.quantile((x @ c.T).max(axis=1), far))] * len(c)
-    return LanguageModel(tuple(names), np.concatenate(centres) if centres else np.zeros((0, DIMS), np.float32), idf, np.array(floors))
+        floor = float(np.quantile((x @ c.T).max(axis=1), far))
+        return pa.table({"lang": [own.column("lang")[0].as_py()] * len(c), "at": pa.array(range(len(c)), pa.int32()), "centre": [v.tobytes() for v in c], "floor": [floor] * len(c)})
+
+    schema = "lang string, at int, centre binary, floor double"
+    found = sorted(sample.mapInArrow(features, "lang string, v binary").groupBy("lang").applyInArrow(centres, schema).collect())  # the model itself
+    centroids = np.stack([np.frombuffer(r.centre, np.float32) for r in found]) if found else np.zeros((0, DIMS), np.float32)
+    return LanguageModel(tuple(r.lang for r in found), centroids, idf, np.array([r.floor for r in found]))
 
 
 def has_letter(text: Column) -> Column:

@@ -397,6 +397,10 @@ def test_language(spark):
     assert far[950] == "und" and sum(far[i] == k for i, _, k in rows) >= 0.9 * len(rows)
     hot = df.unionByName(spark.createDataFrame([(5000 + k, rows[0][1], "en") for k in range(2000)], df.schema))
     assert set(language.fit(hot, per_language=20).languages) == set(words)
+    rare = spark.range(900).select((F.col("id") % 300).alias("k"), "id").select(F.concat(F.lit("x"), F.lpad(F.col("k").cast("string"), 3, "0")).alias("lang"), F.concat(F.sha2(F.col("k").cast("string"), 256), F.lit(" "), F.col("id").cast("string")).alias("text"))
+    many, shuffled = language.fit(rare, clusters=1), language.fit(rare, clusters=1, small=10)  # every language is learnt, by both ways
+    assert len(many.languages) == 300 and many.languages == shuffled.languages and np.array_equal(many.centroids, shuffled.centroids)
+    assert language.identify(rare.withColumnRenamed("lang", "own"), many).where("own <> lang_pred").count() == 0
     none = language.identify(df, language.fit(df.where("false"))).collect()
     assert {r.lang_pred for r in none} == {"und"}
 
