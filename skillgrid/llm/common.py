@@ -189,34 +189,35 @@ def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], spread: li
     return dealt.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Connected components of the links ``a``-``b`` (longs): rows ``node, component`` (smallest id).
+def components(edges: DataFrame, scratch: Scratch, by: tuple[str, ...] = (), about: int | None = None) -> DataFrame:
+    """Connected components of the links ``a``-``b`` (longs): rows ``node, component`` (smallest id) of all linked nodes.
+
+    With ``by``, links of different values there are graphs of their own, all solved in the same rounds.
+    ``about`` is a rough number of links, as in ``Scratch.keep``.
 
     Alternating large-star and small-star rounds: each joins every node to the smallest node of
     its neighbourhood, so that chains shrink by half and hubs stay one row for each neighbour,
-    dealt out over tasks. All state is in written tables; only counts and a checksum come to the driver.
+    dealt out over tasks. The rounds end when only stars are left, as the nodes' numbers of neighbours
+    show. All state is in written tables; only counts come to the driver.
     """
-    cur = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-
-    def sign(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    before = sign(cur)
-    while before[0]:
+    key = [*by, "a"]
+    cur = scratch.keep(edges.where("a <> b").select(*by, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), about)
+    about = 2 * cur.count()
+    while True:
+        both = cur.unionByName(cur.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
+        low = scratch.keep(both.groupBy(*key).agg(F.count("*").alias("n"), F.least(F.col("a"), F.min("b")).alias("low")), about)
+        # in a star, every node but the smallest has one neighbour
+        total, more = low.agg(F.sum("n"), F.bool_or(F.expr("low <> a and n > 1"))).first()
+        if not more:
+            scratch.drop(cur)
+            return low.select(*by, F.col("a").alias("node"), F.col("low").alias("component"))
         # large star: every larger neighbour of a node goes to the smallest of the node's neighbourhood
-        both = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = scratch.keep(both.groupBy("a").agg(F.count("*").alias("n"), F.least(F.col("a"), F.min("b")).alias("low")))
-        large = join_counted(both, low, ["a"], ["b"], total=2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = scratch.keep(large.where("a <> b").distinct())
+        large = join_counted(both, low, key, ["b"], total=total).where("b > a").select(*by, F.col("b").alias("a"), F.col("low").alias("b"))
+        large = scratch.keep(large, about)
         # small star: a node and its smaller neighbours go to the smallest of them, which large stars leave few of
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.a", "e.b")
-        new = scratch.keep(small.where("a <> b").distinct())
-        after = sign(new)
+        least = large.groupBy(*key).agg(F.min("b").alias("low"))
+        small = large.join(least, key).select(*by, F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select(*by, "e.a", "e.b")
+        new = scratch.keep(small.where("a <> b").distinct(), about)
         for done in (low, large, cur):
             scratch.drop(done)
         cur = new
-        if after == before:
-            break
-        before = after
-    return cur.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

@@ -165,18 +165,18 @@ def _nodes(rows: DataFrame, most: int, scratch: Scratch) -> tuple[DataFrame, Dat
     size = F.size("members")
     edges = found.where(F.col("kind") == EDGE)
     total = found.where(F.col("kind") > WHOLE).groupBy("key").agg(F.sum(size).alias("n"))
-    edges = scratch.keep(edges.join(total, "key").select("key", "members", "before", "depths", "n"))
+    edges = scratch.keep(edges.join(total, "key").select("key", "members", "before", "depths", "n"), edges.count())
     small = edges.where(F.col("n").between(2, most)).groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("members"))
     small = small.select(F.xxhash64("members").alias("region"), F.xxhash64(F.lit(1), "members").alias("other"), "members")
     whole = found.where(F.col("kind") == WHOLE).select("region", "other", "members").unionByName(small)
-    whole = scratch.keep(whole.groupBy("region", "other").agg(F.first("members").alias("members")).select("region", "members"))
+    whole = whole.groupBy("region", "other").agg(F.first("members").alias("members")).select("region", "members")
     columns = ["key", "members", "before", "depths"]
     dense = found.where(F.col("kind") == DENSE).select(*columns).unionByName(edges.where(F.col("n") > most).select(*columns))
     return whole, scratch.keep(dense)
 
 
-def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places i < j of the sets with 100 * intersection >= percent * union, of all pairs, exactly."""
+def linked_pairs(sets: list[np.ndarray], percent: int, split: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of the sets with 100 * intersection >= percent * union, of all pairs or, with ``split``, of those with i < split <= j, exactly."""
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     values, inverse, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -185,15 +185,18 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
     columns, owner = place[inverse[keep]], owner[keep]
     order = np.argsort(columns, kind="stable")
     columns, owner = columns[order], owner[order]
-    shared = np.zeros((len(sets), len(sets)), np.int64)
+    left = split or len(sets)
+    shared = np.zeros((left, len(sets) - split), np.int64)
     width = 1 << 15
     for lo in range(0, int(columns[-1]) + 1 if len(columns) else 0, width):
         a, b = np.searchsorted(columns, [lo, lo + width])
         dense = np.zeros((len(sets), width), np.float32)
         dense[owner[a:b], columns[a:b] - lo] = 1
-        shared += np.rint(dense @ dense.T).astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - shared
-    return np.nonzero(np.triu((100 * shared >= percent * union) & (shared > 0), 1))
+        shared += np.rint(dense[:left] @ dense[split:].T).astype(np.int64)
+    union = sizes[:left, None] + sizes[None, split:] - shared
+    linked = (100 * shared >= percent * union) & (shared > 0)
+    i, j = np.nonzero(linked if split else np.triu(linked, 1))
+    return i, j + split
 
 
 def _confirm(percent: int):
@@ -213,6 +216,27 @@ def _confirm(percent: int):
     return run
 
 
+def _confirm_apart(percent: int):
+    """Links between the labels of a region's members: of pairs from its two blocks, or of all pairs of its one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in sorted_groups(batches, ["region"]):
+            blocks, labels, texts = rows.column("block").to_numpy(), rows.column("label").to_numpy(), rows.column("text").combine_chunks()
+            out_a, out_b = [], []
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                split = int(np.count_nonzero(blocks[lo:hi] == blocks[lo]))
+                i, j = linked_pairs(list(shingle_sets(texts.slice(lo, hi - lo))), percent, split % (hi - lo))
+                names, of = np.unique(labels[lo:hi], return_inverse=True)
+                low = forest(len(names), of[i], of[j])
+                own = np.flatnonzero(low != np.arange(len(names)))
+                out_a.append(names[own])
+                out_b.append(names[low[own]])
+            if out_a:
+                yield pa.RecordBatch.from_pydict({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    return run
+
+
 def _sieved(base: DataFrame, members: DataFrame) -> DataFrame:
     """Rows of ``base`` whose id may be a ``rep`` of ``members``, by a bitmap of 2^23 bits (at most 131,072 rows).
 
@@ -225,12 +249,12 @@ def _sieved(base: DataFrame, members: DataFrame) -> DataFrame:
     return marked.join(F.broadcast(words), "word").where("mask & shiftleft(1L, cast(bit % 64 as int)) <> 0").select(*base.columns)
 
 
-def _with_pivots(dense: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows ``a, b``: each member of a dense node and the node's pivot, once."""
-    rows = scratch.keep(dense.select("key", F.explode("members").alias("rep")))
-    often = rows.groupBy("rep").agg(F.count("*").alias("often"))
-    pivots = rows.join(often, "rep").groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("often")).alias("often"), "rep"))["rep"].alias("pivot"))
-    return join_counted(rows, scratch.keep(pivots), ["key"], ["rep"]).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct()
+def _with_pivots(dense: DataFrame, scratch: Scratch, about: int) -> DataFrame:
+    """Rows ``a, pivot, head``: each member of a dense node with the node's pivot and its smallest member, once."""
+    members = scratch.keep(dense.select("key", F.explode("members").alias("rep")).groupBy("rep").agg(F.collect_list("key").alias("keys")), about)  # a key for each tree at most
+    rows = members.select("rep", F.size("keys").alias("often"), F.explode("keys").alias("key"))
+    pivots = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("often")).alias("often"), "rep"))["rep"].alias("pivot"), F.min("rep").alias("head"))
+    return join_counted(rows, scratch.keep(pivots, about), ["key"], ["rep"]).select(F.col("rep").alias("a"), "pivot", "head").distinct()
 
 
 def _neighbours(dense: DataFrame) -> DataFrame:
@@ -248,26 +272,27 @@ def _chunks(pairs: DataFrame, most: int) -> DataFrame:
     return dealt.select("region", F.explode(F.array("a", "b")).alias("rep")).distinct()
 
 
-def _apart(clusters: DataFrame, joined: DataFrame, sizes: DataFrame, percent: int, most: int, scratch: Scratch) -> DataFrame:
-    """Rows ``region, rep``: pairs of blocks over all members of a cluster that may link and are not of one component.
+def _apart(found: DataFrame, sizes: DataFrame, percent: int, most: int, scratch: Scratch, about: int) -> DataFrame:
+    """Rows ``region, block, rep, label``: pairs of blocks over all members of a cluster that may link and are not of one component.
 
-    A block is about ``most`` members of about one size, of one large component or of several small ones.
+    ``found`` has the components of links (``linked``), which are the labels, and of dense nodes with members in common,
+    the clusters. A block is about ``most`` members of about one size, of one large component or of several small ones.
     """
-    nodes = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("rep"))
-    heads = nodes.select("cluster").distinct().select("cluster", F.col("cluster").alias("rep"))
-    nodes = nodes.unionByName(heads).distinct().join(joined, F.col("rep") == F.col("node"), "left")
-    nodes = scratch.keep(nodes.select("cluster", "rep", F.coalesce("component", "rep").alias("label")))
-    labels = scratch.keep(nodes.groupBy("cluster", "label").agg(F.count("*").alias("n")))
+    of = lambda linked: F.max(F.when(F.col("linked") == F.lit(linked), F.col("component")))
+    nodes = found.groupBy(F.col("node").alias("rep")).agg(of(False).alias("cluster"), of(True).alias("label")).where("cluster is not null")
+    nodes = scratch.keep(nodes.select("cluster", "rep", F.coalesce("label", "rep").alias("label")), about)
+    about = nodes.count()
+    labels = scratch.keep(nodes.groupBy("cluster", "label").agg(F.count("*").alias("n")), about)
     split = labels.groupBy("cluster").agg(F.count("*").alias("labels")).where("labels > 1").select("cluster")
     named = labels.join(split, "cluster").select("cluster", "label", "n", F.when(F.col("n") >= most, F.col("label")).alias("one"))
     level = F.floor(F.log(F.col("high")) / F.lit(np.log(1.1).item())).alias("level")
     kind = [F.col("one").isNull().alias("mixed"), F.coalesce("one", F.lit(0)).alias("of")]
-    members = scratch.keep(join_counted(nodes, scratch.keep(named), ["cluster", "label"], ["rep"]).join(sizes, "rep").select("cluster", "rep", "one", "low", "high", *kind, level))
+    members = scratch.keep(join_counted(nodes, scratch.keep(named, about), ["cluster", "label"], ["rep"], total=about).join(sizes, "rep").select("cluster", "rep", "label", "one", "low", "high", *kind, level), about)
     keys = ["cluster", "mixed", "of", "level"]
-    filled = scratch.keep(members.groupBy(*keys).agg(F.count("*").alias("n")))
+    filled = scratch.keep(members.groupBy(*keys).agg(F.count("*").alias("n")), about)
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / most)).alias("part")
-    blocked = scratch.keep(join_counted(members, filled, keys, ["rep"]).select("cluster", "rep", "one", "low", "high", F.struct(*keys, part).alias("block")))
-    blocks = scratch.keep(blocked.groupBy("cluster", "block").agg(F.first("one").alias("one"), F.min("low").alias("low"), F.max("high").alias("high")))
+    blocked = scratch.keep(join_counted(members, filled, keys, ["rep"]).select("cluster", "rep", "label", "one", "low", "high", F.struct(*keys, part).alias("block")), about)
+    blocks = scratch.keep(blocked.groupBy("cluster", "block").agg(F.first("one").alias("one"), F.min("low").alias("low"), F.max("high").alias("high")), about)
     ways = 64  # so that the pairs of one cluster are no single task
     x = blocks.withColumn("way", F.pmod(F.xxhash64("block"), F.lit(ways)).cast("int")).alias("x")
     y = blocks.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))).alias("y")
@@ -275,7 +300,7 @@ def _apart(clusters: DataFrame, joined: DataFrame, sizes: DataFrame, percent: in
     apart = F.col("x.one").isNull() | F.col("y.one").isNull() | (F.col("x.one") != F.col("y.one"))
     both = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.way") == F.col("y.way")) & (F.col("x.block") <= F.col("y.block")) & near & apart)
     both = both.select(F.xxhash64("x.block", "y.block").alias("region"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
-    return both.join(blocked.select("block", "rep"), "block").select("region", "rep")
+    return both.join(blocked.select("block", "rep", "label"), "block").select("region", F.xxhash64("block").alias("block"), "rep", "label")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75, most: int = 256) -> DataFrame:
@@ -291,30 +316,36 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, most: int = 256) -> D
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(base.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, signature binary"))
     classes = signed.where("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "signature")).alias("first"), F.count("*").alias("n"))
-    classes = scratch.keep(classes.select("set_a", "set_b", "n", F.col("first.doc_id").alias("rep"), F.col("first.signature").alias("signature")))
+    total = signed.count()
+    classes = scratch.keep(classes.select("set_a", "set_b", "n", F.col("first.doc_id").alias("rep"), F.col("first.signature").alias("signature")), total)
 
     trees = classes.select("rep", "signature").mapInArrow(_trees, "key long, near long, last int, rep long")
     whole, dense = _nodes(trees, most, scratch)
 
-    def confirmed(members: DataFrame, docs: DataFrame = base) -> DataFrame:
-        texts = docs.where("doc_id is not null").join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("region", "rep", "text")
-        return texts.repartition("region").sortWithinPartitions("region", "rep").mapInArrow(_confirm(percent), "a long, b long")
+    def confirmed(members: DataFrame, docs: DataFrame, run) -> DataFrame:
+        texts = docs.where("doc_id is not null").join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select(*members.columns, "text")
+        return texts.repartition("region").sortWithinPartitions(*members.columns).mapInArrow(run(percent), "a long, b long")
 
     members = whole.select("region", F.explode("members").alias("rep"))
     if dense.isEmpty():
-        joined = components(confirmed(members), scratch)
+        joined = components(confirmed(members, base, _confirm), scratch, about=total)
     else:
-        pairs = scratch.keep(_with_pivots(dense, scratch))
-        first = scratch.keep(pairs.unionByName(_neighbours(dense)).distinct())
-        joined = scratch.keep(components(confirmed(members.unionByName(_chunks(first, most))), scratch))
+        many = dense.agg(F.sum(F.size("members"))).first()[0]
+        pivots = scratch.keep(_with_pivots(dense, scratch, min(many, total)), many)
+        first = scratch.keep(pivots.where("a <> pivot").select("a", F.col("pivot").alias("b")).unionByName(_neighbours(dense)), many)
+        links = confirmed(members.unionByName(_chunks(first, most)), base, _confirm).withColumn("linked", F.lit(True))
+        clusters = pivots.select("a", F.col("head").alias("b"), F.lit(False).alias("linked"))
+        found = components(links.unionByName(clusters), scratch, by=("linked",), about=total)
+        joined = found.where("linked").drop("linked")
         sizes = signed.where("doc_id is not null").groupBy(F.col("doc_id").alias("rep")).agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-        rest = scratch.keep(_apart(components(pairs, scratch), joined, sizes, percent, most, scratch))
-        links = confirmed(rest, _sieved(base, rest)).unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        joined = components(links, scratch)
+        rest = scratch.keep(_apart(found, sizes, percent, most, scratch, total))
+        more = scratch.keep(confirmed(rest, _sieved(base, rest), _confirm_apart).distinct(), total)
+        if not more.isEmpty():
+            joined = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch, about=total)
 
     # components go to the classes first, and from there to their members
     ids = classes.select("set_a", "set_b", "n", "rep").join(joined, F.col("rep") == F.col("node"), "left")
-    ids = scratch.keep(ids.select("set_a", "set_b", "n", F.least(F.coalesce("component", "rep"), F.col("rep")).alias("component_id")))
+    ids = scratch.keep(ids.select("set_a", "set_b", "n", F.least(F.coalesce("component", "rep"), F.col("rep")).alias("component_id")), total)
     member = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     members = join_counted(signed.where(member).drop("signature"), ids, ["set_a", "set_b"], ["doc_id"]).select("doc_id", "n_shingles", "component_id")
     out = members.unionByName(signed.where(~member).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

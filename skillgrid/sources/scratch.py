@@ -23,6 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+PER_TASK = 10_000  # rows that a task writes at least, beyond one task for each core
+
+
 class Scratch:
     """Tables that are written, read back and dropped when no later step needs them."""
 
@@ -32,10 +35,16 @@ class Scratch:
         self.count = 0
         self.kept: dict[int, tuple[DataFrame, str]] = {}  # frames are held, so that no other gets the id of one
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it back: the lineage ends in shared files."""
+    def keep(self, df: DataFrame, about: int | None = None) -> DataFrame:
+        """Write ``df`` and read it back: the lineage ends in shared files.
+
+        ``about`` is a rough number of its rows, where one is known: then no more tasks write than there are cores or
+        ten thousands of rows, so that a small table isn't scattered over a file for each shuffle partition.
+        """
         path = f"{self.base}/{self.count}"
         self.count += 1
+        if about is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-about // PER_TASK)))
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.kept[id(out)] = out, path

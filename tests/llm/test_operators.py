@@ -160,6 +160,53 @@ def test_near_duplicates_of_a_hub_with_many_variants(spark):
     assert all(got[d] == d for d in got if d >= 60000)
 
 
+def test_near_duplicates_write_few_files(spark, docs, texts, tmp_path, monkeypatch):
+    """Small tables aren't scattered over a file for each of many shuffle partitions, and stars take no further round."""
+    folder = tmp_path / "shared"
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr("skillgrid.sources.scratch.shared_folder", lambda spark: str(folder))
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_forest.near_duplicates(docs, most=16).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == brute.near_duplicates(texts)
+    tables = [len(list(p.glob("part-*"))) for p in folder.glob("scratch-*/*")]
+    assert len(tables) > 10 and sum(n > 8 for n in tables) <= 4, tables
+
+
+def test_exact_way_finds_links_that_no_neighbour_shows(spark, monkeypatch):
+    """Twins in dense nodes, too far from all others: blocks are compared with blocks and with themselves."""
+    rng = random.Random(14)
+    base, rows, calls = passage(rng, 150), [], []
+    for k in range(0, 240, 2):
+        w = list(base)
+        for p in rng.sample(range(5, 145, 5), 6):
+            w[p] = f"v{k}p{p}"
+        rows.append((k, " ".join(w)))
+        w[147] = f"t{k}"
+        rows.append((k + 1, " ".join(w)))
+    plain = minhash_forest.components
+    monkeypatch.setattr(minhash_forest, "components", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    monkeypatch.setattr(minhash_forest, "_neighbours", lambda dense: dense.sparkSession.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(minhash_forest, "_nodes", lambda rows, most, scratch, f=minhash_forest._nodes: tuple(d if k else d.where("false") for k, d in enumerate(f(rows, most, scratch))))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), most=32).collect()}
+    wanted = brute.near_duplicates(rows)
+    assert len(calls) == 2 and all(wanted[k + 1][1] == wanted[k][1] for k in range(0, 240, 2))
+    assert got == wanted
+
+
+def test_linked_pairs_of_two_blocks():
+    rng = random.Random(15)
+    sets = [np.unique(np.array([rng.randint(0, 14) for _ in range(rng.randint(1, 12))], np.uint64)) for _ in range(60)]
+    wanted = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * len(set(sets[i]) & set(sets[j])) >= 40 * len(set(sets[i]) | set(sets[j]))}
+    assert set(zip(*(x.tolist() for x in minhash_forest.linked_pairs(sets, 40)), strict=True)) == wanted
+    for split in (1, 25, 59):
+        found = set(zip(*(x.tolist() for x in minhash_forest.linked_pairs(sets, 40, split)), strict=True))
+        assert found == {(i, j) for i, j in wanted if i < split <= j}
+
+
 def test_regions_come_whole_or_in_chunks_over_any_batches():
     """Small nodes are whole, larger ones come in chunks with the depth each row shares with the row before; border nodes are marked."""
     import pyarrow as pa
@@ -484,6 +531,16 @@ def test_components_of_chains_and_hubs(spark):
     assert {got[k] for k in range(101, 181)} == {100} and {got[k] for k in range(600, 700)} == {500} and 3 not in got
 
 
+def test_components_of_several_graphs_in_the_same_rounds(spark):
+    scratch = Scratch(spark)
+    links = [("x", k, k + 1) for k in range(100, 180)] + [("y", 100, k) for k in range(101, 150)] + [("y", 7, 170)]
+    got = {(r.g, r.node): r.component for r in components(spark.createDataFrame(links, "g string, a long, b long"), scratch, by=("g",)).collect()}
+    assert got == {("x", k): 100 for k in range(100, 181)} | {("y", k): 100 for k in range(100, 150)} | {("y", 7): 7, ("y", 170): 7}
+    scratch = Scratch(spark)
+    assert components(spark.createDataFrame([(1, k) for k in range(2, 50)], "a long, b long"), scratch).count() == 49
+    assert scratch.count == 2  # the links and one look at the nodes: stars take no round
+
+
 def test_pipeline(spark, texts, tmp_path):
     import corpus_pipeline
 
