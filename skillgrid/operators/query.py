@@ -15,6 +15,17 @@ def _sets(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.drop("cells"), keyed.drop("region_id").distinct().select("model", "set_a", "set_b", F.explode("cells").alias("cell_id"))
 
 
+def region_shapes(cells: DataFrame) -> DataFrame:
+    """``region_id, shape, grids``: a region's cells on all grids in one row, and 128 bits that regions with the same cells have in common."""
+    grids = cells.groupBy("region_id").agg(F.array_sort(F.collect_set(F.struct("model", "how", "cells"))).alias("grids"))
+    return grids.select("region_id", F.struct(F.xxhash64("grids").alias("a"), F.xxhash64(F.lit(1), "grids").alias("b")).alias("shape"), "grids")
+
+
+def shape_cells(shapes: DataFrame) -> DataFrame:
+    """The cells of each shape once, as those of a region that has the shape for its id."""
+    return shapes.groupBy("shape").agg(F.first("grids").alias("grids")).select(F.col("shape").alias("region_id"), F.inline("grids"))
+
+
 def _split(cells: DataFrame, grid: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
     """Rectangles, whose cells are a block, and the other regions; without a ``grid`` all go the way of the others."""
     if grid is None or "how" not in cells.columns:
@@ -160,8 +171,8 @@ def run_requests(requests: DataFrame, stats: DataFrame, cells: DataFrame, models
     return out.select("request_id", "region_id", "model", "period", "period_key", "statistic", "lead_key", "value", F.col("value").isNull().alias("no_data")), checked.where("error is not null").select("request_id", "error")
 
 
-def run_winner_requests(requests: DataFrame, losses: DataFrame, statistics: list[str], month: int, places: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Best model for each lead of a request's range, and rejects. ``losses`` cover all periods; ``forecast`` has no loss."""
+def _winner_checked(requests: DataFrame, statistics: list[str], month: int) -> DataFrame:
+    """Adds ``error``, the first rule that a request for winners breaks, and the period and key it asks for."""
     error = (
         F.when(_period_error().isNotNull(), _period_error())
         .when(_region_error(requests).isNotNull(), _region_error(requests))
@@ -170,11 +181,28 @@ def run_winner_requests(requests: DataFrame, losses: DataFrame, statistics: list
         .when(F.col("min_lead").isNull() | F.col("max_lead").isNull() | (F.least("min_lead", "max_lead") < 0), "a range needs both ends")
         .when(F.col("min_lead") > F.col("max_lead"), "range of leads ends before it begins")
     )
-    checked = requests.withColumn("error", error)
-    ok = checked.where("error is null").withColumns({"period": F.coalesce("period", F.lit("yearly")), "period_key": _period_key(month)})
-    best = lead_winners(losses, places)
-    found = ok.join(best, ["region_id", "statistic", "period", "period_key"]).where(F.col("lead").between(F.col("min_lead"), F.col("max_lead")))
-    return found.select("request_id", "region_id", "statistic", "period", "period_key", "lead", "model", "loss", "n_models", "metric"), checked.where("error is not null").select("request_id", "error")
+    return requests.withColumn("error", error).withColumns({"period": F.coalesce("period", F.lit("yearly")), "period_key": _period_key(month)})
+
+
+def winner_rejects(requests: DataFrame, statistics: list[str], month: int) -> DataFrame:
+    """Requests for winners that break a rule, with the rule."""
+    return _winner_checked(requests, statistics, month).where("error is not null").select("request_id", "error")
+
+
+def run_winner_requests(requests: DataFrame, wide: DataFrame, shapes: DataFrame, statistics: list[str], month: int, grid: DataFrame | None = None, places: int | None = None) -> DataFrame:
+    """Best model for each lead of a request's range. ``wide`` covers all periods; ``shapes`` are of ``region_shapes``.
+
+    Only layers and regions that some request asks for are read. Winners are found for each shape once, however many
+    regions have it, and a request meets them in one row, whose leads are cut to its range after the joins.
+    """
+    ok = _winner_checked(requests, statistics, month).where("error is null").select("request_id", "region_id", "statistic", "period", "period_key", "min_lead", "max_lead")
+    layers = wide.join(ok.select("period", "period_key").distinct(), ["period", "period_key"], "left_semi")
+    asked = shapes.join(ok.select("region_id").distinct(), "region_id", "left_semi")
+    best = lead_winners(region_losses(region_summary(layers, shape_cells(asked), statistics, grid), statistics), places).withColumnRenamed("region_id", "shape")
+    by_lead = best.groupBy("shape", "statistic", "period", "period_key").agg(F.collect_list(F.struct("lead", "model", "loss", "n_models", "metric")).alias("leads"))
+    found = ok.join(shapes.select("region_id", "shape"), "region_id").join(by_lead, ["shape", "statistic", "period", "period_key"])
+    within = F.filter("leads", lambda v: v["lead"].between(F.col("min_lead"), F.col("max_lead")))
+    return found.select("request_id", "region_id", "statistic", "period", "period_key", F.inline(within))
 
 
 def run_forecast_requests(requests: DataFrame, latest: DataFrame, cells: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:

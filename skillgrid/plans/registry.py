@@ -335,14 +335,14 @@ ALL_LOSS = f"{S.STATS}, {S.REGION}, alllosses AS (SELECT region_id, statistic, p
 
 @register("winner_requests", f"WITH {ALL_LOSS}, {WINNER_REQUESTS}, best AS (SELECT region_id, statistic, period, period_key, CAST(lead_key AS INT) AS lead, arg_min(model, (loss, model)) AS model, min(loss) AS loss, count(*) AS n_models FROM alllosses WHERE loss IS NOT NULL GROUP BY ALL) SELECT request_id, region_id, statistic, period, period_key, lead, model, loss, n_models FROM wreq JOIN best USING (region_id, statistic, period, period_key) WHERE error IS NULL AND lead BETWEEN min_lead AND max_lead")
 def winner_requests(spark, d):
-    losses = query.region_losses(_summary(spark, d, periods=("monthly", "seasonal", "yearly")), STATISTICS)
-    return query.run_winner_requests(_winner_requests(spark, d), losses, STATISTICS, month=4, places=6)[0].drop("metric")
+    scratch = Scratch(spark)
+    shapes, wide = scratch.keep(query.region_shapes(fx.cells(spark, d))), scratch.keep(fx.wide(spark, d, ("monthly", "seasonal", "yearly")))
+    return query.run_winner_requests(_winner_requests(spark, d), wide, shapes, STATISTICS, month=4, grid=_grid(spark), places=6).drop("metric")
 
 
 @register("winner_rejects", f"WITH {WINNER_REQUESTS} SELECT request_id, error FROM wreq WHERE error IS NOT NULL")
 def winner_rejects(spark, d):
-    losses = query.region_losses(_summary(spark, d), STATISTICS)
-    return query.run_winner_requests(_winner_requests(spark, d), losses, STATISTICS, month=4)[1]
+    return query.winner_rejects(_winner_requests(spark, d), STATISTICS, month=4)
 
 
 @register("forecast_requests", f"WITH {FORECASTS} SELECT o_orderkey AS request_id, o_custkey AS region_id, model, lead, value, no_data FROM orders JOIN forecasts ON region_id = o_custkey WHERE o_orderkey % 13 <> 0")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skillgrid.functions.statistics import Statistic
 from skillgrid.operators import areas, grid, incremental, pairing, publish, query, sketches
 from skillgrid.operators.regions import axis_step, polygon_cells, region_cells
+from skillgrid.plans import registry
 from skillgrid.sources import scans, sinks
 from skillgrid.sources.fields import FieldReader
 from skillgrid.sources.scratch import Scratch
@@ -333,3 +334,36 @@ def test_scratch_scope(spark):
         assert inner.count() == 2 and exists(spark, f"{scratch.base}/0")
         raise ValueError
     assert not exists(spark, f"{scratch.base}/0") and kept.count() == 3
+
+
+def test_winners_are_found_once_for_regions_of_one_shape(spark, tmp_path, monkeypatch):
+    """Copies of customers 7,700 keys apart have the same cells: their requests are answered from the same losses."""
+    given, copies = "/root/testdata/sf0.001", 9
+    again = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
+    for name, key in (("customer", "c_custkey"), ("orders", "o_custkey")):
+        spark.read.parquet(f"{given}/{name}.parquet").withColumn("copy", again).withColumn(key, F.col(key) + F.col("copy") * 7700).drop("copy").write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.read.parquet(f"{given}/lineitem.parquet").write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows, plain = [], query.lead_winners
+
+    def counted(losses, places=None):
+        rows.append(losses.count())
+        return plain(losses, places)
+
+    monkeypatch.setattr(query, "lead_winners", counted)
+    monkeypatch.setattr(registry.fx, "wide", lambda s, d, periods=("yearly",), base=None, wide=registry.fx.wide: wide(s, given, periods, base))
+    one, many = (registry.winner_requests(spark, d).select("region_id", "request_id", "lead", "model", "loss", "n_models").collect() for d in (given, str(tmp_path)))
+    assert rows[0] == rows[1] > 0
+    assert sorted((r.region_id % 7700, *r[1:]) for r in many) == sorted(tuple(r) for r in one for _ in range(copies))
+
+
+def test_requests_for_winners_on_odd_regions(spark):
+    """Regions with the same cells on one grid only, none, or listed twice; leads without a layer; both ends of a range."""
+    cells = spark.createDataFrame([(k, m, "overlap" if k < 3 else "centers", c) for k, m, c in ((1, "gfs", [0, 1]), (1, "nbm", [0]), (2, "gfs", [0, 1]), (2, "nbm", [1]), (3, "gfs", [0, 1]), (3, "gfs", [0, 1]), (3, "nbm", []), (4, "nbm", [0]))], "region_id int, model string, how string, cells array<int>")
+    layer = [(m, "yearly", "", lead, c, v) for m, lead, c, v in (("gfs", 1, 0, 2.0), ("gfs", 1, 1, 4.0), ("nbm", 1, 0, 3.0), ("nbm", 1, 1, 2.5), ("gfs", 3, 0, 1.0), ("nbm", 2, 1, None))]
+    wide = spark.createDataFrame(layer, "model string, period string, period_key string, lead int, cell_id int, nmad double")
+    asked = spark.createDataFrame([(10 * k + e, k, "nmad", None, None, None, 1, e) for k in (1, 2, 3, 4, 5) for e in (1, 3)] + [(99, 1, "bias", None, None, None, 1, 1), (98, 1, "nmad", "yearly", None, None, 2, 1)], "request_id int, region_id int, statistic string, period string, month string, season string, min_lead int, max_lead int")
+    square = spark.createDataFrame([(m, c, 0, c) for m in ("gfs", "nbm") for c in (0, 1)], "model string, cell_id int, row int, col int")
+    for grid_or_none in (square, None):
+        got = query.run_winner_requests(asked, wide, query.region_shapes(cells), ["nmad"], month=4, grid=grid_or_none, places=6)
+        assert sorted((r.request_id, r.lead, r.model, r.loss, r.n_models) for r in got.collect()) == [(11, 1, "gfs", 3.0, 2), (13, 1, "gfs", 3.0, 2), (13, 3, "gfs", 1.0, 1), (21, 1, "nbm", 2.5, 2), (23, 1, "nbm", 2.5, 2), (23, 3, "gfs", 1.0, 1), (31, 1, "gfs", 3.0, 1), (33, 1, "gfs", 3.0, 1), (33, 3, "gfs", 1.0, 1), (41, 1, "nbm", 3.0, 1), (43, 1, "nbm", 3.0, 1)]
+    assert {r.request_id: r.error for r in query.winner_rejects(asked, ["nmad"], month=4).collect()} == {98: "range of leads ends before it begins", 99: "unknown statistic"}
