@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, month_key, season_of
@@ -36,6 +36,58 @@ def accumulate(paired: DataFrame, registered: list[Statistic] | None = None) ->
     return paired.groupBy("model", F.month("valid_date").alias("month"), "lead", "cell_id").agg(*sums)
 
 
+def counted_sums(forecast: DataFrame, observation: DataFrame) -> DataFrame:
+    """What ``accumulate`` gives for every pair of a forecast and an observation of one day and cell, without the pairs.
+
+    ``forecast``: ``model, lead, day, cell_id, value, n``; ``observation``: ``day, cell_id, value, n``; ``n`` is how often
+    a value came. The values of a day and cell are sorted together, and each meets all smaller ones of the other side at once, so
+    the work grows with the values and not with their pairs. Distances are added up step by step from one value to
+    the next, as terms that are never negative. Null and non-finite values are few different ones, and are joined.
+    """
+    known = finite(F.col("value")).isNotNull()
+    return add_up(_sorted_sums(forecast.where(known), observation.where(known)).unionByName(_joined_sums(forecast, observation)), KEYS)
+
+
+_SLICE = ["model", "lead", "day", "cell_id"]
+
+
+def _sorted_sums(forecast: DataFrame, observation: DataFrame) -> DataFrame:
+    """``counted_sums`` of finite values."""
+    none = F.lit(0).cast("long")
+    seen = observation.join(forecast.select(*_SLICE).distinct(), ["day", "cell_id"])
+    rows = forecast.select(*_SLICE, "value", F.col("n").alias("m"), none.alias("o")).unionByName(seen.select(*_SLICE, "value", none.alias("m"), F.col("n").alias("o")))
+    order = Window.partitionBy(*_SLICE).orderBy("value")
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"gap": F.col("value") - F.lag("value").over(order)} | {f"{s}_n": F.sum(s).over(before) for s in "mo"})
+
+    def moved(s: str, term: Column) -> Column:
+        """What the smaller values of a side add when they are seen from this value and no longer from the last."""
+        return F.sum(F.when((F.col(f"{s}_n") > 0) & (F.col("gap") > 0), F.col("gap") * term).otherwise(0.0)).over(upto)
+
+    rows = rows.withColumns({f"{s}_far": moved(s, F.col(f"{s}_n")) for s in "mo"})
+    rows = rows.withColumns({f"{s}_last": F.lag(f"{s}_far").over(order) for s in "mo"})
+    rows = rows.withColumns({f"{s}_square": moved(s, 2 * F.col(f"{s}_last") + F.col("gap") * F.col(f"{s}_n")) for s in "mo"})
+    m, o, v = F.col("m"), F.col("o"), F.col("value")
+    above, below = F.sum(F.when(m > 0, m * F.col("o_far"))), F.sum(F.when(o > 0, o * F.col("m_far")))
+    each = {"ms": m * v, "os": o * v, "mq": m * v * v, "oq": o * v * v}
+    found = rows.groupBy(*_SLICE).agg(
+        F.sum(m).alias("mn"), F.sum(o).alias("on"), *(F.sum(e).alias(k) for k, e in each.items()),
+        (above - below).alias("sum_error"), (above + below).alias("sum_abs_error"), F.sum(F.when(m > 0, m * F.col("o_square")).otherwise(o * F.col("m_square"))).alias("sum_squared_error"),
+    ).where("mn > 0 and on > 0")
+    times = lambda a, b: F.col(a) * F.col(b)
+    sums = {"n": times("mn", "on"), "sum_model": times("ms", "on"), "sum_obs": times("os", "mn"), "sum_model_sq": times("mq", "on"), "sum_obs_sq": times("oq", "mn"), "sum_cross": times("ms", "os")}
+    return found.select("model", F.month("day").alias("month"), "lead", "cell_id", *(sums.get(c, F.col(c)).alias(c) for c in sum_names()))
+
+
+def _joined_sums(forecast: DataFrame, observation: DataFrame) -> DataFrame:
+    """``counted_sums`` of the pairs of which one value at least is null or not finite."""
+    known = lambda c: finite(F.col(c)).isNotNull()
+    left, right = forecast.withColumnsRenamed({"value": "m", "n": "m_n"}), observation.withColumnsRenamed({"value": "o", "n": "o_n"})
+    both = left.where(~known("m")).join(right, ["day", "cell_id"]).unionByName(left.where(known("m")).join(right.where(~known("o")), ["day", "cell_id"]))
+    sums = [F.sum(expr * F.col("m_n") * F.col("o_n")).alias(name) for name, expr in all_sums().items()]
+    return both.groupBy("model", F.month("day").alias("month"), "lead", "cell_id").agg(*sums)
+
+
 def add_up(acc: DataFrame, keys: list[str], registered: list[Statistic] | None = None) -> DataFrame:
     """Sums of sums by fewer keys; ``registered`` names those of statistics that are not built in."""
     return acc.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sum_names(registered) if c in acc.columns))

@@ -844,5 +844,5 @@ def streaming_pairing(spark, d):
     is_forecast = F.col("event_type").isin("view", "click")
     left = source.where(is_forecast).select(F.lit("gfs").alias("model"), F.date_sub(F.to_date("ts"), 1).alias("init_date"), F.lit(1).alias("lead"), cell.alias("cell_id"), F.col("value").alias("m"), day.alias("f_day"))
     right = source.where(~is_forecast).select(cell.alias("o_cell"), F.col("value").alias("o"), day.alias("o_day"))
-    streaming.keep_accumulators(streaming.stream_pairs(left, right), f"{root}/acc", f"{root}/state").awaitTermination()
+    streaming.keep_paired_sums(left, right, f"{root}/acc", f"{root}/state").awaitTermination()
     return streaming.accumulated(spark, f"{root}/acc").select("model", "month", "lead", "cell_id", "n", F.round("sum_error", 4).alias("sum_error"))

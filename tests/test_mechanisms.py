@@ -367,3 +367,82 @@ def test_requests_for_winners_on_odd_regions(spark):
         got = query.run_winner_requests(asked, wide, query.region_shapes(cells), ["nmad"], month=4, grid=grid_or_none, places=6)
         assert sorted((r.request_id, r.lead, r.model, r.loss, r.n_models) for r in got.collect()) == [(11, 1, "gfs", 3.0, 2), (13, 1, "gfs", 3.0, 2), (13, 3, "gfs", 1.0, 1), (21, 1, "nbm", 2.5, 2), (23, 1, "nbm", 2.5, 2), (23, 3, "gfs", 1.0, 1), (31, 1, "gfs", 3.0, 1), (33, 1, "gfs", 3.0, 1), (33, 3, "gfs", 1.0, 1), (41, 1, "nbm", 3.0, 1), (43, 1, "nbm", 3.0, 1)]
     assert {r.request_id: r.error for r in query.winner_rejects(asked, ["nmad"], month=4).collect()} == {98: "range of leads ends before it begins", 99: "unknown statistic"}
+
+
+VALUES = "is_forecast boolean, model string, lead int, day timestamp, cell_id int, value double"
+ODD = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0]
+
+
+def values(rng, days, n, odd):
+    draw = lambda: rng.choice(ODD) if odd and rng.random() < 0.2 else round(rng.uniform(-5, 5), 1)
+    rows = [(True, rng.choice(["gfs", "nbm"]), rng.choice([1, 2]), rng.choice(days), rng.randint(0, 3), draw()) for _ in range(n)]
+    rows += [(False, None, None, rng.choice(days), rng.randint(0, 3), draw()) for _ in range(n)]
+    return rows + [(True, "gfs", 1, None, 0, 1.0), (False, None, None, None, 0, 1.0), (False, None, None, days[0], None, 1.0), (True, "gfs", 3, dt.datetime(2019, 12, 31), 0, 1.0)]
+
+
+def by_pairs(spark, rows):
+    """The sums from the pairs themselves."""
+    both = spark.createDataFrame(rows, VALUES)
+    left = both.where("is_forecast").select("model", "lead", F.to_date("day").alias("valid_date"), "cell_id", F.col("value").alias("m"))
+    right = both.where("not is_forecast").select(F.to_date("day").alias("valid_date"), "cell_id", F.col("value").alias("o"))
+    return pairing.accumulate(left.join(right, ["valid_date", "cell_id"]))
+
+
+def equal_sums(got, wanted):
+    got, wanted = ({tuple(r[k] for k in pairing.KEYS): r for r in df.collect()} for df in (got, wanted))
+    assert set(got) == set(wanted) and wanted
+    for k, w in wanted.items():
+        for c, v in w.asDict().items():
+            assert got[k][c] == v if v is None or not isinstance(v, float) else got[k][c] == pytest.approx(v, rel=1e-9, abs=1e-9, nan_ok=True), (k, c)
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_paired_sums_equal_pairs(spark, tmp_path, odd):
+    """In one batch, in batches of which some run again, with equal, null and non-finite values and keys without a day or cell."""
+    rng, days = random.Random(8), [dt.datetime(2020, 1, 30) + dt.timedelta(days=k) for k in range(4)]
+    batches = [values(rng, days[:3], 60, odd), values(rng, days[1:], 40, odd), [], values(rng, days, 50, odd)]
+    path = str(tmp_path / "acc")
+    for epoch in (0, 1, 1, 2, 0, 3):
+        streaming.merge_values(spark, spark.createDataFrame(batches[epoch], VALUES), path, epoch)
+    equal_sums(streaming.accumulated(spark, path), by_pairs(spark, [r for b in batches for r in b]))
+    left = {p.name.partition("-")[0] for p in (tmp_path / "acc").iterdir()}
+    assert left == {"current", "sums", "open"} and len(list((tmp_path / "acc").glob("open-*"))) == 2
+
+
+def test_values_beyond_the_delay_leave(spark, tmp_path):
+    path, day = str(tmp_path / "acc"), lambda k: dt.datetime(2020, 3, 1) + dt.timedelta(days=k)
+    put = lambda epoch, *rows: streaming.merge_values(spark, spark.createDataFrame([(f, "gfs" if f else None, 1 if f else None, day(k), 0, 2.0) for f, k in rows], VALUES), path, epoch, "5 days")
+    n = lambda: streaming.accumulated(spark, path).agg(F.sum("n")).first()[0]
+    put(0, (True, 0), (True, 30))
+    put(1, (False, 0), (False, 10))  # forecasts were alone, so that nothing was too old
+    assert n() == 1
+    put(2, (False, 0), (False, 6), (True, 6))  # observations have come to day 10: day 0 is too old, day 6 is not
+    assert n() == 2
+    kept = spark.read.parquet(*(str(p) for p in sorted((tmp_path / "acc").glob("open-*"))[-1:]))
+    assert {r.day for r in kept.collect()} == {day(6), day(10), day(30)}
+
+
+def test_distances_between_close_values_keep_their_digits(spark):
+    """Values that differ by a ten-millionth of their size, where a difference of sums of squares would leave nothing."""
+    day, schema = dt.datetime(2020, 1, 1), "day timestamp, cell_id int, value double, n long"
+    fc = spark.createDataFrame([(day, 0, 3e8 + k, 1) for k in (1.0, 2.0)], schema).selectExpr("'gfs' AS model", "1 AS lead", "*")
+    got = pairing.counted_sums(fc, spark.createDataFrame([(day, 0, 3e8, 2), (day, 0, 3e8 + 1.5, 1)], schema)).first()
+    assert (got.n, got.sum_error, got.sum_abs_error, got.sum_squared_error) == (6, 6.0, 7.0, 10.5)
+    huge = spark.createDataFrame([(day, 0, 1e200, 1)], schema).selectExpr("'gfs' AS model", "1 AS lead", "*")
+    got = pairing.counted_sums(huge, spark.createDataFrame([(day, 0, v, 1) for v in (-1.0, 1e200)], schema)).first()
+    assert (got.n, got.sum_error, got.sum_abs_error, got.sum_squared_error) == (2, 1e200, 1e200, math.inf)
+
+
+def test_a_day_and_cell_of_many_values_is_streamed(spark, tmp_path):
+    """400,000 events of one day and user are 38 billion pairs, as a stream; made one by one they would take hours."""
+    kind = F.when(F.col("id") % 5 < 2, "view").otherwise("error")
+    events = spark.range(400_000).select(F.col("id").alias("event_id"), F.lit("2024-01-05 12:00:00").cast("timestamp").alias("ts"), F.lit(7).cast("long").alias("user_id"), kind.alias("event_type"), F.col("id").cast("double").alias("value"), F.lit("").alias("props"))
+    events.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "sf").mkdir()
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "sf" / "events.parquet")
+    began = time.perf_counter()
+    (row,) = registry.streaming_pairing(spark, str(tmp_path / "sf")).collect()
+    forecasts, observations = ([k for k in range(400_000) if (k % 5 < 2) == is_forecast] for is_forecast in (True, False))
+    assert row.n == len(forecasts) * len(observations)
+    assert row.sum_error == pytest.approx(sum(forecasts) * len(observations) - sum(observations) * len(forecasts), rel=1e-12)
+    assert time.perf_counter() - began < 300
